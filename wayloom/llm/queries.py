@@ -67,8 +67,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUALITY_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
-    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) > 0) AS l
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) > 0) AS l
   FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
 keyed AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM win),
