@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.llm import brown_lm, embed_dedup, mixing, order_minhash, piece_codec, quality, secret_scan, token_counts, url_filter
-from wayloom.llm.common import materialize, read, shared_dir, text_of
+from wayloom.llm import brown_lm, embed_dedup, mixing, order_minhash, piece_codec, quality, repeat_spans, secret_scan, token_counts, url_filter
+from wayloom.llm.common import materialize, read, shared_dir
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -34,6 +34,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_spans.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(read(spark, sf_dir, "documents"), written=lambda df: materialize(df, "found"))
 
@@ -89,7 +93,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 
 
 def queries() -> dict:
-    found = [op1_pieces, op2_token_counts, op3_url_filter, op5_secret_scan, op6_quality_rules, op7_order_minhash, op8_mixing, op9_brown_lm, op10_embedding_dedup, pipeline]
+    found = [op1_pieces, op2_token_counts, op3_url_filter, op4_repeat_spans, op5_secret_scan, op6_quality_rules, op7_order_minhash, op8_mixing, op9_brown_lm, op10_embedding_dedup, pipeline]
     return {f.__name__: f for f in found}
 
 
