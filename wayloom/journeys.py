@@ -1,15 +1,444 @@
-"""The queries of the journey operators."""
+"""The queries of the journey operators over the domain views, each beside SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from wayloom.functions import geo, parsing, pricing, validity
+from wayloom.operators import planner, road, spatial, timetable, transit
+from wayloom.plans.domain import ACTIVE, calendars, hav, view, with_views
+from wayloom.shipping import ship
+from wayloom.sources import catalogs, flights
+
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+@_query(with_views("stops", "doors") + f" SELECT door, stop_id, round({hav('d.lat', 'd.lon', 's.lat', 's.lon')}, 6) AS km FROM doors d JOIN stops s ON s.stop_id = d.door % 100")
+def haversine_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    d, s = view(spark, sf, "doors"), view(spark, sf, "stops").toDF("stop_id", "name", "lat2", "lon2", "t", "m", "tz")
+    return d.join(s, F.col("stop_id") == F.col("door") % 100).select("door", "stop_id", _r(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).alias("km"))
+
+
+@_query(with_views("stops", "doors") + """, b AS (SELECT door, stop_id, (degrees(atan2(sin(radians(s.lon - d.lon)) * cos(radians(s.lat)), cos(radians(d.lat)) * sin(radians(s.lat)) - sin(radians(d.lat)) * cos(radians(s.lat)) * cos(radians(s.lon - d.lon)))) + 360) AS b FROM doors d JOIN stops s ON s.stop_id = d.door % 100),
+ n AS (SELECT door, stop_id, b - 360 * floor(b / 360) AS b FROM b),
+ t AS (SELECT *, (90 - b + 180) - 360 * floor((90 - b + 180) / 360) - 180 AS a FROM n)
+ SELECT door, stop_id, round(b, 4) AS bearing, round(CASE WHEN a = -180 THEN 180 ELSE a END, 4) AS turn FROM t""")
+def bearings_turns(spark, sf):
+    d, s = view(spark, sf, "doors"), view(spark, sf, "stops").toDF("stop_id", "name", "lat2", "lon2", "t", "m", "tz")
+    b = geo.bearing(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    return d.join(s, F.col("stop_id") == F.col("door") % 100).select("door", "stop_id", _r(b, 4).alias("bearing"), _r(geo.turn_angle(b, F.lit(90.0)), 4).alias("turn"))
+
+
+@_query("SELECT p_partkey AS part, round((least(p_size * 9, 30) / 60.0 + greatest(least(p_size * 9, 150) - 30, 0) / 80.0 + greatest(p_size * 9 - 150, 0) / 100.0) * 3600, 4) AS seconds, round(p_size * 9 * CAST(1.3 AS DOUBLE), 4) AS road_km FROM part")
+def drive_bands(spark, sf):
+    km = (F.col("p_size") * 9).cast("double")
+    return spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("part"), _r(geo.drive_seconds(km), 4).alias("seconds"), _r(geo.road_km(km), 4).alias("road_km"))
+
+
+@_query(with_views("trips") + f" SELECT trip_id, mode, d AS day FROM (SELECT *, CAST(unnest(generate_series(DATE '1998-06-25', DATE '1998-07-05', INTERVAL 1 DAY)) AS DATE) AS d FROM trips) x WHERE {ACTIVE}")
+def validity_active(spark, sf):
+    return timetable.active_days(calendars(view(spark, sf, "trips")), "1998-06-25", "1998-07-05", [])
+
+
+@_query(with_views("calls") + " SELECT trip_id FROM (SELECT trip_id, seq, arr_s, dep_s, lag(dep_s) OVER (PARTITION BY trip_id ORDER BY seq) AS p FROM calls) x GROUP BY trip_id HAVING count(*) >= 2 AND NOT bool_or(arr_s > dep_s OR coalesce(arr_s < p, FALSE))")
+def monotone_trips(spark, sf):
+    return timetable.valid_trips(view(spark, sf, "calls"))
+
+
+_CONN = with_views("trips", "calls") + f""", good AS (SELECT trip_id FROM (SELECT trip_id, arr_s, dep_s, lag(dep_s) OVER (PARTITION BY trip_id ORDER BY seq) AS p FROM calls) x GROUP BY trip_id HAVING count(*) >= 2 AND NOT bool_or(arr_s > dep_s OR coalesce(arr_s < p, FALSE))),
+ seg AS (SELECT * FROM (SELECT trip_id, seq, stop_id AS dep_stop, dep_s, lead(stop_id) OVER w AS arr_stop, lead(arr_s) OVER w AS arr_s FROM calls WHERE trip_id IN (SELECT trip_id FROM good) WINDOW w AS (PARTITION BY trip_id ORDER BY seq)) z WHERE arr_stop IS NOT NULL AND arr_s > dep_s),
+ days AS (SELECT trip_id, mode, d FROM (SELECT *, CAST(unnest(generate_series(DATE '1998-06-30', DATE '1998-07-01', INTERVAL 1 DAY)) AS DATE) AS d FROM trips) x WHERE {ACTIVE}),
+ c AS (SELECT trip_id || '@' || d AS run_id, trip_id, mode, seq, dep_stop, arr_stop, CAST(d AS TIMESTAMP) + to_seconds(dep_s) AS dep, CAST(d AS TIMESTAMP) + to_seconds(arr_s) AS arr FROM days JOIN seg USING (trip_id)),
+ w AS (SELECT * FROM c WHERE dep >= TIMESTAMP '1998-07-01 00:00:00'),
+ conns AS (SELECT * FROM w WHERE run_id IN (SELECT run_id FROM w WHERE dep <= TIMESTAMP '1998-07-01 12:00:00'))"""
+
+
+@_query(_CONN + " SELECT * FROM conns")
+def connections_window(spark, sf):
+    return timetable.connections(calendars(view(spark, sf, "trips")), view(spark, sf, "calls"), "1998-07-01 00:00:00", "1998-07-01 12:00:00", [])
+
+
+def _network(spark, sf, end="1998-07-01 23:59:59"):
+    c = timetable.connections(calendars(view(spark, sf, "trips")), view(spark, sf, "calls"), "1998-07-01 00:00:00", end, [])
+    sec = lambda x: F.timestamp_diff("SECOND", F.lit("1998-07-01 00:00:00").cast("timestamp_ntz"), x)
+    conns = c.select("run_id", "seq", "dep_stop", "arr_stop", sec(F.col("dep")).alias("dep"), sec(F.col("arr")).alias("arr"))
+    stops = view(spark, sf, "stops")
+    feet = stops.select(F.col("stop_id").alias("from_stop"), F.explode(F.array(F.col("stop_id") + 1, F.col("stop_id") - 1)).alias("to_stop"), (240 + F.col("stop_id") % 5 * 60).cast("long").alias("dur_s"))
+    feet = feet.join(stops.select(F.col("stop_id").alias("to_stop")), "to_stop", "left_semi").where("from_stop % 3 = 0")
+    return conns, stops, feet.select("from_stop", "to_stop", "dur_s")
+
+
+_FEET = "feet AS (SELECT f.stop_id AS from_stop, t.stop_id AS to_stop, CAST(240 + f.stop_id % 5 * 60 AS BIGINT) AS dur_s FROM stops f JOIN stops t ON t.stop_id IN (f.stop_id + 1, f.stop_id - 1) WHERE f.stop_id % 3 = 0)"
+
+
+def _closed(feet: str = "feet") -> str:
+    return f"hop AS (SELECT from_stop, to_stop, dur_s FROM {feet} UNION SELECT h.from_stop, f.to_stop, h.dur_s + f.dur_s FROM hop h JOIN {feet} f ON h.to_stop = f.from_stop WHERE h.from_stop <> f.to_stop AND h.dur_s + f.dur_s <= 1800), closed AS (SELECT from_stop, to_stop, min(dur_s) AS dur_s FROM hop GROUP BY ALL)"
+
+
+@_query(with_views("stops") + f", {_FEET}, {_closed()} SELECT * FROM closed")
+def footpath_closure(spark, sf):
+    return transit.close_footpaths(_network(spark, sf)[2])
+
+
+def _rounds_sql(k: int) -> str:
+    """k rounds unrolled, with two labels each."""
+    sql = _CONN.replace("1998-07-01 12:00:00", "1998-07-01 23:59:59").replace("RECURSIVE trips", "RECURSIVE stops AS (" + with_views("stops").split("stops AS (", 1)[1][:-1] + "), trips")
+    sql += f", {_FEET}, {_closed()}, cs AS (SELECT run_id, seq, dep_stop, arr_stop, CAST(epoch(dep) - epoch(TIMESTAMP '1998-07-01 00:00:00') AS BIGINT) AS dep, CAST(epoch(arr) - epoch(TIMESTAMP '1998-07-01 00:00:00') AS BIGINT) AS arr FROM conns)"
+    sql += ", l0 AS (SELECT r AS request, stop_id AS stop, CAST(18000 + r * 600 AS BIGINT) AS foot, CAST(NULL AS BIGINT) AS veh FROM stops, (VALUES (0), (1), (2), (3)) v(r) WHERE stop_id = r * 2 + 1)"
+    for i in range(1, k + 1):
+        p = f"l{i - 1}"
+        sql += f""", r{i} AS (SELECT request, stop, least(foot, veh + CASE WHEN s.stop_id IS NULL THEN 300 ELSE s.min_transfer_s END) AS ready FROM {p} LEFT JOIN stops s ON s.stop_id = stop),
+ b{i} AS (SELECT request, run_id, min(seq) AS f FROM r{i} JOIN cs ON stop = dep_stop AND ready <= dep GROUP BY ALL),
+ v{i} AS (SELECT request, arr_stop AS stop, min(arr) AS veh FROM b{i} JOIN cs USING (run_id) WHERE seq >= f GROUP BY ALL),
+ w{i} AS (SELECT request, to_stop AS stop, min(veh + dur_s) AS foot FROM v{i} JOIN closed ON stop = from_stop GROUP BY ALL),
+ l{i} AS (SELECT request, stop, min(foot) AS foot, min(veh) AS veh FROM (SELECT * FROM {p} UNION ALL SELECT request, stop, NULL, veh FROM v{i} UNION ALL SELECT request, stop, foot, NULL FROM w{i}) u GROUP BY ALL)"""
+    return sql + f" SELECT request, stop, CAST(least(foot, veh) AS BIGINT) AS arrive FROM l{k}"
+
+
+def _sources(spark):
+    return spark.range(4).select(F.col("id").alias("request"), (F.col("id") * 2 + 1).alias("stop"), (18000 + F.col("id") * 600).alias("at"))
+
+
+def _labels(spark, sf, most):
+    conns, stops, feet = _network(spark, sf)
+    return transit.arrivals(transit.rounds(_sources(spark), conns, stops, transit.close_footpaths(feet), most))
+
+
+@_query(_rounds_sql(6))
+def min_transfer_rounds(spark, sf):
+    return _labels(spark, sf, 6)
+
+
+@_query(_rounds_sql(12))
+def earliest_arrival(spark, sf):
+    return _labels(spark, sf, 12)
+
+
+_METRICS = with_views("legs") + """, p AS (SELECT *, CASE mode WHEN 'walk' THEN 0.0 WHEN 'car' THEN 0.15 * km WHEN 'train' THEN 2.5 + 0.12 * km WHEN 'ferry' THEN 5.0 + 0.15 * km ELSE 45.0 + 0.07 * km END AS fare,
+  km * CASE mode WHEN 'walk' THEN 0.0 WHEN 'car' THEN 170.0 WHEN 'train' THEN 35.0 WHEN 'ferry' THEN 120.0 ELSE 250.0 END AS em, mode IN ('train', 'ferry', 'flight') AS veh FROM legs),
+ cands AS (SELECT request, cand, CAST(sum(travel_s + overhead_s) AS BIGINT) AS total_s, CAST(sum(travel_s) AS BIGINT) AS ride_s, sum(km) AS km, round(sum(round(CAST(fare AS DOUBLE), 2)), 2) AS cost, CAST(greatest(0, count(*) FILTER (veh) - 1) AS BIGINT) AS transfers,
+  count(*) FILTER (veh) AS vehicles, sum(CASE WHEN mode = 'car' THEN km ELSE 0.0 END) AS car_km, CAST(sum(em) AS DOUBLE) AS emissions, CAST(max(cost_level) AS INTEGER) AS cost_level,
+  arg_max(mode, km * 1000 - leg_no) AS primary_mode, count(*) AS legs, CASE WHEN count(*) FILTER (veh) > 0 THEN 0 ELSE 1 END AS no_vehicle, CASE WHEN count(*) FILTER (mode = 'flight') > 0 THEN 0 ELSE 1 END AS no_flight, bool_and(mode = 'walk') AS walk_only
+  FROM p GROUP BY request, cand)"""
+
+
+def _cands(spark, sf):
+    return planner.metrics(view(spark, sf, "legs"))
+
+
+@_query(_METRICS + " SELECT * FROM cands")
+def itinerary_metrics(spark, sf):
+    return _cands(spark, sf)
+
+
+@_query(with_views("legs") + " SELECT request, cand, leg_no, CAST(a - travel_s AS BIGINT) AS depart_s, CAST(a AS BIGINT) AS arrive_s FROM (SELECT *, sum(overhead_s + travel_s) OVER (PARTITION BY request, cand ORDER BY leg_no) AS a FROM legs) x")
+def running_clock(spark, sf):
+    return planner.clock(view(spark, sf, "legs")).select("request", "cand", "leg_no", "depart_s", "arrive_s")
+
+
+@_query(with_views("legs") + " SELECT request, cand, leg_no, round(CAST(CASE mode WHEN 'walk' THEN 0.0 WHEN 'car' THEN 0.15 * km WHEN 'train' THEN 2.5 + 0.12 * km WHEN 'ferry' THEN 5.0 + 0.15 * km ELSE 45.0 + 0.07 * km END AS DOUBLE), 4) AS fare, round(CAST(km * CASE mode WHEN 'walk' THEN 0.0 WHEN 'car' THEN 170.0 WHEN 'train' THEN 35.0 WHEN 'ferry' THEN 120.0 ELSE 250.0 END AS DOUBLE), 4) AS co2_g FROM legs")
+def fare_legs(spark, sf):
+    return view(spark, sf, "legs").select("request", "cand", "leg_no", _r(pricing.fare(F.col("mode"), F.col("km")), 4).alias("fare"), _r(pricing.emissions(F.col("mode"), F.col("km")), 4).alias("co2_g"))
+
+
+@_query(_METRICS + " SELECT * FROM cands WHERE NOT (legs > 10 OR ride_s / 3600.0 > 3 + 60 / 15.0 OR (walk_only AND km > 10))")
+def implausible_guard(spark, sf):
+    return planner.plausible(_cands(spark, sf), F.lit(60.0))
+
+
+@_query(_METRICS + " SELECT * EXCLUDE (b) FROM (SELECT *, min(CASE WHEN no_flight = 1 THEN total_s END) OVER (PARTITION BY request) AS b FROM cands) x WHERE b IS NULL OR b > 57600 OR no_flight = 1")
+def exclusions(spark, sf):
+    return planner.exclude_modes(_cands(spark, sf), F.col("no_flight") == 0)
+
+
+def _front(axes: list[str]) -> str:
+    least, some = " AND ".join(f"o.{a} <= c.{a}" for a in axes), " OR ".join(f"o.{a} < c.{a}" for a in axes)
+    return f"SELECT * FROM cands c WHERE NOT EXISTS (SELECT 1 FROM cands o WHERE o.request = c.request AND {least} AND ({some}))"
+
+
+_AXES = ["total_s", "cost", "transfers", "car_km", "emissions"]
+
+
+@_query(_METRICS + " " + _front(_AXES[:3]))
+def pareto_frontier(spark, sf):
+    return planner.frontier(_cands(spark, sf), _AXES[:3])
+
+
+@_query(_METRICS + " " + _front(_AXES))
+def pareto_frontier_full(spark, sf):
+    return planner.frontier(_cands(spark, sf), _AXES)
+
+
+@_query(_METRICS + " " + " UNION ALL ".join(f"SELECT '{o}' AS objective, request, cand, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY {', '.join(k)}, cand) AS r FROM cands) x WHERE r <= 3" for o, k in planner.ORDER.items()))
+def rank_objectives(spark, sf):
+    c, out = _cands(spark, sf), None
+    for o in planner.ORDER:
+        one = planner.rank(c, o).select(F.lit(o).alias("objective"), "request", "cand", "rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query(_METRICS + ", b AS (" + " UNION ALL ".join(f"SELECT {i} AS k, '{o}' AS label, request, cand FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY {', '.join(k)}, cand) AS r FROM cands) x WHERE r = 1" for i, (o, k) in enumerate(planner.ORDER.items())) + ") SELECT request, cand, string_agg(label, ',' ORDER BY k) AS labels FROM b GROUP BY request, cand")
+def label_choices(spark, sf):
+    return planner.labels(_cands(spark, sf), list(planner.ORDER))
+
+
+@_query(_METRICS + """ SELECT request, cand, CASE WHEN m = 0 THEN '0m' ELSE concat_ws(' ', CASE WHEN m // 1440 > 0 THEN (m // 1440) || 'd' END, CASE WHEN m // 60 % 24 > 0 THEN (m // 60 % 24) || 'h' END, CASE WHEN m % 60 > 0 THEN (m % 60) || 'm' END) END AS shown FROM (SELECT request, cand, total_s // 60 AS m FROM cands) x""")
+def humanized(spark, sf):
+    return _cands(spark, sf).select("request", "cand", planner.humanize(F.col("total_s")).alias("shown"))
+
+
+_WEIGHTS = with_views("arcs") + ", w AS (SELECT *, CAST(round_even(base_seconds * CASE class WHEN 'ferry' THEN 1.0 WHEN 'motorway' THEN 1.05 WHEN 'primary' THEN 1.33 WHEN 'residential' THEN 1.82 ELSE 2.0 END, 0) AS BIGINT) AS seconds FROM arcs WHERE season <> 'O')"
+
+
+def _arcs(spark, sf):
+    months = F.when(F.col("season") == "O", F.sequence(F.lit(5), F.lit(10))).otherwise(F.array().cast("array<int>"))
+    return view(spark, sf, "arcs").withColumn("open_months", months)
+
+
+@_query(_WEIGHTS + " SELECT arc, tail, head, seconds FROM w")
+def arc_weights(spark, sf):
+    return road.arc_weights(_arcs(spark, sf), 1).select("arc", "tail", "head", "seconds")
+
+
+_PATHS = _WEIGHTS + ", d AS (SELECT s AS source, s AS node, CAST(0 AS BIGINT) AS seconds FROM (VALUES (1), (2), (3)) v(s) UNION SELECT source, head, d.seconds + w.seconds FROM d JOIN w ON tail = node WHERE d.seconds + w.seconds <= 900), m AS (SELECT source, node, min(seconds) AS seconds FROM d GROUP BY ALL)"
+
+
+@_query(_PATHS + " SELECT CAST(source AS BIGINT) AS source, CAST(node AS BIGINT) AS node, seconds FROM m")
+def shortest_paths(spark, sf):
+    s = spark.range(1, 4).select(F.col("id").alias("source"))
+    return road.shortest(s, road.arc_weights(_arcs(spark, sf), 1)).where("seconds <= 900")
+
+
+@_query(with_views("arcs") + """, j AS (SELECT node, count(DISTINCT n) AS k FROM (SELECT tail AS node, head AS n FROM arcs UNION ALL SELECT head, tail FROM arcs) x GROUP BY node HAVING count(DISTINCT n) >= 3),
+ t AS (SELECT a.arc AS in_arc, b.arc AS out_arc, a.tail AS f, b.head AS g, a.head AS via, a.class AS ca, b.class AS cb, (b.bearing - a.bearing + 180) - 360 * floor((b.bearing - a.bearing + 180) / 360) - 180 AS x FROM arcs a JOIN arcs b ON a.head = b.tail),
+ u AS (SELECT *, CASE WHEN x = -180 THEN 180 ELSE x END AS angle FROM t)
+ SELECT in_arc, out_arc, CAST(angle AS DOUBLE) AS angle, CAST(CASE WHEN ca = 'ferry' OR cb = 'ferry' THEN 0 ELSE (CASE WHEN f = g THEN 40 WHEN j.node IS NOT NULL THEN (CASE WHEN abs(angle) <= 20 THEN 2 WHEN abs(angle) >= 135 THEN 22 WHEN abs(angle) <= 45 THEN 5 WHEN angle > 0 THEN 8 ELSE 15 END) ELSE 0 END) + CASE WHEN via % 4 = 0 THEN 5 ELSE 0 END END AS DOUBLE) AS cost
+ FROM u LEFT JOIN j ON j.node = via""")
+def turn_costs(spark, sf):
+    nodes = view(spark, sf, "doors").select(F.col("door").alias("node"), (F.col("door") % 4 == 0).alias("signal"))
+    return road.turns(view(spark, sf, "arcs"), nodes)
+
+
+@_query("SELECT node, count(DISTINCT n) AS neighbours FROM (SELECT tail AS node, head AS n FROM arcs UNION ALL SELECT head, tail FROM arcs) x GROUP BY node HAVING count(DISTINCT n) >= 3".join([with_views("arcs") + " ", ""]))
+def junction_nodes(spark, sf):
+    return road.junctions(view(spark, sf, "arcs"))
+
+
+_NEAR = with_views("doors", "stops") + f", n AS (SELECT door, stop_id, {hav('d.lat', 'd.lon', 's.lat', 's.lon')} AS km, stop_type FROM doors d, stops s)"
+
+
+def _places(spark, sf):
+    return view(spark, sf, "stops").select("stop_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "stop_type")
+
+
+@_query(_NEAR + " SELECT door, stop_id, round(km, 6) AS km FROM n WHERE km <= 50")
+def access_legs(spark, sf):
+    return spatial.within(view(spark, sf, "doors"), _places(spark, sf), 50).select("door", "stop_id", _r(F.col("km")).alias("km"))
+
+
+@_query(_NEAR + " SELECT door, stop_id, round(km, 6) AS km FROM (SELECT *, row_number() OVER (PARTITION BY door ORDER BY km, stop_id) AS r FROM n) x WHERE r = 1")
+def nearest_stop(spark, sf):
+    return spatial.nearest(view(spark, sf, "doors"), "door", _places(spark, sf), "stop_id").select("door", "stop_id", _r(F.col("km")).alias("km"))
+
+
+@_query(with_views("stops") + f", l AS (SELECT h.stop_id AS hub, s.stop_id, {hav('h.lat', 'h.lon', 's.lat', 's.lon')} AS km FROM stops h, stops s WHERE h.stop_type <> 'rail_station' AND s.stop_type = 'rail_station') SELECT hub, stop_id, round(km / 4.5 * 3600, 4) AS walk_s FROM (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY km, stop_id) AS r FROM l WHERE km > 0 AND km <= 60) x WHERE r <= 6")
+def hub_links(spark, sf):
+    hubs = view(spark, sf, "stops").where("stop_type <> 'rail_station'").select(F.col("stop_id").alias("hub"), "lat", "lon")
+    rail = _places(spark, sf).where("stop_type = 'rail_station'")
+    return spatial.top_near(hubs, "hub", rail, "stop_id", 60, 6).select("hub", "stop_id", _r(F.col("km") / 4.5 * 3600, 4).alias("walk_s"))
+
+
+@_query(with_views("stops") + f", l AS (SELECT h.stop_id, s.tz, {hav('h.lat', 'h.lon', 's.lat', 's.lon')} AS km, s.stop_id AS o FROM stops h, stops s WHERE h.tz IS NULL AND s.tz IS NOT NULL) SELECT stop_id, tz FROM stops WHERE tz IS NOT NULL UNION ALL SELECT stop_id, tz FROM (SELECT *, row_number() OVER (PARTITION BY stop_id ORDER BY km, o) AS r FROM l) x WHERE r = 1")
+def tz_fill(spark, sf):
+    s = view(spark, sf, "stops")
+    known = s.where("tz is not null").select(F.col("stop_id").alias("from_stop"), "tz", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    near = spatial.nearest(s.where("tz is null").select("stop_id", "lat", "lon"), "stop_id", known, "from_stop")
+    return s.where("tz is not null").select("stop_id", "tz").unionByName(near.join(known.select("from_stop", "tz"), "from_stop").select("stop_id", "tz"))
+
+
+@_query(with_views("stops") + " SELECT tz, count(*) AS n FROM stops WHERE tz IS NOT NULL GROUP BY tz ORDER BY n DESC, min(stop_id) LIMIT 1")
+def feed_zone(spark, sf):
+    return timetable.zone_of_feed(view(spark, sf, "stops"))
+
+
+@_query(with_views("trips", "calls", "stops") + " SELECT trip_id, timezone('UTC', timezone(z, CAST(start_day AS TIMESTAMP) + to_seconds(dep_s))) AS dep_utc FROM trips JOIN (SELECT trip_id, dep_s, coalesce(tz, 'UTC') AS z FROM calls JOIN stops USING (stop_id) WHERE seq = 1) c USING (trip_id)")
+def utc_departures(spark, sf):
+    first = view(spark, sf, "calls").where("seq = 1").join(view(spark, sf, "stops"), "stop_id")
+    t = view(spark, sf, "trips").join(first, "trip_id")
+    return t.select("trip_id", timetable.utc(F.col("start_day"), F.col("dep_s"), F.coalesce("tz", F.lit("UTC"))).alias("dep_utc"))
+
+
+@_query(with_views("stops", "calls") + " SELECT * FROM calls WHERE trip_id IN (SELECT trip_id FROM calls JOIN stops USING (stop_id) WHERE lat BETWEEN 46 AND 50 AND lon BETWEEN 4 AND 12 GROUP BY trip_id HAVING count(*) >= 2)")
+def clip_corridor(spark, sf):
+    return timetable.clip(view(spark, sf, "calls"), view(spark, sf, "stops"), 46, 4, 50, 12)
+
+
+@_query(with_views("stops") + f", f AS (SELECT 0 AS feed, stop_id, lat, lon FROM stops UNION ALL SELECT 1, stop_id, lat + (stop_id % 3) * 0.02, lon FROM stops WHERE stop_id % 2 = 0), g AS (SELECT *, first_value(lat) OVER w AS a, first_value(lon) OVER w AS b FROM f WINDOW w AS (PARTITION BY stop_id ORDER BY feed)) SELECT feed, stop_id, CASE WHEN {hav('lat', 'lon', 'a', 'b')} > 1 THEN stop_id || '#' || feed ELSE CAST(stop_id AS VARCHAR) END AS new_id FROM g")
+def merge_first_wins(spark, sf):
+    s = view(spark, sf, "stops").select(F.lit(0).alias("feed"), "stop_id", "lat", "lon")
+    t = s.where("stop_id % 2 = 0").select(F.lit(1).alias("feed"), "stop_id", (F.col("lat") + F.col("stop_id") % 3 * 0.02).alias("lat"), "lon")
+    return timetable.merge_stops(s.unionByName(t)).select("feed", "stop_id", "new_id")
+
+
+@_query(with_views("calls") + ", f AS (SELECT DISTINCT trip_id, unnest(range(21600, 28800, 1800)) AS tm FROM calls WHERE trip_id % 50 = 0), a AS (SELECT trip_id, min(dep_s) AS a FROM calls GROUP BY trip_id) SELECT c.trip_id || '#' || tm AS trip_id, seq, stop_id, CAST(arr_s + tm - a AS BIGINT) AS arr_s, CAST(dep_s + tm - a AS BIGINT) AS dep_s FROM calls c JOIN f USING (trip_id) JOIN a USING (trip_id) UNION ALL SELECT CAST(trip_id AS VARCHAR), seq, stop_id, CAST(arr_s AS BIGINT), CAST(dep_s AS BIGINT) FROM calls WHERE trip_id % 50 <> 0")
+def freq_expand(spark, sf):
+    c = view(spark, sf, "calls")
+    w = c.where("trip_id % 50 = 0").select("trip_id").distinct().select("trip_id", F.lit(21600).alias("start_s"), F.lit(28800).alias("end_s"), F.lit(1800).alias("headway_s"))
+    return timetable.expand_frequencies(c, w)
+
+
+def _pairs(spark, sf):
+    s = timetable.segments(view(spark, sf, "calls"))
+    return s.where("dep_stop <> arr_stop").select(F.col("dep_stop").alias("src"), F.col("arr_stop").alias("dst")).distinct()
+
+
+_PAIRS = with_views("calls", "stops") + ", pairs AS (SELECT DISTINCT src, dst FROM (SELECT stop_id AS src, lead(stop_id) OVER (PARTITION BY trip_id ORDER BY seq) AS dst FROM calls) x WHERE src <> dst)"
+
+
+@_query(_PAIRS + " SELECT * FROM pairs")
+def route_pairs(spark, sf):
+    return _pairs(spark, sf)
+
+
+@_query(_PAIRS + " SELECT iata, count(*) AS degree FROM (SELECT src AS iata FROM pairs UNION ALL SELECT dst FROM pairs) x GROUP BY iata")
+def route_degree(spark, sf):
+    return flights.degrees(_pairs(spark, sf))
+
+
+def _airports(spark, sf):
+    return view(spark, sf, "stops").select(F.col("stop_id").alias("iata"), "lat", "lon")
+
+
+@_query(_PAIRS + f" SELECT src || '-' || dst || '@' || printf('%02d', h) AS trip_id, src, dst, CAST(h * 3600 AS DOUBLE) AS dep_s, round(h * 3600 + 2700 + {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} / 800 * 3600, 3) AS arr_s FROM pairs JOIN stops a ON a.stop_id = src JOIN stops b ON b.stop_id = dst, (VALUES (8), (14)) v(h) WHERE src % 10 = 0 AND dst % 10 = 0")
+def synthetic_flights(spark, sf):
+    p = _pairs(spark, sf).where("src % 10 = 0 and dst % 10 = 0")
+    return flights.synthetic_flights(p, _airports(spark, sf), [8, 14]).withColumn("arr_s", _r(F.col("arr_s"), 3))
+
+
+@_query(_PAIRS.replace("RECURSIVE calls", "RECURSIVE doors AS (" + with_views("doors").split("doors AS (", 1)[1][:-1] + "), calls") + f", deg AS (SELECT iata, count(*) AS degree FROM (SELECT src AS iata FROM pairs UNION ALL SELECT dst FROM pairs) x GROUP BY iata HAVING count(*) >= 5), n AS (SELECT door AS point, iata, degree FROM doors d, stops s JOIN deg ON iata = stop_id WHERE door % 20 = 0 AND {hav('d.lat', 'd.lon', 's.lat', 's.lon')} <= 400) SELECT point, iata, degree, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY degree DESC, iata DESC) AS r FROM n) x WHERE r <= 6")
+def hub_topk(spark, sf):
+    points = view(spark, sf, "doors").where("door % 20 = 0").withColumnRenamed("door", "point")
+    return flights.hubs(points, _airports(spark, sf), flights.degrees(_pairs(spark, sf)), 5, 400, 6)
+
+
+_BOXES = "boxes AS (SELECT n_nationkey AS feed_id, n_name AS name, CASE WHEN n_nationkey < 3 THEN NULL ELSE n_regionkey END AS parent, CAST(44 + n_nationkey % 5 AS DOUBLE) AS lat0, CAST(2 + n_nationkey % 4 AS DOUBLE) AS lon0, CAST(46 + n_nationkey % 5 + n_nationkey % 3 AS DOUBLE) AS lat1, CAST(6 + n_nationkey % 7 AS DOUBLE) AS lon1 FROM nation)"
+
+
+def _boxes(spark, sf):
+    d = lambda c: F.expr(c).cast("double")
+    return spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("feed_id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") >= 3, F.col("n_regionkey")).alias("parent"), d("44 + n_nationkey % 5").alias("lat0"), d("2 + n_nationkey % 4").alias("lon0"), d("46 + n_nationkey % 5 + n_nationkey % 3").alias("lat1"), d("6 + n_nationkey % 7").alias("lon1"))
+
+
+def _trips_of(spark, sf):
+    return view(spark, sf, "doors").withColumn("pair", F.floor(F.col("door") / 2).cast("long")).select("pair", "lat", "lon")
+
+
+_COVER = with_views("doors") + f", {_BOXES}, p AS (SELECT door // 2 AS pair, lat, lon FROM doors), h AS (SELECT pair, feed_id, count(*) AS k, any_value((lat1 - lat0) * (lon1 - lon0)) AS area, any_value(parent) AS parent FROM p JOIN boxes ON lat BETWEEN lat0 AND lat1 AND lon BETWEEN lon0 AND lon1 GROUP BY ALL), n AS (SELECT pair, count(*) AS k FROM p GROUP BY pair), c AS (SELECT pair, feed_id, area FROM h JOIN n USING (pair, k))"
+
+
+@_query(_COVER + " SELECT CAST(pair AS BIGINT) AS pair, feed_id, area FROM c")
+def feeds_cover(spark, sf):
+    return spatial.covering(_trips_of(spark, sf), _boxes(spark, sf), "pair", "feed_id")
+
+
+@_query(_COVER.replace("AND lon0 AND lon1", "AND lon0 AND lon1").replace("lat BETWEEN lat0 AND lat1 AND lon BETWEEN lon0 AND lon1", "lat >= lat0 AND lat < lat1 AND lon >= lon0 AND lon < lon1 AND parent IS NOT NULL") + " SELECT CAST(pair AS BIGINT) AS pair, feed_id AS region_id, area FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY area, feed_id) AS r FROM c) x WHERE r = 1")
+def region_smallest(spark, sf):
+    corner = lambda a, b: F.struct(F.col(a).alias("lon"), F.col(b).alias("lat"))
+    ring = F.array(corner("lon0", "lat0"), corner("lon1", "lat0"), corner("lon1", "lat1"), corner("lon0", "lat1"))
+    return spatial.smallest_region(_trips_of(spark, sf), _boxes(spark, sf).withColumnRenamed("feed_id", "region_id").withColumn("polygons", F.array(F.array(ring))), "pair")
+
+
+_TAGS = "tags AS (SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN p_size || ' mph' WHEN 2 THEN 'RO:urban' WHEN 3 THEN '0' WHEN 4 THEN ' ' || p_size || '.5 ' END AS speed, CASE p_partkey % 5 WHEN 0 THEN p_size || ':' || lpad(CAST(p_partkey % 60 AS VARCHAR), 2, '0') WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN '1:00:30' WHEN 3 THEN '-1:30' ELSE '0' END AS dur, CASE p_partkey % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN '-1' WHEN 2 THEN '' ELSE 'no' END AS ow, CASE WHEN p_partkey % 3 = 0 THEN 'roundabout' END AS jn, 'no @ (' || list_extract(['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'], CAST(1 + p_partkey % 12 AS BIGINT)) || '-' || list_extract(['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'], CAST(1 + p_size % 12 AS BIGINT)) || ')' AS cond, 1 + p_partkey % 12 AS m0, 1 + p_size % 12 AS m1 FROM part)"
+
+
+def _tags(spark, sf):
+    names = F.array(*map(F.lit, "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()))
+    p, s = F.col("p_partkey"), F.col("p_size").cast("string")
+    speed = F.when(p % 6 == 0, s).when(p % 6 == 1, F.concat(s, F.lit(" mph"))).when(p % 6 == 2, "RO:urban").when(p % 6 == 3, "0").when(p % 6 == 4, F.concat(F.lit(" "), s, F.lit(".5 ")))
+    dur = F.when(p % 5 == 0, F.concat(s, F.lit(":"), F.lpad((p % 60).cast("string"), 2, "0"))).when(p % 5 == 1, s).when(p % 5 == 2, "1:00:30").when(p % 5 == 3, "-1:30").otherwise("0")
+    ow = F.when(p % 4 == 0, "Yes").when(p % 4 == 1, "-1").when(p % 4 == 2, "").otherwise("no")
+    cond = F.concat(F.lit("no @ ("), F.element_at(names, (1 + p % 12).cast("int")), F.lit("-"), F.element_at(names, (1 + F.col("p_size") % 12).cast("int")), F.lit(")"))
+    return spark.read.parquet(f"{sf}/part.parquet").select(p.alias("k"), speed.alias("speed"), dur.alias("dur"), ow.alias("ow"), F.when(p % 3 == 0, "roundabout").alias("jn"), cond.alias("cond"))
+
+
+@_query(f"WITH {_TAGS} SELECT k, round(CASE WHEN v > 0 THEN v ELSE 50 END, 6) AS kmh FROM (SELECT k, CASE WHEN speed LIKE '%mph%' THEN n * 1.609344 ELSE n END AS v FROM (SELECT k, speed, TRY_CAST(nullif(regexp_extract(speed, '\\d+(\\.\\d+)?'), '') AS DOUBLE) AS n FROM tags) x) y")
+def maxspeed_parse(spark, sf):
+    return _tags(spark, sf).select("k", _r(parsing.maxspeed(F.col("speed"), F.lit(50.0))).alias("kmh"))
+
+
+@_query(f"WITH {_TAGS} SELECT k, CASE WHEN t > 0 THEN t END AS seconds FROM (SELECT k, CASE WHEN regexp_matches(dur, '^\\d+$') THEN CAST(dur AS DOUBLE) * 60 WHEN regexp_matches(dur, '^\\d+:\\d+(:\\d+)?$') THEN CAST(split_part(dur, ':', 1) AS DOUBLE) * 3600 + CAST(split_part(dur, ':', 2) AS DOUBLE) * 60 + coalesce(TRY_CAST(split_part(dur, ':', 3) AS DOUBLE), 0) END AS t FROM tags) x")
+def duration_parse(spark, sf):
+    return _tags(spark, sf).select("k", parsing.duration_seconds(F.col("dur")).alias("seconds"))
+
+
+@_query(f"WITH {_TAGS} SELECT k, CASE WHEN ow = 'Yes' THEN 1 WHEN ow = '-1' THEN -1 WHEN jn = 'roundabout' AND ow = '' THEN 1 ELSE 0 END AS oneway FROM tags")
+def oneway_parse(spark, sf):
+    return _tags(spark, sf).select("k", parsing.oneway(F.col("ow"), F.col("jn")).alias("oneway"))
+
+
+@_query(f"WITH {_TAGS} SELECT k, list_filter(range(1, 13), lambda m: NOT CASE WHEN m0 <= m1 THEN m BETWEEN m0 AND m1 ELSE m >= m0 OR m <= m1 END) AS months FROM tags")
+def seasonal_parse(spark, sf):
+    tags = F.create_map(F.lit("motorcar:conditional"), F.col("cond"))
+    keys = ["motor_vehicle:conditional", "motorcar:conditional", "vehicle:conditional", "access:conditional"]
+    return _tags(spark, sf).select("k", validity.open_months(tags, keys).cast("array<long>").alias("months"))
+
+
+@_query("""SELECT event_id, round(CASE WHEN c = 'ferry' THEN CAST(1.0 AS DOUBLE) ELSE greatest(1.0, a * CASE WHEN isodow(ts) <= 5 THEN CASE WHEN h IN (7, 8, 16, 17, 18) THEN CASE WHEN c = 'motorway' THEN 1.2 ELSE 1.45 END WHEN h >= 22 OR h <= 5 THEN 0.95 ELSE 1.0 END ELSE CASE WHEN h BETWEEN 11 AND 17 THEN CASE WHEN c = 'motorway' THEN 1.05 ELSE 1.15 END WHEN h >= 22 OR h <= 6 THEN 0.95 ELSE 1.0 END END) END, 6) AS factor
+ FROM (SELECT *, CASE c WHEN 'motorway' THEN 1.05 WHEN 'residential' THEN 1.82 ELSE 1.0 END AS a FROM (SELECT event_id, ts, hour(ts) AS h, CASE event_id % 3 WHEN 0 THEN 'motorway' WHEN 1 THEN 'residential' ELSE 'ferry' END AS c FROM events) x) y""")
+def speed_factors(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    c = F.when(F.col("event_id") % 3 == 0, "motorway").when(F.col("event_id") % 3 == 1, "residential").otherwise("ferry")
+    return e.select("event_id", _r(pricing.speed_factor(c, F.col("ts"), F.lit(False), F.lit(False))).alias("factor"))
+
+
+@_query("SELECT p_name AS name, CAST(tier AS INTEGER) AS tier FROM (SELECT DISTINCT p_name, CASE WHEN starts_with(lower(p_name), 'bo') THEN 0 WHEN contains(lower(p_name), 'bo') THEN 1 END AS tier FROM part) x WHERE tier IS NOT NULL ORDER BY tier, lower(p_name), p_name LIMIT 8")
+def search_tiers(spark, sf):
+    names = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_name").alias("name")).distinct()
+    return catalogs.search(names, " Bo").select("name", "tier")
+
+
+@_query("WITH f AS (SELECT c_nationkey AS feed_id, c_nationkey * 1.5 AS area, count(*) * 1000 AS trips FROM customer GROUP BY ALL), t AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY area, feed_id) AS n FROM f) x WHERE n <= 4 AND trips > 0), r AS (SELECT *, sum(trips) OVER (ORDER BY n) AS total, row_number() OVER (ORDER BY n) AS k FROM t), o AS (SELECT *, max(CASE WHEN k > 1 AND total > 130000 THEN 1 ELSE 0 END) OVER (ORDER BY n) AS over FROM r) SELECT feed_id, trips, CAST(total AS BIGINT) AS total FROM o WHERE over = 0")
+def budget_cut(spark, sf):
+    f = spark.read.parquet(f"{sf}/customer.parquet").groupBy(F.col("c_nationkey").alias("feed_id")).agg((F.count("*") * 1000).alias("trips")).withColumn("area", F.col("feed_id") * 1.5)
+    return catalogs.take_budget(f, "area", "trips", 130_000).select("feed_id", "trips", "total")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earliest arrivals of the requests at every stop, ranked within a request."""
+    from pyspark.sql import Window
+
+    a = earliest_arrival(spark, sf_dir)
+    return a.withColumn("rank", F.row_number().over(Window.partitionBy("request").orderBy("arrive", "stop")))
+
+
+def _shipped(f):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {}
+    return {n: _shipped(f) for n, f in _Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
