@@ -115,3 +115,45 @@ def test_catalogs(spark, tmp_path):
     assert [(x.region_id, x.lat0, x.lat1, x.lon0, x.lon1) for x in r] == [("a", 40, 56, 0, 20)]
     catalogs.save_timetable({"stops": spark.range(3)}, str(tmp_path / "t"))
     assert catalogs.load_timetable(spark, str(tmp_path / "t"))["stops"].count() == 3
+
+
+def test_journey_and_plan(spark):
+    from wayloom.operators import search
+
+    c = spark.createDataFrame([("r1", 1, "A", "H", 4000, 5000, "train"), ("r2", 1, "H", "C", 5600, 7000, "train"), ("r3", 1, "A", "C", 4100, 9000, "train")], "run_id string, seq int, dep_stop string, arr_stop string, dep long, arr long, mode string")
+    s = spark.createDataFrame([("A", 46.0, 7.0, 300), ("H", 46.3, 7.0, 300), ("C", 46.6, 7.0, 300)], "stop_id string, lat double, lon double, min_transfer_s int")
+    none = spark.createDataFrame([], "from_stop string, to_stop string, dur_s long")
+    labels = transit.rounds(spark.createDataFrame([(1, "A", 3000)], "request long, stop string, at long"), c, s, none)
+    legs = search.legs_to(spark.createDataFrame([(1, "C")], "request long, target string"), labels, search.predecessors(labels, c, s, none)).orderBy("back").collect()
+    assert [(r.run_id, r.from_stop, r.to_stop, r.depart, r.arrive) for r in legs] == [("r2", "H", "C", 5600, 7000), ("r1", "A", "H", 4000, 5000)]
+    r = spark.createDataFrame([(1, 46.0005, 7.0, 46.6005, 7.0, 3000)], "request long, lat double, lon double, lat2 double, lon2 double, depart long")
+    got = {x.cand: x for x in search.plan(r, c, s, none, "greenest").collect()}
+    assert got["transit C"].rank == 1 and got["transit C"].vehicles == 1 and got["transit C"].total_s == 7000 + 40 - 3000
+    assert got["ground"].car_km > 80 and got["ground"].legs == 1
+
+
+def test_restrictions(spark):
+    from wayloom.operators import restrictions
+
+    arcs = spark.createDataFrame([(10, 1, 1, 5, 0.0), (20, 2, 5, 2, 270.0), (21, 3, 5, 3, 0.0), (22, 4, 5, 4, 90.0)], "arc long, way long, tail long, head long, bearing double")
+    rel = lambda value: spark.createDataFrame([(1, [1], 5, [2], value)], "rel long, from_ways array<long>, via long, to_ways array<long>, value string")
+    turns = lambda value: sorted(tuple(r) for r in restrictions.forbidden_turns(rel(value), arcs).collect())
+    assert turns("no_left_turn") == [(10, 20)]
+    assert turns("only_left_turn") == [(10, 21), (10, 22)]
+
+
+def test_ferry_way(spark):
+    from wayloom.operators import ways
+
+    w = spark.createDataFrame([(1, [1, 2, 3], {"route": "ferry", "motorcar": "yes", "duration": "1:00"}), (2, [1, 2], {"route": "ferry"})], "way long, refs array<long>, tags map<string,string>")
+    n = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.1), (3, 0.0, 0.4)], "node long, lat double, lon double")
+    assert sorted((r.tail, r.head, r.base_seconds) for r in ways.arcs_of(w, n).collect()) == [(1, 2, 900), (2, 1, 900), (2, 3, 2700), (3, 2, 2700)]
+
+
+def test_stream(spark, tmp_path):
+    from wayloom.streaming import requests
+
+    spark.range(5).withColumn("origin", F.col("id") % 2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, origin long").parquet(str(tmp_path / "in"))
+    requests.answer(stream, lambda b: b.groupBy("origin").count(), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("count")).first()[0] == 5

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo, parsing, pricing, validity
-from wayloom.operators import planner, road, spatial, timetable, transit
+from wayloom.operators import planner, restrictions, road, search, spatial, timetable, transit, ways
 from wayloom.plans.domain import ACTIVE, calendars, hav, view, with_views
 from wayloom.shipping import ship
 from wayloom.sources import catalogs, flights
@@ -420,6 +420,70 @@ def budget_cut(spark, sf):
     return catalogs.take_budget(f, "area", "trips", 130_000).select("feed_id", "trips", "total")
 
 
+def _network_modes(spark, sf):
+    conns, stops, feet = _network(spark, sf)
+    modes = view(spark, sf, "trips").select(F.col("trip_id").cast("string").alias("t"), "mode")
+    return conns.join(modes, F.split_part("run_id", F.lit("@"), F.lit(1)) == F.col("t")).drop("t"), stops, transit.close_footpaths(feet)
+
+
+@_query()
+def journey_legs(spark, sf):
+    """The legs of the best journeys of the four sources to every stop; no SQL twin (a walk back along predecessors)."""
+    conns, stops, feet = _network(spark, sf)
+    feet = transit.close_footpaths(feet)
+    labels = transit.rounds(_sources(spark), conns, stops, feet)
+    preds = search.predecessors(labels, conns, stops, feet)
+    return search.legs_to(labels.where("round > 0").select("request", F.col("stop").alias("target")), labels, preds)
+
+
+@_query()
+def plan_requests(spark, sf):
+    """Door-to-door plans between customers' doors, fastest first; no SQL twin (a fixpoint within)."""
+    conns, stops, feet = _network_modes(spark, sf)
+    d = view(spark, sf, "doors").where("door % 10 = 1")
+    r = d.select(F.col("door").alias("request"), "lat", "lon", (46 + F.col("door") * 7 % 100 / 20).cast("double").alias("lat2"), (4 + F.col("door") * 3 % 100 / 20).cast("double").alias("lon2"), F.lit(21600).cast("long").alias("depart"))
+    return search.plan(r, conns, stops, feet, "greenest", 3)
+
+
+_REL = with_views("arcs") + """, a AS (SELECT arc, arc % 40 AS way, tail, head, bearing FROM arcs),
+ rel AS (SELECT c_custkey AS rel, c_custkey AS via, c_custkey % 40 AS f, (c_custkey * 7) % 40 AS t, list_extract(['no_left_turn', 'no_right_turn', 'no_u_turn', 'no_straight_on', 'no_entry', 'only_left_turn', 'only_straight_on'], 1 + CAST(c_custkey % 7 AS BIGINT)) AS value FROM customer),
+ i AS (SELECT DISTINCT rel, via, value, arc AS in_arc, bearing AS b_in FROM rel JOIN a ON head = via AND (way = f OR way = (f + 1) % 40 OR way = (f + 2) % 40)),
+ o AS (SELECT DISTINCT rel, arc AS out_arc, bearing AS b_out FROM rel JOIN a ON tail = via AND (way = t OR way = (t + 1) % 40)),
+ p AS (SELECT rel, via, value, in_arc, out_arc, count(*) OVER (PARTITION BY rel) AS n, (b_out - b_in + 180) - 360 * floor((b_out - b_in + 180) / 360) - 180 AS x FROM i JOIN o USING (rel)),
+ q AS (SELECT *, CASE WHEN abs(x) <= 45 THEN 'straight' WHEN abs(x) >= 150 THEN 'u' WHEN x > 0 THEN 'right' ELSE 'left' END AS cls, CASE WHEN value LIKE '%u_turn%' THEN 'u' WHEN value LIKE '%left%' THEN 'left' WHEN value LIKE '%right%' THEN 'right' WHEN value LIKE '%straight%' THEN 'straight' ELSE 'any' END AS turn FROM p),
+ named AS (SELECT * FROM q WHERE n = 1 OR turn = 'any' OR cls = turn),
+ al AS (SELECT rel, in_arc, out_arc FROM named WHERE value LIKE 'only%' UNION ALL SELECT rel, in_arc, out_arc FROM p WHERE value LIKE 'only%' AND rel NOT IN (SELECT rel FROM named WHERE value LIKE 'only%')),
+ bound AS (SELECT DISTINCT rel, in_arc FROM al UNION SELECT rel, in_arc FROM i WHERE value LIKE 'only%' AND rel NOT IN (SELECT rel FROM p)),
+ rest AS (SELECT bound.rel, in_arc, arc AS out_arc FROM bound JOIN rel ON rel.rel = bound.rel JOIN a ON tail = via)
+ SELECT in_arc, out_arc FROM named WHERE value LIKE 'no%' UNION SELECT in_arc, out_arc FROM rest WHERE (rel, in_arc, out_arc) NOT IN (SELECT (rel, in_arc, out_arc) FROM al)"""
+
+
+@_query(_REL)
+def turn_restrictions(spark, sf):
+    kinds = F.array(*map(F.lit, ["no_left_turn", "no_right_turn", "no_u_turn", "no_straight_on", "no_entry", "only_left_turn", "only_straight_on"]))
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("rel"))
+    f, t = F.col("rel") % 40, F.col("rel") * 7 % 40
+    r = c.select("rel", F.col("rel").alias("via"), F.array(f, (f + 1) % 40, (f + 2) % 40).alias("from_ways"), F.array(t, (t + 1) % 40).alias("to_ways"), F.element_at(kinds, (1 + F.col("rel") % 7).cast("int")).alias("value"))
+    return restrictions.forbidden_turns(r, view(spark, sf, "arcs").select("arc", (F.col("arc") % 40).alias("way"), "tail", "head", "bearing"))
+
+
+_WAYS = with_views("doors") + f""", w AS (SELECT o_orderkey AS way, o_custkey AS n0, 1 + (o_custkey * 3) % (SELECT count(*) FROM customer) AS n1, CASE o_orderkey % 4 WHEN 0 THEN 'motorway' WHEN 1 THEN 'residential' WHEN 2 THEN 'footway' ELSE 'primary' END AS class, CASE o_orderkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN '-1' ELSE 'no' END AS ow FROM orders),
+ s AS (SELECT way, n0, n1, class, ow, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM w JOIN doors a ON a.door = n0 JOIN doors b ON b.door = n1 WHERE class <> 'footway'),
+ t AS (SELECT *, CAST(round_even(km / CASE class WHEN 'motorway' THEN 110.0 WHEN 'residential' THEN 30.0 ELSE 80.0 END * 3600, 0) AS INTEGER) AS base_seconds FROM s)
+ SELECT way, n0 AS tail, n1 AS head, base_seconds, class FROM t WHERE ow <> '-1' UNION ALL SELECT way, n1, n0, base_seconds, class FROM t WHERE ow <> 'yes'"""
+
+
+@_query(_WAYS)
+def way_arcs(spark, sf):
+    n = spark.read.parquet(f"{sf}/customer.parquet").count()
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    k = F.col("o_orderkey")
+    highway = F.when(k % 4 == 0, "motorway").when(k % 4 == 1, "residential").when(k % 4 == 2, "footway").otherwise("primary")
+    ow = F.when(k % 3 == 0, "yes").when(k % 3 == 1, "-1").otherwise("no")
+    w = o.select(k.alias("way"), F.array(F.col("o_custkey"), 1 + F.col("o_custkey") * 3 % n).alias("refs"), F.create_map(F.lit("highway"), highway, F.lit("oneway"), ow).alias("tags"))
+    return ways.arcs_of(w, view(spark, sf, "doors").select(F.col("door").alias("node"), "lat", "lon")).select("way", "tail", "head", "base_seconds", "class")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earliest arrivals of the requests at every stop, ranked within a request."""
     from pyspark.sql import Window
