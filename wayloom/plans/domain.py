@@ -20,9 +20,9 @@ TRIPS = """SELECT o_orderkey AS trip_id,
   CAST(o_orderdate AS DATE) AS start_day, o_custkey % 7 AS off_day, o_orderstatus AS season FROM orders"""
 CALLS = """SELECT trip_id, seq, stop_id, tm - 60 AS arr_s, tm AS dep_s FROM (
   SELECT l_orderkey AS trip_id, l_suppkey AS stop_id, seq,
-    21600 + (l_orderkey % 12) * 3600 + sum(300 + CAST(l_quantity AS BIGINT) * 60) OVER (PARTITION BY l_orderkey ORDER BY seq) AS tm
-  FROM (SELECT l_orderkey, l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey
-    ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS seq FROM lineitem) x) y"""
+    CAST(21600 + (l_orderkey % 12) * 3600 + sum(300 + CAST(l_quantity AS BIGINT) * 60) OVER (PARTITION BY l_orderkey ORDER BY seq) AS BIGINT) AS tm
+  FROM (SELECT l_orderkey, l_suppkey, l_quantity, CAST(row_number() OVER (PARTITION BY l_orderkey
+    ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS BIGINT) AS seq FROM lineitem) x) y"""
 DOORS = """SELECT c_custkey AS door, 44 + (c_custkey * 53 % 1000) / CAST(125 AS DOUBLE) AS lat, 2 + (c_custkey * 29 % 1000) / CAST(80 AS DOUBLE) AS lon FROM customer"""
 ARCS = """SELECT arc, tail, head, base_seconds, class, bearing, season FROM (
   SELECT o_orderkey AS arc, o_custkey AS tail, lead(o_custkey) OVER (ORDER BY o_orderkey) AS head,
@@ -33,7 +33,7 @@ LEGS = """SELECT l_orderkey % 50 AS request, l_orderkey AS cand, seq AS leg_no,
   CASE (l_partkey + l_suppkey) % 6 WHEN 0 THEN 'walk' WHEN 1 THEN 'car' WHEN 2 THEN 'flight' WHEN 3 THEN 'ferry' ELSE 'train' END AS mode,
   CAST(l_quantity AS DOUBLE) * 4 AS km, CAST(l_quantity AS BIGINT) * 240 AS travel_s, CAST(l_partkey % 30 AS BIGINT) * 60 AS overhead_s,
   1 + l_linenumber % 3 AS cost_level
-  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS seq FROM lineitem) x"""
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS BIGINT) AS seq FROM lineitem) x"""
 REQUESTS = """SELECT event_id AS request, user_id AS origin, (user_id * 13 + 7) % 100 AS dest, ts AS depart, event_type FROM events"""
 VIEWS = {"stops": STOPS, "trips": TRIPS, "calls": CALLS, "doors": DOORS, "arcs": ARCS, "legs": LEGS, "requests": REQUESTS}
 
