@@ -12,7 +12,7 @@ Targets: weights 5, 2, 1, repeating over sources by code point, nulls last; budg
 a target stops at most times its source's size, and what is beyond is shared among the others, until none is above.
 
 Defined results: the size of a text is its number of words (null: 0); documents of size 0 take 0; the document that a
-source's target cuts takes the words up to the target; ties of the hash go by doc_id and text; equal rows are told apart
+source's target cuts takes the words up to the target; ties of the hash go by doc_id and size; equal rows are told apart
 in any order, which gives the same rows; an empty table gives an empty table; reruns agree.
 """
 
@@ -26,8 +26,13 @@ from wayloom.llm.common import words_of
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
+HASH_BITS = 60
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id"), F.col("source"), F.coalesce(F.size(words_of(F.coalesce("text", F.lit("")))), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit("mix"), "doc_id", "text").alias("h"))
+    """doc_id, source, size and h, a hash of the id that SQL engines share: the first 60 bits of an MD5."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, HASH_BITS // 4), 16, 10).cast("long")
+    return docs.select(F.col("doc_id"), F.col("source"), F.coalesce(F.size(words_of(F.coalesce("text", F.lit("")))), F.lit(0)).cast("long").alias("size"), h.alias("h"))
 
 
 def targets(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -51,7 +56,7 @@ def queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float =
     d = written(sizes(docs))
     bits = max(4, (d.count() // bucket_rows).bit_length())
     key = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source"))
-    d = d.withColumns({"key": key, "bucket": F.shiftrightunsigned("h", 64 - bits).cast("int")})
+    d = d.withColumns({"key": key, "bucket": F.shiftright("h", HASH_BITS - bits).cast("int")})
     sums = d.groupBy("key", "bucket").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))

@@ -92,10 +92,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
+_MIXING_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+w AS (SELECT source, CAST(source_size AS DOUBLE) AS source_size, CAST(list_extract([5, 2, 1], CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS BIGINT)) AS DOUBLE) AS weight FROM s),
+c AS (SELECT *, 2 * source_size AS cap, 1.5 * sum(source_size) OVER () AS total, sum(weight) OVER () AS weight_all FROM w),
+b AS (
+  SELECT *, coalesce(sum(cap) OVER o, 0) AS cap_before, coalesce(sum(weight) OVER o, 0) AS weight_before FROM c
+  WINDOW o AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, (total - cap_before) / (weight_all - weight_before) AS level, cap <= (total - cap_before) / (weight_all - weight_before) * weight AS is_full FROM b),
+g AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE max(CASE WHEN NOT is_full THEN level END) OVER () * weight END AS target FROM f),
+q AS (
+  SELECT doc_id, d.source, size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target, CAST(round(target) AS BIGINT) AS goal,
+    CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, goal - before)) + greatest(0, least(size, goal - before - source_size)) AS BIGINT) AS taken, source FROM q
+"""
+
+
 def queries() -> dict:
     found = [op1_pieces, op2_token_counts, op3_url_filter, op4_repeat_spans, op5_secret_scan, op6_quality_rules, op7_order_minhash, op8_mixing, op9_brown_lm, op10_embedding_dedup, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": _QUALITY_SQL}
+    return {"op6_quality_rules": _QUALITY_SQL, "op8_mixing": _MIXING_SQL}
