@@ -113,10 +113,42 @@ SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, goal - be
 """
 
 
+def _url_sql(rules: list[tuple[str, str]], depth: int = 4, children: int = 16, z: float = 2.58, smoothing: float = 4.0, purity: float = 0.5) -> str:
+    cases = []
+    for verdict, text in sorted(rules, key=lambda r: -len(r[1])):
+        name, _, rest = text.partition("/")
+        cases.append((f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}')", text, verdict))
+    rule = "CASE " + " ".join(f"WHEN {c} THEN '{t}'" for c, t, _ in cases) + " END"
+    label = "CASE rule " + " ".join(f"WHEN '{t}' THEN '{v}'" for _, t, v in cases) + " END"
+    sql = f"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, {rule} AS rule FROM u),
+p0 AS (SELECT *, {label} AS label, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, '' AS template FROM r)"""
+    for d in range(depth):
+        sql += f""",
+s{d} AS (SELECT *, segs[{d + 1}] AS seg FROM p{d}),
+n{d} AS (SELECT host, template, seg, count(label) AS k, count(*) FILTER (label = 'block') AS b FROM s{d} WHERE seg IS NOT NULL GROUP BY ALL),
+t{d} AS (SELECT *, count(*) OVER w AS children, sum(k) OVER w AS ak, sum(b) OVER w AS ab FROM n{d} WINDOW w AS (PARTITION BY host, template)),
+l{d} AS (
+  SELECT host, template, seg, TRUE AS keep FROM t{d} WHERE children <= {children}
+  AND abs(b / nullif(k, 0) - (ab - b) / nullif(ak - k, 0)) > {z} * sqrt((ab / nullif(ak, 0)) * (1 - ab / nullif(ak, 0)) * (1 / nullif(k, 0) + 1 / nullif(ak - k, 0)))),
+p{d + 1} AS (
+  SELECT page_id, host, path, rule, label, segs, template || CASE WHEN seg IS NULL THEN '' WHEN keep THEN '/' || seg ELSE '/*' END AS template
+  FROM s{d} LEFT JOIN l{d} USING (host, template, seg))"""
+    return sql + f""",
+a AS (SELECT coalesce(count(*) FILTER (label = 'block') / nullif(count(label), 0), 0) AS share FROM p{depth}),
+f AS (SELECT host, template, count(*) AS k, count(*) FILTER (label = 'block') AS b FROM p{depth} WHERE label IS NOT NULL GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(label, CASE WHEN (b + {smoothing} * share) / (k + {smoothing}) >= {purity} THEN 'block' ELSE 'allow' END) AS verdict, template,
+  CAST(coalesce(k, 0) AS BIGINT) AS template_labelled, CAST(coalesce(b, 0) AS BIGINT) AS template_blocked, CAST((b + {smoothing} * share) / (k + {smoothing}) AS DOUBLE) AS template_score
+FROM p{depth} CROSS JOIN a LEFT JOIN f USING (host, template)"""
+
+
 def queries() -> dict:
     found = [op1_pieces, op2_token_counts, op3_url_filter, op4_repeat_spans, op5_secret_scan, op6_quality_rules, op7_order_minhash, op8_mixing, op9_brown_lm, op10_embedding_dedup, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": _QUALITY_SQL, "op8_mixing": _MIXING_SQL}
+    return {"op3_url_filter": _url_sql(URL_RULES), "op6_quality_rules": _QUALITY_SQL, "op8_mixing": _MIXING_SQL}
