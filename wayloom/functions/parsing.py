@@ -48,3 +48,16 @@ def route_mode(kind: Column) -> Column:
     """GTFS route types, basic and extended; unknown or unreadable ones are rail."""
     k = F.coalesce(kind.try_cast("double").try_cast("int"), F.lit(2))
     return F.when((k == 4) | (k.between(1000, 1099)) | (k == 1200), "ferry").when(k.between(1100, 1199), "flight").otherwise("train")
+
+
+def place_key(label: Column) -> Column:
+    """What stands before the first comma, trimmed and in lower case."""
+    return F.lower(F.trim(F.split_part(label, F.lit(","), F.lit(1))))
+
+
+def depart(text: Column, default: Column) -> Column:
+    """A departure in one of four forms; the default if empty, null if not readable."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    forms = ["yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss"]
+    read = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz") for f in forms])
+    return F.when(t == "", default).otherwise(read)

@@ -484,6 +484,53 @@ def way_arcs(spark, sf):
     return ways.arcs_of(w, view(spark, sf, "doors").select(F.col("door").alias("node"), "lat", "lon")).select("way", "tail", "head", "base_seconds", "class")
 
 
+@_query(with_views("calls", "stops") + f", k AS (SELECT trip_id, lag(lat) OVER w AS a, lag(lon) OVER w AS b, lat, lon FROM calls JOIN stops USING (stop_id) WINDOW w AS (PARTITION BY trip_id ORDER BY seq)) SELECT trip_id, round(coalesce(sum({hav('a', 'b', 'lat', 'lon')}), 0), 5) AS km FROM k GROUP BY trip_id")
+def path_lengths(spark, sf):
+    return timetable.path_km(view(spark, sf, "calls"), view(spark, sf, "stops")).select("trip_id", _r(F.col("km"), 5).alias("km"))
+
+
+@_query("SELECT p_partkey AS k, lower(trim(split_part(p_name || ' , ' || p_brand, ',', 1))) AS place FROM part")
+def place_keys(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    return p.select(F.col("p_partkey").alias("k"), parsing.place_key(F.concat("p_name", F.lit(" , "), "p_brand")).alias("place"))
+
+
+@_query("SELECT p_partkey AS k, CAST(p_size * 3600 + p_partkey % 60 * 60 + CASE WHEN p_partkey % 2 = 0 THEN 30 ELSE 0 END AS INTEGER) AS seconds FROM part WHERE p_partkey % 3 > 0 UNION ALL SELECT p_partkey, NULL FROM part WHERE p_partkey % 3 = 0")
+def gtfs_times(spark, sf):
+    k = F.col("p_partkey")
+    text = F.concat(F.col("p_size").cast("string"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"), F.when(k % 2 == 0, ":30").otherwise(""))
+    return spark.read.parquet(f"{sf}/part.parquet").select(k.alias("k"), parsing.gtfs_seconds(F.when(k % 3 == 0, F.concat(F.lit("x"), text)).otherwise(text)).alias("seconds"))
+
+
+@_query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN TIMESTAMP '2026-07-01 08:00:00' WHEN 3 THEN NULL ELSE date_trunc('minute', ts) END AS depart FROM events")
+def depart_parse(spark, sf):
+    k, ts = F.col("event_id") % 4, F.col("ts")
+    text = F.when(k == 0, " ").when(k == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm")).when(k == 2, F.date_format(ts, "yyyy-MM-dd HH:mm")).otherwise("tomorrow")
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", parsing.depart(text, F.lit("2026-07-01 08:00:00").cast("timestamp_ntz")).alias("depart"))
+
+
+_SIG = with_views("legs") + ", sig AS (SELECT request, cand, string_agg(mode || ':' || CAST(trunc(km) AS INTEGER), '>' ORDER BY leg_no) AS signature FROM legs GROUP BY ALL)"
+
+
+@_query(_SIG + " SELECT request, signature, min(cand) AS cand FROM sig GROUP BY request, signature")
+def distinct_signatures(spark, sf):
+    return planner.dedupe(planner.signatures(view(spark, sf, "legs"))).select("request", "signature", "cand")
+
+
+@_query(_CONN + ", dc AS (SELECT dep_stop, CAST(epoch(dep) - epoch(TIMESTAMP '1998-07-01 00:00:00') AS BIGINT) AS dep, CAST(epoch(arr) - epoch(TIMESTAMP '1998-07-01 00:00:00') AS BIGINT) AS arr, run_id FROM conns), a AS (SELECT s_suppkey * 24 + h AS ask, s_suppkey AS stop, h * 3600 + s_suppkey % 60 * 60 AS at_s FROM supplier, range(24) v(h)) SELECT ask, dep, arr, run_id FROM (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY dep, arr, run_id) AS r FROM a JOIN dc ON dep_stop = stop AND dep >= at_s AND dep <= at_s + 43200) x WHERE r = 1")
+def next_departures(spark, sf):
+    conns, stops, _ = _network(spark, sf, "1998-07-01 12:00:00")
+    hours = F.explode(F.sequence(F.lit(0), F.lit(23)))
+    asks = stops.select(F.col("stop_id").alias("stop"), hours.alias("h")).select((F.col("stop") * 24 + F.col("h")).alias("ask"), "stop", (F.col("h") * 3600 + F.col("stop") % 60 * 60).alias("at"))
+    return timetable.next_departures(asks, conns)
+
+
+@_query(_PATHS.replace("(VALUES (1), (2), (3))", "(VALUES (1), (2), (3), (4))") + " SELECT CAST(a.s AS BIGINT) AS source, CAST(b.s AS BIGINT) AS target, seconds FROM (VALUES (1), (2), (3), (4)) a(s), (VALUES (1), (2), (3), (4)) b(s) LEFT JOIN m ON m.source = a.s AND m.node = b.s WHERE seconds <= 900 OR a.s = b.s")
+def drive_matrix(spark, sf):
+    points = spark.range(1, 5).select(F.col("id").alias("node"))
+    return road.matrix(points, road.arc_weights(_arcs(spark, sf), 1)).where("seconds <= 900 or source = target")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earliest arrivals of the requests at every stop, ranked within a request."""
     from pyspark.sql import Window

@@ -86,3 +86,15 @@ def humanize(seconds):
     part = lambda x, u: F.when(x > 0, F.concat(x.cast("string"), F.lit(u)))
     text = F.concat_ws(" ", part(d, "d"), part(h, "h"), part(m, "m"))
     return F.when(text == "", "0m").otherwise(text)
+
+
+def signatures(legs: DataFrame) -> DataFrame:
+    """request, cand, signature: the modes and places of a candidate's legs in order."""
+    parts = F.array_sort(F.collect_list(F.struct("leg_no", F.concat_ws(":", "mode", F.col("km").cast("int").cast("string")).alias("s"))))
+    return legs.groupBy("request", "cand").agg(parts.alias("p")).select("request", "cand", F.array_join(F.col("p.s"), ">").alias("signature"))
+
+
+def dedupe(cands: DataFrame, order: str = "cand") -> DataFrame:
+    """Of candidates (request, signature, ...) with one signature the first in order."""
+    w = Window.partitionBy("request", "signature").orderBy(order)
+    return cands.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

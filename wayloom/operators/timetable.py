@@ -86,3 +86,20 @@ def utc(day, seconds, zone):
 def zone_of_feed(stops: DataFrame) -> DataFrame:
     """The most common zone; of equally common ones that of the smallest stop."""
     return stops.where("tz is not null").groupBy("tz").agg(F.count("*").alias("n"), F.min("stop_id").alias("first")).orderBy(F.desc("n"), "first").limit(1).select("tz", "n")
+
+
+def next_departures(asks: DataFrame, conns: DataFrame, hours: int = 12) -> DataFrame:
+    """For each ask (ask, stop, at in seconds) the first connection from the stop at or after it within hours, by arrival
+    then run: an as-of join through hour buckets, so an ask meets only the connections of its next hours."""
+    c = conns.select(F.col("dep_stop").alias("stop"), "dep", "arr", "run_id", F.floor(F.col("dep") / 3600).alias("bucket"))
+    a = asks.select("ask", "stop", "at", F.explode(F.sequence(F.floor(F.col("at") / 3600), F.floor(F.col("at") / 3600) + hours)).alias("bucket"))
+    hit = a.join(c, ["stop", "bucket"]).where((F.col("dep") >= F.col("at")) & (F.col("dep") <= F.col("at") + hours * 3600))
+    return hit.groupBy("ask").agg(F.min(F.struct("dep", "arr", "run_id")).alias("m")).select("ask", "m.dep", "m.arr", "m.run_id")
+
+
+def path_km(calls: DataFrame, stops: DataFrame) -> DataFrame:
+    """trip_id and the length of its path: great circles between its consecutive stops."""
+    w = Window.partitionBy("trip_id").orderBy("seq")
+    p = calls.join(stops.select("stop_id", "lat", "lon"), "stop_id")
+    step = haversine_km(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
+    return p.select("trip_id", step.alias("km")).groupBy("trip_id").agg(F.coalesce(F.sum("km"), F.lit(0.0)).alias("km"))
