@@ -88,3 +88,21 @@ def pieces_of(batch, column: str = "text", max_bytes: int = 2 << 20):
         b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + max_bytes, side="right")))
         yield batch.slice(a, b - a)
         a = b
+
+
+def packed(batches):
+    """mapInArrow: (doc_id, text) to (doc_id, z), the text as UTF-8 compressed before it is shuffled."""
+    import pyarrow as pa
+    import zstandard
+
+    c = zstandard.ZstdCompressor(level=3)
+    for b in (x for whole in batches for x in pieces_of(whole)):
+        texts = b.column(1).cast(pa.binary()).to_pylist()
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.compress(t) for t in texts], pa.binary())], names=["doc_id", "z"])
+
+
+def unpacked(z: list[bytes]) -> list[bytes]:
+    import zstandard
+
+    d = zstandard.ZstdDecompressor()
+    return [d.decompress(x) for x in z]
