@@ -118,7 +118,7 @@ def redact(docs: DataFrame, written=lambda df: df, mark: str = "<SECRET>") -> Da
     found = written(scan(docs))
     live = secret_verdicts(found).where("verdicts is not null").select("doc_id", F.map_keys(F.map_filter("verdicts", lambda _, v: v == "live")).alias("__live")).where(F.size("__live") > 0)
     live = live.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("__live"))).alias("__live"))
-    joined = docs.join(live.withColumnRenamed("doc_id", "__doc"), docs["doc_id"] == F.col("__doc"), "left").drop("__doc")
+    joined = docs.join(live.withColumnRenamed("doc_id", "__doc").hint("merge"), docs["doc_id"] == F.col("__doc"), "left").drop("__doc")
 
     @F.pandas_udf("string")
     def cut(text, live):
