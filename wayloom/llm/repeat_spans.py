@@ -1,8 +1,9 @@
 """Removal of repeated passages: every byte covered by a 100-byte string that also starts earlier in the corpus.
 
 1. A window of LENGTH bytes is represented by the smallest hash among its GRAM-byte strings (leftmost of equal ones), so
-   equal windows have equal representatives. Neighbouring windows with one representative form a run. Representatives
-   that occur once in the corpus can't be in a repeated window; a groupBy and a join drop them.
+   equal windows have equal representatives. Neighbouring windows with one representative form a run. Runs whose
+   representative occurs once in the corpus can't hold a repeated window and are dropped where equal hashes meet; a task
+   first compares its own runs and sends one row of a hash to that meeting, so frequent hashes stay spread.
 2. Whole runs are compared by digest: all but the first of equal runs are repeated. Texts equal to an earlier text are
    settled by their digest before.
 3. What is left are different runs with one representative: the borders of repeated passages. Up to FEW of them are
@@ -19,19 +20,22 @@ an empty table; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import materialize, pieces_of, ship
+from wayloom.llm.common import materialize, packed, shared_dir, ship, unpacked
 from wayloom.llm.order_minhash import M1, mix, powers
 
 LENGTH, GRAM, FEW = 100, 24, 8
 WIDTH = LENGTH - GRAM + 1
 #: Bytes of runs that one index holds.
 INDEX_BYTES = 2 << 20
+#: Runs that a task compares among themselves before they are shuffled.
+CHUNK_RUNS = 1_000_000
 PLACE = np.uint64(31)
 FIRST = -(2**63)
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -196,37 +200,68 @@ def _spans(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _texts(b, column: int = 1) -> list[bytes]:
-    import pyarrow as pa
+def _code(pos: np.ndarray, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """A run in one number that sorts by position: its representative's position, windows before it, windows, two free bits."""
+    return (pos << 16) | ((pos - first) << 9) | (windows << 2)
 
-    return b.column(column).cast(pa.binary()).to_pylist()
 
+def _decoded(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, first window, windows)."""
+    pos = code >> 16
+    return pos, pos - ((code >> 9) & 127), (code >> 2) & 127
 
-def _all_runs(batches: Iterator) -> Iterator:
-    """(doc_id, text) to (h, doc_id, pos) of every run."""
-    import pyarrow as pa
 
-    for b in (x for whole in batches for x in pieces_of(whole)):
-        s = Slice(_texts(b))
-        text, h, pos, _, _ = s.runs()
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pa.array(text)), pa.array((pos - s.begins[text]).astype(np.int32))], names=["h", "doc_id", "pos"])
+#: The two free bits: alone in its chunk; equal to an earlier run of its chunk; first of its representative; another run.
+ALONE, LATER, WITNESS, OTHER = range(4)
 
 
-def _packed(batches: Iterator) -> Iterator:
-    """(doc_id, text) to (doc_id, z): texts compressed before they are shuffled."""
+def _chunk_rows(h: np.ndarray, s: np.ndarray, doc: np.ndarray, code: np.ndarray):
+    """Rows of one chunk, marked: what the chunk itself shows needs no meeting with the same hash elsewhere."""
     import pyarrow as pa
-    import zstandard
 
-    c = zstandard.ZstdCompressor(level=3)
-    for b in (x for whole in batches for x in pieces_of(whole)):
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.compress(t) for t in _texts(b)], pa.binary())], names=["doc_id", "z"])
+    order = np.lexsort((code, doc, s, h))
+    h, s, doc, code = h[order], s[order], doc[order], code[order]
+    same = np.concatenate([[False], h[1:] == h[:-1]])
+    equal = same & np.concatenate([[False], s[1:] == s[:-1]])
+    more = np.concatenate([same[1:], [False]])
+    mark = np.where(equal, LATER, np.where(same, OTHER, np.where(more, WITNESS, ALONE)))
+    for a in range(0, len(h), 50_000):
+        z = slice(a, a + 50_000)
+        yield pa.RecordBatch.from_arrays([pa.array(h[z]), pa.array(s[z]), pa.array(doc[z]), pa.array(code[z] | mark[z])], names=["h", "s", "doc_id", "code"])
 
 
-def _unpacked(z: list[bytes]) -> list[bytes]:
-    import zstandard
+def _all_runs(batches: Iterator) -> Iterator:
+    """(doc_id, z) to (h, s, doc_id, code) of every run: hash of its representative, digest of the run."""
+    held: list[tuple] = []
+    for b in _small(batches):
+        t = Slice(unpacked(b.column(1).to_pylist()))
+        text, h, pos, first, windows = t.runs()
+        if len(h):
+            base = t.begins[text]
+            s = t.digest(first, first + windows + LENGTH - 1)
+            held.append((h.view(np.int64), s.view(np.int64), b.column(0).to_numpy()[text], _code(pos - base, first - base, windows)))
+        if sum(len(x[0]) for x in held) > CHUNK_RUNS:
+            yield from _chunk_rows(*map(np.concatenate, zip(*held, strict=True)))
+            held = []
+    if held:
+        yield from _chunk_rows(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def _repeated(batches: Iterator) -> Iterator:
+    """Of rows sorted by h those whose h isn't alone; only one row is held between batches."""
+    import pyarrow as pa
 
-    d = zstandard.ZstdDecompressor()
-    return [d.decompress(x) for x in z]
+    held, tied = None, False
+    for b in batches:
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        h, code = b.column(0).to_numpy(), b.column(3).to_numpy()
+        same = np.concatenate([[tied], h[1:] == h[:-1]])
+        keep = same | np.append(same[1:], False) | ((code & 3) != ALONE)
+        yield b.slice(0, b.num_rows - 1).filter(pa.array(keep[:-1]))
+        held, tied = b.slice(b.num_rows - 1), bool(same[-1])
+    if held is not None and (tied or held.column(3)[0].as_py() & 3 != ALONE):
+        yield held
 
 
 def _small(batches: Iterator, rows: int = 256) -> Iterator:
@@ -235,36 +270,17 @@ def _small(batches: Iterator, rows: int = 256) -> Iterator:
             yield b.slice(a, rows)
 
 
-def _chosen(b, at: int) -> tuple:
-    """Slice, and the runs whose representative's position is in the list column `at` of (doc_id, z, ..., at)."""
-    s = Slice(_unpacked(b.column(1).to_pylist()))
-    text, h, pos, first, windows = s.runs()
-    lists = b.column(at)
-    wanted = np.repeat(s.begins[:-1], np.asarray(lists.value_lengths())) + lists.flatten().to_numpy()
-    k = np.flatnonzero(np.isin(pos, wanted))
-    return s, text[k], h[k], pos[k], first[k], windows[k]
-
-
-def _digested(batches: Iterator) -> Iterator:
-    """(doc_id, z, at) to (h, s1, s2, doc_id, pos, first, windows) of the chosen runs; positions within the document."""
-    import pyarrow as pa
-
-    for b in _small(batches):
-        s, text, h, pos, first, windows = _chosen(b, 2)
-        end = first + windows + LENGTH - 1
-        base = s.begins[text]
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.digest(first, end).view(np.int64)), pa.array(s.digest2(first, end).view(np.int64)), b.column(0).take(pa.array(text)), *(pa.array(x.astype(np.int32)) for x in (pos - base, first - base, windows))], names=["h", "s1", "s2", "doc_id", "pos", "first", "windows"])
-
-
 def _content(batches: Iterator) -> Iterator:
-    """(doc_id, z, at) to (h, doc_id, pos, first, run) with the bytes of the chosen runs."""
+    """(doc_id, z, edges) to (h, doc_id, pos, first, run) with the bytes of the listed runs."""
     import pyarrow as pa
 
     for b in _small(batches):
-        s, text, h, pos, first, windows = _chosen(b, 2)
-        raw, base = s.raw.tobytes(), s.begins[text]
-        run = [raw[x:y] for x, y in zip(first.tolist(), (first + windows + LENGTH - 1).tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pa.array(text)), pa.array((pos - base).astype(np.int32)), pa.array((first - base).astype(np.int32)), pa.array(run, pa.binary())], names=["h", "doc_id", "pos", "first", "run"])
+        texts, lists = unpacked(b.column(1).to_pylist()), b.column(2)
+        flat = lists.flatten()
+        row = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths()))
+        pos, first, windows = _decoded(flat.field("code").to_numpy())
+        run = [texts[r][x:y] for r, x, y in zip(row.tolist(), first.tolist(), (first + windows + LENGTH - 1).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([flat.field("h"), b.column(0).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(run, pa.binary())], names=["h", "doc_id", "pos", "first", "run"])
 
 
 def _matched(batches: Iterator) -> Iterator:
@@ -310,60 +326,72 @@ def _windowed(batches: Iterator) -> Iterator:
 
 
 def _cleaned(batches: Iterator) -> Iterator:
-    """(doc_id, z, spans) to what is left of each text: (doc_id, n_bytes, n_removed, n_spans, kept)."""
+    """(doc_id, z, found, own, spans) to what is left of each text; found less own are repeated runs, spans further windows."""
     import pyarrow as pa
 
     for b in _small(batches):
         rows = []
-        for t, spans in zip(_unpacked(b.column(1).to_pylist()), b.column(2).to_pylist(), strict=True):
-            edge = np.zeros(len(t) + 1, np.int32)
-            for s in spans or []:
-                edge[min(s["a"], len(t))] += 1
-                edge[min(s["b"] - 1 + LENGTH, len(t))] -= 1
+        for t, found, own, spans in zip(unpacked(b.column(1).to_pylist()), *(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            _, first, windows = _decoded(np.setdiff1d(np.array(found or [], np.int64), np.array(own or [], np.int64)))
+            a = np.concatenate([first, np.array([x["a"] for x in spans or []], np.int64)])
+            z = np.concatenate([first + windows, np.array([x["b"] for x in spans or []], np.int64)]) - 1 + LENGTH
+            edge = np.bincount(np.minimum(a, len(t)), minlength=len(t) + 1) - np.bincount(np.minimum(z, len(t)), minlength=len(t) + 1)
             gone = np.cumsum(edge[:-1]) > 0
             rows.append((len(t), int(gone.sum()), len(_spans(gone)[0]), np.frombuffer(t, np.uint8)[~gone].tobytes()))
         n, k, m, kept = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(m, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _by_document(df: DataFrame, parts: int) -> DataFrame:
+    """df as a table bucketed by doc_id in the shared folder, so that joins on doc_id don't shuffle it again."""
+    name = f"packed_{uuid.uuid4().hex[:12]}"
+    df.write.format("parquet").bucketBy(parts, "doc_id").option("path", f"{shared_dir(df.sparkSession)}/{name}").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept for every row of docs; kept holds the remaining bytes of texts that lose some, else null."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # texts equal to an earlier one
     plain = materialize(d.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")), "texts")
     first = plain.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     plain = materialize(plain.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") != F.col("first"), F.lit(False))), "texts")
-    # 1: representatives that occur twice
-    runs = d.mapInArrow(_all_runs, "h long, doc_id long, pos int")
-    twice = materialize(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
-    at = runs.join(twice, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
-    at = materialize(at.join(plain.where("copy").select("doc_id").distinct(), "doc_id", "left_anti"), "at")
-    # the texts that hold them, compressed
-    texts = materialize(d.mapInArrow(_packed, "doc_id long, z binary").join(at, "doc_id").select("doc_id", "z", "at"), "packed")
+    texts = d.where(F.octet_length("text") >= LENGTH).mapInArrow(packed, "doc_id long, z binary").repartition(parts, "doc_id")
+    texts = _by_document(texts.join(plain.where("copy").select("doc_id").distinct(), "doc_id", "left_anti"), parts)
+    # 1: runs whose representative occurs twice. A chunk's own repeats meet there; only one row of a hash leaves it to meet others
+    runs = texts.select("doc_id", "z").mapInArrow(_all_runs, "h long, s long, doc_id long, code long")
+    mark = F.col("code").bitwiseAND(F.lit(3).cast("long"))
+    route = F.when(mark == LATER, F.xxhash64("doc_id", "code")).when(mark == OTHER, F.xxhash64("h", "s")).otherwise(F.col("h"))
+    found = materialize(runs.repartition(parts, route).sortWithinPartitions("h").mapInArrow(_repeated, "h long, s long, doc_id long, code long"), "runs")
     # 2: equal runs
-    found = materialize(texts.mapInArrow(_digested, "h long, s1 long, s2 long, doc_id long, pos int, first int, windows int"), "runs")
-    order = F.struct("doc_id", "pos")
-    kinds = materialize(found.groupBy("h", "s1", "s2").agg(F.min(order).alias("own")), "kinds")
-    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    joined = found.join(kinds, ["h", "s1", "s2"])
-    whole = joined.where(F.struct("doc_id", "pos") != F.col("own")).select("doc_id", F.col("first").alias("a"), (F.col("first") + F.col("windows")).alias("b"))
+    kinds = found.where(mark != LATER).groupBy("h", "s").agg(F.min(F.struct("doc_id", "code")).alias("own"))
+    kinds = materialize(kinds.select("h", "own.doc_id", "own.code"), "kinds")
     # 3: different runs with one representative
-    edges = materialize(kinds.join(groups, "h").select("h", "kinds", "own.doc_id", "own.pos"), "edges")
-    wanted = edges.groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
-    content = texts.select("doc_id", "z").join(wanted, "doc_id").select("doc_id", "z", "at").mapInArrow(_content, "h long, doc_id long, pos int, first int, run binary")
-    content = materialize(content, "content").join(edges.select("doc_id", "pos", "kinds").distinct(), ["doc_id", "pos"]).select("h", "doc_id", "pos", "first", "run", "kinds")
-    few = content.where(F.col("kinds") <= FEW).drop("kinds").repartition("h").sortWithinPartitions("h", "doc_id", "pos").mapInArrow(_matched, "doc_id long, a int, b int")
-    windows = content.where(F.col("kinds") > FEW).drop("kinds").mapInArrow(_windowed, "w1 long, w2 long, doc_id long, start int")
-    windows = materialize(windows, "windows")
+    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    edges = materialize(kinds.join(groups, "h"), "edges")
+
+    def content(of: DataFrame) -> DataFrame:
+        wanted = of.groupBy("doc_id").agg(F.collect_list(F.struct("h", "code")).alias("edges"))
+        return texts.join(wanted, "doc_id").select("doc_id", "z", "edges").mapInArrow(_content, "h long, doc_id long, pos int, first int, run binary")
+
+    few = content(edges.where(F.col("kinds") <= FEW)).repartition(parts, "h").sortWithinPartitions("h", "doc_id", "pos").mapInArrow(_matched, "doc_id long, a int, b int")
+    windows = materialize(content(edges.where(F.col("kinds") > FEW)).mapInArrow(_windowed, "w1 long, w2 long, doc_id long, start int"), "windows")
     own = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("own"), F.count("*").alias("n")).where("n > 1").drop("n")
     many = windows.join(own, ["w1", "w2"]).where(F.struct("doc_id", "start") != F.col("own")).select("doc_id", F.col("start").alias("a"), (F.col("start") + 1).alias("b"))
-    spans = whole.unionByName(few).unionByName(many).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    spans = materialize(spans, "spans")
-    cut = texts.select("doc_id", "z").join(spans, "doc_id").select("doc_id", "z", "spans").mapInArrow(_cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    no_code, no_span = F.lit(None).cast("long"), F.lit(None).cast("int")
+    bare = F.col("code").bitwiseAND(F.lit(~3).cast("long"))
+    every = found.select("doc_id", bare.alias("found"), no_code.alias("own"), no_span.alias("a"), no_span.alias("b"))
+    every = every.unionByName(kinds.select("doc_id", no_code.alias("found"), bare.alias("own"), no_span.alias("a"), no_span.alias("b")))
+    every = every.unionByName(few.unionByName(many).select("doc_id", no_code.alias("found"), no_code.alias("own"), "a", "b"))
+    lists = every.groupBy("doc_id").agg(F.collect_list("found").alias("found"), F.collect_list("own").alias("own"), F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "b"))).alias("spans"))
+    lists = lists.where((F.size(F.array_except("found", "own")) > 0) | (F.size("spans") > 0))
+    cut = texts.join(lists, "doc_id").select("doc_id", "z", "found", "own", "spans").mapInArrow(_cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = materialize(cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "kept"), "cut")
     # all rows
     copies = plain.where("copy").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(EMPTY_SHA).alias("kept_sha256"), F.lit(b"").cast("binary").alias("kept"))
     zero = F.lit(0).cast("long")
-    intact = plain.where("not copy").join(spans.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.lower(F.hex("sha")).alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
-    changed = cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "kept")
-    return copies.unionByName(intact).unionByName(changed).withColumn("doc_id", F.when(F.col("doc_id") != FIRST, F.col("doc_id")))
+    intact = plain.where("not copy").join(cut.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.lower(F.hex("sha")).alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
+    return copies.unionByName(intact).unionByName(cut).withColumn("doc_id", F.when(F.col("doc_id") != FIRST, F.col("doc_id")))
