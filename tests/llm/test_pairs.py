@@ -79,6 +79,32 @@ def test_near_duplicates(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+def test_near_duplicates_crowd(spark, monkeypatch):
+    """Every link of a crowd around one passage counts: all pairs that share a sketch and align, with blocks of any size."""
+    rng = random.Random(21)
+    head, tails = prose(rng, 120).split(), [prose(rng, 60).split() for _ in range(6)]
+    data = []
+    for i in range(150):
+        w = head + tails[i % 6]
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(len(w))] = f"edit{i}x{rng.randrange(99)}"
+        data.append((i, " ".join(w)))
+    data += [(500, data[140][1]), (140, data[140][1])]  # a copy and a repeated row
+    seq = [order_minhash.labelled(order_minhash.word_hashes([t.encode()])[0]) for _, t in data[:150]]
+    keys = [order_minhash.sketches(s) for s in seq]
+    links = [(a, b) for a in range(150) for b in range(a + 1, 150) if (keys[a] == keys[b]).any() and order_minhash.alignment(seq[a], seq[b]) >= 0.8]
+    want, n = components(range(150), links), [0] * 150
+    for a, b in links:
+        n[a] += 1
+        n[b] += 1
+    assert max(n) > 8 and len(set(want.values())) > 1
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for block in (256, 16):
+        monkeypatch.setattr(order_minhash, "BLOCK", block)
+        got = order_minhash.near_classes(df).collect()
+        assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, want[i], n[i]) for i in range(150)} | {(500, want[140], n[140])}
+
+
 def test_near_duplicates_small(spark):
     assert order_minhash.near_classes(empty(spark)).count() == 0
     data = [(1, None), (2, ""), (3, "one two"), (4, "one  two"), (5, "one three"), (None, "x y z")]

@@ -7,9 +7,9 @@ sketches make candidates. Since order is part of a sketch, texts with the same s
 Candidates are verified by a banded alignment of the labelled shingles: A and B of them, M matched in the same order
 within a band as wide as a similarity of 0.8 allows; the pair links if M / (A + B - M) >= 0.8.
 
-Documents with equal words form one class first. A bucket of up to SMALL classes compares all; a larger one compares each
-class with the bucket's smallest id, and those that don't link are dealt out again by that sketch and the next one. So a group
-of thousands of near copies costs one comparison for each, and its links meet in connected components.
+Documents with equal words form one class first. All pairs of classes that share a sketch are compared: those of buckets of
+up to SMALL classes as a table of pairs; larger buckets are cut into blocks, and each pair of blocks is compared in a
+group of its own, one sequence with a block at once. A pair counts once, whatever the number of buckets it shares.
 
 Defined results: a text of one to four words is one shingle; a text without words (null too) links with nothing and is
 its own class; long texts are compared whole; rows that repeat a doc_id count as one document; an empty table gives an
@@ -29,6 +29,7 @@ from wayloom.llm.common import connected_components, materialize, packed, pieces
 
 SHINGLE, SIMILARITY = 5, 0.8
 MINIMA, SKETCHES, SMALL = 4, 16, 8
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 M1, M2, BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x5851F42D4C957F2D
 SEEDS = np.random.default_rng(7).integers(1, 2**63, SKETCHES, dtype=np.int64).astype(np.uint64)
 _POWERS: list[np.ndarray] = []
@@ -124,14 +125,14 @@ def alignment(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> f
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the words; null without any), sketches."""
+    """doc_id, digest (of the words; null without any), sketches, n (shingles)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in (x for whole in batches for x in pieces_of(whole)):
             hashes, begins = word_hashes([t.encode() for t in b.column(1).to_pylist()])
-            digest, keys, sizes = [], [], []
+            digest, keys, sizes, counts = [], [], [], []
             for x, y in zip(begins.tolist(), begins.tolist()[1:], strict=False):
                 w = hashes[x:y]
                 if len(w):
@@ -141,38 +142,48 @@ def sketch_table(docs: DataFrame) -> DataFrame:
                 else:
                     digest.append(None)
                 sizes.append(SKETCHES if len(w) else 0)
+                counts.append(max(len(w) - SHINGLE + 1, min(len(w), 1)))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), lists], names=["doc_id", "digest", "sketches"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), lists, pa.array(counts, pa.int64())], names=["doc_id", "digest", "sketches", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, sketches array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest binary, sketches array<long>, n long")
 
 
 def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b, rows (key, id, hub) of large buckets) from (key, id): all pairs of small buckets, hub pairs of large ones."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
-    shared = rows.join(sizes, "key")
+    """(pairs a < b of buckets of up to SMALL, rows (id, own) of larger ones) from (k, key, id, n); own lists the id's large buckets as (k, key, blocks)."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("n").alias("shingles")).where("n > 1")
+    shared = rows.drop("n").join(sizes, "key")
     ids = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # SMALL at most
     each = ids.select(F.explode(F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, SMALL), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
-    large = shared.where((F.col("n") > SMALL) & (F.col("id") != F.col("hub"))).select("key", "id", "hub")
-    return each.unionByName(large.select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct(), large
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    large = shared.where(F.col("n") > SMALL).groupBy("id").agg(F.collect_list(F.struct("k", "key", blocks.alias("blocks"))).alias("own"))  # SKETCHES at most
+    return each.distinct(), large
 
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, z): the compressed text of each of the ids (doc_id), once."""
+    # a merge join at every size: the list of documents grows with the corpus, so its plan shouldn't turn on a size estimate
+    texts = docs.mapInArrow(packed, "doc_id long, z binary").join(ids.distinct().hint("merge"), "doc_id", "left_semi")
+    return materialize(texts.groupBy("doc_id").agg(F.first("z").alias("z")), "texts")
+
+
+def _sequences(texts: list[bytes]) -> list[np.ndarray]:
+    hashes, begins = word_hashes(texts)
+    return [labelled(hashes[x:y]) for x, y in zip(begins.tolist(), begins.tolist()[1:], strict=False)]
+
+
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose documents align."""
-    pairs = materialize(pairs, "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def shorten(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in (x.slice(a, 256) for x in batches for a in range(0, x.num_rows, 256)):
-            hashes, begins = word_hashes(unpacked(b.column(1).to_pylist()))
-            s = [labelled(hashes[x:y]).tobytes() for x, y in zip(begins.tolist(), begins.tolist()[1:], strict=False)]
+            s = [x.tobytes() for x in _sequences(unpacked(b.column(1).to_pylist()))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], names=["doc_id", "s"])
 
-    # a merge join at every size: the list of documents grows with the corpus, so its plan shouldn't turn on a size estimate
-    texts = docs.mapInArrow(packed, "doc_id long, z binary").join(needed.hint("merge"), "doc_id", "left_semi")
-    seqs = materialize(texts.mapInArrow(shorten, "doc_id long, s binary"), "shingles")
+    seqs = materialize(texts.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(shorten, "doc_id long, s binary"), "shingles")
     both = pairs.join(seqs.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(seqs.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
 
     def align(batches: Iterator) -> Iterator:
@@ -185,27 +196,118 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(align, "a long, b long")
 
 
+def aligned(s: list[np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of the matrix wanted whose sequences align: alignment() of one sequence with many at once."""
+    size = np.array([len(x) for x in s])
+    ends = np.cumsum(size)
+    _, flat = np.unique(np.concatenate(s), return_inverse=True)
+    place = np.full(flat.max() + 1, -1, np.int64)
+    own = [flat[e - n : e] for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+    out_i, out_j = [], []
+    for i in np.flatnonzero(wanted.any(1)).tolist():
+        js = np.flatnonzero(wanted[i])
+        total = size[i] + size[js]
+        need = SIMILARITY / (1 + SIMILARITY) * total
+        fits = np.minimum(size[i], size[js]) >= need - 1e-9
+        js, total, need = js[fits], total[fits], need[fits]
+        if not len(js):
+            continue
+        place[own[i]] = np.arange(size[i])
+        n = size[js]
+        first = np.cumsum(n) - n
+        at = place[np.concatenate([own[j] for j in js.tolist()])]
+        doc = np.repeat(np.arange(len(js)), n)
+        band = (total - 2 * need + 1e-9).astype(np.int64)
+        ok = (at >= 0) & (np.abs(at - (np.arange(len(at)) - first[doc])) <= band[doc])
+        place[own[i]] = -1
+        m = np.add.reduceat(ok.astype(np.int64), first)
+        link = m >= need - 1e-9
+        at, doc = at[ok], doc[ok]
+        back = np.unique(doc[1:][(at[1:] < at[:-1]) & (doc[1:] == doc[:-1])])  # matches out of order: the longest run decides
+        for x in back[link[back]].tolist():
+            link[x] = alignment(s[i], s[js[x]]) >= SIMILARITY - 1e-9
+        out_i.append(np.full(int(link.sum()), i))
+        out_j.append(js[link])
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
+
+
+def _crowded(large: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, links, low) of ids in large buckets: how many of a block pair's ids it links with, and the smallest reached.
+
+    A bucket is cut into blocks, each pair of blocks a group of its own. A pair counts in its first large bucket, and
+    only if no small bucket holds it: small buckets verify their pairs themselves."""
+    rows = large.join(classes.select("id", "sketches").hint("merge"), "id").join(texts.select(F.col("doc_id").alias("id"), "z").hint("merge"), "id")
+    rows = rows.withColumn("mask", F.aggregate("own", F.lit(0), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1), x["k"])))).withColumn("own", F.explode("own"))
+    rows = rows.select("id", "z", "sketches", "mask", "own.*").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["k", "key", "x", "y"]
+    dealt = rows.select("k", "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "mask", "sketches", "z")
+    width = max(12, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def out(group: list) -> Iterator:
+            b = pa.Table.from_batches(group).combine_chunks().to_batches()[0] if len(group) > 1 else group[0]
+            n = b.num_rows
+            if n < 2:
+                return
+            k, x, y = (b.column(c)[0].as_py() for c in (0, 2, 3))
+            block, ids, mask = (b.column(c).to_numpy() for c in (4, 5, 6))
+            keys = b.column(7).flatten().to_numpy().reshape(n, SKETCHES)
+            wanted = (block[:, None] == x) & (block[None, :] == y) if x != y else np.triu(np.ones((n, n), bool), 1)
+            for other in range(SKETCHES):  # pairs of another bucket
+                if other != k:
+                    mine = (mask >> other & 1 == 0) if other > k else np.ones(n, bool)
+                    wanted &= ~((keys[:, other][:, None] == keys[:, other][None, :]) & mine[:, None])
+            if not wanted.any():
+                return
+            i, j = aligned(_sequences(unpacked(b.column(8).to_pylist())), wanted)
+            low = ids.copy()
+            while len(i):
+                was = low.copy()
+                np.minimum.at(low, i, low[j])
+                np.minimum.at(low, j, low[i])
+                if (was == low).all():
+                    break
+            links = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+            at = np.flatnonzero(links)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at].astype(np.int64)), pa.array(low[at])], names=["id", "links", "low"])
+
+        held: list = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(4)])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                part = b.slice(a, z - a)
+                if held and [held[0].column(c)[0].as_py() for c in range(4)] != [part.column(c)[0].as_py() for c in range(4)]:
+                    yield from out(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield from out(held)
+
+    return dealt.repartition(width, *key).sortWithinPartitions(*key).mapInArrow(compare, "id long, links long, low long")
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its group), kept, n_links (verified links of its class to others) for each row of docs."""
     t = text_of(docs)
     sketched = materialize(sketch_table(t), "sketches")
-    classes = sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sketches", "doc_id").alias("sketches"))
+    classes = sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sketches", "doc_id").alias("sketches"), F.first("n").alias("n"))
     classes = materialize(classes, "classes")
-    sketch = classes.select("id", F.posexplode("sketches").alias("k", "h"))
-    pairs, large = _candidates(sketch.select(F.xxhash64("k", "h").alias("key"), "id"))
-    large = materialize(large, "large")
-    links = materialize(_verify(pairs, t), "links")
-    # classes of large buckets without a link to the hub: by two neighbouring sketches
-    left = large.join(links.select(F.col("a").alias("hub"), F.col("b").alias("id")), ["hub", "id"], "left_anti").select("key", "id").distinct()
-    lists = classes.select("id", "sketches")
-    own = F.array_position(F.transform("sketches", lambda h, k: F.xxhash64(k, h)), F.col("key")).cast("int")  # counted from 1
-    again = left.join(lists, "id").select(F.xxhash64("key", F.element_at("sketches", own % SKETCHES + 1)).alias("key"), "id")
-    more, _ = _candidates(again)
-    more = materialize(more.join(links, ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        links = materialize(links.unionByName(_verify(more, t)).distinct(), "links")
-    roots = connected_components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    sketch = classes.select("id", "n", F.posexplode("sketches").alias("k", "h"))
+    pairs, large = _candidates(sketch.select("k", F.xxhash64("k", "h").alias("key"), "id", "n"))
+    pairs, large = materialize(pairs, "pairs"), materialize(large, "large")
+    texts = _texts(t, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(large.select(F.col("id").alias("doc_id"))))
+    links = materialize(_verify(pairs, texts), "links")
+    crowded = materialize(_crowded(large, classes, texts), "crowded")
+    roots = connected_components(links.unionByName(crowded.select(F.col("id").alias("a"), F.col("low").alias("b"))))
+    degree = links.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("links")).unionByName(crowded.select("id", "links")).groupBy("id").agg(F.sum("links").alias("n_links"))
     of = classes.select("digest", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
     of = of.select("digest", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = sketched.select("doc_id", "digest").join(of, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
