@@ -16,11 +16,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies stays, once."""
-    judged = materialize(order_minhash.near_classes(docs), "judged")
-    out = drop_ids(docs, judged.where(~F.col("kept")).select("doc_id"))
-    repeated = judged.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """Of each group of near copies the row with the smallest doc_id stays (nulls last), once; rows are told apart by a key of their own."""
+    docs = with_rows(docs)
+    judged = order_minhash.near_classes(docs.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "class_id")
+    judged = materialize(judged.join(docs.select("__row", "doc_id").hint("merge"), "__row"), "judged")
+    first = judged.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("m"))
+    lost = judged.join(first.hint("merge"), "class_id").where(F.col("__row") != F.col("m.__row")).select("__row")
+    return docs.join(lost.hint("merge"), "__row", "left_anti").select(*[c for c in docs.columns if c != "__row"])
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +32,11 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each whole pass that the mix takes of a document; the one that a target cuts stays if half of it is taken."""
-    mixed = mixing.mix(docs, written=lambda df: materialize(df, "sizes")).where("size > 0")
-    copies = mixed.select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__copies")).where("__copies > 0")
-    taken = docs.join(copies.withColumnRenamed("doc_id", "__doc").hint("merge"), docs["doc_id"] == F.col("__doc"))
-    return taken.withColumn("__pass", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[docs[c] for c in docs.columns])
+    names, docs = docs.columns, with_rows(docs)
+    mixed = mixing.mix(docs, key="__row", written=lambda df: materialize(df, "sizes")).where("size > 0")
+    copies = mixed.select("__row", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__copies")).where("__copies > 0")
+    taken = docs.join(copies.hint("merge"), "__row")
+    return taken.withColumn("__pass", F.explode(F.sequence(F.lit(1), "__copies"))).select(*names)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +44,10 @@ def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return piece_codec.encode_pieces(docs, tokenizer_file("piece_bpe_32k.model")).select("doc_id", "source", "ids", "n_pieces")
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the ids. Lists of ids grow with the corpus: joins with them merge at every size, so that plans and costs don't turn on an estimate."""
-    return docs.join(ids.distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs with a key of its own for each row, written once: doc_id may be null or repeated. Lists of keys grow with the
+    corpus: joins with them merge at every size, so that plans and costs don't turn on an estimate."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
 
 
 STAGES = [

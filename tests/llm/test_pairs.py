@@ -207,3 +207,26 @@ def test_pipeline(spark, tmp_path):
     assert all(len(r.ids) == r.n_pieces for r in out)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty(spark), str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_ids(spark, tmp_path):
+    """Null and repeated ids: different texts stay, near copies go once, and a row is served as often as the mix says."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    texts = [prose(rng, 80) for _ in range(12)]
+    data = [(None, t, "en", "a", len(t)) for t in texts[:4]] + [(7, t, "en", "b", len(t)) for t in texts[4:8]] + [(8 + i, t, "en", "c", len(t)) for i, t in enumerate(texts[8:])]
+    data += [(7, texts[0] + " end", "en", "b", 1), (None, texts[9], "en", "a", 1)]  # near copies; rows with smaller ids stay
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    near = corpus_pipeline.near_dedup_stage(spark, df, str(tmp_path))
+    want = data[1:4] + data[4:12] + [data[12]]
+    assert near.columns == df.columns and sorted(map(repr, map(tuple, near.collect()))) == sorted(map(repr, want))
+    given = [r for r in data if r[3] == "a"] * 40 + [r for r in data if r[3] != "a"]
+    got = corpus_pipeline.mixing_stage(spark, spark.createDataFrame(given, df.schema), str(tmp_path)).collect()
+    size, served = {}, {}
+    for r in given:
+        size[r[3]] = size.get(r[3], 0) + len(r[1].split())
+    for r in got:
+        served[r.source] = served.get(r.source, 0) + len(r.text.split())
+    for s, target in brute_targets(size).items():
+        assert abs(served[s] - target) <= 81, s

@@ -29,10 +29,14 @@ WEIGHTS = (5.0, 2.0, 1.0)
 HASH_BITS = 60
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and h, a hash of the id that SQL engines share: the first 60 bits of an MD5."""
-    h = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, HASH_BITS // 4), 16, 10).cast("long")
-    return docs.select(F.col("doc_id"), F.col("source"), F.coalesce(F.size(words_of(F.coalesce("text", F.lit("")))), F.lit(0)).cast("long").alias("size"), h.alias("h"))
+def sizes(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, source, size and h, a hash of the id that SQL engines share: the first 60 bits of an MD5.
+
+    With a key, a column that tells all rows apart, it is carried along and h is of id and text, as ids may be null or repeated."""
+    named = F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    named = named if key is None else F.concat(named, F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))
+    h = F.conv(F.substring(F.md5(named), 1, HASH_BITS // 4), 16, 10).cast("long")
+    return docs.select(F.col("doc_id"), F.col("source"), F.coalesce(F.size(words_of(F.coalesce("text", F.lit("")))), F.lit(0)).cast("long").alias("size"), h.alias("h"), *([key] if key else []))
 
 
 def targets(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -51,21 +55,22 @@ def targets(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget:
     return s.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("level") * F.col("weight")).cast("double").alias("target"))
 
 
-def queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0, bucket_rows: int = 20_000, written=lambda df: df) -> DataFrame:
-    """doc_id, source, size, source_size, target, before (words of its source served before it), h. written may cut lineage."""
-    d = written(sizes(docs))
+def queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0, bucket_rows: int = 20_000, written=lambda df: df, key: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, before (words of its source served before it), h, and the key if one is named. written may cut lineage."""
+    row = [key] if key else []
+    d = written(sizes(docs, key))
     bits = max(4, (d.count() // bucket_rows).bit_length())
-    key = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source"))
-    d = d.withColumns({"key": key, "bucket": F.shiftright("h", HASH_BITS - bits).cast("int")})
+    name = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source"))
+    d = d.withColumns({"key": name, "bucket": F.shiftright("h", HASH_BITS - bits).cast("int")})
     sums = d.groupBy("key", "bucket").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
     by_source = sums.groupBy("key").agg(F.sum("words").alias("source_size"), F.first("source").alias("source"))
-    goals = targets(by_source, weights, budget, most).withColumn("key", key).drop("source")
-    w = Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    goals = targets(by_source, weights, budget, most).withColumn("key", name).drop("source")
+    w = Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)
     local = d.withColumn("local", F.coalesce(F.sum("size").over(w), F.lit(0)))
     joined = local.join(offsets.join(goals, "key"), ["key", "bucket"])
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("offset") + F.col("local")).alias("before"), "h")
+    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("offset") + F.col("local")).alias("before"), "h", *row)
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
@@ -73,7 +78,7 @@ def mix(docs: DataFrame, **kw) -> DataFrame:
     q = queue(docs, **kw)
     goal = F.round("target").cast("long")
     part = lambda served: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), goal - served))
-    return q.select("doc_id", "size", "source_size", "target", (part(F.col("before")) + part(F.col("before") + F.col("source_size"))).cast("long").alias("taken"), "source", "before")
+    return q.select("doc_id", "size", "source_size", "target", (part(F.col("before")) + part(F.col("before") + F.col("source_size"))).cast("long").alias("taken"), "source", "before", *([kw["key"]] if kw.get("key") else []))
 
 
 def mixed_order(docs: DataFrame, **kw) -> DataFrame:
