@@ -157,3 +157,10 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("id long, origin long").parquet(str(tmp_path / "in"))
     requests.answer(stream, lambda b: b.groupBy("origin").count(), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("count")).first()[0] == 5
+
+
+def test_long_chain_of_walks(spark):
+    hops = 14
+    walks = spark.createDataFrame([(f"S{i}", f"S{i + 1}", 60) for i in range(hops)], "from_stop string, to_stop string, dur_s long")
+    got = {(r.from_stop, r.to_stop): r.dur_s for r in transit.close_footpaths(walks).collect()}
+    assert got == {(f"S{i}", f"S{j}"): 60 * (j - i) for i in range(hops) for j in range(i + 1, hops + 1)}

@@ -21,8 +21,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def minimise(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], value: str, rounds: int, name: str) -> DataFrame:
-    """Least value by keys reachable from start: step maps the rows improved last to new offers; ends when none improves.
+def minimise(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], value: str, name: str, limit: int = 100_000) -> DataFrame:
+    """Least value by keys reachable from start: step maps the rows improved last to new offers; ends when none improves and raises beyond limit rounds.
 
     Only improved rows enter a round, so the work of a round follows what changed.
     """
@@ -30,11 +30,11 @@ def minimise(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: lis
 
     best = written(start.groupBy(*keys).agg(F.min(value).alias(value)), name)
     fresh = best
-    for _ in range(rounds):
+    for _ in range(limit):
         offers = step(fresh).groupBy(*keys).agg(F.min(value).alias(value))
         old = best.select(*keys, F.col(value).alias("__old"))
         fresh = written(offers.join(old, keys, "left").where(F.col("__old").isNull() | (F.col(value) < F.col("__old"))).drop("__old"), name)
         if fresh.isEmpty():
-            break
+            return best
         best = written(best.unionByName(fresh).groupBy(*keys).agg(F.min(value).alias(value)), name)
-    return best
+    raise RuntimeError(f"{name} didn't converge")
