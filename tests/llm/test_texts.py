@@ -11,7 +11,7 @@ import pytest
 
 from wayloom.llm import brown_lm, piece_codec, quality, queries, repeat_spans, secret_scan, token_counts
 
-from .data import docs, empty, rows
+from .data import docs, empty, prose, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -140,9 +140,9 @@ def brute_repeats(data):
     return out
 
 
-@pytest.mark.parametrize("few", [8, 1])
-def test_repeats(spark, few, monkeypatch):
-    monkeypatch.setattr(repeat_spans, "FEW", few)  # 1: all borders go by window digests
+@pytest.mark.parametrize("most", [2 << 20, 400, 0])
+def test_repeats(spark, most, monkeypatch):
+    monkeypatch.setattr(repeat_spans, "INDEX_BYTES", most)  # 0: all groups are too large for an index
     want = brute_repeats(rows())
     got = repeat_spans.remove_repeats(docs(spark, extra=True)).collect()
     assert len(got) == len(rows()) and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got)
@@ -156,18 +156,71 @@ def test_repeats_small(spark):
     assert got == {None: (178, 1), 1: (120, 1), 2: (0, 0), 3: (0, 0), 4: (249, 1)}
 
 
-def test_run_index_by_brute_force():
+def test_repeats_ids(spark):
+    """Different texts under one doc_id, or under none, stay apart; equal rows share a result."""
+    a, b, c = "".join(map(chr, range(33, 113))) * 2, "q" * 150, "0123456789" * 30
+    data = [(None, a), (None, b), (5, c), (5, a), (5, c), (7, "z" + b)]
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in repeat_spans.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(2)).collect())
+    assert got == [(False, 0, 150, 149), (False, 0, 160, 0), (True, 5, 160, 160), (True, 5, 300, 290), (True, 5, 300, 290), (True, 7, 151, 150)]
+
+
+def test_repeats_crowd(spark):
+    """Many versions of a passage, longer and shorter, in more than eight documents."""
+    rng = random.Random(8)
+    base = prose(rng, 60)
+    data = [(i, prose(rng, rng.randint(0, 12)) + base[rng.randint(0, 90) : rng.randint(120, 300)] + prose(rng, rng.randint(0, 12))) for i in range(120)]
+    data += [(200 + i, base[: 100 + i] + "!" + base[100 + i :]) for i in range(30)]
+    want = brute_repeats(data)
+    got = repeat_spans.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def test_repeats_long(spark):
+    """A text of several slices, with passages that repeat across their borders."""
+    rng = random.Random(4)
+    block = bytes(rng.choice(b"abcdefghij") for _ in range(1 << 20)).decode()
+    parts = [block[i:] + block[:i] for i in (0, 1 << 19)]
+    long = parts[0] + "".join(map(str, range(800_000))) + parts[1] + block[1000:1300]
+    data = [(1, block[5000:5400] + "x" + long[(4 << 20) - 150 : (4 << 20) + 150]), (2, long), (3, long[(4 << 20) - 300 : (4 << 20) + 300] + "y")]
+    want = brute_repeats(data)
+    got = repeat_spans.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def brute_matches(query, strings):
+    out = []
+    for i in range(len(query)):
+        n = 0
+        while n < 100 and i + n < len(query) and any(query[i : i + n + 1] in s for s in strings):
+            n += 1
+        out.append(n)
+    return out
+
+
+@pytest.mark.parametrize("letters", [b"a", b"ab", b"abcdefgh"])
+def test_run_index_by_brute_force(letters):
     import numpy as np
 
     rng = random.Random(3)
-    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(100, 200))) for _ in range(5)]
-    found = repeat_spans.RunIndex([np.frombuffer(s, np.uint8) for s in strings[:3]]).matches([np.frombuffer(s, np.uint8) for s in strings[3:]])
-    for q, m in zip(strings[3:], found, strict=True):
-        for i in range(len(q)):
-            n = 0
-            while n < 100 and i + n < len(q) and any(q[i : i + n + 1] in s for s in strings[:3]):
-                n += 1
-            assert m[i] == n
+    strings = [bytes(rng.choice(letters) for _ in range(rng.randint(100, 200))) for _ in range(8)]
+    strings[5], strings[6], strings[7] = strings[0][20:] + strings[1][:40], strings[3][:150] + b"~", strings[4][3:] + strings[3][:30]
+    slots = [0, 0, 1, 1, 1, 0, 1, 1]
+    a = [np.frombuffer(s, np.uint8) for s in strings]
+    found = repeat_spans.RunIndex(a[:5], slots[:5]).matches(a[5:], slots[5:])
+    for q, slot, m in zip(strings[5:], slots[5:], found, strict=True):
+        assert m.tolist() == brute_matches(q, [s for s, k in zip(strings[:5], slots[:5], strict=True) if k == slot])
+
+
+def test_repeated_windows_by_brute_force():
+    import numpy as np
+
+    rng = random.Random(5)
+    bases = [bytes(rng.choice(x) for _ in range(400)) for x in (b"abc", b"def", b"gh", b"ij", b"klmn")]  # groups hold no equal windows
+    groups = [[b[(a := rng.randint(0, 200)) : a + rng.randint(100, 176)] for _ in range(n)] for b, n in zip(bases, (1, 2, 3, 7, 20), strict=True)]
+    marks = repeat_spans.repeated_windows([[np.frombuffer(s, np.uint8) for s in g] for g in groups])
+    for g, m in zip(groups, marks, strict=True):
+        for j, s in enumerate(g):
+            assert m[j].tolist() == [any(s[i : i + 100] in t for t in g[:j]) for i in range(len(s) - 99)]
 
 
 def test_language_model(spark):

@@ -35,7 +35,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeat_spans.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+    return repeat_spans.remove_repeats(read(spark, sf_dir, "documents"), with_text=False)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
