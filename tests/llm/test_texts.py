@@ -105,6 +105,49 @@ def test_ownership_and_redaction(spark):
     assert len(out) == 7 and out[9].text == "é <SECRET> x" and out[9].n_chars == 12 and out[0].text == data[0][1] and out[10].text is None
 
 
+def brute_verdicts(data):
+    """(live, example, weak) of each row (doc_id, text, source) by a plain scan over all values."""
+    import math
+
+    held, values = {}, []
+    for _, text, source in data:
+        own = set()
+        for k, a, z in brute_spans(text or ""):
+            v = text[a:z] if k != "assign" else re.search(r"[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$", text[a:z])[1]
+            own.add((k, v))
+            held.setdefault(v, set()).add(source or "")
+        values.append([v for _, v in own])
+
+    def verdict(v):
+        repos = held[v]
+        if len({r.split("/")[0] for r in repos}) > 2 or len(repos) > 8:
+            return 1
+        n = Counter(v)
+        return 0 if -sum(k / len(v) * math.log2(k / len(v)) for k in n.values()) >= 2.5 else 2
+
+    return verdict, held
+
+
+def test_secret_verdicts_by_brute_force(spark):
+    """Owners and repositories decide; null and repeated ids keep their rows apart."""
+    rng = random.Random(12)
+    keys = ["AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)) for _ in range(12)] + ["AKIA" + "A" * 16]
+    data = [(rng.choice([None, 1, 2, i]), f"{prose(rng, 5)} {keys[i % 13]} and {keys[i * i % 13] if i % 5 == 0 else ''}", f"own/{i % 13}" if i % 13 in (0, 2, 5, 6, 12) else rng.choice(["a/x", "a/y", "b", "c/z", "d", None])) for i in range(80)]
+    data += [(300 + i, f"{'f00d' * 6} in many places", f"owner/{i}") for i in range(9)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    verdict, held = brute_verdicts(data)
+    want = []
+    for d, t, s in data:
+        n = [verdict(t[a:z]) for _, a, z in brute_spans(t)]
+        want.append((d or -1, n.count(0), n.count(1), n.count(2)))
+    got = sorted((r.doc_id if r.doc_id else -1, r.n_live, r.n_example, r.n_weak) for r in secret_scan.secrets(df).collect())
+    assert got == sorted(want) and len({w[1:] for w in want}) > 2
+    live = {v for v in held if verdict(v) == 0}
+    out = [r.text for r in secret_scan.redact(df).collect()]
+    assert len(out) == len(data) and live and not any(v in t for v in live for t in out)
+    assert Counter(out) == Counter(re.sub("|".join(sorted(live)), "<SECRET>", t) for _, t, _ in data)
+
+
 def brute_quality(text):
     text = text or ""
     w = WORD.findall(text)

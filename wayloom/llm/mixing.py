@@ -1,8 +1,11 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame functions alone.
 
 Each source's documents are shuffled by a hash; a document's virtual finish time is its source's cumulative words, up to
-and including it, over the source's target. Sorting all sources by it (a range sort) and truncating at the total budget
-serves each source in proportion to its target; a source whose target is larger than itself starts over.
+and including it, over the source's target; a source whose target is larger than itself starts over, and a document that
+a target cuts is served in part and finishes at time 1. All sources are then range-sorted by virtual finish time and
+truncated where the total budget is spent, which serves each in proportion to its target: the ranges are equal stretches
+of virtual time, whose words are summed; the range in which the budget ends is the only one that must be sorted to find
+the last document served, and every row then tells by its own finish time what is taken of it.
 
 Cumulative sums split every source, hot ones too, into buckets by the leading bits of the shuffle hash: a window within
 (source, bucket), and offsets from the buckets' sums. The number of buckets grows with the table, so a bucket stays
@@ -12,8 +15,9 @@ Targets: weights 5, 2, 1, repeating over sources by code point, nulls last; budg
 a target stops at most times its source's size, and what is beyond is shared among the others, until none is above.
 
 Defined results: the size of a text is its number of words (null: 0); documents of size 0 take 0; the document that a
-source's target cuts takes the words up to the target; ties of the hash go by doc_id and size; equal rows are told apart
-in any order, which gives the same rows; an empty table gives an empty table; reruns agree.
+source's target cuts takes the words up to the target; ties of the hash go by doc_id and size, ties of finish times by
+source; equal rows are told apart in any order, which gives the same rows; null or repeated ids stay rows of their own
+(mix names them by a key if there is one, and hashes the text too); an empty table gives an empty table; reruns agree.
 """
 
 from __future__ import annotations
@@ -56,7 +60,7 @@ def targets(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget:
 
 
 def queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0, bucket_rows: int = 20_000, written=lambda df: df, key: str | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, before (words of its source served before it), h, and the key if one is named. written may cut lineage."""
+    """doc_id, source, name, size, source_size, target, before (words of its source served before it), and the key if one is named. written may cut lineage."""
     row = [key] if key else []
     d = written(sizes(docs, key))
     bits = max(4, (d.count() // bucket_rows).bit_length())
@@ -70,21 +74,45 @@ def queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float =
     w = Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)
     local = d.withColumn("local", F.coalesce(F.sum("size").over(w), F.lit(0)))
     joined = local.join(offsets.join(goals, "key"), ["key", "bucket"])
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("offset") + F.col("local")).alias("before"), "h", *row)
+    return joined.select("doc_id", "source", F.col("key").alias("name"), "size", "source_size", "target", (F.col("offset") + F.col("local")).alias("before"), *row)
 
 
-def mix(docs: DataFrame, **kw) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs; passes is the number of rounds that the source's target takes."""
-    q = queue(docs, **kw)
+def _served(q: DataFrame, budget: float, bucket_rows: int) -> DataFrame:
+    """q with packets: an array of (pass, words, finish) of each time a document is served, truncated at the total budget."""
     goal = F.round("target").cast("long")
-    part = lambda served: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), goal - served))
-    return q.select("doc_id", "size", "source_size", "target", (part(F.col("before")) + part(F.col("before") + F.col("source_size"))).cast("long").alias("taken"), "source", "before", *([kw["key"]] if kw.get("key") else []))
+    packets = []
+    for n in (0, 1):
+        before = F.col("before") + n * F.col("source_size")
+        words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), goal - before))
+        finish = F.least(F.try_divide(before + F.col("size"), "target"), F.lit(1.0))
+        packets.append(F.struct(F.lit(n).alias("pass"), words.alias("words"), finish.alias("finish"), before.alias("before")))
+    q = q.withColumn("packets", F.filter(F.array(*packets), lambda x: x["words"] > 0))
+    every = q.select("name", F.explode("packets").alias("x")).select("name", "x.*")
+    # ranges of virtual time, each about bucket_rows documents: their sums show where the budget ends
+    size = q.agg(F.greatest(F.lit(16), F.ceil(F.count("*") / bucket_rows)).alias("ranges"), F.round(budget * F.sum("size")).cast("long").alias("most"))
+    ranged = every.crossJoin(F.broadcast(size)).withColumn("range", F.least(F.floor(F.col("finish") * F.col("ranges")), F.col("ranges") - 1))
+    sums = ranged.groupBy("range", "most").agg(F.sum("words").alias("words"))
+    so_far = Window.partitionBy("most").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    last = sums.withColumn("spent", F.coalesce(F.sum("words").over(so_far), F.lit(0))).where("spent <= most and spent + words > most").select("range", "spent")  # one range at most
+    order = Window.partitionBy("range").orderBy("finish", "name", "before").rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.join(F.broadcast(last), "range").withColumn("spent", F.col("spent") + F.coalesce(F.sum("words").over(order), F.lit(0)))
+    cut = within.where("spent <= most and spent + words > most").agg(F.max(F.struct("finish", "name", "before")).alias("cut"), F.max(F.col("most") - F.col("spent")).alias("left"))  # one row
+    q = q.crossJoin(F.broadcast(cut))
+    place = lambda x: F.struct(x["finish"].alias("finish"), F.col("name"), x["before"].alias("before"))
+    words = lambda x: F.when(F.col("cut").isNull() | (place(x) < F.col("cut")), x["words"]).when(place(x) == F.col("cut"), F.col("left")).otherwise(F.lit(0).cast("long"))
+    kept = F.transform("packets", lambda x: F.struct(x["pass"].alias("pass"), words(x).alias("words"), x["finish"].alias("finish")))
+    return q.withColumn("packets", F.filter(kept, lambda x: x["words"] > 0)).drop("cut", "left")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0, bucket_rows: int = 20_000, written=lambda df: df, key: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, packets (pass, words, finish of each time it is served) for each row of docs, and the key if one is named."""
+    q = written(queue(docs, weights, budget, most, bucket_rows, written, key))
+    taken = F.aggregate("packets", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    return _served(q, budget, bucket_rows).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "packets", *([key] if key else []))
 
 
 def mixed_order(docs: DataFrame, **kw) -> DataFrame:
     """A row for each served copy: doc_id, source, pass (0, 1), words (those taken), virtual_finish; globally range-sorted."""
-    m = mix(docs, **kw)
-    copies = m.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("pass"))
-    served = F.col("before") + F.col("pass") * F.col("source_size")
-    words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.round("target").cast("long") - served))
-    return copies.select("doc_id", "source", "pass", words.alias("words"), F.try_divide(served + F.col("size"), F.col("target")).alias("virtual_finish")).where("words > 0").orderBy("virtual_finish", "source", "doc_id", "pass")
+    key = [kw["key"]] if kw.get("key") else []
+    copies = mix(docs, **kw).select("doc_id", "source", *key, F.explode("packets").alias("x"))
+    return copies.select("doc_id", "source", *key, "x.pass", "x.words", F.col("x.finish").alias("virtual_finish")).orderBy("virtual_finish", "source", "doc_id", "pass")

@@ -39,7 +39,7 @@ def op4_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secrets(read(spark, sf_dir, "documents"), written=lambda df: materialize(df, "found"))
+    return secret_scan.secrets(read(spark, sf_dir, "documents"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"), written=lambda df: materialize(df, "sizes")).drop("before")
+    return mixing.mix(read(spark, sf_dir, "documents"), written=lambda df: materialize(df, "sizes")).drop("packets")
 
 
 def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,41 +108,57 @@ g AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE max(CASE WHEN
 q AS (
   SELECT doc_id, d.source, size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target, CAST(round(target) AS BIGINT) AS goal,
     CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
-  FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source)
-SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, goal - before)) + greatest(0, least(size, goal - before - source_size)) AS BIGINT) AS taken, source FROM q
+  FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source),
+r AS (SELECT *, row_number() OVER () AS i, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS name FROM q),
+k AS (
+  SELECT i, name, greatest(0, least(size, goal - b)) AS words, least((b + size) / nullif(target, 0), 1.0) AS finish, b
+  FROM (SELECT *, before + n * source_size AS b FROM r, (VALUES (0), (1)) v(n)) z),
+o AS (SELECT i, words, coalesce(sum(words) OVER (ORDER BY finish, name, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM k WHERE words > 0),
+m AS (SELECT CAST(round(1.5 * sum(size)) AS BIGINT) AS most FROM r),
+e AS (SELECT i, sum(greatest(0, least(words, most - spent))) AS taken FROM o, m GROUP BY i)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, source FROM r LEFT JOIN e USING (i)
 """
 
 
-def _url_sql(rules: list[tuple[str, str]], depth: int = 4, children: int = 16, z: float = 2.58, smoothing: float = 4.0, purity: float = 0.5) -> str:
+def _url_sql(rules: list[tuple[str, str]], depth: int = 4, least: int = 5, z: float = 2.58, smoothing: float = 4.0, purity: float = 0.5) -> str:
     cases = []
     for verdict, text in sorted(rules, key=lambda r: -len(r[1])):
         name, _, rest = text.partition("/")
         cases.append((f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}')", text, verdict))
     rule = "CASE " + " ".join(f"WHEN {c} THEN '{t}'" for c, t, _ in cases) + " END"
     label = "CASE rule " + " ".join(f"WHEN '{t}' THEN '{v}'" for _, t, v in cases) + " END"
+    m = f"CAST({smoothing} AS DOUBLE)"
     sql = f"""
 WITH u AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r AS (SELECT *, {rule} AS rule FROM u),
-p0 AS (SELECT *, {label} AS label, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, '' AS template FROM r)"""
+q AS (SELECT *, {label} AS label, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM r),
+h0 AS (SELECT host, count(label) AS k, count(*) FILTER (label = 'block') AS b, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS domain FROM q GROUP BY host),
+c0 AS (SELECT coalesce(sum(b) / nullif(sum(k), 0), 0) AS share FROM h0),
+g0 AS (SELECT domain, CASE WHEN sum(k) > 0 THEN (sum(b) + {m} * any_value(share)) / (sum(k) + {m}) ELSE 0 END AS above FROM h0, c0 GROUP BY domain),
+p0 AS (SELECT q.*, '' AS template, k AS labelled, b AS blocked, (b + {m} * above) / (k + {m}) AS score FROM q JOIN h0 USING (host) JOIN g0 USING (domain))"""
     for d in range(depth):
+        seg = f"segs[{d + 1}]" if d < depth - 1 else f"nullif(array_to_string(segs[{depth}:], '/'), '')"
         sql += f""",
-s{d} AS (SELECT *, segs[{d + 1}] AS seg FROM p{d}),
+s{d} AS (SELECT *, {seg} AS seg FROM p{d}),
 n{d} AS (SELECT host, template, seg, count(label) AS k, count(*) FILTER (label = 'block') AS b FROM s{d} WHERE seg IS NOT NULL GROUP BY ALL),
-t{d} AS (SELECT *, count(*) OVER w AS children, sum(k) OVER w AS ak, sum(b) OVER w AS ab FROM n{d} WINDOW w AS (PARTITION BY host, template)),
-l{d} AS (
-  SELECT host, template, seg, TRUE AS keep FROM t{d} WHERE children <= {children}
-  AND abs(b / nullif(k, 0) - (ab - b) / nullif(ak - k, 0)) > {z} * sqrt((ab / nullif(ak, 0)) * (1 - ab / nullif(ak, 0)) * (1 / nullif(k, 0) + 1 / nullif(ak - k, 0)))),
+t{d} AS (SELECT *, CAST(floor(32 * b / k) AS INTEGER) AS bin FROM n{d} WHERE k >= {least}),
+b{d} AS (SELECT host, template, bin, sum(k) AS k, sum(b) AS b, count(*) AS many FROM t{d} GROUP BY ALL),
+l{d} AS (SELECT *, lag(k) OVER w AS k0, lag(b) OVER w AS b0 FROM b{d} WINDOW w AS (PARTITION BY host, template ORDER BY bin)),
+a{d} AS (SELECT *, CASE WHEN b / k - b0 / k0 > {z} * sqrt((b + b0) / (k + k0) * (1 - (b + b0) / (k + k0)) * (1 / k + 1 / k0)) THEN 1 ELSE 0 END AS apart FROM l{d}),
+c{d + 1} AS (SELECT *, CAST(sum(apart) OVER (PARTITION BY host, template ORDER BY bin) AS BIGINT) AS cluster FROM a{d}),
+e{d} AS (SELECT *, max(cluster) OVER (PARTITION BY host, template) AS clusters, sum(many) OVER (PARTITION BY host, template, cluster) AS together FROM c{d + 1}),
+k{d} AS (SELECT t.host, t.template, t.seg, CASE WHEN together = 1 THEN seg ELSE '*' || cluster END AS step FROM t{d} t JOIN e{d} e ON e.host = t.host AND e.template = t.template AND e.bin = t.bin WHERE clusters > 0),
+f{d} AS (SELECT host, template, seg, k, b, coalesce(step, '*') AS step FROM n{d} LEFT JOIN k{d} USING (host, template, seg)),
+o{d} AS (SELECT host, template, step, CAST(sum(k) AS BIGINT) AS sk, CAST(sum(b) AS BIGINT) AS sb FROM f{d} GROUP BY ALL),
 p{d + 1} AS (
-  SELECT page_id, host, path, rule, label, segs, template || CASE WHEN seg IS NULL THEN '' WHEN keep THEN '/' || seg ELSE '/*' END AS template
-  FROM s{d} LEFT JOIN l{d} USING (host, template, seg))"""
-    return sql + f""",
-a AS (SELECT coalesce(count(*) FILTER (label = 'block') / nullif(count(label), 0), 0) AS share FROM p{depth}),
-f AS (SELECT host, template, count(*) AS k, count(*) FILTER (label = 'block') AS b FROM p{depth} WHERE label IS NOT NULL GROUP BY ALL)
-SELECT page_id, host, path, rule, coalesce(label, CASE WHEN (b + {smoothing} * share) / (k + {smoothing}) >= {purity} THEN 'block' ELSE 'allow' END) AS verdict, template,
-  CAST(coalesce(k, 0) AS BIGINT) AS template_labelled, CAST(coalesce(b, 0) AS BIGINT) AS template_blocked, CAST((b + {smoothing} * share) / (k + {smoothing}) AS DOUBLE) AS template_score
-FROM p{depth} CROSS JOIN a LEFT JOIN f USING (host, template)"""
+  SELECT page_id, s.host, path, rule, label, segs, CASE WHEN s.seg IS NULL THEN s.template ELSE s.template || '/' || o.step END AS template, CASE WHEN s.seg IS NULL THEN labelled ELSE sk END AS labelled,
+    CASE WHEN s.seg IS NULL THEN blocked ELSE sb END AS blocked, CASE WHEN s.seg IS NULL THEN score ELSE (sb + {m} * score) / (sk + {m}) END AS score
+  FROM s{d} s LEFT JOIN f{d} f ON f.host = s.host AND f.template = s.template AND f.seg = s.seg LEFT JOIN o{d} o ON o.host = f.host AND o.template = f.template AND o.step = f.step)"""
+    return sql + f"""
+SELECT page_id, host, path, rule, coalesce(label, CASE WHEN score >= {purity} THEN 'block' ELSE 'allow' END) AS verdict, template, CAST(labelled AS BIGINT) AS template_labelled,
+  CAST(blocked AS BIGINT) AS template_blocked, CAST(score AS DOUBLE) AS template_score FROM p{depth}"""
 
 
 def queries() -> dict:

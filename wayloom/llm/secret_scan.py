@@ -7,8 +7,10 @@ example, a value of one owner that looks random is a live-looking credential. Sp
 Base kinds (always kept): assign, access, hex. Further kinds: github, jwt, pem.
 
 Defined results: a null text has no spans; long texts are searched whole; a null source counts as a repository of its
-own; equal values in repeated rows of one owner count once; an empty table gives an empty table; rows that repeat a
-doc_id each keep their own spans; scan() reads only doc_id, text and source, redact() passes the other columns on.
+own; equal values in repeated rows of one owner count once; an empty table gives an empty table; rows are told apart by
+a key of their own, so rows with a null or repeated doc_id each keep their own spans and verdicts and are masked alike;
+overlapping live spans are masked as one; scan() reads only doc_id, text and source, redact()
+passes the other columns on (names that begin with __ are its own).
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wayloom.llm.common import pieces_of
+from wayloom.llm.common import materialize, pieces_of
 from wayloom.shipping import ship
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -56,23 +59,30 @@ def looks_random(value: str, least: float = 2.5) -> bool:
     return n > 0 and -sum(k / n * math.log2(k / n) for k in Counter(value).values()) >= least
 
 
-SPAN = "array<struct<kind:string,start:int,end:int,digest:string,random:boolean>>"
+SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("digest", T.StringType()), T.StructField("random", T.BooleanType())]))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, repository and found (its candidates) for each row."""
+def with_candidates(docs: DataFrame) -> DataFrame:
+    """docs with __row, which tells its rows apart (ids may be null or repeated), and __found, the candidates of each text."""
     ship(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("repository"))
+    d = docs.withColumn("__row", F.monotonically_increasing_id())
+    at, names = d.columns.index("text"), [*d.columns, "__found"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.string()), ("random", pa.bool_())]))
         for b in (x for whole in batches for x in pieces_of(whole)):
-            found = [[{"kind": k, "start": s, "end": e, "digest": digest_of(v), "random": looks_random(v)} for k, s, e, v in spans_of(t or "")] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, kind)], names=["doc_id", "repository", "found"])
+            found = [[{"kind": k, "start": s, "end": e, "digest": digest_of(v), "random": looks_random(v)} for k, s, e, v in spans_of(t or "")] for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=names)
+
+    return d.mapInArrow(run, T.StructType([*d.schema.fields, T.StructField("__found", SPAN)]))
 
-    return d.mapInArrow(run, f"doc_id long, repository string, found {SPAN}")
+
+def scan(docs: DataFrame) -> DataFrame:
+    """row, doc_id, repository and found (its candidates) for each row."""
+    d = with_candidates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("repository")))
+    return d.select(F.col("__row").alias("row"), "doc_id", "repository", F.col("__found").alias("found"))
 
 
 def ownership(found: DataFrame, owner=None, most_owners: int = 2, most_repositories: int = 8) -> DataFrame:
@@ -88,16 +98,16 @@ def ownership(found: DataFrame, owner=None, most_owners: int = 2, most_repositor
 
 
 def secret_verdicts(found: DataFrame) -> DataFrame:
-    """found (of scan) with verdicts map<digest, verdict> of the document's candidates (null without any)."""
-    every = found.where(F.size("found") > 0).select("doc_id", F.explode("found.digest").alias("digest")).distinct()
+    """row and verdicts, map<digest, verdict> of the candidates, of each row of found (of scan) that has any."""
+    every = found.where(F.size("found") > 0).select("row", F.explode("found.digest").alias("digest")).distinct()
     judged = every.join(ownership(found).select("digest", "verdict"), "digest")
-    by_doc = judged.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("digest", "verdict"))).alias("verdicts"))
-    return found.join(by_doc, "doc_id", "left")
+    return judged.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("digest", "verdict"))).alias("verdicts"))
 
 
-def secrets(docs: DataFrame, written=lambda df: df) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example for each row. written may cut lineage."""
-    v = secret_verdicts(written(scan(docs)))
+def secrets(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, n_weak for each row."""
+    found = materialize(scan(docs), "found")
+    v = found.join(secret_verdicts(found), "row", "left")
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
     line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("found", lambda s: s["kind"].isin("assign", "access", "hex"))
@@ -110,15 +120,16 @@ def secrets(docs: DataFrame, written=lambda df: df) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, written=lambda df: df, mark: str = "<SECRET>") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
     """docs with the same columns and rows, the text of live-looking candidates replaced by mark, n_chars recounted.
 
-    Only the list of documents with live spans joins back; the join is on doc_id with their digests.
+    Rows without candidates, nearly all, pass by; only the others meet the verdicts, by row.
     """
-    found = written(scan(docs))
-    live = secret_verdicts(found).where("verdicts is not null").select("doc_id", F.map_keys(F.map_filter("verdicts", lambda _, v: v == "live")).alias("__live")).where(F.size("__live") > 0)
-    live = live.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("__live"))).alias("__live"))
-    joined = docs.join(live.withColumnRenamed("doc_id", "__doc").hint("merge"), docs["doc_id"] == F.col("__doc"), "left").drop("__doc")
+    d = materialize(with_candidates(docs), "candidates")
+    bare = F.size("__found") == 0
+    found = d.where(~bare).select(F.col("__row").alias("row"), F.col("source").cast("string").alias("repository"), F.col("__found").alias("found"))
+    live = secret_verdicts(found).select(F.col("row").alias("__row"), F.map_keys(F.map_filter("verdicts", lambda _, v: v == "live")).alias("__live"))
+    joined = d.where(~bare).join(live, "__row", "left")
 
     @F.pandas_udf("string")
     def cut(text, live):
@@ -131,10 +142,14 @@ def redact(docs: DataFrame, written=lambda df: df, mark: str = "<SECRET>") -> Da
                 if s >= at and digest_of(v) in set(digests):
                     keep += [t[at:s], mark]
                     at = e
+                elif s < at < e and digest_of(v) in set(digests):
+                    at = e  # a live span that goes on beyond the one before
             out.append("".join([*keep, t[at:]]) if at else t)
         return pd.Series(out, dtype=object)
 
-    plain, other = joined.where("__live is null"), joined.where("__live is not null").withColumn("text", cut(F.col("text"), F.col("__live")))
+    has = F.size("__live") > 0
+    changed = joined.where(has).withColumn("text", cut(F.col("text"), F.col("__live")))
     if "n_chars" in docs.columns:
-        other = other.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return plain.drop("__live").unionByName(other.drop("__live")).select(*docs.columns)
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    names = docs.columns
+    return d.where(bare).select(*names).unionByName(joined.where(F.coalesce(~has, F.lit(True))).select(*names)).unionByName(changed.select(*names))
