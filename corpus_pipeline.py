@@ -1,4 +1,10 @@
-"""A corpus pipeline of five operators; each stage works on all that its predecessor kept."""
+"""A corpus pipeline of five operators; each stage works on all that its predecessor kept.
+
+Every stage takes null columns, null or repeated ids, empty and very long texts, repeated rows, empty tables, and extra
+columns, which the filtering stages hand on (names that begin with __ are the stages' own). Results: an empty table stays
+empty; a null text has no words, so the quality rules reject it; rows are told apart by a key of their own, never by
+doc_id; ties go by the smaller doc_id (nulls last), then by row.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +17,7 @@ from wayloom.llm.queries import tokenizer_file
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail an enforced rule go."""
+    """Documents that fail an enforced rule go. Rules look at a row's text alone, so repeated rows stay or go together."""
     return quality.filter_documents(docs)
 
 
@@ -26,21 +32,22 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking credentials are masked; every document stays."""
-    return secret_scan.redact(docs, written=lambda df: materialize(df, "found"))
+    """Live-looking credentials are masked and n_chars recounted; every row stays, those with null or repeated ids too."""
+    return secret_scan.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each whole pass that the mix takes of a document; the one that a target cuts stays if half of it is taken."""
+    """A row for each pass of which the mix takes half of the document or more, sorted by virtual finish time over all
+    sources, ties by source and pass. Texts without words are never served; a null source is a source."""
     names, docs = docs.columns, with_rows(docs)
-    mixed = mixing.mix(docs, key="__row", written=lambda df: materialize(df, "sizes")).where("size > 0")
-    copies = mixed.select("__row", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__copies")).where("__copies > 0")
-    taken = docs.join(copies.hint("merge"), "__row")
-    return taken.withColumn("__pass", F.explode(F.sequence(F.lit(1), "__copies"))).select(*names)
+    mixed = mixing.mix(docs, key="__row", written=lambda df: materialize(df, "sizes"))
+    served = mixed.select("__row", "size", F.col("source").alias("__source"), F.explode("packets").alias("__x")).where(2 * F.col("__x.words") >= F.col("size"))
+    taken = docs.join(served.drop("size").hint("merge"), "__row")
+    return taken.orderBy("__x.finish", "__source", "__x.pass", "__row").select(*names)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids, n_pieces: what a trainer reads."""
+    """doc_id, source, ids, n_pieces: what a trainer reads, a row for each row of docs; a null text has no pieces."""
     return piece_codec.encode_pieces(docs, tokenizer_file("piece_bpe_32k.model")).select("doc_id", "source", "ids", "n_pieces")
 
 
@@ -58,7 +65,7 @@ STAGES = [
     ("sentencepiece", pieces_stage),
 ]
 
-#: Alignment, entropy and piece search aren't SQL; tests compare each stage with a brute-force version.
+#: Alignment, entropy and piece search aren't SQL; tests/llm compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
