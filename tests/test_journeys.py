@@ -117,21 +117,6 @@ def test_catalogs(spark, tmp_path):
     assert catalogs.load_timetable(spark, str(tmp_path / "t"))["stops"].count() == 3
 
 
-def test_journey_and_plan(spark):
-    from wayloom.operators import search
-
-    c = spark.createDataFrame([("r1", 1, "A", "H", 4000, 5000, "train"), ("r2", 1, "H", "C", 5600, 7000, "train"), ("r3", 1, "A", "C", 4100, 9000, "train")], "run_id string, seq int, dep_stop string, arr_stop string, dep long, arr long, mode string")
-    s = spark.createDataFrame([("A", 46.0, 7.0, 300), ("H", 46.3, 7.0, 300), ("C", 46.6, 7.0, 300)], "stop_id string, lat double, lon double, min_transfer_s int")
-    none = spark.createDataFrame([], "from_stop string, to_stop string, dur_s long")
-    labels = transit.rounds(spark.createDataFrame([(1, "A", 3000)], "request long, stop string, at long"), c, s, none)
-    legs = search.legs_to(spark.createDataFrame([(1, "C")], "request long, target string"), labels, search.predecessors(labels, c, s, none)).orderBy("back").collect()
-    assert [(r.run_id, r.from_stop, r.to_stop, r.depart, r.arrive) for r in legs] == [("r2", "H", "C", 5600, 7000), ("r1", "A", "H", 4000, 5000)]
-    r = spark.createDataFrame([(1, 46.0005, 7.0, 46.6005, 7.0, 3000)], "request long, lat double, lon double, lat2 double, lon2 double, depart long")
-    got = {x.cand: x for x in search.plan(r, c, s, none, "greenest").collect()}
-    assert got["transit C"].rank == 1 and got["transit C"].vehicles == 1 and got["transit C"].total_s == 7000 + 40 - 3000
-    assert got["ground"].car_km > 80 and got["ground"].legs == 1
-
-
 def test_restrictions(spark):
     from wayloom.operators import restrictions
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo, parsing, pricing, validity
-from wayloom.operators import planner, restrictions, road, search, spatial, timetable, transit, ways
+from wayloom.operators import connectors, planner, restrictions, road, search, spatial, timetable, transit, ways
+from wayloom.operators.fixpoint import written
 from wayloom.plans.domain import ACTIVE, calendars, hav, view, with_views
 from wayloom.shipping import ship
 from wayloom.sources import catalogs, flights
@@ -77,7 +78,7 @@ def connections_window(spark, sf):
 def _network(spark, sf, end="1998-07-01 23:59:59"):
     c = timetable.connections(calendars(view(spark, sf, "trips")), view(spark, sf, "calls"), "1998-07-01 00:00:00", end, [])
     sec = lambda x: F.timestamp_diff("SECOND", F.lit("1998-07-01 00:00:00").cast("timestamp_ntz"), x)
-    conns = c.select("run_id", "seq", "dep_stop", "arr_stop", sec(F.col("dep")).alias("dep"), sec(F.col("arr")).alias("arr"))
+    conns = c.select("run_id", "mode", "seq", "dep_stop", "arr_stop", sec(F.col("dep")).alias("dep"), sec(F.col("arr")).alias("arr"))
     stops = view(spark, sf, "stops")
     feet = stops.select(F.col("stop_id").alias("from_stop"), F.explode(F.array(F.col("stop_id") + 1, F.col("stop_id") - 1)).alias("to_stop"), (240 + F.col("stop_id") % 5 * 60).cast("long").alias("dur_s"))
     feet = feet.join(stops.select(F.col("stop_id").alias("to_stop")), "to_stop", "left_semi").where("from_stop % 3 = 0")
@@ -96,11 +97,12 @@ def footpath_closure(spark, sf):
     return transit.close_footpaths(_network(spark, sf)[2])
 
 
-def _rounds_sql(k: int) -> str:
-    """k rounds unrolled, with two labels each."""
-    sql = _CONN.replace("1998-07-01 12:00:00", "1998-07-01 23:59:59").replace("RECURSIVE trips", "RECURSIVE stops AS (" + with_views("stops").split("stops AS (", 1)[1][:-1] + "), trips")
+def _rounds_sql(k: int, last: str) -> str:
+    """k rounds unrolled, with two labels each; requests that leave one stop at one time share a batch of labels."""
+    views = [n + " AS (" + with_views(n).split(f"{n} AS (", 1)[1][:-1] + "), " for n in ("stops", "requests")]
+    sql = _CONN.replace("1998-07-01 12:00:00", "1998-07-01 23:59:59").replace("RECURSIVE trips", "RECURSIVE " + "".join(views) + "trips")
     sql += f", {_FEET}, {_closed()}, cs AS (SELECT run_id, seq, dep_stop, arr_stop, CAST(epoch(dep) - epoch(TIMESTAMP '1998-07-01 00:00:00') AS BIGINT) AS dep, CAST(epoch(arr) - epoch(TIMESTAMP '1998-07-01 00:00:00') AS BIGINT) AS arr FROM conns)"
-    sql += ", l0 AS (SELECT r AS request, stop_id AS stop, CAST(18000 + r * 600 AS BIGINT) AS foot, CAST(NULL AS BIGINT) AS veh FROM stops, (VALUES (0), (1), (2), (3)) v(r) WHERE stop_id = r * 2 + 1)"
+    sql += ", l0 AS (SELECT DISTINCT origin * 100000 + depart AS request, origin AS stop, depart AS foot, CAST(NULL AS BIGINT) AS veh FROM requests)"
     for i in range(1, k + 1):
         p = f"l{i - 1}"
         sql += f""", r{i} AS (SELECT request, stop, least(foot, veh + CASE WHEN s.stop_id IS NULL THEN 300 ELSE s.min_transfer_s END) AS ready FROM {p} LEFT JOIN stops s ON s.stop_id = stop),
@@ -108,33 +110,43 @@ def _rounds_sql(k: int) -> str:
  v{i} AS (SELECT request, arr_stop AS stop, min(arr) AS veh FROM b{i} JOIN cs USING (run_id) WHERE seq >= f GROUP BY ALL),
  w{i} AS (SELECT request, to_stop AS stop, min(veh + dur_s) AS foot FROM v{i} JOIN closed ON stop = from_stop GROUP BY ALL),
  l{i} AS (SELECT request, stop, min(foot) AS foot, min(veh) AS veh FROM (SELECT * FROM {p} UNION ALL SELECT request, stop, NULL, veh FROM v{i} UNION ALL SELECT request, stop, foot, NULL FROM w{i}) u GROUP BY ALL)"""
-    return sql + f" SELECT request, stop, CAST(least(foot, veh) AS BIGINT) AS arrive FROM l{k}"
+    return sql + last
 
 
-def _sources(spark):
-    return spark.range(4).select(F.col("id").alias("request"), (F.col("id") * 2 + 1).alias("stop"), (18000 + F.col("id") * 600).alias("at"))
+def _batches(spark, sf):
+    """(requests with their batch, sources of the batches)."""
+    r = view(spark, sf, "requests").withColumn("batch", F.col("origin") * 100_000 + F.col("depart"))
+    return r, r.select(F.col("batch").alias("request"), F.col("origin").alias("stop"), F.col("depart").alias("at")).distinct()
 
 
-def _labels(spark, sf, most):
+def _scan(spark, sf, most):
     conns, stops, feet = _network(spark, sf)
-    return transit.arrivals(transit.rounds(_sources(spark), conns, stops, transit.close_footpaths(feet), most))
+    r, sources = _batches(spark, sf)
+    return r, *transit.scan(sources, written(conns, "conns"), stops, written(transit.close_footpaths(feet), "feet"), most)
 
 
-@_query(_rounds_sql(6))
+@_query(_rounds_sql(6, " SELECT r.request, CAST(min(n) AS INTEGER) AS vehicles, CAST(arg_min(least(foot, veh), n) AS BIGINT) AS arrive FROM requests r JOIN (" + " UNION ALL ".join(f"SELECT {i} AS n, * FROM l{i}" for i in range(7)) + ") l ON l.request = origin * 100000 + depart AND l.stop = dest GROUP BY r.request"))
 def min_transfer_rounds(spark, sf):
-    return _labels(spark, sf, 6)
+    """For every request the fewest vehicles to its destination, up to six, and the arrival with them."""
+    r, _, history = _scan(spark, sf, 6)
+    first = history.groupBy(F.col("request").alias("batch"), F.col("stop").alias("dest")).agg(F.min(F.struct("round", F.least("foot", "veh").alias("arrive"))).alias("m"))
+    return r.join(first, ["batch", "dest"]).select("request", F.col("m.round").alias("vehicles"), "m.arrive")
 
 
-@_query(_rounds_sql(12))
+@_query(_rounds_sql(12, " SELECT r.request, CAST(least(foot, veh) AS BIGINT) AS arrive FROM requests r JOIN l12 l ON l.request = origin * 100000 + depart AND l.stop = dest"))
 def earliest_arrival(spark, sf):
-    return _labels(spark, sf, None)  # the twin unrolls 12 rounds
+    """For every request the earliest arrival at its destination; the twin unrolls 12 rounds."""
+    r, labels, _ = _scan(spark, sf, None)
+    found = transit.arrivals(labels).select(F.col("request").alias("batch"), F.col("stop").alias("dest"), "arrive")
+    return r.join(found, ["batch", "dest"]).select("request", "arrive")
 
 
 _METRICS = with_views("legs") + """, p AS (SELECT *, CASE mode WHEN 'walk' THEN 0.0 WHEN 'car' THEN 0.15 * km WHEN 'train' THEN 2.5 + 0.12 * km WHEN 'ferry' THEN 5.0 + 0.15 * km ELSE 45.0 + 0.07 * km END AS fare,
   km * CASE mode WHEN 'walk' THEN 0.0 WHEN 'car' THEN 170.0 WHEN 'train' THEN 35.0 WHEN 'ferry' THEN 120.0 ELSE 250.0 END AS em, mode IN ('train', 'ferry', 'flight') AS veh FROM legs),
  cands AS (SELECT request, cand, CAST(sum(travel_s + overhead_s) AS BIGINT) AS total_s, CAST(sum(travel_s) AS BIGINT) AS ride_s, sum(km) AS km, round(sum(round(CAST(fare AS DOUBLE), 2)), 2) AS cost, CAST(greatest(0, count(*) FILTER (veh) - 1) AS BIGINT) AS transfers,
   count(*) FILTER (veh) AS vehicles, sum(CASE WHEN mode = 'car' THEN km ELSE 0.0 END) AS car_km, CAST(sum(em) AS DOUBLE) AS emissions, CAST(max(cost_level) AS INTEGER) AS cost_level,
-  arg_max(mode, km * 1000 - leg_no) AS primary_mode, count(*) AS legs, CASE WHEN count(*) FILTER (veh) > 0 THEN 0 ELSE 1 END AS no_vehicle, CASE WHEN count(*) FILTER (mode = 'flight') > 0 THEN 0 ELSE 1 END AS no_flight, bool_and(mode = 'walk') AS walk_only
+  arg_max(mode, km * 1000 - leg_no) AS primary_mode, count(*) AS legs, CASE WHEN count(*) FILTER (veh) > 0 THEN 0 ELSE 1 END AS no_vehicle, CASE WHEN count(*) FILTER (mode = 'flight') > 0 THEN 0 ELSE 1 END AS no_flight, bool_and(mode = 'walk') AS walk_only,
+  sum(km) AS gc_km, bool_or(mode <> 'walk' AND km > 75 AND travel_s > 0 AND km / (travel_s / 3600) < 25) AS crawls, string_agg(mode, ',' ORDER BY leg_no) AS modes
   FROM p GROUP BY request, cand)"""
 
 
@@ -157,9 +169,10 @@ def fare_legs(spark, sf):
     return view(spark, sf, "legs").select("request", "cand", "leg_no", _r(pricing.fare(F.col("mode"), F.col("km")), 4).alias("fare"), _r(pricing.emissions(F.col("mode"), F.col("km")), 4).alias("co2_g"))
 
 
-@_query(_METRICS + " SELECT * FROM cands WHERE NOT (legs > 10 OR ride_s / 3600.0 > 3 + 60 / 15.0 OR (walk_only AND km > 10))")
+@_query(_METRICS + " SELECT * FROM cands WHERE NOT (legs > 10 OR ride_s / 3600.0 > 3 + 180 / 15.0 OR crawls OR gc_km / 180 > 2 OR (walk_only AND km > 10))")
 def implausible_guard(spark, sf):
-    return planner.plausible(_cands(spark, sf), F.lit(60.0))
+    """Of trips of 180 km; legs' km stand for great circles."""
+    return planner.plausible(_cands(spark, sf), F.lit(180.0)).where(planner.walkable())
 
 
 @_query(_METRICS + " SELECT * EXCLUDE (b) FROM (SELECT *, min(CASE WHEN no_flight = 1 THEN total_s END) OVER (PARTITION BY request) AS b FROM cands) x WHERE b IS NULL OR b > 57600 OR no_flight = 1")
@@ -217,13 +230,13 @@ def arc_weights(spark, sf):
     return road.arc_weights(_arcs(spark, sf), 1).select("arc", "tail", "head", "seconds")
 
 
-_PATHS = _WEIGHTS + ", d AS (SELECT s AS source, s AS node, CAST(0 AS BIGINT) AS seconds FROM (VALUES (1), (2), (3)) v(s) UNION SELECT source, head, d.seconds + w.seconds FROM d JOIN w ON tail = node WHERE d.seconds + w.seconds <= 900), m AS (SELECT source, node, min(seconds) AS seconds FROM d GROUP BY ALL)"
+_PATHS = _WEIGHTS + ", d AS (SELECT s AS source, s AS node, CAST(0 AS BIGINT) AS seconds FROM sources UNION SELECT source, head, d.seconds + w.seconds FROM d JOIN w ON tail = node WHERE d.seconds + w.seconds <= 900), m AS (SELECT source, node, min(seconds) AS seconds FROM d GROUP BY ALL)"
 
 
-@_query(_PATHS + " SELECT CAST(source AS BIGINT) AS source, CAST(node AS BIGINT) AS node, seconds FROM m")
+@_query(_PATHS.replace(", d AS", ", sources AS (SELECT c_custkey AS s FROM customer), d AS", 1) + " SELECT source, node, seconds FROM m")
 def shortest_paths(spark, sf):
-    s = spark.range(1, 4).select(F.col("id").alias("source"))
-    return road.shortest(s, road.arc_weights(_arcs(spark, sf), 1)).where("seconds <= 900")
+    """From every door the nodes within a quarter of an hour."""
+    return road.shortest(view(spark, sf, "doors").select(F.col("door").alias("source")), road.arc_weights(_arcs(spark, sf), 1), 900)
 
 
 @_query(with_views("arcs") + """, j AS (SELECT node, count(DISTINCT n) AS k FROM (SELECT tail AS node, head AS n FROM arcs UNION ALL SELECT head, tail FROM arcs) x GROUP BY node HAVING count(DISTINCT n) >= 3),
@@ -258,19 +271,23 @@ def nearest_stop(spark, sf):
     return spatial.nearest(view(spark, sf, "doors"), "door", _places(spark, sf), "stop_id").select("door", "stop_id", _r(F.col("km")).alias("km"))
 
 
-@_query(with_views("stops") + f", l AS (SELECT h.stop_id AS hub, s.stop_id, {hav('h.lat', 'h.lon', 's.lat', 's.lon')} AS km FROM stops h, stops s WHERE h.stop_type <> 'rail_station' AND s.stop_type = 'rail_station') SELECT hub, stop_id, round(km / 4.5 * 3600, 4) AS walk_s FROM (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY km, stop_id) AS r FROM l WHERE km > 0 AND km <= 60) x WHERE r <= 6")
+@_query(with_views("stops") + f", l AS (SELECT h.stop_id AS hub, s.stop_id, {hav('h.lat', 'h.lon', 's.lat', 's.lon')} AS km FROM stops h, stops s WHERE h.stop_type <> 'rail_station' AND s.stop_type = 'rail_station'), k AS (SELECT hub, stop_id, round(km / 4.5 * 3600, 4) AS walk_s FROM (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY km, stop_id) AS r FROM l WHERE km > 0 AND km <= 60) x WHERE r <= 6) SELECT hub AS from_stop, stop_id AS to_stop, walk_s FROM k UNION ALL SELECT stop_id, hub, walk_s FROM k")
 def hub_links(spark, sf):
     hubs = view(spark, sf, "stops").where("stop_type <> 'rail_station'").select(F.col("stop_id").alias("hub"), "lat", "lon")
     rail = _places(spark, sf).where("stop_type = 'rail_station'")
-    return spatial.top_near(hubs, "hub", rail, "stop_id", 60, 6).select("hub", "stop_id", _r(F.col("km") / 4.5 * 3600, 4).alias("walk_s"))
+    one = spatial.top_near(hubs, "hub", rail, "stop_id", 60, 6).select(F.col("hub").alias("from_stop"), F.col("stop_id").alias("to_stop"), _r(F.col("km") / 4.5 * 3600, 4).alias("walk_s"))
+    return one.unionByName(one.select(F.col("to_stop").alias("from_stop"), F.col("from_stop").alias("to_stop"), "walk_s"))
 
 
 @_query(with_views("stops") + f", l AS (SELECT h.stop_id, s.tz, {hav('h.lat', 'h.lon', 's.lat', 's.lon')} AS km, s.stop_id AS o FROM stops h, stops s WHERE h.tz IS NULL AND s.tz IS NOT NULL) SELECT stop_id, tz FROM stops WHERE tz IS NOT NULL UNION ALL SELECT stop_id, tz FROM (SELECT *, row_number() OVER (PARTITION BY stop_id ORDER BY km, o) AS r FROM l) x WHERE r = 1")
 def tz_fill(spark, sf):
-    s = view(spark, sf, "stops")
-    known = s.where("tz is not null").select(F.col("stop_id").alias("from_stop"), "tz", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    near = spatial.nearest(s.where("tz is null").select("stop_id", "lat", "lon"), "stop_id", known, "from_stop")
-    return s.where("tz is not null").select("stop_id", "tz").unionByName(near.join(known.select("from_stop", "tz"), "from_stop").select("stop_id", "tz"))
+    return spatial.fill_zones(view(spark, sf, "stops"))
+
+
+@_query(with_views("stops", "doors") + f", z AS (SELECT tz FROM stops WHERE tz IS NOT NULL GROUP BY tz ORDER BY count(*) DESC, min(stop_id) LIMIT 1), n AS (SELECT door, s.tz, {hav('d.lat', 'd.lon', 's.lat', 's.lon')} AS km, stop_id FROM doors d, stops s) SELECT door, coalesce(tz, (SELECT tz FROM z)) AS tz FROM (SELECT *, row_number() OVER (PARTITION BY door ORDER BY km, stop_id) AS r FROM n) x WHERE r = 1")
+def door_zones(spark, sf):
+    stops = view(spark, sf, "stops")
+    return spatial.zone_of_doors(view(spark, sf, "doors"), "door", stops, timetable.zone_of_feed(stops))
 
 
 @_query(with_views("stops") + " SELECT tz, count(*) AS n FROM stops WHERE tz IS NOT NULL GROUP BY tz ORDER BY n DESC, min(stop_id) LIMIT 1")
@@ -297,11 +314,11 @@ def merge_first_wins(spark, sf):
     return timetable.merge_stops(s.unionByName(t)).select("feed", "stop_id", "new_id")
 
 
-@_query(with_views("calls") + ", f AS (SELECT DISTINCT trip_id, unnest(range(21600, 28800, 1800)) AS tm FROM calls WHERE trip_id % 50 = 0), a AS (SELECT trip_id, min(dep_s) AS a FROM calls GROUP BY trip_id) SELECT c.trip_id || '#' || tm AS trip_id, seq, stop_id, CAST(arr_s + tm - a AS BIGINT) AS arr_s, CAST(dep_s + tm - a AS BIGINT) AS dep_s FROM calls c JOIN f USING (trip_id) JOIN a USING (trip_id) UNION ALL SELECT CAST(trip_id AS VARCHAR), seq, stop_id, CAST(arr_s AS BIGINT), CAST(dep_s AS BIGINT) FROM calls WHERE trip_id % 50 <> 0")
+@_query(with_views("calls", "trips") + ", f AS (SELECT trip_id, unnest(range(21600, 28800, 1800)) AS tm FROM trips WHERE mode = 'ferry'), a AS (SELECT trip_id, min(dep_s) AS a FROM calls GROUP BY trip_id) SELECT c.trip_id || '#' || tm AS trip_id, seq, stop_id, CAST(arr_s + tm - a AS BIGINT) AS arr_s, CAST(dep_s + tm - a AS BIGINT) AS dep_s FROM calls c JOIN f USING (trip_id) JOIN a USING (trip_id) UNION ALL SELECT CAST(trip_id AS VARCHAR), seq, stop_id, CAST(arr_s AS BIGINT), CAST(dep_s AS BIGINT) FROM calls WHERE trip_id NOT IN (SELECT trip_id FROM f)")
 def freq_expand(spark, sf):
-    c = view(spark, sf, "calls")
-    w = c.where("trip_id % 50 = 0").select("trip_id").distinct().select("trip_id", F.lit(21600).alias("start_s"), F.lit(28800).alias("end_s"), F.lit(1800).alias("headway_s"))
-    return timetable.expand_frequencies(c, w)
+    """Ferries run every half hour of a morning."""
+    w = view(spark, sf, "trips").where("mode = 'ferry'").select("trip_id", F.lit(21600).alias("start_s"), F.lit(28800).alias("end_s"), F.lit(1800).alias("headway_s"))
+    return timetable.expand_frequencies(view(spark, sf, "calls"), w)
 
 
 def _pairs(spark, sf):
@@ -326,15 +343,14 @@ def _airports(spark, sf):
     return view(spark, sf, "stops").select(F.col("stop_id").alias("iata"), "lat", "lon")
 
 
-@_query(_PAIRS + f" SELECT src || '-' || dst || '@' || printf('%02d', h) AS trip_id, src, dst, CAST(h * 3600 AS DOUBLE) AS dep_s, round(h * 3600 + 2700 + {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} / 800 * 3600, 3) AS arr_s FROM pairs JOIN stops a ON a.stop_id = src JOIN stops b ON b.stop_id = dst, (VALUES (8), (14)) v(h) WHERE src % 10 = 0 AND dst % 10 = 0")
+@_query(_PAIRS + f" SELECT src || '-' || dst || '@' || printf('%02d', h) AS trip_id, src, dst, CAST(h * 3600 AS DOUBLE) AS dep_s, round(h * 3600 + 2700 + {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} / 800 * 3600, 3) AS arr_s FROM pairs JOIN stops a ON a.stop_id = src JOIN stops b ON b.stop_id = dst, (VALUES (8), (14)) v(h)")
 def synthetic_flights(spark, sf):
-    p = _pairs(spark, sf).where("src % 10 = 0 and dst % 10 = 0")
-    return flights.synthetic_flights(p, _airports(spark, sf), [8, 14]).withColumn("arr_s", _r(F.col("arr_s"), 3))
+    return flights.synthetic_flights(_pairs(spark, sf), _airports(spark, sf), [8, 14]).withColumn("arr_s", _r(F.col("arr_s"), 3))
 
 
-@_query(_PAIRS.replace("RECURSIVE calls", "RECURSIVE doors AS (" + with_views("doors").split("doors AS (", 1)[1][:-1] + "), calls") + f", deg AS (SELECT iata, count(*) AS degree FROM (SELECT src AS iata FROM pairs UNION ALL SELECT dst FROM pairs) x GROUP BY iata HAVING count(*) >= 5), n AS (SELECT door AS point, iata, degree FROM doors d, stops s JOIN deg ON iata = stop_id WHERE door % 20 = 0 AND {hav('d.lat', 'd.lon', 's.lat', 's.lon')} <= 400) SELECT point, iata, degree, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY degree DESC, iata DESC) AS r FROM n) x WHERE r <= 6")
+@_query(_PAIRS.replace("RECURSIVE calls", "RECURSIVE doors AS (" + with_views("doors").split("doors AS (", 1)[1][:-1] + "), calls") + f", deg AS (SELECT iata, count(*) AS degree FROM (SELECT src AS iata FROM pairs UNION ALL SELECT dst FROM pairs) x GROUP BY iata HAVING count(*) >= 5), n AS (SELECT door AS point, iata, degree FROM doors d, stops s JOIN deg ON iata = stop_id WHERE {hav('d.lat', 'd.lon', 's.lat', 's.lon')} <= 400) SELECT point, iata, degree, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY degree DESC, iata DESC) AS r FROM n) x WHERE r <= 6")
 def hub_topk(spark, sf):
-    points = view(spark, sf, "doors").where("door % 20 = 0").withColumnRenamed("door", "point")
+    points = view(spark, sf, "doors").withColumnRenamed("door", "point")
     return flights.hubs(points, _airports(spark, sf), flights.degrees(_pairs(spark, sf)), 5, 400, 6)
 
 
@@ -422,27 +438,36 @@ def budget_cut(spark, sf):
 
 def _network_modes(spark, sf):
     conns, stops, feet = _network(spark, sf)
-    modes = view(spark, sf, "trips").select(F.col("trip_id").cast("string").alias("t"), "mode")
-    return conns.join(modes, F.split_part("run_id", F.lit("@"), F.lit(1)) == F.col("t")).drop("t"), stops, transit.close_footpaths(feet)
+    return written(conns, "conns"), stops, written(transit.close_footpaths(feet), "feet")
 
 
 @_query()
 def journey_legs(spark, sf):
-    """The legs of the best journeys of the four sources to every stop; no SQL twin (a walk back along predecessors)."""
-    conns, stops, feet = _network(spark, sf)
-    feet = transit.close_footpaths(feet)
-    labels = transit.rounds(_sources(spark), conns, stops, feet)
-    preds = search.predecessors(labels, conns, stops, feet)
-    return search.legs_to(labels.where("round > 0").select("request", F.col("stop").alias("target")), labels, preds)
+    """The legs of the earliest journey of every batch of requests to each of its destinations; no SQL twin (a walk back along predecessors)."""
+    conns, stops, feet = _network_modes(spark, sf)
+    r, sources = _batches(spark, sf)
+    labels, history = transit.scan(sources, conns, stops, feet)
+    asked = r.select(F.col("batch").alias("request"), F.col("dest").alias("target")).distinct()
+    return search.legs_to(search.best_targets(labels).join(asked, ["request", "target"], "left_semi"), search.predecessors(history, conns, stops, feet))
+
+
+def _door_requests(spark, sf):
+    """From every door to another one, at six in the morning."""
+    k = F.col("door")
+    return view(spark, sf, "doors").select(k.alias("request"), "lat", "lon", (46 + k * 7 % 100 / 20).cast("double").alias("lat2"), (4 + k * 3 % 100 / 20).cast("double").alias("lon2"), F.lit(21600).cast("long").alias("depart"))
 
 
 @_query()
 def plan_requests(spark, sf):
-    """Door-to-door plans between customers' doors, fastest first; no SQL twin (a fixpoint within)."""
-    conns, stops, feet = _network_modes(spark, sf)
-    d = view(spark, sf, "doors").where("door % 10 = 1")
-    r = d.select(F.col("door").alias("request"), "lat", "lon", (46 + F.col("door") * 7 % 100 / 20).cast("double").alias("lat2"), (4 + F.col("door") * 3 % 100 / 20).cast("double").alias("lon2"), F.lit(21600).cast("long").alias("depart"))
-    return search.plan(r, conns, stops, feet, "greenest", 3)
+    """Door-to-door plans between customers' doors, greenest first; no SQL twin (a fixpoint within), tested by brute force."""
+    return search.plan(_door_requests(spark, sf), *_network_modes(spark, sf), "greenest", 3).drop("pool", "signature")
+
+
+@_query()
+def plan_choices(spark, sf):
+    """The best of each objective, candidates of car and foot access pooled, without flights where others get there in a day."""
+    cands, _ = search.pool(_door_requests(spark, sf), *_network_modes(spark, sf), connectors.by_mode("both"))
+    return search.choices(cands, list(planner.ORDER), ("flight",))
 
 
 _REL = with_views("arcs") + """, a AS (SELECT arc, arc % 40 AS way, tail, head, bearing FROM arcs),
@@ -509,12 +534,15 @@ def depart_parse(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", parsing.depart(text, F.lit("2026-07-01 08:00:00").cast("timestamp_ntz")).alias("depart"))
 
 
-_SIG = with_views("legs") + ", sig AS (SELECT request, cand, string_agg(mode || ':' || CAST(trunc(km) AS INTEGER), '>' ORDER BY leg_no) AS signature FROM legs GROUP BY ALL)"
+_TWICE = _METRICS.replace("p AS (SELECT *,", "twice AS (SELECT * FROM legs UNION ALL SELECT request, cand + 10000000, leg_no, mode, CASE WHEN cand % 2 = 1 THEN km + 0.5 ELSE km END, travel_s, overhead_s, cost_level FROM legs), p AS (SELECT *,").replace("AS veh FROM legs)", "AS veh FROM twice)")
 
 
-@_query(_SIG + " SELECT request, signature, min(cand) AS cand FROM sig GROUP BY request, signature")
+@_query(_TWICE + " SELECT request, min(cand) AS cand, total_s, modes FROM (SELECT *, round_even(cost, 2) AS a, round_even(car_km, 3) AS b, round_even(emissions, 1) AS c FROM cands) x GROUP BY request, total_s, a, transfers, b, c, modes")
 def distinct_signatures(spark, sf):
-    return planner.dedupe(planner.signatures(view(spark, sf, "legs"))).select("request", "signature", "cand")
+    """Candidates pooled twice, odd ones slightly longer the second time: equals go, others stay."""
+    legs = view(spark, sf, "legs")
+    again = legs.withColumn("km", F.when(F.col("cand") % 2 == 1, F.col("km") + 0.5).otherwise(F.col("km"))).withColumn("cand", F.col("cand") + 10_000_000)
+    return planner.dedupe(planner.with_signature(planner.metrics(legs.unionByName(again)))).select("request", "cand", "total_s", "modes")
 
 
 @_query(_CONN + ", dc AS (SELECT dep_stop, CAST(epoch(dep) - epoch(TIMESTAMP '1998-07-01 00:00:00') AS BIGINT) AS dep, CAST(epoch(arr) - epoch(TIMESTAMP '1998-07-01 00:00:00') AS BIGINT) AS arr, run_id FROM conns), a AS (SELECT s_suppkey * 24 + h AS ask, s_suppkey AS stop, h * 3600 + s_suppkey % 60 * 60 AS at_s FROM supplier, range(24) v(h)) SELECT ask, dep, arr, run_id FROM (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY dep, arr, run_id) AS r FROM a JOIN dc ON dep_stop = stop AND dep >= at_s AND dep <= at_s + 43200) x WHERE r = 1")
@@ -525,18 +553,17 @@ def next_departures(spark, sf):
     return timetable.next_departures(asks, conns)
 
 
-@_query(_PATHS.replace("(VALUES (1), (2), (3))", "(VALUES (1), (2), (3), (4))") + " SELECT CAST(a.s AS BIGINT) AS source, CAST(b.s AS BIGINT) AS target, seconds FROM (VALUES (1), (2), (3), (4)) a(s), (VALUES (1), (2), (3), (4)) b(s) LEFT JOIN m ON m.source = a.s AND m.node = b.s WHERE seconds <= 900 OR a.s = b.s")
+@_query(_PATHS.replace(", d AS", ", sources AS (SELECT s_suppkey AS s FROM supplier), d AS", 1) + " SELECT a.s AS source, b.s AS target, seconds FROM sources a, sources b LEFT JOIN m ON m.source = a.s AND m.node = b.s")
 def drive_matrix(spark, sf):
-    points = spark.range(1, 5).select(F.col("id").alias("node"))
-    return road.matrix(points, road.arc_weights(_arcs(spark, sf), 1)).where("seconds <= 900 or source = target")
+    """Drives of a quarter of an hour between the nodes of all stops; null where it takes longer."""
+    points = view(spark, sf, "stops").select(F.col("stop_id").alias("node"))
+    return road.matrix(points, road.arc_weights(_arcs(spark, sf), 1), 900)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Earliest arrivals of the requests at every stop, ranked within a request."""
-    from pyspark.sql import Window
-
-    a = earliest_arrival(spark, sf_dir)
-    return a.withColumn("rank", F.row_number().over(Window.partitionBy("request").orderBy("arrive", "stop")))
+    """Earliest arrivals of all requests, with what they take."""
+    r = view(spark, sf_dir, "requests").select("request", "origin", "dest", "depart")
+    return r.join(earliest_arrival(spark, sf_dir), "request").withColumn("took", planner.humanize(F.col("arrive") - F.col("depart")))
 
 
 def _shipped(f):

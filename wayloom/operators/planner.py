@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wayloom.functions.pricing import emissions, fare
 
 VEHICLES = ("train", "ferry", "flight")
+AXIS = ["total_s", "cost", "transfers", "car_km", "emissions"]
 AXES = {"fastest": 3, "cheapest": 3, "fewest_transfers": 3, "most_direct": 5, "greenest": 5, "air_priority": 5}
 ORDER = {
     "fastest": ("total_s", "cost", "transfers"),
@@ -30,22 +31,35 @@ def clock(legs: DataFrame) -> DataFrame:
 
 
 def metrics(legs: DataFrame) -> DataFrame:
-    """One row for each candidate: total_s, km, cost (fares), transfers, vehicles, car_km, emissions, cost_level, primary_mode."""
+    """One row for each candidate: total_s, km, cost (fares), transfers, vehicles, car_km, emissions, cost_level, primary_mode, modes,
+    gc_km (great circles of its legs; km where legs have none) and crawls (a long leg far too slow for its ends)."""
     vehicle, mode, km = F.col("mode").isin(*VEHICLES), F.col("mode"), F.col("km")
+    gc = F.col("gc_km") if "gc_km" in legs.columns else km
+    crawls = (mode != "walk") & (gc > LONG_KM) & (F.col("travel_s") > 0) & (gc / (F.col("travel_s") / 3600) < LEAST_KMH)
     return legs.groupBy("request", "cand").agg(
         F.sum(F.col("travel_s") + F.col("overhead_s")).alias("total_s"), F.sum("travel_s").alias("ride_s"), F.sum("km").alias("km"), F.round(F.sum(F.round(fare(mode, km), 2)), 2).alias("cost"),
         F.greatest(F.lit(0), F.count_if(vehicle) - 1).alias("transfers"), F.count_if(vehicle).alias("vehicles"), F.sum(F.when(mode == "car", km).otherwise(0.0)).alias("car_km"),
         F.sum(emissions(mode, km)).alias("emissions"), F.max("cost_level").alias("cost_level"), F.max_by("mode", F.struct("km", -F.col("leg_no"))).alias("primary_mode"), F.count("*").alias("legs"),
         F.when(F.count_if(vehicle) > 0, 0).otherwise(1).alias("no_vehicle"), F.when(F.count_if(mode == "flight") > 0, 0).otherwise(1).alias("no_flight"),
-        F.bool_and(mode == "walk").alias("walk_only"),
+        F.bool_and(mode == "walk").alias("walk_only"), F.sum(gc).alias("gc_km"), F.bool_or(crawls).alias("crawls"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leg_no", "mode"))), lambda x: x["mode"]), ",").alias("modes"),
     )
 
 
+#: Legs and trips over LONG_KM are checked for speed and detours; rides take no longer than three hours and the trip at 15 km/h.
+LONG_KM, LEAST_KMH, DETOUR, MOST_LEGS, RIDE_HOURS, RIDE_KMH, WALK_KM = 75.0, 25.0, 2.0, 10, 3.0, 15.0, 10.0
+
+
 def plausible(cands: DataFrame, trip_km) -> DataFrame:
-    """Without chains of over ten legs, rides far too slow for the trip, detours of over twice a long trip, and long walks."""
-    slow = F.col("ride_s") / 3600 > 3 + trip_km / 15
-    detour = (trip_km > 75) & (F.col("km") > 2 * trip_km)
-    return cands.where(~((F.col("legs") > 10) | slow | detour | (F.col("walk_only") & (F.col("km") > 10))))
+    """Without chains of over ten legs, rides far too slow for the trip, long legs that crawl, and detours of over twice a long trip."""
+    slow = F.col("ride_s") / 3600 > RIDE_HOURS + trip_km / RIDE_KMH
+    detour = (trip_km > LONG_KM) & (F.col("gc_km") / trip_km > DETOUR)
+    return cands.where(~((F.col("legs") > MOST_LEGS) | slow | F.col("crawls") | detour))
+
+
+def walkable():
+    """Whether a candidate isn't a long way on foot alone."""
+    return ~(F.col("walk_only") & (F.col("km") > WALK_KM))
 
 
 def exclude_modes(cands: DataFrame, uses_excluded, fallback_s: int = 57_600) -> DataFrame:
@@ -55,13 +69,25 @@ def exclude_modes(cands: DataFrame, uses_excluded, fallback_s: int = 57_600) ->
 
 
 def frontier(cands: DataFrame, axes: list[str]) -> DataFrame:
-    """Candidates of a request that no other one dominates: at least as good on all axes and better on one."""
-    d = cands.select("request", *[F.col(a).alias(f"o_{a}") for a in axes]).distinct()
-    least, some = F.lit(True), F.lit(False)
+    """Candidates of a request that no other one dominates: at least as good on all axes and better on one.
+
+    First within PARTS of a request by hash: what survives there, few of many, is compared across the request."""
+    part = F.pmod(F.xxhash64("cand"), F.lit(PARTS)).cast("int")
+    own = _undominated(cands.withColumn("__part", part), axes, ["request", "__part"])
+    return _undominated(own.drop("__part"), axes, ["request"])
+
+
+PARTS = 32
+
+
+def _undominated(cands: DataFrame, axes: list[str], keys: list[str]) -> DataFrame:
+    d = cands.select(*[F.col(k).alias(f"o_{k}") for k in keys], *[F.col(a).alias(f"o_{a}") for a in axes]).distinct()
+    met, some = F.lit(True), F.lit(False)
+    for k in keys:
+        met = met & (F.col(f"o_{k}") == F.col(k))
     for a in axes:
-        least, some = least & (F.col(f"o_{a}") <= F.col(a)), some | (F.col(f"o_{a}") < F.col(a))
-    c = cands.withColumnRenamed("request", "__request")
-    return c.join(d, (F.col("__request") == F.col("request")) & least & some, "left_anti").withColumnRenamed("__request", "request")
+        met, some = met & (F.col(f"o_{a}") <= F.col(a)), some | (F.col(f"o_{a}") < F.col(a))
+    return cands.join(d, met & some, "left_anti")
 
 
 def rank(cands: DataFrame, objective: str, top: int = 3) -> DataFrame:
@@ -88,10 +114,10 @@ def humanize(seconds):
     return F.when(text == "", "0m").otherwise(text)
 
 
-def signatures(legs: DataFrame) -> DataFrame:
-    """request, cand, signature: the modes and places of a candidate's legs in order."""
-    parts = F.array_sort(F.collect_list(F.struct("leg_no", F.concat_ws(":", "mode", F.col("km").cast("int").cast("string")).alias("s"))))
-    return legs.groupBy("request", "cand").agg(parts.alias("p")).select("request", "cand", F.array_join(F.col("p.s"), ">").alias("signature"))
+def with_signature(cands: DataFrame) -> DataFrame:
+    """Candidates of metrics() with signature: what tells them apart for ranking, five rounded metrics and the modes in order."""
+    parts = [F.bround("total_s").cast("long"), F.bround("cost", 2), F.col("transfers"), F.bround("car_km", 3), F.bround("emissions", 1)]
+    return cands.withColumn("signature", F.concat_ws("|", *[p.cast("string") for p in parts], "modes"))
 
 
 def dedupe(cands: DataFrame, order: str = "cand") -> DataFrame:

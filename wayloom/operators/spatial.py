@@ -7,37 +7,47 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayloom.functions.geo import haversine_km, in_polygons
+from wayloom.functions.geo import EARTH_KM, haversine_km, in_polygons
+from wayloom.operators.fixpoint import written
 
-KM_PER_DEGREE = 111.195
+#: A little less than a degree of latitude, so that cells are a little wider than a radius.
+KM_PER_DEGREE = 111.19
 
 
-def _cells(df: DataFrame, lat: str, lon: str, cell: float, ring: int = 0) -> DataFrame:
-    ci, cj = F.floor(F.col(lat) / cell), F.floor(F.col(lon) / cell)
-    if not ring:
-        return df.withColumns({"ci": ci, "cj": cj})
-    around = F.sequence(F.lit(-ring), F.lit(ring))
-    return df.withColumn("__i", F.explode(around)).withColumn("__j", F.explode(around)).withColumns({"ci": ci + F.col("__i"), "cj": cj + F.col("__j")}).drop("__i", "__j")
+def _columns(band, cell: float, km: float):
+    """Cells of a band of latitude: as many as leave each wide enough for km at the poleward edge of the next band; near a pole one."""
+    top = F.radians(F.least(F.lit(90.0), (F.greatest(F.abs(band), F.abs(band + 1)) + 1) * cell))
+    ratio = F.lit(math.sin(min(km / (2 * EARTH_KM), math.pi / 2))) / F.cos(top)
+    width = F.when(ratio >= 1, 360.0).otherwise(F.degrees(2 * F.asin(F.least(ratio, F.lit(1.0)))))
+    return F.greatest(F.lit(1), F.floor(360 / width)).cast("int")
 
 
-def within(points: DataFrame, places: DataFrame, km: float, max_lat: float = 75.0) -> DataFrame:
-    """Pairs of points (lat, lon, ...) and places (p_lat, p_lon, ...) at most km apart, with km."""
-    cell = km / (KM_PER_DEGREE * math.cos(math.radians(max_lat))) if km < 2000 else 360.0
-    cell = max(cell, km / KM_PER_DEGREE)
-    pairs = _cells(points, "lat", "lon", cell, 1).join(_cells(places, "p_lat", "p_lon", cell), ["ci", "cj"]).drop("ci", "cj")
+def _cells(df: DataFrame, lat: str, lon: str, km: float, around: bool) -> DataFrame:
+    """df with ci, cj: its cell, or a row for each cell around it; longitudes wrap."""
+    cell = min(180.0, km / KM_PER_DEGREE)
+    band = F.floor(F.col(lat) / cell).cast("int")
+    df = df.withColumn("ci", F.explode(F.sequence(band - 1, band + 1)) if around else band)
+    n = _columns(F.col("ci"), cell, km)
+    j = F.least(F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / 360 * n).cast("int"), n - 1)
+    return df.withColumn("cj", F.explode(F.array_distinct(F.array(F.pmod(j - 1 + n, n), j, F.pmod(j + 1, n)))) if around else j)
+
+
+def within(points: DataFrame, places: DataFrame, km: float) -> DataFrame:
+    """Pairs of points (lat, lon, ...) and places (p_lat, p_lon, ...) at most km apart, with km; across the 180th meridian and at the poles too."""
+    pairs = _cells(points, "lat", "lon", km, True).join(_cells(places, "p_lat", "p_lon", km, False), ["ci", "cj"]).drop("ci", "cj")
     return pairs.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).where(F.col("km") <= km)
 
 
-def nearest(points: DataFrame, key: str, places: DataFrame, place: str, first_km: float = 25.0, rounds: int = 12) -> DataFrame:
-    """(key, place, km): each point's nearest place, ties by the smaller place; the radius doubles for points without one."""
+def nearest(points: DataFrame, key: str, places: DataFrame, place: str, first_km: float = 25.0) -> DataFrame:
+    """(key, place, km): each point's nearest place, ties by the smaller place; points without one yet look four times as far, up to the whole globe."""
     left, out, km = points, None, first_km
-    for _ in range(rounds):
-        found = within(left, places, km).groupBy(key).agg(F.min(F.struct("km", place)).alias("m")).select(key, f"m.{place}", "m.km")
+    while True:
+        found = written(within(left, places, km).groupBy(key).agg(F.min(F.struct("km", place)).alias("m")).select(key, f"m.{place}", "m.km"), "nearest")
         out = found if out is None else out.unionByName(found)
-        left, km = points.join(out, key, "left_anti"), km * 4
-        if km >= 20040 * 4 or left.isEmpty():
-            break
-    return out
+        left = written(left.join(found.select(key), key, "left_anti"), "left")
+        if km > math.pi * EARTH_KM or left.isEmpty():
+            return out
+        km *= 4
 
 
 def top_near(points: DataFrame, key: str, places: DataFrame, place: str, km: float, k: int, apart: bool = True) -> DataFrame:
@@ -48,18 +58,47 @@ def top_near(points: DataFrame, key: str, places: DataFrame, place: str, km: flo
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Degrees of the squares in which points meet boxes.
+SQUARE = 5.0
+
+
+def _in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Points joined with the boxes (lat0, lon0, lat1, lon1) that hold them: both meet in squares, however many boxes there are."""
+    square = lambda c: F.floor(F.col(c) / SQUARE).cast("int")
+    b = boxes.where("lat0 <= lat1 and lon0 <= lon1").withColumn("ci", F.explode(F.sequence(square("lat0"), square("lat1")))).withColumn("cj", F.explode(F.sequence(square("lon0"), square("lon1"))))
+    inside = F.col("lat").between(F.col("lat0"), F.col("lat1")) & F.col("lon").between(F.col("lon0"), F.col("lon1"))
+    return points.withColumns({"ci": square("lat"), "cj": square("lon")}).join(b, ["ci", "cj"]).where(inside).drop("ci", "cj")
+
+
 def covering(points: DataFrame, boxes: DataFrame, group: str, box: str) -> DataFrame:
-    """(group, box, area) of the boxes (lat0, lon0, lat1, lon1) that cover every point of a group; boxes are a small catalog."""
+    """(group, box, area) of the boxes (lat0, lon0, lat1, lon1) that cover every point of a group."""
     n = points.groupBy(group).agg(F.count("*").alias("n"))
-    inside = F.col("lat").between(F.col("lat0"), F.col("lat1")) & F.col("lon").between(F.col("lon0"), F.col("lon1"))
-    hits = points.join(F.broadcast(boxes), inside).groupBy(group, box).agg(F.count("*").alias("hits"), F.first((F.col("lat1") - F.col("lat0")) * (F.col("lon1") - F.col("lon0"))).alias("area"))
+    hits = _in_boxes(points, boxes).groupBy(group, box).agg(F.count("*").alias("hits"), F.first((F.col("lat1") - F.col("lat0")) * (F.col("lon1") - F.col("lon0"))).alias("area"))
     return hits.join(n, group).where("hits = n").select(group, box, "area")
 
 
+def touching(points: DataFrame, boxes: DataFrame, group: str, box: str) -> DataFrame:
+    """(group, box) of the boxes that hold at least one point of a group."""
+    return _in_boxes(points, boxes).select(group, box).distinct()
+
+
 def smallest_region(points: DataFrame, regions: DataFrame, group: str) -> DataFrame:
     """For each group the smallest region (region_id, parent, lat0.., polygons) that has a parent and holds all points."""
-    inside = F.col("lat").between(F.col("lat0"), F.col("lat1")) & F.col("lon").between(F.col("lon0"), F.col("lon1"))
     n = points.groupBy(group).agg(F.count("*").alias("n"))
-    hits = points.join(F.broadcast(regions.where("parent is not null")), inside).where(in_polygons(F.col("lat"), F.col("lon"), F.col("polygons")))
+    hits = _in_boxes(points, regions.where("parent is not null")).where(in_polygons(F.col("lat"), F.col("lon"), F.col("polygons")))
     each = hits.groupBy(group, "region_id").agg(F.count("*").alias("hits"), F.first((F.col("lat1") - F.col("lat0")) * (F.col("lon1") - F.col("lon0"))).alias("area"))
     return each.join(n, group).where("hits = n").groupBy(group).agg(F.min(F.struct("area", "region_id")).alias("m")).select(group, "m.region_id", "m.area")
+
+
+def fill_zones(stops: DataFrame) -> DataFrame:
+    """(stop_id, tz) of stops (stop_id, lat, lon, tz): a stop without a zone takes that of the nearest stop with one."""
+    known = stops.where("tz is not null").select(F.col("stop_id").alias("from_stop"), "tz", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    near = nearest(stops.where("tz is null").select("stop_id", "lat", "lon"), "stop_id", known, "from_stop")
+    return stops.where("tz is not null").select("stop_id", "tz").unionByName(near.join(known.select("from_stop", "tz"), "from_stop").select("stop_id", "tz"))
+
+
+def zone_of_doors(doors: DataFrame, key: str, stops: DataFrame, default: DataFrame) -> DataFrame:
+    """(key, tz): the zone of each door's nearest stop, or the feed's (default, one row tz) where that stop has none."""
+    places = stops.select("stop_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    own = nearest(doors, key, places, "stop_id").join(stops.select("stop_id", "tz"), "stop_id")
+    return own.select(key, "tz").join(F.broadcast(default.select(F.col("tz").alias("__tz")).limit(1)), how="left").select(key, F.coalesce("tz", "__tz").alias("tz"))

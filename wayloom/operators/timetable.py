@@ -37,18 +37,29 @@ def connections(trips: DataFrame, calls: DataFrame, start: str, end: str, condit
 
     A run counts if one of its segments leaves within the window; its later segments come along, earlier ones don't.
     """
-    first = F.date_sub(F.lit(start).cast("date"), look_back_days)
-    days = trips.withColumn("day", F.explode(F.sequence(first, F.lit(end).cast("date"))))
+    first, last = F.date_sub(F.lit(start).cast("date"), look_back_days), F.lit(end).cast("date")
+    # trips that can't run in the range go before their days are listed, calls of trips that don't run before they are sorted
+    near = (F.col("start_day") <= last) & (F.col("end_day") >= first) | F.exists("added", lambda d: d.between(first, last))
+    days = trips.where(near).withColumn("day", F.explode(F.sequence(first, last)))
     calendar = runs_on(F.col("day"), *(F.col(c) for c in ("start_day", "end_day", "weekdays", "added", "removed")))
     days = days.where(is_active(F.col("day"), calendar, F.col("open_months"), F.col("required"), F.col("forbidden"), conditions)).select("trip_id", "mode", "day")
     at = lambda s: (F.col("day").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col(s).cast("decimal(18,6)")))
-    seg = segments(calls.join(valid_trips(calls), "trip_id", "left_semi")).where("arr_s > dep_s")
+    seg = good_segments(calls.join(days.select("trip_id").distinct(), "trip_id", "left_semi")).where("arr_s > dep_s")
     c = days.join(seg, "trip_id").select(F.concat_ws("@", F.col("trip_id").cast("string"), F.col("day").cast("string")).alias("run_id"), "trip_id", "mode", "seq", "dep_stop", "arr_stop", at("dep_s").alias("dep"), at("arr_s").alias("arr"))
     c = c.where(F.col("dep") >= F.lit(start).cast("timestamp_ntz"))
     boardable = c.where(F.col("dep") <= F.lit(end).cast("timestamp_ntz")).select("run_id").distinct()
     return c.join(boardable, "run_id", "left_semi")
 
 
+def good_segments(calls: DataFrame) -> DataFrame:
+    """segments() of valid_trips(), in one pass over the calls of a trip."""
+    w, whole = Window.partitionBy("trip_id").orderBy("seq"), Window.partitionBy("trip_id")
+    bad = (F.col("arr_s") > F.col("dep_s")) | F.coalesce(F.col("arr_s") < F.lag("dep_s").over(w), F.lit(False))
+    s = calls.select("trip_id", "seq", F.col("stop_id").alias("dep_stop"), "dep_s", F.lead("stop_id").over(w).alias("arr_stop"), F.lead("arr_s").over(w).alias("next_s"), bad.alias("bad"))
+    s = s.withColumn("bad", F.max("bad").over(whole)).where("not bad and arr_stop is not null")
+    return s.select("trip_id", "seq", "dep_stop", "arr_stop", "dep_s", F.col("next_s").alias("arr_s"))
+
+
 def merge_stops(feeds: DataFrame, apart_km: float = 1.0) -> DataFrame:
     """Stops (feed, stop_id, lat, lon, ...) of several feeds with new_id: the first feed's stop keeps its id; another
     feed's stop of the same id that lies farther than apart_km is another stop."""
@@ -67,7 +78,7 @@ def clip(calls: DataFrame, stops: DataFrame, lat0: float, lon0: float, lat1: flo
 
 def expand_frequencies(calls: DataFrame, windows: DataFrame, most: int = 2000) -> DataFrame:
     """Calls of every run of frequency windows (trip_id, start_s, end_s, headway_s) and of the trips without any."""
-    good = windows.where("headway_s > 0 and end_s > start_s").where(F.ceil((F.col("end_s") - F.col("start_s")) / F.col("headway_s")) <= most)
+    good = windows.where("headway_s > 0 and end_s > start_s").where(F.floor((F.col("end_s") - F.col("start_s")) / F.col("headway_s")) <= most)
     runs = good.select("trip_id", F.explode(F.sequence(F.col("start_s"), F.col("end_s") - 1, F.col("headway_s"))).alias("at")).distinct()
     anchor = calls.groupBy("trip_id").agg(F.min("dep_s").alias("anchor"))
     moved = calls.join(runs, "trip_id").join(anchor, "trip_id")

@@ -1,7 +1,7 @@
 """A deterministic travel domain over the star-schema tables, in SQL that Spark and DuckDB read alike.
 
-Suppliers are stops, orders trips, line items calls, customers road nodes and doors, consecutive orders road arcs,
-events trip requests, nations square regions.
+Suppliers are stops, orders trips, line items calls, customers road nodes and doors, orders road arcs between
+neighbouring nodes, events trip requests (users leave one of ten towns at one of four times a day), nations square regions.
 """
 
 from __future__ import annotations
@@ -25,16 +25,17 @@ CALLS = """SELECT trip_id, seq, stop_id, tm - 60 AS arr_s, tm AS dep_s FROM (
     ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS BIGINT) AS seq FROM lineitem) x) y"""
 DOORS = """SELECT c_custkey AS door, 44 + (c_custkey * 53 % 1000) / CAST(125 AS DOUBLE) AS lat, 2 + (c_custkey * 29 % 1000) / CAST(80 AS DOUBLE) AS lon FROM customer"""
 ARCS = """SELECT arc, tail, head, base_seconds, class, bearing, season FROM (
-  SELECT o_orderkey AS arc, o_custkey AS tail, lead(o_custkey) OVER (ORDER BY o_orderkey) AS head,
+  SELECT o_orderkey AS arc, o_custkey AS tail, greatest(1, o_custkey + o_orderkey % 21 - 10) AS head,
     30 + CAST(floor(o_totalprice) AS BIGINT) % 600 AS base_seconds,
     CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'motorway' WHEN '2' THEN 'primary' WHEN '3' THEN 'residential' WHEN '4' THEN 'ferry' ELSE 'track' END AS class,
-    CAST(o_orderkey * 37 % 360 AS DOUBLE) AS bearing, o_orderstatus AS season FROM orders) a WHERE head IS NOT NULL AND head <> tail"""
+    CAST(o_orderkey * 37 % 360 AS DOUBLE) AS bearing, o_orderstatus AS season FROM orders) a WHERE head <> tail"""
 LEGS = """SELECT l_orderkey % 50 AS request, l_orderkey AS cand, seq AS leg_no,
   CASE (l_partkey + l_suppkey) % 6 WHEN 0 THEN 'walk' WHEN 1 THEN 'car' WHEN 2 THEN 'flight' WHEN 3 THEN 'ferry' ELSE 'train' END AS mode,
-  CAST(l_quantity AS DOUBLE) * 4 AS km, CAST(l_quantity AS BIGINT) * 240 AS travel_s, CAST(l_partkey % 30 AS BIGINT) * 60 AS overhead_s,
+  CAST(l_quantity AS DOUBLE) * 4 AS km, CAST(l_quantity AS BIGINT) * CASE WHEN l_partkey % 7 = 0 THEN 800 ELSE 240 END AS travel_s, CAST(l_partkey % 30 AS BIGINT) * 60 AS overhead_s,
   1 + l_linenumber % 3 AS cost_level
   FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS BIGINT) AS seq FROM lineitem) x"""
-REQUESTS = """SELECT event_id AS request, user_id AS origin, (user_id * 13 + 7) % 100 AS dest, ts AS depart, event_type FROM events"""
+REQUESTS = """SELECT event_id AS request, 1 + user_id % 10 AS origin, 1 + (user_id * 13 + 7) % 100 AS dest,
+  CAST(18000 + floor(hour(ts) / 6) * 14400 AS BIGINT) AS depart, event_type FROM events"""
 VIEWS = {"stops": STOPS, "trips": TRIPS, "calls": CALLS, "doors": DOORS, "arcs": ARCS, "legs": LEGS, "requests": REQUESTS}
 
 
@@ -67,7 +68,7 @@ def calendars(trips: DataFrame) -> DataFrame:
 ACTIVE = """(CASE WHEN d = start_day + INTERVAL 3 DAY THEN FALSE WHEN d = start_day + INTERVAL 30 DAY THEN TRUE
   ELSE d BETWEEN start_day AND start_day + INTERVAL 27 DAY AND isodow(d) - 1 <> off_day END)
   AND (season <> 'O' OR month(d) BETWEEN 4 AND 10)"""
-HAV = "2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2))))"
+HAV = "CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2)))) END"
 
 
 def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
