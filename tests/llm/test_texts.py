@@ -280,6 +280,44 @@ def test_language_model(spark):
     assert brown_lm.lm_scores(empty(spark)).count() == 0
 
 
+def test_language_model_by_brute_force(spark):
+    """The model's own classes, and probabilities by plain counting; the exchange by Spark jobs raises the mutual information."""
+    df = docs(spark)
+    encoded, counts, m = brown_lm.fit(df, head=120, items=20, classes=6)
+    place = {w: k + 1 for k, w in enumerate(m.words)}
+    cls = lambda w: m.label[place.get(w, len(m.words) + 1 + brown_lm.signature(w))]
+    split = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
+    data = [(r[0], (r[1] or "").encode().lower().split()) for r in rows()]
+    pairs, c = Counter(), Counter()
+    for d, ws in data:
+        if not split(d):
+            path = [0, *map(cls, ws), 0]
+            pairs.update(zip(path, path[1:], strict=False))
+            c.update(ws)
+    classes = range(6)
+    into, outof, total = Counter(), Counter(), sum(pairs.values())
+    for (a, b), n in pairs.items():
+        into[b] += n
+        outof[a] += n
+    mass, kinds = Counter(), Counter()
+    for w, n in c.items():
+        mass[cls(w)] += n
+        kinds[cls(w)] += 1
+    share = {b: (into[b] + 0.5) / (total + 0.5 * 6) for b in classes}
+    want = []
+    for d, ws in data:
+        path = [0, *map(cls, ws), 0]
+        x = sum(math.log10((pairs[a, b] + 10 * share[b]) / (outof[a] + 10)) for a, b in zip(path, path[1:], strict=False))
+        x += sum(math.log10((c[w] + 0.5) / (mass[cls(w)] + 0.5 * (kinds[cls(w)] + 1))) for w in ws)
+        want.append((d or -1, round(x, 5)))
+    got = brown_lm.score(encoded, counts, m).collect()
+    assert sorted((r.doc_id or -1, round(r.score, 5)) for r in got) == sorted(want)
+    start = brown_lm.fit(df, head=120, items=20, classes=6, rounds=0)[2]
+    train = encoded.where("not held_out")
+    assert brown_lm.log_sum(brown_lm.class_pairs(train, m.label, 6)) > brown_lm.log_sum(brown_lm.class_pairs(train, start.label, 6))
+    assert len(set(m.label[1 : len(m.words) + 1])) > 2 and (m.label[1:] > 0).all()
+
+
 def test_exchange_raises_mutual_information():
     import numpy as np
 

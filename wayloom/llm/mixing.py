@@ -63,7 +63,7 @@ def queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float =
     """doc_id, source, name, size, source_size, target, before (words of its source served before it), and the key if one is named. written may cut lineage."""
     row = [key] if key else []
     d = written(sizes(docs, key))
-    bits = max(4, (d.count() // bucket_rows).bit_length())
+    bits = max(7, (d.count() // bucket_rows).bit_length())
     name = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source"))
     d = d.withColumns({"key": name, "bucket": F.shiftright("h", HASH_BITS - bits).cast("int")})
     sums = d.groupBy("key", "bucket").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
