@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Base and per-km rate of a fare, and grams of CO2 per km, by mode.
@@ -36,8 +36,32 @@ def emissions(mode: Column, km: Column) -> Column:
     return km * choose(mode, EMISSIONS, OTHER_EMISSIONS)
 
 
+def level(rank: Column) -> Column:
+    """A cost level, 1 to 3."""
+    return F.greatest(F.lit(1), F.least(F.lit(3), rank))
+
+
+def table_fare(rates: DataFrame):
+    """A fare model from a table (mode, base, per_km), small: a function of legs that adds fare; modes it lacks cost by OTHER_FARE."""
+
+    def priced(legs: DataFrame) -> DataFrame:
+        r = rates.select(F.col("mode").alias("__mode"), F.col("base").alias("__base"), F.col("per_km").alias("__rate"))
+        cost = F.greatest(F.lit(0.0), F.coalesce("__base", F.lit(OTHER_FARE[0])) + F.coalesce("__rate", F.lit(OTHER_FARE[1])) * F.col("km"))
+        return legs.join(r, F.col("mode") == F.col("__mode"), "left").withColumn("fare", cost).drop("__mode", "__base", "__rate")
+
+    return priced
+
+
+def with_calendar(df: DataFrame, at: str, days: DataFrame) -> DataFrame:
+    """df with holiday and school_break of the day of `at` by a table (day, kind: 'holiday' or 'school_break'); days it lacks are neither."""
+    kinds = days.groupBy(F.col("day").cast("date").alias("__day")).agg(F.bool_or(F.col("kind") == "holiday").alias("holiday"), F.bool_or(F.col("kind") == "school_break").alias("school_break"))
+    none = F.lit(False)
+    joined = df.join(kinds, F.col(at).cast("date") == F.col("__day"), "left")
+    return joined.withColumns({k: F.coalesce(k, none) for k in ("holiday", "school_break")}).drop("__day")
+
+
 def speed_factor(road: Column, at: Column, holiday: Column, school_break: Column) -> Column:
-    """Slowdown of a road class at a local time. A school break halves what a weekday's factor has above 1."""
+    """Slowdown of a road class at a local time. A holiday has no rush hours; a school break halves what a factor has above 1."""
     average = choose(road, AVERAGE, 1.0)
     hour, workday, fast = F.hour(at), F.weekday(at) < 5, road.isin(*HIGHWAYS)
     peak = F.when(fast, 1.20).otherwise(1.45)

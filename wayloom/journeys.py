@@ -575,8 +575,12 @@ def _shipped(f):
 
 
 def queries() -> dict:
+    import wayloom.journeys_sources  # noqa: F401 (adds its queries)
+
     return {n: _shipped(f) for n, f in _Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    import wayloom.journeys_sources  # noqa: F401
+
     return dict(_SQL)

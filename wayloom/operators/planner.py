@@ -30,14 +30,17 @@ def clock(legs: DataFrame) -> DataFrame:
     return legs.withColumn("arrive_s", arrive).withColumn("depart_s", F.col("arrive_s") - F.col("travel_s"))
 
 
-def metrics(legs: DataFrame) -> DataFrame:
+def metrics(legs: DataFrame, fares=None) -> DataFrame:
     """One row for each candidate: total_s, km, cost (fares), transfers, vehicles, car_km, emissions, cost_level, primary_mode, modes,
     gc_km (great circles of its legs; km where legs have none) and crawls (a long leg far too slow for its ends)."""
+    if fares is not None:  # a fare model: a function of legs that adds fare
+        legs = fares(legs)
     vehicle, mode, km = F.col("mode").isin(*VEHICLES), F.col("mode"), F.col("km")
+    price = fare(mode, km) if fares is None else F.col("fare")
     gc = F.col("gc_km") if "gc_km" in legs.columns else km
     crawls = (mode != "walk") & (gc > LONG_KM) & (F.col("travel_s") > 0) & (gc / (F.col("travel_s") / 3600) < LEAST_KMH)
     return legs.groupBy("request", "cand").agg(
-        F.sum(F.col("travel_s") + F.col("overhead_s")).alias("total_s"), F.sum("travel_s").alias("ride_s"), F.sum("km").alias("km"), F.round(F.sum(F.round(fare(mode, km), 2)), 2).alias("cost"),
+        F.sum(F.col("travel_s") + F.col("overhead_s")).alias("total_s"), F.sum("travel_s").alias("ride_s"), F.sum("km").alias("km"), F.round(F.sum(F.round(price, 2)), 2).alias("cost"),
         F.greatest(F.lit(0), F.count_if(vehicle) - 1).alias("transfers"), F.count_if(vehicle).alias("vehicles"), F.sum(F.when(mode == "car", km).otherwise(0.0)).alias("car_km"),
         F.sum(emissions(mode, km)).alias("emissions"), F.max("cost_level").alias("cost_level"), F.max_by("mode", F.struct("km", -F.col("leg_no"))).alias("primary_mode"), F.count("*").alias("legs"),
         F.when(F.count_if(vehicle) > 0, 0).otherwise(1).alias("no_vehicle"), F.when(F.count_if(mode == "flight") > 0, 0).otherwise(1).alias("no_flight"),

@@ -44,6 +44,65 @@ def search(places: DataFrame, text: str, limit: int = 8) -> DataFrame:
     return places.withColumn("tier", tier).where("tier is not null").orderBy("tier", F.lower("name"), "name").limit(limit)
 
 
+def search_airports(airports: DataFrame, text: str, limit: int = 8) -> DataFrame:
+    """Airports (iata, name, city, n: their order in the file): the code itself, then names or cities that start with the text by name, then
+    those that hold it by n. Texts of one character find nothing."""
+    q = text.strip().lower()
+    code, name, city = (F.lower(c) for c in ("iata", "name", "city"))
+    tier = F.when(code == q, 0).when(name.startswith(q) | city.startswith(q), 1).when(name.contains(q) | city.contains(q), 2)
+    found = airports.withColumn("tier", tier).where(F.col("tier").isNotNull() & F.lit(len(q) >= 2))
+    return found.orderBy("tier", F.when(F.col("tier") == 1, name), "n").limit(limit)
+
+
+def search_stops(stops: DataFrame, text: str, limit: int = 8) -> DataFrame:
+    """Stops (name, stop_type) but airports whose name holds the text, those that start with it first, each by name."""
+    q = text.strip().lower()
+    name = F.lower(F.coalesce("name", F.lit("")))
+    found = stops.where((F.col("stop_type") != "airport") & name.contains(q) & F.lit(len(q) >= 2))
+    return found.withColumn("tier", F.when(name.startswith(q), 0).otherwise(1)).orderBy("tier", name, "stop_id").limit(limit)
+
+
+#: Fixed value: a place from an open source with a known name nearer than this is that place.
+SAME_PLACE_KM = 50.0
+
+
+def suggestions(found: DataFrame, limit: int = 8) -> DataFrame:
+    """Merged hits (source_no, n, label, lat, lon): by source and n, each spot (three decimals) once but for source 0; hits of the last
+    source, 3, also go if an earlier one has their name nearby."""
+    from pyspark.sql import Window
+
+    from wayloom.functions.geo import haversine_km
+
+    spot = [F.bround("lat", 3).alias("a"), F.bround("lon", 3).alias("b")]
+    w = Window.partitionBy("a", "b").orderBy("source_no", "n")
+    once = found.select("*", *spot).withColumn("k", F.row_number().over(w)).where("k = 1 or source_no = 0").drop("a", "b", "k")
+    key = F.lower(F.trim(F.split_part("label", F.lit(","), F.lit(1))))
+    once = once.withColumn("key", key)
+    earlier = once.select(F.col("key").alias("key2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("source_no").alias("s2"), F.col("n").alias("n2"))
+    before = (F.col("s2") < F.col("source_no")) | ((F.col("s2") == F.col("source_no")) & (F.col("n2") < F.col("n")))
+    near = haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= SAME_PLACE_KM
+    known = once.where("source_no = 3").join(earlier, (F.col("key") == F.col("key2")) & before & near, "left_semi").select("source_no", "n")
+    return once.join(known, ["source_no", "n"], "left_anti").orderBy("source_no", "n").limit(limit).select("source_no", "label", "lat", "lon")
+
+
+def rail_first(feeds: DataFrame, rail: str = "rail", order: tuple[str, ...] = ("area", "feed_id")) -> DataFrame:
+    """Feeds with rail before the others, each in their order."""
+    return feeds.orderBy(F.when(F.col(rail), 0).otherwise(1), *order)
+
+
+def geocode(names: DataFrame, sources: list[DataFrame]) -> DataFrame:
+    """(name, lat, lon) of names (name) by the first source (place, lat, lon) that knows the place before the comma; raises for others."""
+    from wayloom.functions.parsing import place_key
+
+    out = names.select("name", place_key(F.col("name")).alias("place"), F.lit(None).cast("struct<lat:double,lon:double>").alias("at"))
+    for s in sources:
+        once = s.groupBy(place_key(F.col("place")).alias("place")).agg(F.first(F.struct(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))).alias("__at"))
+        out = out.join(once, "place", "left").withColumn("at", F.coalesce("at", "__at")).drop("__at")
+    if unknown := [r["name"] for r in out.where("at is null").select("name").limit(5).collect()]:
+        raise ValueError(f"unknown places: {unknown}")
+    return out.select("name", "at.lat", "at.lon")
+
+
 def take_budget(feeds: DataFrame, order: str, size: str, budget: int = 80_000, attempts: int = 4) -> DataFrame:
     """Of the first feeds in order, those with trips, up to (not with) the one whose running sum passes the budget; the first always."""
     from pyspark.sql import Window

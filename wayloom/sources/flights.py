@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from wayloom.functions.geo import haversine_km
 from wayloom.operators.spatial import within
+from wayloom.sources.gtfs import with_valid_zone
 
 AIRPORTS = "id string, name string, city string, country string, iata string, icao string, lat double, lon double, alt string, tz_offset string, dst string, tz string, type string, source string"
 ROUTES = "airline string, airline_id string, src string, src_id string, dst string, dst_id string, codeshare string, stops string, equipment string"
 
 
 def read_airports(spark: SparkSession, path: str) -> DataFrame:
-    """Airports with a code and coordinates; of rows with one code the last counts."""
+    """Airports with a code and coordinates; of rows with one code the last counts; n is its place in the file, zones that don't exist are null."""
     a = spark.read.schema(AIRPORTS).option("nullValue", "\\N").csv(path).withColumn("__row", F.monotonically_increasing_id())
-    return a.where("iata is not null and lat is not null and lon is not null").groupBy("iata").agg(F.max_by(F.struct("name", "city", "country", "lat", "lon", "tz"), "__row").alias("a")).select("iata", "a.*")
+    return a.where("iata is not null and lat is not null and lon is not null").groupBy("iata").agg(F.max_by(F.struct("name", "city", "country", "lat", "lon", "tz", F.col("__row").alias("n")), "__row").alias("a")).select("iata", "a.*").transform(with_valid_zone)
 
 
 def read_routes(spark: SparkSession, path: str) -> DataFrame:
@@ -41,6 +42,18 @@ def synthetic_flights(pairs: DataFrame, airports: DataFrame, hours: list[int], g
     return f.select(F.format_string("%s-%s@%02d", F.col("src").cast("string"), F.col("dst").cast("string"), "hour").alias("trip_id"), "src", "dst", dep.alias("dep_s"), (dep + gate_s + km / kmh * 3600).alias("arr_s"))
 
 
+def trimmed(pairs: DataFrame, least: int) -> DataFrame:
+    """Pairs whose ends both have `least` routes or more."""
+    busy = degrees(pairs).where(F.col("degree") >= least)
+    return pairs.join(busy.select(F.col("iata").alias("src")), "src", "left_semi").join(busy.select(F.col("iata").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+def keep_set(points: DataFrame, airports: DataFrame, degree: DataFrame, near_km: float, **hub) -> DataFrame:
+    """iata of the airports near the points, and of the hubs around them."""
+    near = within(points, airports.select("iata", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), near_km).select("iata")
+    return near.unionByName(hubs(points, airports, degree, **hub).select("iata")).distinct()
+
+
 def hubs(points: DataFrame, airports: DataFrame, degree: DataFrame, least: int = 80, km: float = 3000.0, k: int = 6) -> DataFrame:
     """(point, iata, degree, rank): the k busiest airports within km of each point, ties by the larger code."""
     busy = airports.join(degree.where(F.col("degree") >= least), "iata").select("iata", "degree", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))

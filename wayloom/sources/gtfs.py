@@ -20,15 +20,35 @@ class Timetable:
 
 
 def table(spark: SparkSession, feed: str, name: str, columns: list[str]) -> DataFrame | None:
-    """A file of the feed with all named columns as strings (null where the file lacks one); None without the file."""
+    """A file of the feed with all named columns as strings (null where the file lacks one); None without the file. A file that isn't UTF-8 is Latin-1."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{feed}/{name}.txt")
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return None
-    df = spark.read.option("header", True).option("multiLine", True).csv(f"{feed}/{name}.txt")
+    plain = spark.read.text(f"{feed}/{name}.txt").where(~F.is_valid_utf8("value")).isEmpty()
+    df = spark.read.option("header", True).option("multiLine", True).option("encoding", "UTF-8" if plain else "ISO-8859-1").csv(f"{feed}/{name}.txt")
     df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
     return df.select(*[F.trim(F.col(c)).alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
+def zones(spark: SparkSession) -> DataFrame:
+    """The names of all time zones (tz)."""
+    from zoneinfo import available_timezones
+
+    return spark.createDataFrame([(z,) for z in sorted(available_timezones())], "tz string")
+
+
+def with_valid_zone(df: DataFrame, column: str = "tz") -> DataFrame:
+    """df with the column null where it names no time zone."""
+    known = zones(df.sparkSession).select(F.col("tz").alias("__tz"))
+    return df.withColumn(column, F.trim(F.col(column))).join(F.broadcast(known), F.col(column) == F.col("__tz"), "left").withColumn(column, F.col("__tz")).drop("__tz")
+
+
+def feed_zone(agency: DataFrame) -> DataFrame:
+    """The most common valid zone of a feed's agencies (agency_timezone), of equally common ones the first; one row (tz) or none."""
+    a = with_valid_zone(agency.select(F.col("agency_timezone").alias("tz"), F.monotonically_increasing_id().alias("n"))).where("tz is not null")
+    return a.groupBy("tz").agg(F.count("*").alias("k"), F.min("n").alias("first")).orderBy(F.desc("k"), "first").limit(1).select("tz")
+
+
 DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 
 
@@ -57,6 +77,9 @@ def read_gtfs(spark: SparkSession, feed: str) -> Timetable:
     stops = table(spark, feed, "stops", ["stop_id", "stop_name", "stop_lat", "stop_lon", "stop_timezone", "parent_station"])
     number = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", 0.0).otherwise(F.col(c).try_cast("double"))
     stops = stops.select("stop_id", F.coalesce("stop_name", "stop_id").alias("name"), number("stop_lat").alias("lat"), number("stop_lon").alias("lon"), F.col("stop_timezone").alias("tz"), "parent_station").where("lat is not null and lon is not null")
+    stops = with_valid_zone(stops)
+    if (agency := table(spark, feed, "agency", ["agency_timezone"])) is not None:
+        stops = stops.join(F.broadcast(feed_zone(agency).select(F.col("tz").alias("__tz"))), how="left").withColumn("tz", F.coalesce("tz", "__tz")).drop("__tz")
     routes = table(spark, feed, "routes", ["route_id", "route_type"]).select("route_id", route_mode(F.col("route_type")).alias("mode"))
     trips = table(spark, feed, "trips", ["route_id", "service_id", "trip_id"]).join(routes, "route_id", "left").withColumn("mode", F.coalesce("mode", F.lit("train")))
     s = services(table(spark, feed, "calendar", ["service_id", *DAYS, "start_date", "end_date"]), table(spark, feed, "calendar_dates", ["service_id", "date", "exception_type"]))
