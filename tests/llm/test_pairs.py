@@ -52,6 +52,25 @@ def test_alignment_by_brute_force():
         assert abs(got - true) < 1e-12 if true >= 0.8 else got < 0.8
 
 
+def test_sketch_recall_by_similarity():
+    """Pairs that align at 0.8 or more share a sketch, in every band of similarity and for short and long texts."""
+    rng = random.Random(1)
+    words, bands = [f"w{i}" for i in range(3000)], {}
+    for _ in range(3000):
+        n = rng.choice([12, 30, 80, 200, 600])
+        a = [rng.choice(words) for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randint(1, max(1, n // 45))):
+            k, kind = rng.randrange(len(b)), rng.random()
+            b[k : k + (kind < 0.75)] = [rng.choice(words)] if kind < 0.5 or kind >= 0.75 else []
+        s = [order_minhash.labelled(order_minhash.word_hashes([" ".join(x).encode()])[0]) for x in (a, b)]
+        if (sim := order_minhash.alignment(*s)) >= 0.8:
+            hit = (order_minhash.sketches(s[0]) == order_minhash.sketches(s[1])).any()
+            bands.setdefault(min(int(sim * 20), 19), []).append(hit)
+    assert sorted(bands) == [16, 17, 18, 19]
+    assert all(len(x) > 50 and sum(x) >= 0.99 * len(x) for x in bands.values()), {k: (sum(x), len(x)) for k, x in bands.items()}
+
+
 def near_brute(data):
     seq = {}
     for d, t in data:

@@ -22,7 +22,7 @@ def test_pieces_equal_the_library(spark):
     path = queries.tokenizer_file("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = [r[1] or "" for r in rows()] + ["  two  spaces ", "   執筆", "▁x", "x" * 500, "          " * 5 + "z", "\x00a\n\n b", "😀é"]
-    m = piece_codec.model(open(path, "rb").read())
+    m = piece_codec.model(path)
     ids = m.encode(texts)
     assert [x.tolist() for x in ids] == lib.encode(texts)
     assert m.decode(ids) == [lib.decode(x.tolist()) for x in ids]
@@ -35,7 +35,7 @@ def test_pieces_equal_the_library(spark):
 
 
 def test_unigram_words_by_brute_force():
-    m = piece_codec.model(open(queries.tokenizer_file("piece_bpe_32k.model"), "rb").read())
+    m = piece_codec.model(queries.tokenizer_file("piece_bpe_32k.model"))
     m.bpe = False
     try:
         rng = random.Random(2)
@@ -75,6 +75,36 @@ def test_special_strings_in_texts(spark, tmp_path):
     assert [got[i] for i in range(4)] == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_token_counts_of_other_tokenizers(spark, tmp_path):
+    """A tokenizer that sees white space gets texts as they are."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    lib, texts = Tokenizer.from_file(path), ["a  b\n\n c", "a b c", " a  b", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, path, str(tmp_path / "cache")).collect()}
+    assert got == {i: len(lib.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_unsupported_models():
+    def field(n, value):
+        def varint(x):
+            out = b""
+            while x > 127:
+                out, x = out + bytes([x & 127 | 128]), x >> 7
+            return out + bytes([x])
+
+        return varint(n << 3) + varint(value) if isinstance(value, int) else varint(n << 3 | 2) + varint(len(value)) + value
+
+    plain = field(3, field(3, 1) + field(4, 0)) + field(2, field(3, 2))
+    piece_codec.check_supported(plain)
+    for bad in (field(3, field(4, 1)), field(3, field(4, 0) + field(2, b"map")), field(3, field(4, 0)) + field(1, field(1, b"x") + field(3, 4))):
+        with pytest.raises(ValueError):
+            piece_codec.check_supported(bad)
+    with open(queries.tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        piece_codec.check_supported(f.read())
+
+
 def brute_spans(text):
     out = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?i:(p[a]ssword|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m[2]) >= 6]
     out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]

@@ -29,7 +29,7 @@ from wayloom.llm.common import connected_components, materialize, packed, pieces
 
 SHINGLE, SIMILARITY = 5, 0.8
 MINIMA, SKETCHES, SMALL = 4, 16, 8
-BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+BLOCK, BLOCK_SHINGLES, SLICE_BYTES = 256, 1 << 20, 2 << 20
 M1, M2, BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x5851F42D4C957F2D
 SEEDS = np.random.default_rng(7).integers(1, 2**63, SKETCHES, dtype=np.int64).astype(np.uint64)
 _POWERS: list[np.ndarray] = []
@@ -179,9 +179,21 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def shorten(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in (x.slice(a, 256) for x in batches for a in range(0, x.num_rows, 256)):
-            s = [x.tobytes() for x in _sequences(unpacked(b.column(1).to_pylist()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], names=["doc_id", "s"])
+        def out() -> pa.RecordBatch:
+            s = [x.tobytes() for x in _sequences(texts)]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s, pa.binary())], names=["doc_id", "s"])
+
+        ids, texts, size = [], [], 0
+        for b in batches:
+            for i, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                texts += unpacked([z])
+                size += len(texts[-1])
+                if size > SLICE_BYTES:  # texts of any length: as many at once as take SLICE_BYTES
+                    yield out()
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield out()
 
     seqs = materialize(texts.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(shorten, "doc_id long, s binary"), "shingles")
     both = pairs.join(seqs.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(seqs.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")

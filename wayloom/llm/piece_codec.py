@@ -19,6 +19,7 @@ gives an empty table; other columns pass through, and clashing names are replace
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -263,41 +264,59 @@ class PieceModel:
         return [b"".join([shown[i] for i in x.tolist()]).decode("utf-8", "replace").removeprefix(" ") for x in ids]
 
 
+def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer."""
+    i = 0
+
+    def varint() -> int:
+        nonlocal i
+        x = k = 0
+        while True:
+            x |= (b[i] & 127) << k
+            i, k = i + 1, k + 7
+            if b[i - 1] < 128:
+                return x
+
+    while i < len(b):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(tag & 7) or varint()
+            yield tag >> 3, b[i : i + size]
+            i += size
+
+
 def _model_type(data: bytes) -> int:
-    """trainer_spec.model_type (1 unigram, 2 BPE) from the file's protocol buffer: field 2 of the file, field 3 within it."""
-
-    def fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
-        i = 0
-
-        def varint() -> int:
-            nonlocal i
-            x = k = 0
-            while True:
-                x |= (b[i] & 127) << k
-                i, k = i + 1, k + 7
-                if b[i - 1] < 128:
-                    return x
-
-        while i < len(b):
-            tag = varint()
-            if tag & 7 == 0:
-                yield tag >> 3, varint()
-            else:
-                size = {1: 8, 5: 4}.get(tag & 7) or varint()
-                yield tag >> 3, b[i : i + size]
-                i += size
+    """trainer_spec.model_type (1 unigram, 2 BPE) from the file: field 2 of the file, field 3 within it."""
+    spec = next((v for k, v in _fields(data) if k == 2), b"")
+    return next((v for k, v in _fields(spec) if k == 3), 1)
+
 
-    spec = next((v for k, v in fields(data) if k == 2), b"")
-    return next((v for k, v in fields(spec) if k == 3), 1)
+def check_supported(data: bytes) -> None:
+    """Raise for model files whose texts are changed before they are cut: this codec would give other ids."""
+    parts = list(_fields(data))
+    kinds = {dict(_fields(v)).get(3, 1) for k, v in parts if k == 1}
+    norm = dict(_fields(next((v for k, v in parts if k == 3), b"")))
+    train = dict(_fields(next((v for k, v in parts if k == 2), b"")))
+    faults = {
+        "a normaliser's character map": bool(norm.get(2)), "no dummy prefix": norm.get(3, 1) == 0, "extra white space removed": norm.get(4, 1) == 1,
+        "white space kept as it is": norm.get(5, 1) == 0, "user-defined pieces": 4 in kinds, "white space as a suffix": train.get(24, 0) == 1, "a model of words or characters": train.get(3, 1) > 2,
+    }
+    if found := [k for k, bad in faults.items() if bad]:
+        raise ValueError(f"this model file isn't supported: {', '.join(found)}")
 
 
-_MODELS: dict[int, PieceModel] = {}
+_MODELS: dict[bytes, PieceModel] = {}
 
 
-def model(data: bytes) -> PieceModel:
-    """One model for each worker process."""
-    key = hash(data)
+def model(path: str) -> PieceModel:
+    """The model in a file, checked and built once in the driver; workers get it as a broadcast."""
+    with open(path, "rb") as f:
+        data = f.read()
+    key = hashlib.sha256(data).digest()
     if key not in _MODELS:
+        check_supported(data)
         _MODELS.clear()
         _MODELS[key] = PieceModel(data)
     return _MODELS[key]
@@ -306,15 +325,14 @@ def model(data: bytes) -> PieceModel:
 def encode_pieces(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """docs with ids array<int>, n_pieces int and decoded string; see the module's text."""
     ship(docs.sparkSession)
-    with open(model_path, "rb") as f:
-        data = docs.sparkSession.sparkContext.broadcast(f.read())
+    shared = docs.sparkSession.sparkContext.broadcast(model(model_path))
     docs = docs.drop("ids", "n_pieces", "decoded")
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.IntegerType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        m = model(data.value)
+        m = shared.value  # one for each worker process, with its caches
         for b in (x for whole in batches for x in pieces_of(whole, text)):
             texts = [x or "" for x in b.column(b.schema.get_field_index(text)).to_pylist()]
             ids = m.encode(texts)
@@ -329,11 +347,10 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text") -> DataF
 def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the text that each array of piece ids stands for; null ids give ''."""
     ship(df.sparkSession)
-    with open(model_path, "rb") as f:
-        data = df.sparkSession.sparkContext.broadcast(f.read())
+    shared = df.sparkSession.sparkContext.broadcast(model(model_path))
 
     @F.pandas_udf("string")
     def decode(x: pd.Series) -> pd.Series:
-        return pd.Series(model(data.value).decode([np.asarray(v if v is not None else [], dtype=np.int64) for v in x]))
+        return pd.Series(shared.value.decode([np.asarray(v if v is not None else [], dtype=np.int64) for v in x]))
 
     return df.withColumn(out, decode(F.col(ids)))

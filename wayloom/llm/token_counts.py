@@ -1,19 +1,21 @@
 """Token counts with a digest cache.
 
-A text's key is the SHA-256 of its normalised content (each run of ASCII white space as one space, which the tokenizer's
-own normaliser does too, so counts can't change) next to the SHA-256 of the tokenizer's file. Counts already stored
+A text's key is the SHA-256 of its normalised content next to the SHA-256 of the tokenizer's file. Normalised means: each
+run of ASCII white space as one space where the tokenizer's own normaliser does that too, so that counts can't change;
+with any other tokenizer the text as it is. Counts already stored
 under both are joined; the others are reduced to one text for each key before the shuffle ends, encoded once, and
 appended to the cache, a Parquet table. An append that is repeated after a failure stores equal rows, which reading
 reduces to one.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); strings of special tokens within a text are handled as
 the library does by default; texts are never cut; repeated rows stay and share one count; an empty table gives an empty
-table; other columns of the input are not read.
+table; rows with null or repeated ids are counted each; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -39,8 +41,16 @@ def tokenizer(data: bytes, version: str):
     return _TOKENIZERS[version]
 
 
-def with_digest(docs: DataFrame) -> DataFrame:
-    return text_of(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.regexp_replace("text", GAP, " ").alias("content")).withColumn("digest", F.unhex(F.sha2("content", 256)))
+def collapses(data: bytes) -> bool:
+    """Whether the tokenizer in a file's bytes turns each run of white space into a space before it looks at it."""
+    first = json.loads(data).get("normalizer") or {}
+    steps = first.get("normalizers", [first])
+    return any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": r"\s+"} and s.get("content") == " " for s in steps)
+
+
+def with_digest(docs: DataFrame, collapse: bool) -> DataFrame:
+    content = F.regexp_replace("text", GAP, " ") if collapse else F.col("text")
+    return text_of(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), content.alias("content")).withColumn("digest", F.unhex(F.sha2("content", 256)))
 
 
 def stored(spark, cache_path: str, version: str) -> DataFrame | None:
@@ -58,7 +68,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
         data = f.read()
     version = hashlib.sha256(data).hexdigest()
     shared = spark.sparkContext.broadcast(data)
-    keyed = with_digest(docs)
+    keyed = with_digest(docs, collapses(data))
     misses = keyed.groupBy("digest").agg(F.first("content").alias("text"))
     if (known := stored(spark, cache_path, version)) is not None:
         misses = misses.join(known, "digest", "left_anti")
