@@ -214,3 +214,53 @@ def test_radius_everywhere(spark):
     near = {r.i: r.j for r in spatial.nearest(p, "i", q, "j").collect()}
     assert set(near) == {x[0] for x in points}
     assert all(every[i, j] <= min(every[i, y[0]] for y in places) + 1e-6 for i, j in near.items())
+
+
+def test_requests_are_checked(spark):
+    good = (1, 46.0, 7.0, 47.0, 8.0, 0)
+    assert search.check_requests(spark.createDataFrame([good], REQUEST)).count() == 1
+    for bad in ([(1, 91.0, 7.0, 47.0, 8.0, 0)], [(1, 46.0, 7.0, None, 8.0, 0)], [good, good], [(1, 46.0, 7.0, 47.0, 8.0, None)]):
+        with pytest.raises(ValueError):
+            search.check_requests(spark.createDataFrame(bad, REQUEST))
+    with pytest.raises(ValueError):
+        search.check_requests(spark.createDataFrame([(1,)], "request long"))
+
+
+def test_trips_by_name(spark):
+    c, s, none = frames(spark, [("r1", 1, "A", "C", 4100, 6900, "train"), ("f1", 1, "A", "C", 4000, 5000, "flight")])
+    places = spark.createDataFrame([("Alpha", 46.0005, 7.0), ("Gamma", 46.6005, 7.0)], "place string, lat double, lon double")
+    trips = spark.createDataFrame([(1, "Alpha, Land", "gamma", 3000)], "request long, origin string, dest string, depart long")
+    assert [r.modes for r in search.plan_trips(trips, [places], c, s, none, "transit", top=1).collect()] == ["walk,flight,walk"]
+    assert [r.modes for r in search.plan_trips(trips, [places], c, s, none, "train", top=1).collect()] == ["walk,train,walk"]
+    assert search.plan_trips(trips, [places], c, s, none, "drive", objectives=["fastest", "greenest"]).count() == 2
+
+
+def test_regions_connector(spark):
+    nodes, arcs = grid(spark)
+    stops = spark.createDataFrame([("F", 46.1, 7.1)], "stop_id string, lat double, lon double")
+    r = spark.createDataFrame([(1, 46.0, 7.0, 46.1, 7.06, 0), (2, 46.0, 7.0, 46.1, 7.06, 0)], REQUEST)
+    region = spark.createDataFrame([(1, "here")], "request long, region_id string")
+    access, _, direct = connectors.by_region(region, {"here": connectors.network(nodes, arcs)}, connectors.geometric())(r, stops)
+    seconds = {x.request: x.seconds for x in access.collect()}
+    assert seconds[1] == 1000 and seconds[2] not in (None, 1000) and direct.count() == 2
+
+
+def test_relations(spark):
+    from wayloom.operators import restrictions
+
+    def rel(k, tags, *members):
+        return (k, tags, list(members))
+
+    tags = {"type": "restriction", "restriction": "no_left_turn"}
+    rows = [
+        rel(1, tags, ("way", 1, "from"), ("node", 5, "via"), ("node", 6, "via"), ("way", 2, "to"), ("way", 3, "to")), rel(2, tags, ("way", 1, "from"), ("way", 5, "via"), ("way", 2, "to")),
+        rel(3, {"type": "restriction", "restriction:conditional": "no_left_turn @ (Mo)"}, ("way", 1, "from"), ("node", 5, "via"), ("way", 2, "to")), rel(4, tags, ("node", 5, "via"), ("way", 2, "to")), rel(5, {"type": "route"}, ("way", 1, "from")),
+    ]
+    df = spark.createDataFrame(rows, "rel long, tags map<string,string>, members array<struct<kind:string,ref:long,role:string>>")
+    assert [tuple(r) for r in restrictions.relations(df).collect()] == [(1, [1], 6, [2, 3], "no_left_turn")]
+
+
+def test_conditions_on_roads(spark):
+    arcs = spark.createDataFrame([(1, 100, "road", [], [], ["snow"]), (2, 100, "road", [], ["summer"], []), (3, 100, "road", [7], [], [])], "arc long, base_seconds long, class string, open_months array<int>, required array<string>, forbidden array<string>")
+    is_open = lambda month, *c: sorted(r.arc for r in road.arc_weights(arcs, month, None, c).collect())
+    assert is_open(1) == [1] and is_open(7, "summer") == [1, 2, 3] and is_open(7, "snow", "summer") == [2, 3]

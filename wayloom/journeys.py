@@ -57,6 +57,12 @@ def validity_active(spark, sf):
     return timetable.active_days(calendars(view(spark, sf, "trips")), "1998-06-25", "1998-07-05", [])
 
 
+@_query(with_views("trips") + f" SELECT trip_id, mode, d AS day FROM (SELECT *, CAST(unnest(generate_series(DATE '1998-06-25', DATE '1998-07-05', INTERVAL 1 DAY)) AS DATE) AS d FROM trips) x WHERE {ACTIVE} AND season <> 'P'")
+def validity_conditions(spark, sf):
+    """Days on which trips run while there is a strike: those that a strike forbids don't."""
+    return timetable.active_days(calendars(view(spark, sf, "trips")), "1998-06-25", "1998-07-05", ["strike"])
+
+
 @_query(with_views("calls") + " SELECT trip_id FROM (SELECT trip_id, seq, arr_s, dep_s, lag(dep_s) OVER (PARTITION BY trip_id ORDER BY seq) AS p FROM calls) x GROUP BY trip_id HAVING count(*) >= 2 AND NOT bool_or(arr_s > dep_s OR coalesce(arr_s < p, FALSE))")
 def monotone_trips(spark, sf):
     return timetable.valid_trips(view(spark, sf, "calls"))
@@ -239,16 +245,30 @@ def shortest_paths(spark, sf):
     return road.shortest(view(spark, sf, "doors").select(F.col("door").alias("source")), road.arc_weights(_arcs(spark, sf), 1), 900)
 
 
-@_query(with_views("arcs") + """, j AS (SELECT node, count(DISTINCT n) AS k FROM (SELECT tail AS node, head AS n FROM arcs UNION ALL SELECT head, tail FROM arcs) x GROUP BY node HAVING count(DISTINCT n) >= 3),
+_TURNS = with_views("arcs") + """, j AS (SELECT node, count(DISTINCT n) AS k FROM (SELECT tail AS node, head AS n FROM arcs UNION ALL SELECT head, tail FROM arcs) x GROUP BY node HAVING count(DISTINCT n) >= 3),
  t AS (SELECT a.arc AS in_arc, b.arc AS out_arc, a.tail AS f, b.head AS g, a.head AS via, a.class AS ca, b.class AS cb, (b.bearing - a.bearing + 180) - 360 * floor((b.bearing - a.bearing + 180) / 360) - 180 AS x FROM arcs a JOIN arcs b ON a.head = b.tail),
  u AS (SELECT *, CASE WHEN x = -180 THEN 180 ELSE x END AS angle FROM t)
  SELECT in_arc, out_arc, CAST(angle AS DOUBLE) AS angle, CAST(CASE WHEN ca = 'ferry' OR cb = 'ferry' THEN 0 ELSE (CASE WHEN f = g THEN 40 WHEN j.node IS NOT NULL THEN (CASE WHEN abs(angle) <= 20 THEN 2 WHEN abs(angle) >= 135 THEN 22 WHEN abs(angle) <= 45 THEN 5 WHEN angle > 0 THEN 8 ELSE 15 END) ELSE 0 END) + CASE WHEN via % 4 = 0 THEN 5 ELSE 0 END END AS DOUBLE) AS cost
- FROM u LEFT JOIN j ON j.node = via""")
+ FROM u LEFT JOIN j ON j.node = via"""
+
+
+@_query(_TURNS)
 def turn_costs(spark, sf):
     nodes = view(spark, sf, "doors").select(F.col("door").alias("node"), (F.col("door") % 4 == 0).alias("signal"))
     return road.turns(view(spark, sf, "arcs"), nodes)
 
 
+@_query(_TURNS.replace(" SELECT in_arc, out_arc, CAST(angle", ", cost AS (SELECT in_arc, out_arc, CAST(angle", 1) + """), o AS (SELECT arc, tail, head, CAST(base_seconds AS DOUBLE) AS s FROM arcs),
+ d AS (SELECT s_suppkey AS source, arc, s AS seconds FROM supplier JOIN o ON tail = s_suppkey WHERE s <= 500 UNION SELECT source, out_arc, seconds + cost.cost + o.s FROM d JOIN cost ON d.arc = in_arc JOIN o ON o.arc = out_arc WHERE seconds + cost.cost + o.s <= 500)
+ SELECT source, node, min(seconds) AS seconds FROM (SELECT source, head AS node, seconds FROM d JOIN o USING (arc) UNION ALL SELECT s_suppkey, s_suppkey, 0.0 FROM supplier) x GROUP BY source, node""")
+def turn_paths(spark, sf):
+    """From the node of every stop the nodes within 500 seconds, turns counted."""
+    nodes = view(spark, sf, "doors").select(F.col("door").alias("node"), (F.col("door") % 4 == 0).alias("signal"))
+    arcs = view(spark, sf, "arcs")
+    sources = view(spark, sf, "stops").select(F.col("stop_id").alias("source"))
+    return road.shortest_by_arc(sources, arcs.withColumn("seconds", F.col("base_seconds")), road.turns(arcs, nodes), 500)
+
+
 @_query("SELECT node, count(DISTINCT n) AS neighbours FROM (SELECT tail AS node, head AS n FROM arcs UNION ALL SELECT head, tail FROM arcs) x GROUP BY node HAVING count(DISTINCT n) >= 3".join([with_views("arcs") + " ", ""]))
 def junction_nodes(spark, sf):
     return road.junctions(view(spark, sf, "arcs"))

@@ -45,3 +45,15 @@ def forbidden_turns(relations: DataFrame, arcs: DataFrame) -> DataFrame:
     ways_out = bound.join(into.select("rel", "via").distinct(), "rel").join(a.select(F.col("tail").alias("via"), F.col("arc").alias("out_arc")), "via").select("rel", "in_arc", "out_arc")
     rest = ways_out.join(allowed, ["rel", "in_arc", "out_arc"], "left_anti").select("in_arc", "out_arc")
     return no.unionByName(rest).distinct()
+
+
+def relations(rows: DataFrame) -> DataFrame:
+    """(rel, from_ways, via, to_ways, value) of relations (rel, tags map<string,string>, members array<struct<kind,ref,role>>) that restrict
+    turns at a node at all times: of several nodes via the last counts; relations via ways, and those without ways from or to, are left out."""
+    ways = lambda role: F.transform(F.filter("members", lambda m: (m["role"] == role) & (m["kind"] == "way")), lambda m: m["ref"])
+    via = F.filter("members", lambda m: m["role"] == "via")
+    tag = lambda k: F.try_element_at("tags", F.lit(k))
+    r = rows.where((tag("type") == "restriction") & tag("restriction").isNotNull())
+    r = r.select("rel", ways("from").alias("from_ways"), via.alias("via"), ways("to").alias("to_ways"), tag("restriction").alias("value"))
+    r = r.where((F.size("from_ways") > 0) & (F.size("to_ways") > 0) & (F.size("via") > 0) & F.forall("via", lambda m: m["kind"] == "node"))
+    return r.select("rel", "from_ways", F.element_at("via", -1)["ref"].alias("via"), "to_ways", "value")

@@ -37,6 +37,12 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
     return f.withColumns({"lat0": F.array_min(flat("lat")), "lat1": F.array_max(flat("lat")), "lon0": F.array_min(flat("lon")), "lon1": F.array_max(flat("lon"))})
 
 
+def read_cities(spark: SparkSession, path: str) -> DataFrame:
+    """place, country, lat, lon of a table of cities (name, country, lat, lon with a header); rows without coordinates are left out."""
+    c = spark.read.option("header", True).csv(path)
+    return c.select(F.col("name").alias("place"), "country", F.col("lat").try_cast("double").alias("lat"), F.col("lon").try_cast("double").alias("lon")).dropna(subset=["place", "lat", "lon"])
+
+
 def search(places: DataFrame, text: str, limit: int = 8) -> DataFrame:
     """Places (name) that start with the text, then those that hold it, each by name."""
     name, t = F.lower("name"), text.strip().lower()
