@@ -131,6 +131,42 @@ def test_near_duplicates_small(spark):
     assert got == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5, None: None}
 
 
+def test_near_duplicates_ids(spark):
+    """Null and repeated ids, equal rows, and columns named like the operator's own."""
+    rng = random.Random(4)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    data = [(5, a), (5, b), (5, b), (None, a + " end"), (None, c), (9, c + " end"), (None, ""), (2, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for name in ("id", "digest", "sketches", "n", "row", "class_id", "z", "key", "k"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = sorted((r.doc_id or -1, r.class_id or -1, r.kept, r.n_links) for r in order_minhash.near_classes(df).collect())
+    want = [(5, 5, True, 1), (5, 5, True, 0), (5, 5, True, 0), (-1, 5, False, 1), (-1, 9, False, 1), (9, 9, True, 1), (-1, -1, True, 0), (2, 2, True, 0)]
+    assert got == sorted(want)
+
+
+def test_vectors_ties(spark):
+    """Repeated ids and cosines on the threshold."""
+    x, y = [1.0, 0.0], [0.95, (1 - 0.95**2) ** 0.5]
+    data = [(1, x), (1, y), (2, x), (3, [2.0, 0.0]), (None, x), (4, [-1.0, 0.0])]
+    got = sorted((r.vec_id or -1, r.n_links) for r in embed_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"), cosine=0.9499).collect())
+    assert got == sorted([(1, 4), (1, 4), (2, 4), (3, 4), (-1, 4), (4, 0)])
+    got = sorted((r.vec_id or -1, r.n_links) for r in embed_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"), cosine=0.9501).collect())
+    assert got == sorted([(1, 3), (1, 0), (2, 3), (3, 3), (-1, 3), (4, 0)])
+
+
+def test_mixing_ties(spark):
+    """Rows of one id share their hash: size decides, then any order, and nothing is lost."""
+    data = [(7, " ".join(["w"] * (i % 5)), "ab"[i % 2]) for i in range(60)] + [(None, "x y z", None)] * 9
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    one, two = (sorted((r.doc_id or -1, r.size, r.taken, r.source or "") for r in mixing.mix(d).collect()) for d in (df, df.repartition(5)))
+    assert one == two and len(one) == len(data)
+    size = {}
+    for _, n, _, s in one:
+        size[s or None] = size.get(s or None, 0) + n
+    for s, target in brute_targets(size).items():
+        assert abs(sum(t for _, _, t, x in one if (x or None) == s) - target) <= 1
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 16))

@@ -13,8 +13,9 @@ The number of hyperplanes grows with the table's logarithm, and the number of ta
 threshold is found with the probability `recall`.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing and are kept;
-vectors of different lengths don't link; rows that repeat a vec_id count as one vector each and get one row each; an
-empty table gives an empty table; other columns (labels too) are not read.
+vectors of different lengths don't link; rows with a null or repeated vec_id count as one vector each and get one row
+each, a component is named by its smallest vec_id that isn't null; a cosine equal to the threshold links; an empty table
+gives an empty table; other columns (labels too) are not read.
 """
 
 from __future__ import annotations
@@ -76,8 +77,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.995
         v = v.withColumn("e", F.col("e").cast("array<double>"))
     good = F.col("e").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("e", lambda x: x != 0)
     v = materialize(v.select("vec_id", F.when(good, F.col("e")).alias("e")), "vectors")
-    copies = v.where("e is not null").groupBy("e").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    copies = materialize(copies, "copies")
+    copies = v.where("e is not null").groupBy("e").agg(F.min("vec_id").alias("key"), F.count("*").alias("copies"))
+    # id numbers the different vectors in the order of their smallest vec_id, nulls last: vec_ids may be null or repeated
+    order = [F.coalesce("key", F.lit(2**63 - 1)), F.xxhash64("e")]
+    copies = materialize(copies.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "copies")
     bits, tables = plan(copies.count(), cosine, recall, fill)
 
     def units(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -147,7 +150,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.995
     unwritten(sketched)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
-    classes = copies.join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    classes = classes.select("e", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    roots = roots.join(copies.select(F.col("id").alias("component"), F.col("key").alias("root")), "component").select(F.col("node").alias("id"), "root", F.lit(True).alias("rooted"))
+    classes = copies.join(links, "id", "left").join(roots, "id", "left")
+    classes = classes.select("e", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("rooted"), F.col("root")).otherwise(F.col("key")).alias("component_id"))
     out = v.join(classes, "e", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -12,8 +12,9 @@ up to SMALL classes as a table of pairs; larger buckets are cut into blocks, and
 group of its own, one sequence with a block at once. A pair counts once, whatever the number of buckets it shares.
 
 Defined results: a text of one to four words is one shingle; a text without words (null too) links with nothing and is
-its own class; long texts are compared whole; rows that repeat a doc_id count as one document; an empty table gives an
-empty table; other columns are not read.
+its own class; long texts are compared whole; rows are documents of their own even if their doc_id is null or repeated, and
+a class is named by its smallest doc_id (null if all are null); an empty table gives an empty table; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -310,6 +311,20 @@ def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its group), kept, n_links (verified links of its class to others) for each row of docs."""
     t = text_of(docs)
     sketched = materialize(sketch_table(t), "sketches")
+    odd = sketched.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if odd.isEmpty():
+        return _classes(t, sketched)
+    # ids that don't tell rows apart: rows do, and the smallest id of a class names it
+    rows = materialize(t.withColumn("row", F.monotonically_increasing_id()), "rows")
+    own = rows.select(F.col("row").alias("doc_id"), "text")
+    judged = _classes(own, materialize(sketch_table(own), "sketches")).select(F.col("doc_id").alias("row"), F.col("class_id").alias("class"), "n_links")
+    judged = materialize(judged.join(rows.select("row", "doc_id"), "row"), "judged")
+    out = judged.join(judged.groupBy("class").agg(F.min("doc_id").alias("class_id")), "class").select("doc_id", "class_id", "n_links")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def _classes(t: DataFrame, sketched: DataFrame) -> DataFrame:
+    """near_classes of documents (doc_id, text) whose ids are all different, with their sketch_table."""
     classes = sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sketches", "doc_id").alias("sketches"), F.first("n").alias("n"))
     classes = materialize(classes, "classes")
     sketch = classes.select("id", "n", F.posexplode("sketches").alias("k", "h"))

@@ -5,8 +5,9 @@ Policies are versioned masks over those bits: a document is kept if no enforced
 aggregation how many documents each rule rejects, and how many it alone rejects, under a policy.
 
 Words are runs of characters other than ASCII white space. Defined results: a null text has no words (so it fails the
-least number of words); long texts are measured whole; ratios with no words count as 0; repeated rows give repeated
-results; an empty table gives an empty ledger; the documents' other columns are not read.
+least number of words); long texts are measured whole; ratios with no words count as 0; rows are judged each, whatever their
+ids: repeated rows give repeated results, null and repeated ids stay; a measurement equal to a rule's limit passes; an
+empty table gives an empty ledger; the documents' other columns are not read.
 """
 
 from __future__ import annotations
