@@ -181,6 +181,17 @@ def test_drive(spark):
         road.drive(spark.createDataFrame([(1, 46.0, 7.0, 10.0, 7.1, 0)], REQUEST), nodes, arcs)
 
 
+def test_drive_routes(spark):
+    """The geometry leads from the start's node to the end's over neighbours, as long as the drive."""
+    nodes, arcs = grid(spark)
+    trips = spark.createDataFrame([(1, 46.0, 7.0, 46.06, 7.04, 0), (2, 46.02, 7.02, 46.02, 7.02, 0)], REQUEST)
+    got = {r.request: r for r in road.drive_routes(trips, nodes, arcs).collect()}
+    line = [(round(p.lat, 2), round(p.lon, 2)) for p in got[1].geometry]
+    assert line[0] == (46.0, 7.0) and line[-1] == (46.06, 7.04) and len(line) == 6 and got[1].seconds == 500
+    assert all(abs(a[0] - b[0]) + abs(a[1] - b[1]) < 0.0201 for a, b in zip(line, line[1:], strict=False))
+    assert len(got[2].geometry) == 1 and got[2].seconds == 0
+
+
 def test_overrides(spark):
     arcs = spark.createDataFrame([(1, 1, 2, 100, 90, "pass"), (2, 2, 3, 50, 40, "valley")], "arc long, tail long, head long, seconds long, base_seconds long, name string")
     closed = road.with_overrides(arcs, road.close_named(arcs, ["pass"]))
