@@ -35,7 +35,7 @@ HEAD, ITEMS, SIGNATURES, CLASSES = 65_536, 1_000, 256, 48
 #: Words of a block, rounds of the exchange at most, and the share by which a round must raise the mutual information.
 BLOCK, ROUNDS, LEAST_GAIN = 1024, 6, 1e-3
 TOKENS_AT_ONCE = 1 << 20
-DISTINCT_PER_TASK = 400_000
+DISTINCT_PER_TASK = 250_000
 PUNCTUATION = set(b".,;:!?)]}\"'|")
 
 
@@ -87,36 +87,35 @@ def encode(docs: DataFrame, words: list[bytes], counts: np.ndarray) -> DataFrame
         import pyarrow as pa
 
         own, half = shared.value
-        place = {w: k for k, w in enumerate(own)}
-        groups: dict[bytes, int] = {}
+        head = len(own)
+        half = np.concatenate([[0.0], half, np.zeros(SIGNATURES)])
+
+        class Known(dict):
+            """The id of every word; others than the head's are kept once seen, up to a bound."""
+
+            def __missing__(self, w: bytes) -> int:
+                if len(self) > head + DISTINCT_PER_TASK:
+                    self.clear()
+                    self.update(start)
+                k = self[w] = head + 1 + signature(w)
+                return k
+
+        start = {w: k + 1 for k, w in enumerate(own)}
+        known = Known(start)
         for b in (x for whole in batches for x in pieces_of(whole)):
-            ids, sizes, heads, halves, rare_at, rare_words, rare_n = [], [], [], [], [0], [], []
-            for t in b.column(b.schema.get_field_index("text")).to_pylist():
-                ws = tokens_of(t)
-                k = np.array([place.get(w, -1) for w in ws], dtype=np.int64)
-                tail = np.flatnonzero(k < 0)
-                known = k[k >= 0]
-                halves.append(float(half[known].sum()))
-                rare: Counter = Counter()
-                for j in tail.tolist():
-                    w = ws[j]
-                    g = groups.get(w)
-                    if g is None:
-                        if len(groups) > DISTINCT_PER_TASK:
-                            groups.clear()
-                        g = groups[w] = len(own) + signature(w)
-                    k[j] = g
-                    rare[w] += 1
-                ids.append((k + 1).astype(np.int32))
-                sizes.append(len(ws))
-                heads.append(len(known))
-                rare_words += rare.keys()
-                rare_n += rare.values()
-                rare_at.append(len(rare_words))
-            rare_rows = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_n, pa.int64())], names=["word", "tf"])
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(ids)))
+            cut = [tokens_of(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            sizes = np.array([len(ws) for ws in cut])
+            words = [w for ws in cut for w in ws]
+            ids = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+            doc = np.repeat(np.arange(len(cut)), sizes)
+            tail = np.flatnonzero(ids > head)
+            rare = Counter(zip(doc[tail].tolist(), [words[j] for j in tail.tolist()], strict=True))  # in the order of rows
+            many = np.bincount(np.fromiter((d for d, _ in rare), np.int64, len(rare)), minlength=len(cut))
+            rows = pa.StructArray.from_arrays([pa.array([w for _, w in rare], pa.binary()), pa.array(list(rare.values()), pa.int64())], names=["word", "tf"])
+            offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            heads = sizes - np.bincount(doc[tail], minlength=len(cut))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), lists, pa.array([n + 1 for n in sizes], pa.int64()), pa.array(heads, pa.int64()), pa.array(halves, pa.float64()), pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), rare_rows)],
+                [b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(offsets(sizes), pa.array(ids)), pa.array(sizes + 1, pa.int64()), pa.array(heads, pa.int64()), pa.array(np.bincount(doc, half[ids], len(cut)), pa.float64()), pa.ListArray.from_arrays(offsets(many), rows)],
                 names=["row", "doc_id", "held_out", "ids", "n_tokens", "n_head", "half", "rare"],
             )
 
@@ -275,21 +274,19 @@ def exchange_round(train: DataFrame, label: np.ndarray, joint: np.ndarray, half:
     width = 2 * classes + 1
 
     def contexts(batches: Iterator) -> Iterator:
-        """Of each item in the half: classes after it, classes before it, pairs with itself."""
+        """Of each item in the half: classes after it, classes before it, pairs with itself. Row i is item 2 * i + half."""
         import pyarrow as pa
 
         label, _ = shared.value
-        total = np.zeros(size * width, np.int32)
+        rows = (size + 1 - half) // 2
+        total = np.zeros(rows * width, np.int32)
         for s in _sequences(batches):
             k = label[s]
             a, z = s[:-1], s[1:]
-            pick = (a & 1 == half) & (a > 0)
-            total += np.bincount(a[pick] * width + k[1:][pick], minlength=size * width).astype(np.int32)
-            pick = (z & 1 == half) & (z > 0)
-            total += np.bincount(z[pick] * width + classes + k[:-1][pick], minlength=size * width).astype(np.int32)
-            pick = (a == z) & (a & 1 == half) & (a > 0)
-            total += np.bincount(a[pick] * width + 2 * classes, minlength=size * width).astype(np.int32)
-        for block, at in enumerate(range(0, size, BLOCK)):
+            mine, next_mine, same = (a & 1 == half) & (a > 0), (z & 1 == half) & (z > 0), (a == z) & (a & 1 == half) & (a > 0)
+            for at, item, shift in ((mine, a, k[1:]), (next_mine, z, classes + k[:-1]), (same, a, np.full(len(a), 2 * classes))):
+                total += np.bincount((item[at] >> 1) * width + shift[at], minlength=len(total)).astype(np.int32)
+        for block, at in enumerate(range(0, rows, BLOCK)):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_pack(total[at * width : (at + BLOCK) * width].astype(np.int64))], pa.binary())], names=["block", "x"])
 
     def moved(batches: Iterator) -> Iterator:
@@ -298,7 +295,7 @@ def exchange_round(train: DataFrame, label: np.ndarray, joint: np.ndarray, half:
         label, joint = shared.value
         for b in batches:
             for block, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows, own = _unpack(x).reshape(-1, width).astype(float), label[block * BLOCK : (block + 1) * BLOCK].copy()
+                rows, own = _unpack(x).reshape(-1, width).astype(float), label[half::2][block * BLOCK : (block + 1) * BLOCK].copy()
                 for i in np.flatnonzero(rows.any(1)).tolist():
                     own[i] = best_class(joint, rows[i, :classes], rows[i, classes : 2 * classes], rows[i, -1], own[i])
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_pack(own.astype(np.int64))], pa.binary())], names=["block", "x"])
@@ -306,7 +303,7 @@ def exchange_round(train: DataFrame, label: np.ndarray, joint: np.ndarray, half:
     found = _summed(train.select("ids").mapInArrow(contexts, "block int, x binary"))
     new = label.copy()
     for r in materialize(found.mapInArrow(moved, "block int, x binary"), "labels").collect():  # size numbers in all
-        new[r.block * BLOCK : (r.block + 1) * BLOCK] = _unpack(r.x)
+        new[half::2][r.block * BLOCK : (r.block + 1) * BLOCK] = _unpack(r.x)
     return new
 
 
