@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         return written(df, name)
 
 
+def dealt(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df written as a table bucketed by key: joins on it don't shuffle its rows, texts among them, again."""
+    spark = df.sparkSession
+    ship(spark)
+    parts, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex[:12]}"
+    with shuffles_end(spark):
+        df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name; the files stay, and out knows them
+    return out
+
+
 def unwritten(*tables: DataFrame) -> None:
     """Remove the files of written tables that nothing reads any more."""
     for t in tables:

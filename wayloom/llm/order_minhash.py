@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import connected_components, materialize, packed, pieces_of, text_of, unpacked
+from wayloom.llm.common import connected_components, materialize, packed, pieces_of, text_of, unpacked, unwritten
 
 SHINGLE, SIMILARITY = 5, 0.8
 MINIMA, SKETCHES, SMALL = 6, 32, 8
@@ -174,7 +174,7 @@ def _sequences(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose documents align."""
+    """The pairs (a, b) whose documents align, written."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def shorten(batches: Iterator) -> Iterator:
@@ -206,7 +206,9 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep = [alignment(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= SIMILARITY - 1e-9 for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(align, "a long, b long")
+    links = materialize(both.select("a", "b", "sa", "sb").mapInArrow(align, "a long, b long"), "links")
+    unwritten(seqs)
+    return links
 
 
 def aligned(s: list[np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -331,8 +333,9 @@ def _classes(t: DataFrame, sketched: DataFrame) -> DataFrame:
     pairs, large = _candidates(sketch.select("k", F.xxhash64("k", "h").alias("key"), "id", "n"))
     pairs, large = materialize(pairs, "pairs"), materialize(large, "large")
     texts = _texts(t, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(large.select(F.col("id").alias("doc_id"))))
-    links = materialize(_verify(pairs, texts), "links")
+    links = _verify(pairs, texts)
     crowded = materialize(_crowded(large, classes, texts), "crowded")
+    unwritten(pairs, large, texts)
     roots = connected_components(links.unionByName(crowded.select(F.col("id").alias("a"), F.col("low").alias("b"))))
     degree = links.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("links")).unionByName(crowded.select("id", "links")).groupBy("id").agg(F.sum("links").alias("n_links"))
     of = classes.select("digest", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
