@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.llm import mixing, order_minhash, piece_codec, quality, secret_scan
-from wayloom.llm.common import materialize, read
+from wayloom.llm.common import dealt, materialize, read
 from wayloom.llm.queries import tokenizer_file
 
 
@@ -52,9 +52,9 @@ def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
-    """docs with a key of its own for each row, written once: doc_id may be null or repeated. Lists of keys grow with the
-    corpus: joins with them merge at every size, so that plans and costs don't turn on an estimate."""
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    """docs with a key of its own for each row, written once and bucketed by it: doc_id may be null or repeated, and joins
+    with lists of keys, which grow with the corpus, merge at every size without shuffling the texts again."""
+    return dealt(docs.withColumn("__row", F.monotonically_increasing_id()), "__row", "rows")
 
 
 STAGES = [
