@@ -341,5 +341,6 @@ def _classes(t: DataFrame, sketched: DataFrame) -> DataFrame:
     of = classes.select("digest", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
     of = of.select("digest", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = sketched.select("doc_id", "digest").join(of, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
-
+    out = materialize(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id"))), "near")
+    unwritten(sketched, classes)
+    return out
