@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.llm import brown_lm, embed_dedup, mixing, order_minhash, piece_codec, quality, repeat_spans, secret_scan, token_counts, url_filter
+from wayloom.llm import brown_lm, embed_dedup, fill_middle, mixing, order_minhash, piece_codec, prefix_trie, quality, repeat_spans, secret_scan, token_counts, top_k, url_filter
 from wayloom.llm.common import materialize, read, shared_dir
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -62,6 +62,21 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ends = prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.turns(read(spark, sf_dir, "conversations"))))
+    return prefix_trie.with_ends(nodes, ends)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(read(spark, sf_dir, "documents"))
+    whole = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -161,10 +176,58 @@ SELECT page_id, host, path, rule, coalesce(label, CASE WHEN score >= {purity} TH
   CAST(blocked AS BIGINT) AS template_blocked, CAST(score AS DOUBLE) AS template_score FROM p{depth}"""
 
 
+#: crc32 bit by bit: each byte goes in, then eight shifts.
+_TRIE_SQL = r"""
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+h AS (
+  SELECT c, c - c % 20 AS base, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), CAST(4294967295 AS BIGINT)) % 4 AS h FROM ids),
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+k AS (SELECT h.c, h, base, least(h, coalesce(b.n, 0)) AS k FROM h LEFT JOIN n b ON b.c = base),
+r AS (SELECT k.c, t.pos AS d, role, text FROM k JOIN t ON t.c = base AND t.pos <= h UNION ALL SELECT k.c, k + pos - h, role, text FROM k JOIN t ON t.c = k.c AND pos > h),
+p AS (
+  SELECT c, CAST(d AS BIGINT) AS d, string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d) AS key,
+    len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words FROM r
+  UNION ALL SELECT c, 0, '', 0 FROM ids),
+m AS (SELECT d, key, min(c) AS owner, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY d, key),
+e AS (SELECT p.c, p.key, p.d FROM p JOIN (SELECT c, max(d) AS d FROM p GROUP BY c) z USING (c, d)),
+ends AS (SELECT d, key, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM e GROUP BY d, key),
+up AS (SELECT d, key, owner, n_convs, words, substr(key, 1, 32 * (d - 1)) AS above FROM m),
+kids AS (SELECT d - 1 AS d, above AS key, count(*) AS n FROM up WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT a.d, a.key, sum((b.n_convs - 1) * b.words) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+  FROM m b LEFT JOIN kids ON kids.d = b.d AND kids.key = b.key JOIN p a ON a.c = b.owner AND a.d <= b.d GROUP BY a.d, a.key)
+SELECT m.owner AS conv_id, m.d AS depth, parent.owner AS parent_conv_id, m.n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM m JOIN up ON up.d = m.d AND up.key = m.key LEFT JOIN m parent ON parent.d = m.d - 1 AND parent.key = up.above LEFT JOIN kids ON kids.d = m.d AND kids.key = m.key
+JOIN below ON below.d = m.d AND below.key = m.key LEFT JOIN ends ON ends.d = m.d AND ends.key = m.key
+"""
+
+
+_FILL_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1, h2) AS a, greatest(h1, h2) AS z, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+o AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, z - a) AS m, substring(t, z + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN z - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM o
+"""
+
+
+_TOP_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) x WHERE rank <= 20
+"""
+
+
 def queries() -> dict:
-    found = [op1_pieces, op2_token_counts, op3_url_filter, op4_repeat_spans, op5_secret_scan, op6_quality_rules, op7_order_minhash, op8_mixing, op9_brown_lm, op10_embedding_dedup, pipeline]
+    found = [op1_pieces, op2_token_counts, op3_url_filter, op4_repeat_spans, op5_secret_scan, op6_quality_rules, op7_order_minhash, op8_mixing, op9_brown_lm, op10_embedding_dedup, op11_prefix_trie, op12_fill_middle, op13_top_k, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _url_sql(URL_RULES), "op6_quality_rules": _QUALITY_SQL, "op8_mixing": _MIXING_SQL}
+    return {"op3_url_filter": _url_sql(URL_RULES), "op6_quality_rules": _QUALITY_SQL, "op8_mixing": _MIXING_SQL, "op11_prefix_trie": _TRIE_SQL, "op12_fill_middle": _FILL_SQL, "op13_top_k": _TOP_SQL}
