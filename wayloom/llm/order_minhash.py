@@ -4,8 +4,9 @@ A document's shingles are its windows of five words, each labelled with its occu
 SKETCHES sketches takes the MINIMA labelled shingles with the smallest hashes and keeps them in text order; equal
 sketches make candidates. Since order is part of a sketch, texts with the same shingles in another order rarely meet.
 
-Candidates are verified by a banded alignment of the labelled shingles: A and B of them, M matched in the same order
-within a band as wide as a similarity of 0.8 allows; the pair links if M / (A + B - M) >= 0.8.
+Candidates are verified by a banded alignment: labelled shingles match in the same order within a band as wide as a
+similarity of 0.8 allows, and a word is matched if a matched shingle covers it. A pair links if the matched words are 0.8
+of the longer text or more. One changed word costs five shingles but one word, so this follows edits, not shingles lost.
 
 Documents with equal words form one class first. All pairs of classes that share a sketch are compared: those of buckets of
 up to SMALL classes as a table of pairs; larger buckets are cut into blocks, and each pair of blocks is compared in a
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from wayloom.llm.common import connected_components, materialize, packed, pieces_of, text_of, unpacked, unwritten
 
 SHINGLE, SIMILARITY = 5, 0.8
-MINIMA, SKETCHES, SMALL = 6, 32, 8
+MINIMA, SKETCHES, SMALL = 3, 32, 8
 BLOCK, BLOCK_SHINGLES, SLICE_BYTES = 256, 1 << 20, 2 << 20
 M1, M2, BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x5851F42D4C957F2D
 SEEDS = np.random.default_rng(7).integers(1, 2**63, SKETCHES, dtype=np.int64).astype(np.uint64)
@@ -101,28 +102,44 @@ def sketches(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def covered(at: np.ndarray) -> int:
+    """Words that shingles at increasing places cover."""
+    return int(np.minimum(np.diff(at), SHINGLE).sum()) + SHINGLE if len(at) else 0
+
+
+def _in_order(j: np.ndarray) -> np.ndarray:
+    """Indices of a longest increasing run of j."""
+    tails, last, before = [], [], np.full(len(j), -1)
+    for i, x in enumerate(j.tolist()):
+        k = bisect_left(tails, x)
+        tails[k : k + 1], last[k : k + 1] = [x], [i]
+        before[i] = last[k - 1] if k else -1
+    run = [last[-1]]
+    while before[run[-1]] >= 0:
+        run.append(int(before[run[-1]]))
+    return np.array(run[::-1])
+
+
 def alignment(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float:
-    """M / (A + B - M) for sequences of distinct labelled shingles; 0 where the band shows that it is below similarity."""
-    total = len(a) + len(b)
-    need = similarity / (1 + similarity) * total
-    if not total or min(len(a), len(b)) < need - 1e-9:
+    """Matched words over those of the longer text, for sequences of distinct labelled shingles; 0 where it is surely below similarity."""
+    if (len(a), a.tobytes()) > (len(b), b.tobytes()):  # the same run decides whichever comes first
+        a, b = b, a
+    longer = len(b) + SHINGLE - 1
+    need = similarity * longer
+    if not len(a) or len(a) + SHINGLE - 1 < need - 1e-9:
         return 0.0
-    band = int(total - 2 * need + 1e-9)  # as many shingles at most are unmatched
+    band = int(longer - need + 1e-9)  # as many words at most are unmatched
     order = np.argsort(b)
     at = np.minimum(np.searchsorted(b[order], a), len(b) - 1)
     j = order[at]
-    ok = (b[j] == a) & (np.abs(j - np.arange(len(a))) <= band)
-    j = j[ok]
-    m = len(j)
-    if m < need - 1e-9:
+    i = np.flatnonzero((b[j] == a) & (np.abs(j - np.arange(len(a))) <= band))
+    j = j[i]
+    if min(covered(i), covered(np.sort(j))) < need - 1e-9:
         return 0.0
-    if m > 1 and (np.diff(j) < 0).any():
-        tails: list[int] = []
-        for x in j.tolist():  # the longest increasing run: matches in the same order
-            k = bisect_left(tails, x)
-            tails[k : k + 1] = [x]
-        m = len(tails)
-    return m / (total - m)
+    if (np.diff(j) < 0).any():
+        run = _in_order(j)
+        i, j = i[run], j[run]
+    return min(covered(i), covered(j)) / longer
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
@@ -221,24 +238,26 @@ def aligned(s: list[np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.nda
     out_i, out_j = [], []
     for i in np.flatnonzero(wanted.any(1)).tolist():
         js = np.flatnonzero(wanted[i])
-        total = size[i] + size[js]
-        need = SIMILARITY / (1 + SIMILARITY) * total
-        fits = np.minimum(size[i], size[js]) >= need - 1e-9
-        js, total, need = js[fits], total[fits], need[fits]
+        longer = np.maximum(size[i], size[js]) + SHINGLE - 1
+        need = SIMILARITY * longer
+        fits = np.minimum(size[i], size[js]) + SHINGLE - 1 >= need - 1e-9
+        js, longer, need = js[fits], longer[fits], need[fits]
         if not len(js):
             continue
         place[own[i]] = np.arange(size[i])
         n = size[js]
         first = np.cumsum(n) - n
         at = place[np.concatenate([own[j] for j in js.tolist()])]
-        doc = np.repeat(np.arange(len(js)), n)
-        band = (total - 2 * need + 1e-9).astype(np.int64)
-        ok = (at >= 0) & (np.abs(at - (np.arange(len(at)) - first[doc])) <= band[doc])
         place[own[i]] = -1
-        m = np.add.reduceat(ok.astype(np.int64), first)
-        link = m >= need - 1e-9
-        at, doc = at[ok], doc[ok]
-        back = np.unique(doc[1:][(at[1:] < at[:-1]) & (doc[1:] == doc[:-1])])  # matches out of order: the longest run decides
+        doc = np.repeat(np.arange(len(js)), n)
+        here = np.arange(len(at)) - first[doc]
+        ok = (at >= 0) & (np.abs(at - here) <= (longer - need + 1e-9).astype(np.int64)[doc])
+        at, here, doc = at[ok], here[ok], doc[ok]
+        same = doc[1:] == doc[:-1]
+        words = [np.bincount(doc, np.append(np.where(same, np.minimum(np.diff(x), SHINGLE), SHINGLE), SHINGLE)[: len(doc)], len(js)) for x in (here, at)]
+        back = np.unique(doc[1:][same & (np.diff(at) < 0)])  # matches out of order: the longest run decides
+        link = np.minimum(*words) >= need - 1e-9
+        link[back] = words[0][back] >= need[back] - 1e-9
         for x in back[link[back]].tolist():
             link[x] = alignment(s[i], s[js[x]]) >= SIMILARITY - 1e-9
         out_i.append(np.full(int(link.sum()), i))
