@@ -1,11 +1,11 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame functions alone.
 
-Each source's documents are shuffled by a hash; a document's virtual finish time is its source's cumulative words, up to
-and including it, over the source's target; a source whose target is larger than itself starts over, and a document that
-a target cuts is served in part and finishes at time 1. All sources are then range-sorted by virtual finish time and
-truncated where the total budget is spent, which serves each in proportion to its target: the ranges are equal stretches
-of virtual time, whose words are summed; the range in which the budget ends is the only one that must be sorted to find
-the last document served, and every row then tells by its own finish time what is taken of it.
+Each source's documents are shuffled by a hash and served whole; a document's virtual finish time is its source's cumulative
+words, up to and including it, over the source's target, and goes on into a second pass. All sources are then range-sorted
+by virtual finish time and truncated where the total budget is spent: nothing but that cut ends a source, which by then has
+been served its target, within a document. The ranges are stretches of virtual time, whose words are summed; the range in
+which the budget ends is the only one that must be sorted to find the last document served, and every row then tells by its
+own finish time what is taken of it.
 
 Cumulative sums split every source, hot ones too, into buckets by the leading bits of the shuffle hash: a window within
 (source, bucket), and offsets from the buckets' sums. The number of buckets grows with the table, so a bucket stays
@@ -14,10 +14,10 @@ small; only sums of sources and buckets are ever gathered.
 Targets: weights 5, 2, 1, repeating over sources by code point, nulls last; budget times all sizes is shared by weight,
 a target stops at most times its source's size, and what is beyond is shared among the others, until none is above.
 
-Defined results: the size of a text is its number of words (null: 0); documents of size 0 take 0; the document that a
-source's target cuts takes the words up to the target; ties of the hash go by doc_id and size, ties of finish times by
-source; equal rows are told apart in any order, which gives the same rows; null or repeated ids stay rows of their own
-(mix names them by a key if there is one, and hashes the text too); an empty table gives an empty table; reruns agree.
+Defined results: the size of a text is its number of words (null: 0); documents of size 0 take 0; the one document in which
+the budget ends takes the words up to it; ties of the hash go by doc_id and size, ties of finish times by source; equal rows
+are told apart in any order, which gives the same rows; null or repeated ids stay rows of their own, spread by their texts
+(mix names them by a key if there is one); an empty table gives an empty table; reruns agree.
 """
 
 from __future__ import annotations
@@ -34,11 +34,9 @@ HASH_BITS = 60
 
 
 def sizes(docs: DataFrame, key: str | None = None) -> DataFrame:
-    """doc_id, source, size and h, a hash of the id that SQL engines share: the first 60 bits of an MD5.
-
-    With a key, a column that tells all rows apart, it is carried along and h is of id and text, as ids may be null or repeated."""
-    named = F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    named = named if key is None else F.concat(named, F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))
+    """doc_id, source, size and h, a hash of id and text that SQL engines share: the first 60 bits of an MD5. Ids may be null or
+    repeated, so a key, a column that tells all rows apart, may be carried along."""
+    named = F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))
     h = F.conv(F.substring(F.md5(named), 1, HASH_BITS // 4), 16, 10).cast("long")
     return docs.select(F.col("doc_id"), F.col("source"), F.coalesce(F.size(words_of(F.coalesce("text", F.lit("")))), F.lit(0)).cast("long").alias("size"), h.alias("h"), *([key] if key else []))
 
@@ -79,18 +77,16 @@ def queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float =
 
 def _served(q: DataFrame, budget: float, bucket_rows: int) -> DataFrame:
     """q with packets: an array of (pass, words, finish) of each time a document is served, truncated at the total budget."""
-    goal = F.round("target").cast("long")
     packets = []
     for n in (0, 1):
         before = F.col("before") + n * F.col("source_size")
-        words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), goal - before))
-        finish = F.least(F.try_divide(before + F.col("size"), "target"), F.lit(1.0))
-        packets.append(F.struct(F.lit(n).alias("pass"), words.alias("words"), finish.alias("finish"), before.alias("before")))
-    q = q.withColumn("packets", F.filter(F.array(*packets), lambda x: x["words"] > 0))
+        finish = F.try_divide(before + F.col("size"), "target")
+        packets.append(F.struct(F.lit(n).alias("pass"), F.col("size").alias("words"), finish.alias("finish"), before.alias("before")))
+    q = q.withColumn("packets", F.filter(F.array(*packets), lambda x: (x["words"] > 0) & x["finish"].isNotNull()))
     every = q.select("name", F.explode("packets").alias("x")).select("name", "x.*")
-    # ranges of virtual time, each about bucket_rows documents: their sums show where the budget ends
+    # ranges of virtual time, about bucket_rows documents each where the budget ends: their sums show where that is
     size = q.agg(F.greatest(F.lit(16), F.ceil(F.count("*") / bucket_rows)).alias("ranges"), F.round(budget * F.sum("size")).cast("long").alias("most"))
-    ranged = every.crossJoin(F.broadcast(size)).withColumn("range", F.least(F.floor(F.col("finish") * F.col("ranges")), F.col("ranges") - 1))
+    ranged = every.crossJoin(F.broadcast(size)).withColumn("range", F.least(F.floor(F.col("finish") / (1 + F.col("finish")) * F.col("ranges")), F.col("ranges") - 1))
     sums = ranged.groupBy("range", "most").agg(F.sum("words").alias("words"))
     so_far = Window.partitionBy("most").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     last = sums.withColumn("spent", F.coalesce(F.sum("words").over(so_far), F.lit(0))).where("spent <= most and spent + words > most").select("range", "spent")  # one range at most

@@ -110,7 +110,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 _MIXING_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size,
-    CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+    CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h
   FROM documents),
 s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, CAST(source_size AS DOUBLE) AS source_size, CAST(list_extract([5, 2, 1], CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS BIGINT)) AS DOUBLE) AS weight FROM s),
@@ -121,14 +121,12 @@ b AS (
 f AS (SELECT *, (total - cap_before) / (weight_all - weight_before) AS level, cap <= (total - cap_before) / (weight_all - weight_before) * weight AS is_full FROM b),
 g AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE max(CASE WHEN NOT is_full THEN level END) OVER () * weight END AS target FROM f),
 q AS (
-  SELECT doc_id, d.source, size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target, CAST(round(target) AS BIGINT) AS goal,
+  SELECT doc_id, d.source, size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
     CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
   FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source),
 r AS (SELECT *, row_number() OVER () AS i, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS name FROM q),
-k AS (
-  SELECT i, name, greatest(0, least(size, goal - b)) AS words, least((b + size) / nullif(target, 0), 1.0) AS finish, b
-  FROM (SELECT *, before + n * source_size AS b FROM r, (VALUES (0), (1)) v(n)) z),
-o AS (SELECT i, words, coalesce(sum(words) OVER (ORDER BY finish, name, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM k WHERE words > 0),
+k AS (SELECT i, name, size AS words, (before + n * source_size + size) / nullif(target, 0) AS finish, before + n * source_size AS b FROM r, (VALUES (0), (1)) v(n) WHERE size > 0),
+o AS (SELECT i, words, coalesce(sum(words) OVER (ORDER BY finish, name, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM k WHERE finish IS NOT NULL),
 m AS (SELECT CAST(round(1.5 * sum(size)) AS BIGINT) AS most FROM r),
 e AS (SELECT i, sum(greatest(0, least(words, most - spent))) AS taken FROM o, m GROUP BY i)
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, source FROM r LEFT JOIN e USING (i)
