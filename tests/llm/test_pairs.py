@@ -33,42 +33,69 @@ def test_components(spark):
     assert {n: got.get(n, n) for n in want} == want
 
 
+def texts_of(rng, n, edits, kinds=1):
+    """A text of n words and a copy with so many words changed, or dropped and inserted too."""
+    words = [f"w{i}" for i in range(3000)]
+    a = [rng.choice(words) for _ in range(n)]
+    b = list(a)
+    for k in sorted(rng.sample(range(n), edits), reverse=True):
+        kind = rng.randrange(kinds)
+        b[k : k + (kind < 2)] = [rng.choice(words)] if kind != 1 else []
+    return a, b
+
+
+def sequence(words):
+    return order_minhash.labelled(order_minhash.word_hashes([" ".join(words).encode()])[0])
+
+
 def test_alignment_by_brute_force():
-    rng = np.random.default_rng(0)
-    for _ in range(300):
-        a = rng.permutation(30).astype(np.uint64)
-        b = a.copy()
-        for _ in range(rng.integers(0, 5)):
-            k = rng.integers(0, len(b))
-            b = np.delete(b, k) if rng.random() < 0.5 else np.insert(b, k, 100 + rng.integers(0, 1000))
-        if len(set(b.tolist())) < len(b):
+    """Words under windows of five that match in the same order, over the longer text."""
+    rng = random.Random(0)
+    for _ in range(400):
+        a, b = texts_of(rng, rng.randint(5, 60), rng.randint(0, 5), 3)
+        windows = [["  ".join(x[i : i + 5]) for i in range(len(x) - 4)] for x in (a, b)]
+        if any(len(set(w)) < len(w) for w in windows) or min(map(len, windows)) < 1:
             continue
-        t = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i in range(len(a)):
-            for j in range(len(b)):
-                t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
-        true = t[-1, -1] / (len(a) + len(b) - t[-1, -1])
-        got = order_minhash.alignment(a, b)
+        shared = set(windows[0]) & set(windows[1])  # edits keep the order
+        sides = [len({k for i, w in enumerate(ws) if w in shared for k in range(i, i + 5)}) for ws in windows]
+        true = min(sides) / max(len(a), len(b))
+        s, t = sequence(a), sequence(b)
+        got = order_minhash.alignment(s, t)
+        assert got == order_minhash.alignment(t, s)
         assert abs(got - true) < 1e-12 if true >= 0.8 else got < 0.8
+        assert (len(order_minhash.aligned([s, t], np.array([[False, True], [False, False]]))[0]) > 0) == (true >= 0.8)
 
 
-def test_sketch_recall_by_similarity():
-    """Pairs that align at 0.8 or more share a sketch, in every band of similarity and for short and long texts."""
+def test_alignment_of_moved_words():
+    """Matches out of order: one side of the move is left out, whichever text comes first."""
+    rng = random.Random(6)
+    for _ in range(100):
+        a = [f"w{rng.randrange(40)}" for _ in range(120)]
+        k, n = rng.randrange(90), rng.choice([6, 14])
+        b = a[:k] + a[k + n : k + 2 * n] + a[k : k + n] + a[k + 2 * n :]
+        s, t = sequence(a), sequence(b)
+        got = order_minhash.alignment(s, t)
+        assert got == order_minhash.alignment(t, s) and got <= 1 - n / 120 + 1e-9
+        assert (len(order_minhash.aligned([s, t], np.array([[False, True], [False, False]]))[0]) > 0) == (got >= 0.8)
+
+
+def test_recall_by_edit_rate():
+    """Copies with 1 to 5 % of their words changed share a sketch and align."""
     rng = random.Random(1)
-    words, bands = [f"w{i}" for i in range(3000)], {}
-    for _ in range(3000):
-        n = rng.choice([12, 30, 80, 200, 600])
-        a = [rng.choice(words) for _ in range(n)]
-        b = list(a)
-        for _ in range(rng.randint(1, max(1, n // 45))):
-            k, kind = rng.randrange(len(b)), rng.random()
-            b[k : k + (kind < 0.75)] = [rng.choice(words)] if kind < 0.5 or kind >= 0.75 else []
-        s = [order_minhash.labelled(order_minhash.word_hashes([" ".join(x).encode()])[0]) for x in (a, b)]
-        if (sim := order_minhash.alignment(*s)) >= 0.8:
-            hit = (order_minhash.sketches(s[0]) == order_minhash.sketches(s[1])).any()
-            bands.setdefault(min(int(sim * 20), 19), []).append(hit)
-    assert sorted(bands) == [16, 17, 18, 19]
-    assert all(len(x) > 50 and sum(x) >= 0.99 * len(x) for x in bands.values()), {k: (sum(x), len(x)) for k, x in bands.items()}
+    for n in (30, 100, 400):
+        for rate in (0.01, 0.02, 0.03, 0.05):
+            found = 0
+            for _ in range(150):
+                s, t = map(sequence, texts_of(rng, n, max(1, int(rate * n)), 3))
+                found += order_minhash.alignment(s, t) >= 0.8 and (order_minhash.sketches(s) == order_minhash.sketches(t)).any()
+            assert found >= 0.9 * 150, (n, rate, found)
+
+
+def test_texts_that_share_a_passage_stay_apart():
+    rng = random.Random(2)
+    passage, (a, _), (b, _) = (texts_of(rng, 60, 0)[0], texts_of(rng, 40, 0), texts_of(rng, 40, 0))
+    assert order_minhash.alignment(sequence(passage + a), sequence(passage + b)) < 0.8
+    assert order_minhash.alignment(sequence(a + passage), sequence(passage + b)) < 0.8
 
 
 def near_brute(data):
@@ -164,7 +191,7 @@ def test_mixing_ties(spark):
     for _, n, _, s in one:
         size[s or None] = size.get(s or None, 0) + n
     for s, target in brute_targets(size).items():
-        assert abs(sum(t for _, _, t, x in one if (x or None) == s) - target) <= 1
+        assert abs(sum(t for _, _, t, x in one if (x or None) == s) - target) <= 4  # the longest document
 
 
 def test_vectors(spark):
@@ -235,7 +262,9 @@ def test_mixing(spark):
     for r in got:
         assert r.source_size == size[r.source] and abs(r.target - want[r.source]) < 1e-6 and 0 <= r.taken <= 2 * r.size
     for s in size:
-        assert abs(sum(r.taken for r in got if r.source == s) - want[s]) <= 1
+        assert abs(sum(r.taken for r in got if r.source == s) - want[s]) <= max(r.size for r in got)
+    assert sum(r.taken for r in got) == int(1.5 * sum(size.values()) + 0.5)
+    assert sum(0 < r.taken % r.size for r in got if r.size) <= 1  # the cut in virtual time ends the mix, not the targets
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs(spark, extra=True).repartition(5), bucket_rows=3).collect()))
     order = mixing.mixed_order(df).collect()
     assert [r.virtual_finish for r in order] == sorted(r.virtual_finish for r in order)
@@ -253,9 +282,8 @@ def test_mixing_budget(spark):
     for r in served:
         for n in (0, 1):
             before = r.before + n * r.source_size
-            words = max(0, min(r.size, int(full[r.source] + 0.5) - before))
-            if words:
-                packets.append((min((before + r.size) / full[r.source], 1.0), r.name, before, r.row, words))
+            if r.size:
+                packets.append(((before + r.size) / full[r.source], r.name, before, r.row, r.size))
     left, want = int(0.7 * sum(r.size for r in served) + 0.5), {}
     for _, _, _, row, words in sorted(packets):
         want[row] = want.get(row, 0) + min(words, left)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,22 @@ def dealt(df: DataFrame, key: str, name: str) -> DataFrame:
     return out
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs with __row, a key of its own for each row: the number of its file and its place there, so that every scan gives the
+    same keys and no copy of the texts is needed. What doesn't come straight from files is written first.
+
+    The list of files is broadcast: the driver holds it anyway to plan a scan."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        rows = docs.select("*", place["file_path"].alias("__file"), place["row_index"].alias("__at"))
+    except AnalysisException:
+        return with_rows(materialize(docs, "rows"))
+    files = sorted(r[0] for r in rows.select("__file").distinct().collect())
+    known = docs.sparkSession.createDataFrame(list(enumerate(files)), "__number long, __file string")
+    key = F.shiftleft("__number", 40) + F.col("__at")
+    return rows.join(F.broadcast(known), "__file").select(*docs.columns, key.alias("__row"))
+
+
 def unwritten(*tables: DataFrame) -> None:
     """Remove the files of written tables that nothing reads any more."""
     for t in tables:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayloom.llm.common import materialize, pieces_of
+from wayloom.llm.common import materialize, pieces_of, with_rows
 from wayloom.shipping import ship
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -63,9 +63,9 @@ SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struct
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
-    """docs with __row, which tells its rows apart (ids may be null or repeated), and __found, the candidates of each text."""
+    """docs with __row, which tells its rows apart (ids may be null or repeated), unless they have it, and __found, the candidates of each text."""
     ship(docs.sparkSession)
-    d = docs.withColumn("__row", F.monotonically_increasing_id())
+    d = docs if "__row" in docs.columns else docs.withColumn("__row", F.monotonically_increasing_id())
     at, names = d.columns.index("text"), [*d.columns, "__found"]
 
     def run(batches: Iterator) -> Iterator:
@@ -123,12 +123,13 @@ def secrets(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
     """docs with the same columns and rows, the text of live-looking candidates replaced by mark, n_chars recounted.
 
-    Rows without candidates, nearly all, pass by; only the others meet the verdicts, by row.
+    Rows without candidates, nearly all, pass by; only the others meet the verdicts, by row. Texts are searched again rather
+    than kept in a table: that takes less than writing them.
     """
-    d = materialize(with_candidates(docs), "candidates")
+    names, d = docs.columns, with_candidates(with_rows(docs))
     bare = F.size("__found") == 0
-    found = d.where(~bare).select(F.col("__row").alias("row"), F.col("source").cast("string").alias("repository"), F.col("__found").alias("found"))
-    live = secret_verdicts(found).select(F.col("row").alias("__row"), F.map_keys(F.map_filter("verdicts", lambda _, v: v == "live")).alias("__live"))
+    rows = d.where(~bare).select(F.col("__row").alias("row"), F.col("source").cast("string").alias("repository"), F.col("__found").alias("found"))
+    live = secret_verdicts(materialize(rows, "candidates")).select(F.col("row").alias("__row"), F.map_keys(F.map_filter("verdicts", lambda _, v: v == "live")).alias("__live"))
     joined = d.where(~bare).join(live, "__row", "left")
 
     @F.pandas_udf("string")
@@ -147,9 +148,10 @@ def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
             out.append("".join([*keep, t[at:]]) if at else t)
         return pd.Series(out, dtype=object)
 
-    has = F.size("__live") > 0
-    changed = joined.where(has).withColumn("text", cut(F.col("text"), F.col("__live")))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    names = docs.columns
-    return d.where(bare).select(*names).unionByName(joined.where(F.coalesce(~has, F.lit(True))).select(*names)).unionByName(changed.select(*names))
+    has = F.coalesce(F.size("__live") > 0, F.lit(False))
+    some = F.coalesce("__live", F.array().cast("array<string>"))
+    masked = F.when(has, cut(F.col("text"), some)).otherwise(F.col("text"))
+    changed = joined.withColumn("text", masked)
+    if "n_chars" in names:
+        changed = changed.withColumn("n_chars", F.when(has, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return d.where(bare).select(*names).unionByName(changed.select(*names))
