@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.llm import mixing, order_minhash, piece_codec, quality, secret_scan
-from wayloom.llm.common import dealt, materialize, read
+from wayloom.llm.common import materialize, read, unwritten, with_rows
 from wayloom.llm.queries import tokenizer_file
 
 
@@ -51,12 +51,6 @@ def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return piece_codec.encode_pieces(docs, tokenizer_file("piece_bpe_32k.model")).select("doc_id", "source", "ids", "n_pieces")
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """docs with a key of its own for each row, written once and bucketed by it: doc_id may be null or repeated, and joins
-    with lists of keys, which grow with the corpus, merge at every size without shuffling the texts again."""
-    return dealt(docs.withColumn("__row", F.monotonically_increasing_id()), "__row", "rows")
-
-
 STAGES = [
     ("quality_rules", quality_stage),
     ("minhash_near_dedup", near_dedup_stage),
@@ -70,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            unwritten(last)  # its reader is written
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
