@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from wayloom.llm.common import connected_components, materialize, packed, pieces_of, text_of, unpacked, unwritten
 
 SHINGLE, SIMILARITY = 5, 0.8
-MINIMA, SKETCHES, SMALL = 3, 32, 8
-BLOCK, BLOCK_SHINGLES, SLICE_BYTES = 256, 1 << 20, 2 << 20
+MINIMA, SKETCHES, SMALL = 3, 24, 8
+BLOCK, BLOCK_SHINGLES, SLICE_BYTES = 512, 1 << 20, 2 << 20
 M1, M2, BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x5851F42D4C957F2D
 SEEDS = np.random.default_rng(7).integers(1, 2**63, SKETCHES, dtype=np.int64).astype(np.uint64)
 _POWERS: list[np.ndarray] = []
