@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo, parsing, pricing, validity
-from wayloom.operators import connectors, planner, restrictions, road, search, spatial, timetable, transit, ways
+from wayloom.operators import connectors, contracts, overlay, planner, restrictions, road, search, spatial, timetable, transit, ways
 from wayloom.operators.fixpoint import written
 from wayloom.plans.domain import ACTIVE, calendars, hav, view, with_views
 from wayloom.shipping import ship
@@ -81,6 +81,22 @@ def connections_window(spark, sf):
     return timetable.connections(calendars(view(spark, sf, "trips")), view(spark, sf, "calls"), "1998-07-01 00:00:00", "1998-07-01 12:00:00", [])
 
 
+_UTC = """timezone('UTC', timezone(zone, CAST(d AS TIMESTAMP) + to_seconds({s})))"""
+
+
+@_query(with_views("stops", "trips", "calls") + f""", feed AS (SELECT tz FROM stops WHERE tz IS NOT NULL GROUP BY tz ORDER BY count(*) DESC, min(stop_id) LIMIT 1),
+ zones AS (SELECT trip_id, coalesce(tz, (SELECT tz FROM feed)) AS zone FROM (SELECT trip_id, arg_min(stop_id, seq) AS stop_id FROM calls GROUP BY trip_id) f JOIN stops USING (stop_id)),
+ good AS (SELECT trip_id FROM (SELECT trip_id, arr_s, dep_s, lag(dep_s) OVER (PARTITION BY trip_id ORDER BY seq) AS p FROM calls) x GROUP BY trip_id HAVING count(*) >= 2 AND NOT bool_or(arr_s > dep_s OR coalesce(arr_s < p, FALSE))),
+ seg AS (SELECT * FROM (SELECT trip_id, seq, stop_id AS dep_stop, dep_s, lead(stop_id) OVER w AS arr_stop, lead(arr_s) OVER w AS arr_s FROM calls WHERE trip_id IN (SELECT trip_id FROM good) WINDOW w AS (PARTITION BY trip_id ORDER BY seq)) z WHERE arr_stop IS NOT NULL),
+ days AS (SELECT trip_id, mode, d FROM (SELECT *, CAST(unnest(generate_series(DATE '1998-03-28', DATE '1998-03-31', INTERVAL 1 DAY)) AS DATE) AS d FROM trips) x WHERE {ACTIVE}),
+ c AS (SELECT trip_id || '@' || d AS run_id, trip_id, mode, seq, dep_stop, arr_stop, {_UTC.format(s='dep_s')} AS dep, {_UTC.format(s='arr_s')} AS arr FROM days JOIN seg USING (trip_id) JOIN zones USING (trip_id)),
+ w AS (SELECT * FROM c WHERE arr > dep AND dep >= TIMESTAMP '1998-03-29 00:00:00')
+ SELECT * FROM w WHERE run_id IN (SELECT run_id FROM w WHERE dep <= TIMESTAMP '1998-03-30 00:00:00')""")
+def zoned_connections(spark, sf):
+    """Connections in UTC of a day on which summer time begins in two of three zones; trips take the zone of their first stop."""
+    return timetable.connections(calendars(view(spark, sf, "trips")), view(spark, sf, "calls"), "1998-03-29 00:00:00", "1998-03-30 00:00:00", [], view(spark, sf, "stops"))
+
+
 def _network(spark, sf, end="1998-07-01 23:59:59"):
     c = timetable.connections(calendars(view(spark, sf, "trips")), view(spark, sf, "calls"), "1998-07-01 00:00:00", end, [])
     sec = lambda x: F.timestamp_diff("SECOND", F.lit("1998-07-01 00:00:00").cast("timestamp_ntz"), x)
@@ -573,11 +589,131 @@ def next_departures(spark, sf):
     return timetable.next_departures(asks, conns)
 
 
-@_query(_PATHS.replace(", d AS", ", sources AS (SELECT s_suppkey AS s FROM supplier), d AS", 1) + " SELECT a.s AS source, b.s AS target, seconds FROM sources a, sources b LEFT JOIN m ON m.source = a.s AND m.node = b.s")
+def _keyed(weights: str, sources: str = "SELECT s_suppkey AS s FROM supplier") -> str:
+    """Shortest weights m (source, node, seconds) of w (tail, head, seconds) from sources, without a limit: a recursion that keeps the least of each key."""
+    return f"""{weights}, sources AS ({sources}), m(source, node, seconds) USING KEY (source, node) AS (SELECT s, s, CAST(0 AS BIGINT) FROM sources UNION
+ SELECT n.source, n.head, min(x) FROM (SELECT m.source, w.head, m.seconds + w.seconds AS x FROM m JOIN w ON tail = node) n LEFT JOIN recurring.m r ON r.source = n.source AND r.node = n.head WHERE r.seconds IS NULL OR x < r.seconds GROUP BY n.source, n.head)"""
+
+
+def _overlay(spark, sf):
+    a = road.arc_weights(_arcs(spark, sf), 1).select("arc", "tail", "head", F.col("seconds").alias("weight"))
+    return overlay.build(a, overlay.cells_by_order(view(spark, sf, "doors").select(F.col("door").alias("node"))))
+
+
+def _stop_nodes(spark, sf):
+    return view(spark, sf, "stops").select(F.col("stop_id").alias("node"))
+
+
+_MATRIX = " SELECT a.s AS source, b.s AS target, seconds FROM sources a, sources b LEFT JOIN m ON m.source = a.s AND m.node = b.s"
+
+
+@_query(_keyed(_WEIGHTS) + _MATRIX)
 def drive_matrix(spark, sf):
-    """Drives of a quarter of an hour between the nodes of all stops; null where it takes longer."""
-    points = view(spark, sf, "stops").select(F.col("stop_id").alias("node"))
-    return road.matrix(points, road.arc_weights(_arcs(spark, sf), 1), 900)
+    """Drives between the nodes of all stops, however long; null where no road leads there."""
+    return overlay.matrix(_overlay(spark, sf), _stop_nodes(spark, sf)).withColumnRenamed("weight", "seconds")
+
+
+@_query(_keyed(_WEIGHTS.replace(" FROM arcs WHERE season <> 'O'", " FROM arcs WHERE season <> 'O' AND arc % 1000 > 0").replace("2.0 END, 0) AS BIGINT)", "2.0 END, 0) AS BIGINT) + CASE WHEN arc % 1000 = 1 THEN 3600 ELSE 0 END")) + _MATRIX)
+def overlay_overrides(spark, sf):
+    """drive_matrix with every thousandth arc closed and its neighbour jammed for an hour: only the cells of those arcs are searched again."""
+    o, jam = _overlay(spark, sf), F.when(F.col("arc") % 1000 == 1, F.col("weight") + 3600)
+    changed = o.arcs.where("arc % 1000 < 2").select("arc", jam.alias("weight"))
+    return overlay.matrix(overlay.customise(o, changed)[0], _stop_nodes(spark, sf)).withColumnRenamed("weight", "seconds")
+
+
+_DRIVES = "drives AS (SELECT s_suppkey AS request, s_suppkey AS a, 1 + (s_suppkey + 2) % (SELECT count(*) FROM supplier) AS b FROM supplier)"
+
+
+def _drives(spark, sf):
+    """A drive from every stop's node to that of a stop a little way on."""
+    s, d = view(spark, sf, "stops").select(F.col("stop_id").alias("request")), view(spark, sf, "doors")
+    t = s.withColumn("b", 1 + (F.col("request") + 2) % s.count()).join(d.withColumnRenamed("door", "request"), "request")
+    return t.join(d.select(F.col("door").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), "b").select("request", "lat", "lon", "lat2", "lon2")
+
+
+def _nodes(spark, sf):
+    return view(spark, sf, "doors").select(F.col("door").alias("node"), "lat", "lon", (F.col("door") % 4 == 0).alias("signal"))
+
+
+@_query(_TURNS.replace(" SELECT in_arc, out_arc, CAST(angle", ", cost AS (SELECT in_arc, out_arc, CAST(angle", 1) + """), o AS (SELECT arc, tail, head, CAST(base_seconds AS DOUBLE) AS s FROM arcs),
+ k(source, arc, seconds) USING KEY (source, arc) AS (SELECT s_suppkey, arc, s FROM supplier JOIN o ON tail = s_suppkey UNION
+  SELECT n.source, n.out_arc, min(x) FROM (SELECT k.source, c.out_arc, k.seconds + c.cost + o.s AS x FROM k JOIN cost c ON k.arc = in_arc JOIN o ON o.arc = c.out_arc) n LEFT JOIN recurring.k r ON r.source = n.source AND r.arc = n.out_arc WHERE x <= 1800 AND (r.seconds IS NULL OR x < r.seconds) GROUP BY n.source, n.out_arc),
+ best AS (SELECT source, head AS node, min(seconds) AS seconds FROM k JOIN o USING (arc) GROUP BY ALL),
+ """ + _DRIVES + " SELECT request, CAST(CASE WHEN a = b THEN 0 ELSE seconds END AS DOUBLE) AS seconds FROM drives LEFT JOIN best ON source = a AND node = b")
+def turn_drives(spark, sf):
+    """Drives of half an hour at most by legal turns with their costs; null where it takes longer."""
+    arcs, nodes = view(spark, sf, "arcs").withColumns({"seconds": F.col("base_seconds"), "km": F.col("base_seconds") / 60}), _nodes(spark, sf)
+    return road.drive(_drives(spark, sf), nodes, arcs, turn_table=road.turns(arcs, nodes), limit_s=1800).select("request", "seconds")
+
+
+_HOURS = "CASE request % 3 WHEN 0 THEN 'rush' WHEN 1 THEN 'night' ELSE 'holiday' END"
+_PEAK = "CASE class WHEN 'ferry' THEN 1.0 WHEN 'motorway' THEN 1.05 WHEN 'primary' THEN 1.33 WHEN 'residential' THEN 1.82 ELSE 2.0 END"
+
+
+@_query(with_views("arcs") + f""", v(band) AS (VALUES ('rush'), ('night'), ('holiday')),
+ w AS (SELECT band, tail, head, CAST(round_even(base_seconds * CASE WHEN class = 'ferry' THEN 1.0 ELSE greatest(CAST(1.0 AS DOUBLE), CAST({_PEAK} AS DOUBLE) * CASE band WHEN 'rush' THEN CASE WHEN class = 'motorway' THEN CAST(1.2 AS DOUBLE) ELSE 1.45 END WHEN 'night' THEN CAST(0.95 AS DOUBLE) ELSE 1.0 END) END, 0) AS BIGINT) AS seconds FROM arcs, v WHERE season <> 'O' OR band = 'night'),
+ {_DRIVES}, k(band, source, node, seconds) USING KEY (band, source, node) AS (SELECT DISTINCT {_HOURS}, a, a, CAST(0 AS BIGINT) FROM drives UNION
+  SELECT n.band, n.source, n.head, min(x) FROM (SELECT k.band, k.source, w.head, k.seconds + w.seconds AS x FROM k JOIN w ON w.tail = k.node AND w.band = k.band) n LEFT JOIN recurring.k r ON r.band = n.band AND r.source = n.source AND r.node = n.head WHERE x <= 1800 AND (r.seconds IS NULL OR x < r.seconds) GROUP BY n.band, n.source, n.head)
+ SELECT request, CAST(seconds AS DOUBLE) AS seconds FROM drives LEFT JOIN k ON k.band = {_HOURS} AND k.source = a AND k.node = b""")
+def timed_drives(spark, sf):
+    """Drives of half an hour at most at eight on a workday in March, at eleven at night in June (summer roads open), and at eight on a holiday."""
+    k = F.col("request") % 3
+    at = F.when(k == 0, "2026-03-03 08:10:00").when(k == 1, "2026-06-03 23:30:00").otherwise("2026-01-01 08:20:00").cast("timestamp_ntz")
+    arcs = _arcs(spark, sf).withColumn("km", F.col("base_seconds") / 60)
+    holidays = spark.sql("SELECT DATE '2026-01-01' AS day, 'holiday' AS kind")
+    return road.timed_drive(_drives(spark, sf).withColumn("depart", at), _nodes(spark, sf), arcs, holidays, limit_s=1800).select("request", "seconds")
+
+
+def _contracts(spark, sf):
+    """From every door, by its number: one of six objectives, a day of two, a minute, a strike, no flights, a first mile, one to three plans."""
+    k = F.col("request")
+    at = F.when(k % 2 == 0, "1998-06-30 00:00:00").otherwise("1998-07-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(21_600 + k % 360 * 60).cast("decimal(18,6)"))
+    pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (1 + k % n).cast("int"))
+    none = F.array().cast("array<string>")
+    return _door_requests(spark, sf).withColumns({
+        "depart": at, "objective": pick(6, *planner.ORDER), "conditions": F.when(k % 4 < 2, F.array(F.lit("strike"))).otherwise(none), "exclude": F.when(k % 5 == 0, F.array(F.lit("flight"))).otherwise(none),
+        "access": pick(3, "car", "transit", "both"), "top": (1 + k % 3).cast("int"),
+    })
+
+
+@_query()
+def plan_contracts(spark, sf):
+    """Plans of requests with a contract of their own, over zones; no SQL twin (a fixpoint within), tested against plans made one by one."""
+    _, stops, feet = _network(spark, sf)
+    closed = written(transit.close_footpaths(feet), "feet")
+    got = contracts.plan_each(_contracts(spark, sf), calendars(view(spark, sf, "trips")), view(spark, sf, "calls"), stops, closed)
+    return got.select("request", "objective", "rank", "cand", "total_s", "cost", "transfers", "modes")
+
+
+@_query(with_views("trips", "calls") + f""", good AS (SELECT trip_id FROM (SELECT trip_id, arr_s, dep_s, lag(dep_s) OVER (PARTITION BY trip_id ORDER BY seq) AS p FROM calls) x GROUP BY trip_id HAVING count(*) >= 2 AND NOT bool_or(arr_s > dep_s OR coalesce(arr_s < p, FALSE))),
+ seg AS (SELECT * FROM (SELECT trip_id, seq, stop_id AS dep_stop, dep_s, lead(stop_id) OVER w AS arr_stop, lead(arr_s) OVER w AS arr_s FROM calls WHERE trip_id IN (SELECT trip_id FROM good) WINDOW w AS (PARTITION BY trip_id ORDER BY seq)) z WHERE arr_stop IS NOT NULL AND arr_s > dep_s),
+ asked AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN DATE '1998-06-30' ELSE DATE '1998-07-01' END AS day, c_custkey % 4 < 2 AS strike, (CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '1998-06-30 00:00:00' ELSE TIMESTAMP '1998-07-01 00:00:00' END) + to_seconds(21600 + c_custkey % 360 * 60) AS depart FROM customer),
+ sets AS (SELECT day, strike, min(depart) AS t0, max(depart) + INTERVAL 6 HOUR AS t1 FROM asked GROUP BY ALL),
+ days AS (SELECT trip_id, mode, d, season FROM (SELECT *, CAST(unnest(generate_series(DATE '1998-06-28', DATE '1998-07-02', INTERVAL 1 DAY)) AS DATE) AS d FROM trips) x WHERE {ACTIVE}),
+ c AS (SELECT day, strike, t1, trip_id, d, mode, seq, dep_stop, arr_stop, CAST(d AS TIMESTAMP) + to_seconds(dep_s) AS dep, CAST(d AS TIMESTAMP) + to_seconds(arr_s) AS arr FROM days JOIN seg USING (trip_id) JOIN sets ON NOT (strike AND season = 'P') AND CAST(d AS TIMESTAMP) + to_seconds(dep_s) >= t0)
+ SELECT day, strike, trip_id, d AS service_day, mode, seq, dep_stop, arr_stop, dep, arr FROM (SELECT *, min(dep) OVER (PARTITION BY day, strike, trip_id, d) AS first_dep FROM c) z WHERE first_dep <= t1""")
+def contract_connections(spark, sf):
+    """Connections that the contracts' sets share: for each day and condition those of its window, of six hours after its last departure."""
+    r = _contracts(spark, sf).select("request", "depart", "conditions")
+    _, sets = contracts.with_sets(r, 21_600)
+    c = timetable.connection_sets(sets, calendars(view(spark, sf, "trips")), view(spark, sf, "calls"))
+    day = F.to_date(F.get_json_object("set", "$.day"))
+    return c.select(day.alias("day"), F.col("set").contains("strike").alias("strike"), "trip_id", F.to_date(F.substring_index("run_id", "@", -1)).alias("service_day"), "mode", "seq", "dep_stop", "arr_stop", "dep", "arr")
+
+
+_ORDERED = ", ".join(f"CASE objective {' '.join(f'WHEN {chr(39)}{o}{chr(39)} THEN {k[i]}' for o, k in planner.ORDER.items() if len(k) > i)} ELSE 0 END" for i in range(5))
+
+
+@_query(_METRICS + f""", wish AS (SELECT DISTINCT request, list_extract([{', '.join(repr(o) for o in planner.ORDER)}], CAST(1 + request % 6 AS BIGINT)) AS objective, 1 + request % 4 AS top, request % 3 = 0 AS ground FROM cands),
+ e AS (SELECT * FROM (SELECT *, min(CASE WHEN no_flight = 1 OR NOT ground THEN total_s END) OVER (PARTITION BY request) AS b FROM cands JOIN wish USING (request)) x WHERE b IS NULL OR b > 57600 OR no_flight = 1 OR NOT ground),
+ f AS (SELECT * FROM e c WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.request = c.request AND o.total_s <= c.total_s AND o.cost <= c.cost AND o.transfers <= c.transfers AND (objective IN ('fastest', 'cheapest', 'fewest_transfers') OR (o.car_km <= c.car_km AND o.emissions <= c.emissions))
+   AND (o.total_s < c.total_s OR o.cost < c.cost OR o.transfers < c.transfers OR (objective NOT IN ('fastest', 'cheapest', 'fewest_transfers') AND (o.car_km < c.car_km OR o.emissions < c.emissions)))))
+ SELECT request, cand, objective, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY {_ORDERED}, cand) AS r FROM f) x WHERE r <= top""")
+def ranked_contracts(spark, sf):
+    """Of each request's candidates the top by its own objective and number, without flights where it says so and others get there in a day."""
+    c, k = _cands(spark, sf), F.col("request")
+    wish = c.select("request").distinct().select("request", F.element_at(F.array(*map(F.lit, planner.ORDER)), (1 + k % 6).cast("int")).alias("objective"), (1 + k % 4).alias("top"), F.when(k % 3 == 0, F.array(F.lit("flight"))).otherwise(F.array().cast("array<string>")).alias("exclude"))
+    return contracts.ranked(c, wish).select("request", "cand", "objective", "rank")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

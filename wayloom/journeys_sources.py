@@ -18,8 +18,8 @@ def _folder(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _feed(spark, sf) -> str:
-    """The domain's stops, trips and calls as a GTFS folder."""
+def _feed(spark, sf, rules: bool = False) -> str:
+    """The domain's stops, trips and calls as a GTFS folder; with rules, transfers of all types, between stops too."""
     path = _folder(spark, "feed")
     put = lambda df, name: df.write.option("header", True).option("emptyValue", "").csv(f"{path}/{name}.txt")
     stops, trips = view(spark, sf, "stops"), calendars(view(spark, sf, "trips"))
@@ -33,7 +33,13 @@ def _feed(spark, sf) -> str:
     put(exceptions.select("service_id", stamp("x.d").alias("date"), F.col("x.k").alias("exception_type")), "calendar_dates")
     clock = lambda s: F.format_string("%d:%02d:%02d", F.floor(F.col(s) / 3600), F.floor(F.col(s) / 60) % 60, F.col(s) % 60)
     put(view(spark, sf, "calls").select("trip_id", F.col("seq").alias("stop_sequence"), "stop_id", F.when(F.col("seq") % 3 != 0, clock("arr_s")).alias("arrival_time"), clock("dep_s").alias("departure_time")), "stop_times")
-    put(stops.select(F.col("stop_id").alias("from_stop_id"), F.col("stop_id").alias("to_stop_id"), F.when(F.col("min_transfer_s").isNull(), 3).otherwise(2).alias("transfer_type"), F.col("min_transfer_s").alias("min_transfer_time")), "transfers")
+    own = stops.select(F.col("stop_id").alias("from_stop_id"), F.col("stop_id").alias("to_stop_id"), F.when(F.col("min_transfer_s").isNull(), 3).otherwise(2).alias("transfer_type"), F.col("min_transfer_s").alias("min_transfer_time"))
+    if rules:
+        k = F.col("stop_id")
+        kind, least = F.when(k % 5 < 4, k % 5), F.when(k % 3 == 0, 0).when(k % 3 == 1, 30).when(k % 7 == 0, -5)
+        own = own.where("from_stop_id % 2 = 0").unionByName(stops.select(k.alias("from_stop_id"), k.alias("to_stop_id"), kind.alias("transfer_type"), least.alias("min_transfer_time")))
+        own = own.unionByName(stops.select(k.alias("from_stop_id"), (k + 1).alias("to_stop_id"), kind.alias("transfer_type"), least.alias("min_transfer_time")))
+    put(own.coalesce(1), "transfers")
     return path
 
 
@@ -60,12 +66,28 @@ def gtfs_stops(spark, sf):
     return gtfs.read_gtfs(spark, _feed(spark, sf)).stops.select("stop_id", "name", _r(F.col("lat")).alias("lat"), _r(F.col("lon")).alias("lon"), "tz", F.col("min_transfer_s").cast("int").alias("min_transfer_s"))
 
 
-@_query(with_views("stops") + f", up AS (SELECT c.stop_id AS a, p.stop_id AS b, greatest(60, {hav('c.lat', 'c.lon', 'p.lat', 'p.lon')} / 4.5 * 3600) AS dur FROM stops c JOIN stops p ON p.stop_id = c.stop_id - 1 WHERE c.stop_id % 10 = 3) SELECT CAST(a AS VARCHAR) AS from_stop, CAST(b AS VARCHAR) AS to_stop, round(dur, 3) AS dur_s FROM up UNION ALL SELECT CAST(b AS VARCHAR), CAST(a AS VARCHAR), round(dur, 3) FROM up")
+@_query(with_views("stops") + f", up AS (SELECT c.stop_id AS a, p.stop_id AS b, {hav('c.lat', 'c.lon', 'p.lat', 'p.lon')} / 4.5 * 3600 AS dur FROM stops c JOIN stops p ON p.stop_id = c.stop_id - 1 WHERE c.stop_id % 10 = 3) SELECT CAST(a AS VARCHAR) AS from_stop, CAST(b AS VARCHAR) AS to_stop, round(dur, 3) AS dur_s FROM up UNION ALL SELECT CAST(b AS VARCHAR), CAST(a AS VARCHAR), round(dur, 3) FROM up")
 def gtfs_footpaths(spark, sf):
     """Walks between platforms and their stations, both ways."""
     return gtfs.read_gtfs(spark, _feed(spark, sf)).footpaths.select("from_stop", "to_stop", _r(F.col("dur_s"), 3).alias("dur_s"))
 
 
+_RULE = "CASE WHEN stop_id % 5 < 4 THEN stop_id % 5 ELSE 0 END AS kind, CASE WHEN stop_id % 3 = 0 THEN 0 WHEN stop_id % 3 = 1 THEN 30 END AS least"
+
+
+@_query(with_views("stops") + f""", r AS (SELECT *, {_RULE} FROM stops),
+ walks AS (SELECT r.stop_id AS a, t.stop_id AS b, CASE WHEN least > 0 THEN least ELSE {hav('r.lat', 'r.lon', 't.lat', 't.lon')} / 4.5 * 3600 END AS dur FROM r JOIN stops t ON t.stop_id = r.stop_id + 1 WHERE kind <> 3),
+ up AS (SELECT c.stop_id AS a, p.stop_id AS b, {hav('c.lat', 'c.lon', 'p.lat', 'p.lon')} / 4.5 * 3600 AS dur FROM stops c JOIN stops p ON p.stop_id = c.stop_id - 1 WHERE c.stop_id % 10 = 3),
+ f AS (SELECT a, b, min(dur) AS dur FROM (SELECT * FROM walks UNION ALL SELECT * FROM up UNION ALL SELECT b, a, dur FROM up) x GROUP BY a, b)
+ SELECT CAST(a AS VARCHAR) AS from_stop, CAST(b AS VARCHAR) AS to_stop, round(dur, 3) AS seconds FROM f
+ UNION ALL SELECT CAST(stop_id AS VARCHAR), CAST(stop_id AS VARCHAR), CAST(CASE WHEN kind = 3 THEN NULL WHEN kind = 1 THEN 0 WHEN least IS NOT NULL THEN least WHEN stop_id % 2 = 0 THEN min_transfer_s ELSE 300 END AS DOUBLE) FROM r""")
+def gtfs_transfers(spark, sf):
+    """Changes at a stop and walks between stops, by rules of all types, with times of 0 and 30 s, blank and negative ones; several for a stop."""
+    t = gtfs.read_gtfs(spark, _feed(spark, sf, rules=True))
+    own = t.stops.select(F.col("stop_id").alias("from_stop"), F.col("stop_id").alias("to_stop"), F.col("min_transfer_s").cast("double").alias("seconds"))
+    return t.footpaths.select("from_stop", "to_stop", _r(F.col("dur_s"), 3).alias("seconds")).unionByName(own)
+
+
 def _flight_files(spark, sf):
     """Airports and routes as headerless files, with doubles, gaps and strange zones."""
     stops, path = view(spark, sf, "stops"), _folder(spark, "flights")

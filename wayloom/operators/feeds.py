@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from wayloom.functions.geo import haversine_km
 from wayloom.operators import spatial
 from wayloom.operators.fixpoint import written
+from wayloom.operators.timetable import most_offset  # noqa: F401 (of a whole timetable)
 
 #: Stops of one id farther apart than SAME_KM are different stops; walks to link hubs at WALK_KMH within LINK_KM, LINKS at most.
 SAME_KM, WALK_KMH, LINK_KM, LINKS = 1.0, 4.5, 2.0, 6
@@ -118,8 +119,3 @@ def compose(ends: list[tuple[float, float]], air: Timetable | None, feeds: list[
         else:
             parts.append(part)
     return (link_hubs(fill_zones(merge(parts))) if parts else None), notes
-
-
-def most_offset(calls: DataFrame) -> DataFrame:
-    """One row: the latest departure of any call, in seconds of its service day."""
-    return calls.agg(F.max("dep_s").alias("dep_s"))

@@ -2,31 +2,26 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayloom.functions.geo import haversine_km
 from wayloom.functions.parsing import gtfs_seconds, route_mode
+from wayloom.operators.feeds import Timetable
 from wayloom.operators.timetable import expand_frequencies, valid_trips
 
 
-@dataclass
-class Timetable:
-    stops: DataFrame
-    trips: DataFrame
-    calls: DataFrame
-    footpaths: DataFrame
-
-
 def table(spark: SparkSession, feed: str, name: str, columns: list[str]) -> DataFrame | None:
-    """A file of the feed with all named columns as strings (null where the file lacks one); None without the file. A file that isn't UTF-8 is Latin-1."""
+    """A file of the feed with all named columns as strings (null where the file lacks one); None without the file. A file that isn't
+    UTF-8 is Latin-1. One pass over the lines, in parts, tells the encoding and whether any quoted field goes on over a line's
+    end; only then is the file read as a whole, else its parts are read by themselves."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{feed}/{name}.txt")
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return None
-    plain = spark.read.text(f"{feed}/{name}.txt").where(~F.is_valid_utf8("value")).isEmpty()
-    df = spark.read.option("header", True).option("multiLine", True).option("encoding", "UTF-8" if plain else "ISO-8859-1").csv(f"{feed}/{name}.txt")
-    df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd, latin = spark.read.text(f"{feed}/{name}.txt").agg(F.bool_or(quotes % 2 == 1), F.bool_or(~F.is_valid_utf8("value"))).first()
+    df = spark.read.option("header", True).option("multiLine", bool(odd)).option("encoding", "ISO-8859-1" if latin else "UTF-8").csv(f"{feed}/{name}.txt")
+    df = df.toDF(*[c.removeprefix("\u00ef\u00bb\u00bf").lstrip("\ufeff").strip() for c in df.columns])
     return df.select(*[F.trim(F.col(c)).alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
@@ -76,7 +71,7 @@ def services(calendar: DataFrame | None, exceptions: DataFrame | None) -> DataFr
 def read_gtfs(spark: SparkSession, feed: str) -> Timetable:
     stops = table(spark, feed, "stops", ["stop_id", "stop_name", "stop_lat", "stop_lon", "stop_timezone", "parent_station"])
     number = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", 0.0).otherwise(F.col(c).try_cast("double"))
-    stops = stops.select("stop_id", F.coalesce("stop_name", "stop_id").alias("name"), number("stop_lat").alias("lat"), number("stop_lon").alias("lon"), F.col("stop_timezone").alias("tz"), "parent_station").where("lat is not null and lon is not null")
+    stops = stops.select("stop_id", F.coalesce("stop_name", "stop_id").alias("name"), number("stop_lat").alias("lat"), number("stop_lon").alias("lon"), F.lit("rail_station").alias("stop_type"), F.col("stop_timezone").alias("tz"), "parent_station").where("lat is not null and lon is not null")
     stops = with_valid_zone(stops)
     if (agency := table(spark, feed, "agency", ["agency_timezone"])) is not None:
         stops = stops.join(F.broadcast(feed_zone(agency).select(F.col("tz").alias("__tz"))), how="left").withColumn("tz", F.coalesce("tz", "__tz")).drop("__tz")
@@ -93,29 +88,37 @@ def read_gtfs(spark: SparkSession, feed: str) -> Timetable:
     freq = table(spark, feed, "frequencies", ["trip_id", "start_time", "end_time", "headway_secs"])
     if freq is not None:
         f = freq.select("trip_id", gtfs_seconds(F.col("start_time")).alias("start_s"), gtfs_seconds(F.col("end_time")).alias("end_s"), F.col("headway_secs").try_cast("int").alias("headway_s"))
-        calls = expand_frequencies(calls, f)
-        trips = calls.select("trip_id").distinct().withColumn("__of", F.split_part("trip_id", F.lit("#"), F.lit(1))).join(trips.withColumnRenamed("trip_id", "__of"), "__of").drop("__of")
+        calls = expand_frequencies(calls, f, template="__of")
+        trips = calls.select("trip_id", "__of").distinct().join(trips.withColumnRenamed("trip_id", "__of"), "__of").drop("__of")
+        calls = calls.drop("__of")
     stops, footpaths = transfers(stops, table(spark, feed, "transfers", ["from_stop_id", "to_stop_id", "transfer_type", "min_transfer_time"]))
     return Timetable(stops, trips, calls, footpaths)
 
 
-def transfers(stops: DataFrame, rules: DataFrame | None, walk_kmh: float = 4.5) -> tuple[DataFrame, DataFrame]:
-    """Stops with min_transfer_s (null: no change allowed) and footpaths, from transfer rules and from parent stations."""
-    from wayloom.functions.geo import haversine_km
+#: A stop's change time, the pace between stops, and the walk between stops at one place.
+CHANGE_S, WALK_KMH, LEAST_S = 300, 4.5, 60.0
+
+
+def transfers(stops: DataFrame, rules: DataFrame | None, walk_kmh: float = WALK_KMH) -> tuple[DataFrame, DataFrame]:
+    """Stops with min_transfer_s (null: no change allowed) and footpaths, from transfer rules and from parent stations.
 
+    A rule for one stop sets its change time: type 3 forbids it, type 1 makes it 0, else the rule's time counts if it names one;
+    of several the last that sets it. A rule between stops is a footpath of its time, if that is positive, else of the walk
+    (LEAST_S at one place); type 3 is none. Rules of unknown stops don't count."""
     here = stops.select("stop_id", "lat", "lon")
     there = here.toDF("to_stop", "to_lat", "to_lon")
-    walk = F.greatest(F.lit(60.0), haversine_km(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon")) / walk_kmh * 3600)
+    walk = haversine_km(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon")) / walk_kmh * 3600
+    walk = F.when(walk > 0, walk).otherwise(LEAST_S)
     linked = stops.where("parent_station is not null and parent_station <> '' and parent_station <> stop_id").select("stop_id", "lat", "lon", F.col("parent_station").alias("to_stop"))
     up = linked.join(there, "to_stop").select(F.col("stop_id").alias("from_stop"), "to_stop", walk.alias("dur_s"))
     feet = up.unionByName(up.select(F.col("to_stop").alias("from_stop"), F.col("from_stop").alias("to_stop"), "dur_s"))
-    default = F.lit(300)
     if rules is None:
-        return stops.withColumn("min_transfer_s", default), feet
+        return stops.withColumn("min_transfer_s", F.lit(CHANGE_S)), feet
     kind, least = F.coalesce(F.col("transfer_type").try_cast("int"), F.lit(0)), F.col("min_transfer_time").try_cast("int")
-    r = rules.select(F.col("from_stop_id").alias("from_stop"), F.col("to_stop_id").alias("to_stop"), kind.alias("kind"), least.alias("least"))
-    same = r.where("from_stop = to_stop").groupBy(F.col("from_stop").alias("stop_id")).agg(F.bool_or(F.col("kind") == 3).alias("never"), F.max("least").alias("least"), F.lit(True).alias("ruled"))
-    stops = stops.join(same, "stop_id", "left").withColumn("min_transfer_s", F.when(F.col("never"), None).otherwise(F.coalesce("least", default))).drop("never", "least", "ruled")
+    r = rules.select(F.col("from_stop_id").alias("from_stop"), F.col("to_stop_id").alias("to_stop"), kind.alias("kind"), F.when(least >= 0, least).alias("least"), F.monotonically_increasing_id().alias("n"))
+    sets = F.when(F.col("kind") == 3, F.lit(-1)).when(F.col("kind") == 1, F.lit(0)).otherwise(F.col("least"))  # -1 stands for never
+    same = r.where("from_stop = to_stop").withColumn("sets", sets).where("sets is not null").groupBy(F.col("from_stop").alias("stop_id")).agg(F.max_by("sets", "n").alias("sets"))
+    stops = stops.join(same, "stop_id", "left").withColumn("min_transfer_s", F.when(F.col("sets") < 0, None).otherwise(F.coalesce("sets", F.lit(CHANGE_S)))).drop("sets")
     between = r.where("from_stop <> to_stop and kind <> 3").join(here.withColumnRenamed("stop_id", "from_stop"), "from_stop").join(there, "to_stop")
-    timed = between.select("from_stop", "to_stop", F.coalesce(F.greatest(F.lit(60), F.when(F.col("least") > 0, F.col("least"))).cast("double"), walk).alias("dur_s"))
+    timed = between.select("from_stop", "to_stop", F.when(F.col("least") > 0, F.col("least").cast("double")).otherwise(walk).alias("dur_s"))
     return stops, timed.unionByName(feet).groupBy("from_stop", "to_stop").agg(F.min("dur_s").alias("dur_s"))
