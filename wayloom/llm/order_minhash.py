@@ -35,6 +35,8 @@ BLOCK, BLOCK_SHINGLES, SLICE_BYTES = 512, 1 << 20, 2 << 20
 M1, M2, BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x5851F42D4C957F2D
 SEEDS = np.random.default_rng(7).integers(1, 2**63, SKETCHES, dtype=np.int64).astype(np.uint64)
 _POWERS: list[np.ndarray] = []
+#: Powers that a worker keeps between slices; longer tables are made for a long text and go with it.
+KEPT = 3 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,10 +47,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i modulo 2^64 for i up to n."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        inverse = pow(BASE, -1, 1 << 64)
-        _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, b, np.uint64))]) for b in (BASE, inverse)]
-    return _POWERS[0], _POWERS[1]
+    if _POWERS and len(_POWERS[0]) > n:
+        return _POWERS[0], _POWERS[1]
+    both = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, b, np.uint64))]) for b in (BASE, pow(BASE, -1, 1 << 64))]
+    if n <= KEPT:
+        _POWERS[:] = both
+    return both[0], both[1]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +152,7 @@ def sketch_table(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in (x for whole in batches for x in pieces_of(whole)):
+        for b in (x for whole in batches for x in pieces_of(whole, max_bytes=1 << 20)):
             hashes, begins = word_hashes([t.encode() for t in b.column(1).to_pylist()])
             digest, keys, sizes, counts = [], [], [], []
             for x, y in zip(begins.tolist(), begins.tolist()[1:], strict=False):

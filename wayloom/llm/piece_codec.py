@@ -38,7 +38,7 @@ MOD_MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: A run of spaces and the word after it; line breaks, which pieces seldom hold, stand alone.
 WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Distinct words, and parts of words, that a worker keeps encoded between batches; slots for pairs of pieces.
-CACHE, SLOTS = 150_000, 1 << 20
+CACHE, SLOTS = 75_000, 1 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -233,7 +233,7 @@ class PieceModel:
                 if p not in self.parts:
                     by_len.setdefault(len(p), set()).add(p)
         for length, group in by_len.items():
-            items, step = sorted(group), max(1, 500_000 // (length + 1))
+            items, step = sorted(group), max(1, 100_000 // (length + 1))
             for a in range(0, len(items), step):
                 self.parts |= dict(zip(items[a : a + step], self.viterbi(items[a : a + step]), strict=True))
         lone = self.id_of.get(SPACE, -1)
@@ -333,7 +333,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text") -> DataF
         import pyarrow as pa
 
         m = shared.value  # one for each worker process, with its caches
-        for b in (x for whole in batches for x in pieces_of(whole, text)):
+        for b in (x for whole in batches for x in pieces_of(whole, text, 1 << 20)):
             texts = [x or "" for x in b.column(b.schema.get_field_index(text)).to_pylist()]
             ids = m.encode(texts)
             offsets = np.cumsum([0, *map(len, ids)])
