@@ -38,7 +38,7 @@ MOD_MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: A run of spaces and the word after it; line breaks, which pieces seldom hold, stand alone.
 WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Distinct words, and parts of words, that a worker keeps encoded between batches; slots for pairs of pieces.
-CACHE, SLOTS = 75_000, 1 << 20
+CACHE, SLOTS = 400_000, 1 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -75,6 +75,7 @@ class PieceModel:
         self.score = np.append(scores, scores[normal].min() - 10)  # the last: a character without a piece
         self.none = n  # stands for a character without a piece
         self.words: dict[str, bytes] = {}
+        self.cache = CACHE
         self.parts: dict[str, list[int]] = {}
         self.pairs, self.pair_apart = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
         if self.bpe:
@@ -218,9 +219,9 @@ class PieceModel:
     def encode_words(self, words: list[str]) -> None:
         """Put words (a run of spaces and what follows it) into self.words."""
         new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > CACHE:
+        if len(self.words) + len(new) > self.cache:
             self.words = {w: self.words[w] for w in words if w in self.words}
-        if len(self.parts) > CACHE:
+        if len(self.parts) > self.cache:
             self.parts = {}
         cut: dict[str, list[str]] = {}
         lead: dict[str, int] = {}
@@ -233,7 +234,7 @@ class PieceModel:
                 if p not in self.parts:
                     by_len.setdefault(len(p), set()).add(p)
         for length, group in by_len.items():
-            items, step = sorted(group), max(1, 100_000 // (length + 1))
+            items, step = sorted(group), max(1, 500_000 // (length + 1))
             for a in range(0, len(items), step):
                 self.parts |= dict(zip(items[a : a + step], self.viterbi(items[a : a + step]), strict=True))
         lone = self.id_of.get(SPACE, -1)
@@ -322,8 +323,9 @@ def model(path: str) -> PieceModel:
     return _MODELS[key]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """docs with ids array<int>, n_pieces int and decoded string; see the module's text."""
+def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", cache: int = CACHE, slice_bytes: int = 2 << 20) -> DataFrame:
+    """docs with ids array<int>, n_pieces int and decoded string; see the module's text. A worker keeps `cache` words and parts at most and
+    cuts slice_bytes of texts at once: less of both takes less memory and more time."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model(model_path))
     docs = docs.drop("ids", "n_pieces", "decoded")
@@ -333,7 +335,8 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text") -> DataF
         import pyarrow as pa
 
         m = shared.value  # one for each worker process, with its caches
-        for b in (x for whole in batches for x in pieces_of(whole, text, 1 << 20)):
+        m.cache = cache
+        for b in (x for whole in batches for x in pieces_of(whole, text, slice_bytes)):
             texts = [x or "" for x in b.column(b.schema.get_field_index(text)).to_pylist()]
             ids = m.encode(texts)
             offsets = np.cumsum([0, *map(len, ids)])
