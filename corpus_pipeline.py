@@ -48,7 +48,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, n_pieces: what a trainer reads, a row for each row of docs; a null text has no pieces."""
-    return piece_codec.encode_pieces(docs, tokenizer_file("piece_bpe_32k.model")).select("doc_id", "source", "ids", "n_pieces")
+    return piece_codec.encode_pieces(docs, tokenizer_file("piece_bpe_32k.model"), cache=75_000, slice_bytes=1 << 20).select("doc_id", "source", "ids", "n_pieces")
 
 
 STAGES = [
