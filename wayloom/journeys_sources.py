@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from wayloom.functions import pricing
-from wayloom.journeys import _FEET, _METRICS, _PAIRS, _airports, _arcs, _boxes, _BOXES, _cands, _network, _pairs, _query, _r, _trips_of, _WEIGHTS
-from wayloom.operators import feeds, planner, road, spatial
+from wayloom.journeys import _COVER, _FEET, _METRICS, _PAIRS, _airports, _arcs, _boxes, _BOXES, _cands, _network, _pairs, _query, _r, _trips_of, _WEIGHTS
+from wayloom.operators import compose, feeds, planner, road, spatial
 from wayloom.operators.fixpoint import shared_dir
 from wayloom.plans.domain import calendars, hav, view, with_views
 from wayloom.sources import catalogs, flights, gtfs, results
@@ -173,7 +173,7 @@ def latest_offset(spark, sf):
     return feeds.most_offset(view(spark, sf, "calls"))
 
 
-@_query(with_views("stops", "calls") + f", box AS (SELECT stop_id FROM stops WHERE lat BETWEEN 45.5 AND 50.5 AND lon BETWEEN 3.5 AND 12.5), kept AS (SELECT trip_id FROM calls WHERE stop_id IN (SELECT stop_id FROM box) GROUP BY trip_id HAVING count(*) >= 2) SELECT count(*) AS trips FROM kept")
+@_query(with_views("stops", "calls") + f", box AS (SELECT stop_id FROM stops WHERE lat BETWEEN CAST(46.0 AS DOUBLE) - 0.6 AND CAST(50.0 AS DOUBLE) + 0.6 AND lon BETWEEN CAST(4.0 AS DOUBLE) - 0.6 AND CAST(12.0 AS DOUBLE) + 0.6), kept AS (SELECT trip_id FROM calls WHERE stop_id IN (SELECT stop_id FROM box) GROUP BY trip_id HAVING count(*) >= 2) SELECT count(*) AS trips FROM kept")
 def compose_trips(spark, sf):
     """Trips of a timetable composed for a corridor from one feed and the same feed again."""
     t = _timetable(spark, sf)
@@ -181,6 +181,35 @@ def compose_trips(spark, sf):
     return whole.trips.agg(F.count("*").alias("trips"))
 
 
+_FEEDS = _COVER.replace("pair, lat, lon FROM doors)", "pair, lat, lon FROM doors WHERE door >= 2)") + """, tried AS (SELECT * FROM (SELECT pair, feed_id, row_number() OVER (PARTITION BY pair ORDER BY area, feed_id) AS place FROM c) x WHERE place <= 4),
+ box AS (SELECT pair, min(lat) - CAST(0.6 AS DOUBLE) AS a0, min(lon) - CAST(0.6 AS DOUBLE) AS o0, max(lat) + CAST(0.6 AS DOUBLE) AS a1, max(lon) + CAST(0.6 AS DOUBLE) AS o1 FROM p GROUP BY pair),
+ served AS (SELECT pair, feed_id, trip_id, count(*) AS k FROM tried JOIN box USING (pair) JOIN calls ON trip_id % 25 = feed_id JOIN stops USING (stop_id) WHERE lat BETWEEN a0 AND a1 AND lon BETWEEN o0 AND o1 GROUP BY ALL HAVING count(*) >= 2),
+ n AS (SELECT pair, feed_id, place, count(trip_id) AS n_trips FROM tried LEFT JOIN served USING (pair, feed_id) GROUP BY ALL),
+ t AS (SELECT *, sum(n_trips) OVER w AS total, coalesce(sum(n_trips) OVER (PARTITION BY pair ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n WINDOW w AS (PARTITION BY pair ORDER BY place)),
+ f AS (SELECT *, max(CASE WHEN n_trips > 0 AND before > 0 AND total > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY pair ORDER BY place) AS beyond FROM t)"""
+
+
+@_query(with_views("stops", "calls") + ", " + _FEEDS.split("RECURSIVE ", 1)[1].replace(", n AS (SELECT pair, count(*) AS k FROM p GROUP BY pair)", ", np AS (SELECT pair, count(*) AS k FROM p GROUP BY pair)").replace("JOIN n USING (pair, k)", "JOIN np USING (pair, k)") + " SELECT CAST(pair AS BIGINT) AS request, feed_id, CAST(place AS INTEGER) AS place, n_trips, n_trips > 0 AND beyond = 0 AS kept FROM f UNION ALL SELECT DISTINCT CAST(pair AS BIGINT), NULL, NULL, NULL, FALSE FROM p WHERE pair NOT IN (SELECT pair FROM tried)")
+def auto_timetables(spark, sf):
+    """For every trip between two doors the feeds tried, smallest first, their trips in its corridor, and which are kept of 300 trips."""
+    d = view(spark, sf, "doors").where("door >= 2")
+    a, b = (d.where(F.col("door") % 2 == k).select(F.floor(F.col("door") / 2).cast("long").alias("request"), F.col("lat").alias(f"lat{n}"), F.col("lon").alias(f"lon{n}")) for k, n in ((0, ""), (1, "2")))
+    both = a.join(b, "request", "left").withColumns({"lat2": F.coalesce("lat2", "lat"), "lon2": F.coalesce("lon2", "lon")})  # the last door may be alone
+    calls = view(spark, sf, "calls").withColumn("feed_id", F.col("trip_id") % 25)
+    stops = calls.select("feed_id", "stop_id").distinct().join(view(spark, sf, "stops"), "stop_id")
+    return compose.compose_each(both, _boxes(spark, sf), stops, calls, most_trips=300)[0].select("request", "feed_id", "place", "n_trips", "kept")
+
+
+@_query(_KNOWN + f""", f AS (SELECT src || '-' || dst || '@' || printf('%02d', h) AS trip_id, src, dst, h * 3600 AS dep, h * 3600 + 2700 + {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} / 800 * 3600 AS arr FROM k JOIN air a ON a.iata = src JOIN air b ON b.iata = dst, (VALUES (8), (14), (20)) v(h)),
+ c AS (SELECT trip_id, 1 AS seq, src AS stop_id, CAST(dep AS BIGINT) AS dep_s FROM f UNION ALL SELECT trip_id, 2, dst, CAST(round_even(arr, 0) AS BIGINT) FROM f)
+ SELECT trip_id, CAST(seq AS INTEGER) AS seq, c.stop_id, dep_s, tz FROM c JOIN air ON iata = c.stop_id""")
+def flight_timetable(spark, sf):
+    """Calls of the flight network as a timetable, with the zones of their airports."""
+    airports, routes = _flight_files(spark, sf)
+    t = flights.timetable(airports, flights.route_pairs(routes, airports))
+    return t.calls.join(t.stops.select("stop_id", "tz"), "stop_id").select("trip_id", "seq", "stop_id", "dep_s", "tz")
+
+
 @_query("SELECT n, tier FROM (SELECT p_partkey AS n, p_name, CASE WHEN lower(substr(p_name, 1, 3)) = 'blu' THEN 0 WHEN starts_with(lower(p_name), 'blu') OR starts_with(lower(p_brand), 'blu') THEN 1 WHEN contains(lower(p_name), 'blu') OR contains(lower(p_brand), 'blu') THEN 2 END AS tier FROM part) x WHERE tier IS NOT NULL ORDER BY tier, CASE WHEN tier = 1 THEN lower(p_name) END, n LIMIT 8")
 def airport_search(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet").select(F.substring("p_name", 1, 3).alias("iata"), F.col("p_name").alias("name"), F.col("p_brand").alias("city"), F.col("p_partkey").alias("n"))

@@ -93,7 +93,7 @@ def fill_zones(t: Timetable) -> Timetable:
 
 
 #: Fixed values of composing: degrees around the ends of a trip, feeds tried, trips merged.
-MARGIN, ATTEMPTS, MOST_TRIPS = 0.5, 4, 80_000
+MARGIN, ATTEMPTS, MOST_TRIPS = 0.6, 4, 80_000
 
 
 def compose(ends: list[tuple[float, float]], air: Timetable | None, feeds: list[Timetable], curated: list[Timetable] = (), margin: float = MARGIN, attempts: int = ATTEMPTS, most_trips: int = MOST_TRIPS) -> tuple[Timetable | None, list[str]]:

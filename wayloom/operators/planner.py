@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayloom.functions.pricing import emissions, fare
+from wayloom.operators.fixpoint import written
+from wayloom.shipping import ship
 
 VEHICLES = ("train", "ferry", "flight")
 AXIS = ["total_s", "cost", "transfers", "car_km", "emissions"]
@@ -71,26 +73,53 @@ def exclude_modes(cands: DataFrame, uses_excluded, fallback_s: int = 57_600) ->
     return cands.withColumn("__best", best).where(F.col("__best").isNull() | (F.col("__best") > fallback_s) | ~uses_excluded).drop("__best")
 
 
-def frontier(cands: DataFrame, axes: list[str]) -> DataFrame:
-    """Candidates of a request that no other one dominates: at least as good on all axes and better on one.
-
-    First within PARTS of a request by hash: what survives there, few of many, is compared across the request."""
-    part = F.pmod(F.xxhash64("cand"), F.lit(PARTS)).cast("int")
-    own = _undominated(cands.withColumn("__part", part), axes, ["request", "__part"])
-    return _undominated(own.drop("__part"), axes, ["request"])
+#: Candidates of a part of a request that one task prunes, and how many parts merge into one.
+PART, FEWER = 20_000, 8
 
 
-PARTS = 32
-
+def frontier(cands: DataFrame, axes: list[str]) -> DataFrame:
+    """Candidates of a request that no other one dominates: at least as good on all axes and better on one.
 
-def _undominated(cands: DataFrame, axes: list[str], keys: list[str]) -> DataFrame:
-    d = cands.select(*[F.col(k).alias(f"o_{k}") for k in keys], *[F.col(a).alias(f"o_{a}") for a in axes]).distinct()
-    met, some = F.lit(True), F.lit(False)
-    for k in keys:
-        met = met & (F.col(f"o_{k}") == F.col(k))
-    for a in axes:
-        met, some = met & (F.col(f"o_{a}") <= F.col(a)), some | (F.col(f"o_{a}") < F.col(a))
-    return cands.join(d, met & some, "left_anti")
+    A sorted skyline: only better-sorted candidates can dominate, so each meets those found undominated before it. A request of over
+    PART candidates is pruned in parts first, as many as it needs, whose survivors merge FEWER at a time until one part is left."""
+    most = cands.groupBy("request").count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, -(-most // PART))
+    rest = cands
+    while parts > 1:
+        part = F.pmod(F.xxhash64("request", "cand"), F.lit(parts)).cast("int")
+        rest = written(_skyline(rest.withColumn("__part", part), axes, ["request", "__part"]).drop("__part"), "skyline")
+        parts = -(-parts // FEWER)
+    return _skyline(rest, axes, ["request"])
+
+
+def skyline(values):
+    """Whether each row of a matrix is undominated (less is better); rows with a gap are neither dominated nor dominate."""
+    import numpy as np
+
+    order = np.lexsort(values.T[::-1])
+    keep, best = np.ones(len(values), bool), np.empty((0, values.shape[1]))
+    for a in range(0, len(order), 512):
+        at = order[a : a + 512]
+        rows, alive = values[at], np.ones(len(at), bool)
+        for others in (*np.array_split(best, max(1, len(best) // 2048)), rows):
+            left = np.flatnonzero(alive)
+            x, y = rows[left][:, None, :], others[None, :, :]
+            alive[left] = ~((y <= x).all(2) & (y < x).any(2)).any(1)
+        keep[at] = alive
+        best = np.concatenate([best, rows[alive & ~np.isnan(rows).any(1)]])
+    return keep
+
+
+def _skyline(cands: DataFrame, axes: list[str], keys: list[str]) -> DataFrame:
+    ship(cands.sparkSession)
+
+    def prune(table):
+        import numpy as np
+
+        values = np.column_stack([table.column(a).cast("double").to_numpy(zero_copy_only=False) for a in axes])
+        return table.filter(skyline(values))
+
+    return cands.groupBy(*keys).applyInArrow(prune, cands.schema)
 
 
 def rank(cands: DataFrame, objective: str, top: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayloom.functions.geo import haversine_km
+from wayloom.operators.feeds import Timetable
 from wayloom.operators.spatial import within
 from wayloom.sources.gtfs import with_valid_zone
 
@@ -42,6 +43,29 @@ def synthetic_flights(pairs: DataFrame, airports: DataFrame, hours: list[int], g
     return f.select(F.format_string("%s-%s@%02d", F.col("src").cast("string"), F.col("dst").cast("string"), "hour").alias("trip_id"), "src", "dst", dep.alias("dep_s"), (dep + gate_s + km / kmh * 3600).alias("arr_s"))
 
 
+#: The hours at which each route leaves, and a stop's change time.
+HOURS, CHANGE_S = (8, 14, 20), 300
+
+
+def timetable(airports: DataFrame, pairs: DataFrame, keep: DataFrame | None = None, hours: tuple[int, ...] = HOURS) -> Timetable:
+    """The flights of route_pairs() as a timetable: airports (iata, name, lat, lon, tz) that have flights are its stops, and every route is a trip
+    at each hour of every day, in the zone of the airport that it leaves. keep (iata) restricts airports and the routes between them."""
+    if keep is not None:
+        pairs = pairs.join(keep.select(F.col("iata").alias("src")), "src", "left_semi").join(keep.select(F.col("iata").alias("dst")), "dst", "left_semi").select("src", "dst")
+    f = synthetic_flights(pairs, airports, list(hours))
+    every = {
+        "start_day": F.lit("0001-01-01").cast("date"), "end_day": F.lit("9999-12-31").cast("date"), "weekdays": F.sequence(F.lit(0), F.lit(6)), "added": F.array().cast("array<date>"), "removed": F.array().cast("array<date>"),
+        "open_months": F.array().cast("array<int>"), "required": F.array().cast("array<string>"), "forbidden": F.array().cast("array<string>"),
+    }
+    trips = f.select("trip_id", F.lit("flight").alias("mode")).withColumns(every)
+    call = lambda n, stop, at: F.struct(F.lit(n).alias("seq"), F.col(stop).alias("stop_id"), F.bround(at).cast("long").alias("arr_s"), F.bround(at).cast("long").alias("dep_s"))
+    calls = f.select("trip_id", F.explode(F.array(call(1, "src", "dep_s"), call(2, "dst", "arr_s"))).alias("c")).select("trip_id", "c.*")
+    served = pairs.select(F.explode(F.array("src", "dst")).alias("iata")).distinct()
+    stops = airports.join(served, "iata", "left_semi").select(F.col("iata").alias("stop_id"), "name", "lat", "lon", F.lit("airport").alias("stop_type"), "tz", F.lit(CHANGE_S).alias("min_transfer_s"))
+    walks = calls.limit(0).select(F.col("stop_id").alias("from_stop"), F.col("stop_id").alias("to_stop"), F.lit(0.0).alias("dur_s"))
+    return Timetable(stops, trips, calls, walks)
+
+
 def trimmed(pairs: DataFrame, least: int) -> DataFrame:
     """Pairs whose ends both have `least` routes or more."""
     busy = degrees(pairs).where(F.col("degree") >= least)

@@ -9,12 +9,16 @@ from wayloom.functions.geo import haversine_km
 from wayloom.functions.parsing import gtfs_seconds, route_mode
 from wayloom.operators.feeds import Timetable
 from wayloom.operators.timetable import expand_frequencies, valid_trips
+from wayloom.sources import archives
 
 
-def table(spark: SparkSession, feed: str, name: str, columns: list[str]) -> DataFrame | None:
+def table(spark: SparkSession, feed: str | DataFrame, name: str, columns: list[str]) -> DataFrame | None:
     """A file of the feed with all named columns as strings (null where the file lacks one); None without the file. A file that isn't
     UTF-8 is Latin-1. One pass over the lines, in parts, tells the encoding and whether any quoted field goes on over a line's
-    end; only then is the file read as a whole, else its parts are read by themselves."""
+    end; only then is the file read as a whole, else its parts are read by themselves. feed is a folder or an unpacked archive."""
+    if isinstance(feed, DataFrame):
+        df = archives.member(feed, name, columns)
+        return df if df is None or name == "transfers" else df.drop("__line")  # the order of transfers counts
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{feed}/{name}.txt")
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return None
@@ -68,7 +72,10 @@ def services(calendar: DataFrame | None, exceptions: DataFrame | None) -> DataFr
     return s.select("service_id", F.coalesce("start_day", F.array_min(added)).alias("start_day"), F.coalesce("end_day", F.array_max(added)).alias("end_day"), F.coalesce("weekdays", F.array().cast("array<int>")).alias("weekdays"), added.alias("added"), F.array_sort(F.coalesce("removed", none)).alias("removed"))
 
 
-def read_gtfs(spark: SparkSession, feed: str) -> Timetable:
+def read_gtfs(spark: SparkSession, feed: str | DataFrame) -> Timetable:
+    """A feed's folder, its zip archive, or what archives.unpack() made of one."""
+    if isinstance(feed, str) and feed.endswith(".zip"):
+        feed = archives.unpack(spark, feed)
     stops = table(spark, feed, "stops", ["stop_id", "stop_name", "stop_lat", "stop_lon", "stop_timezone", "parent_station"])
     number = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", 0.0).otherwise(F.col(c).try_cast("double"))
     stops = stops.select("stop_id", F.coalesce("stop_name", "stop_id").alias("name"), number("stop_lat").alias("lat"), number("stop_lon").alias("lon"), F.lit("rail_station").alias("stop_type"), F.col("stop_timezone").alias("tz"), "parent_station").where("lat is not null and lon is not null")
@@ -115,7 +122,7 @@ def transfers(stops: DataFrame, rules: DataFrame | None, walk_kmh: float = WALK_
     if rules is None:
         return stops.withColumn("min_transfer_s", F.lit(CHANGE_S)), feet
     kind, least = F.coalesce(F.col("transfer_type").try_cast("int"), F.lit(0)), F.col("min_transfer_time").try_cast("int")
-    r = rules.select(F.col("from_stop_id").alias("from_stop"), F.col("to_stop_id").alias("to_stop"), kind.alias("kind"), F.when(least >= 0, least).alias("least"), F.monotonically_increasing_id().alias("n"))
+    r = rules.select(F.col("from_stop_id").alias("from_stop"), F.col("to_stop_id").alias("to_stop"), kind.alias("kind"), F.when(least >= 0, least).alias("least"), (F.col("__line") if "__line" in rules.columns else F.monotonically_increasing_id()).alias("n"))
     sets = F.when(F.col("kind") == 3, F.lit(-1)).when(F.col("kind") == 1, F.lit(0)).otherwise(F.col("least"))  # -1 stands for never
     same = r.where("from_stop = to_stop").withColumn("sets", sets).where("sets is not null").groupBy(F.col("from_stop").alias("stop_id")).agg(F.max_by("sets", "n").alias("sets"))
     stops = stops.join(same, "stop_id", "left").withColumn("min_transfer_s", F.when(F.col("sets") < 0, None).otherwise(F.coalesce("sets", F.lit(CHANGE_S)))).drop("sets")
