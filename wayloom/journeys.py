@@ -646,6 +646,38 @@ def turn_drives(spark, sf):
     return road.drive(_drives(spark, sf), nodes, arcs, turn_table=road.turns(arcs, nodes), limit_s=1800).select("request", "seconds")
 
 
+@_query(_WEIGHTS + f""", {_DRIVES}, arc AS (SELECT tail, head, min({{'s': CAST(seconds AS DOUBLE), 'km': base_seconds / 60}}) AS x FROM w GROUP BY ALL),
+ k(source, node, x) USING KEY (source, node) AS (SELECT DISTINCT a, a, {{'s': CAST(0 AS DOUBLE), 'km': CAST(0 AS DOUBLE)}} FROM drives UNION
+  SELECT n.source, n.head, min(n.x) FROM (SELECT k.source, arc.head, {{'s': k.x.s + arc.x.s, 'km': k.x.km + arc.x.km}} AS x FROM k JOIN arc ON arc.tail = k.node) n LEFT JOIN recurring.k r ON r.source = n.source AND r.node = n.head WHERE n.x.s <= 1800 AND (r.x IS NULL OR n.x < r.x) GROUP BY n.source, n.head)
+ SELECT request, x.s AS seconds, round(x.km, 6) AS km FROM drives LEFT JOIN k ON k.source = a AND k.node = b""")
+def plain_drives(spark, sf):
+    """Drives of half an hour at most between places, snapped to the network: the quickest way and its length."""
+    arcs = road.arc_weights(_arcs(spark, sf), 1).withColumn("km", F.col("base_seconds") / 60)
+    return road.drive(_drives(spark, sf), _nodes(spark, sf), arcs, limit_s=1800).select("request", "seconds", _r(F.col("km")).alias("km"))
+
+
+@_query(_NEAR + " SELECT door, stop_id AS node, round(km, 6) AS km FROM (SELECT *, row_number() OVER (PARTITION BY door ORDER BY km, stop_id) AS r FROM n WHERE km <= 25) x WHERE r = 1")
+def door_snaps(spark, sf):
+    """The nearest node within 25 km of every door."""
+    nodes = view(spark, sf, "stops").select(F.col("stop_id").alias("node"), "lat", "lon")
+    return road.snap(view(spark, sf, "doors"), "door", nodes).select("door", "node", _r(F.col("km")).alias("km"))
+
+
+_ASKED = "asked AS (SELECT door AS request, lat, lon, CAST(46 + door * 7 % 100 / 20 AS DOUBLE) AS lat2, CAST(4 + door * 3 % 100 / 20 AS DOUBLE) AS lon2 FROM doors)"
+
+
+@_query(with_views("doors", "stops") + f""", {_ASKED},
+ g AS (SELECT 'access' AS part, request, stop_id AS stop, {hav('a.lat', 'a.lon', 's.lat', 's.lon')} AS gc FROM asked a, stops s UNION ALL SELECT 'egress', request, stop_id, {hav('a.lat2', 'a.lon2', 's.lat', 's.lon')} FROM asked a, stops s UNION ALL SELECT 'direct', request, NULL, {hav('lat', 'lon', 'lat2', 'lon2')} FROM asked),
+ k AS (SELECT *, gc * CAST(1.3 AS DOUBLE) AS d FROM g WHERE gc <= CASE part WHEN 'direct' THEN 1500 ELSE 50 END)
+ SELECT part, request, stop, CASE WHEN gc <= 1.5 THEN 'walk' ELSE 'car' END AS mode, round(CASE WHEN gc <= 1.5 THEN gc ELSE d END, 6) AS km,
+  CAST(round_even(CASE WHEN gc <= 1.5 THEN gc / 5.0 * 3600 ELSE (least(d, 30.0) / 60.0 + greatest(least(d, 150.0) - 30, 0.0) / 80.0 + greatest(d - 150, 0.0) / 100.0) * 3600 END, 0) AS BIGINT) AS seconds FROM k""")
+def connector_legs(spark, sf):
+    """First miles, last miles and direct ways by straight line of a request from every door."""
+    parts = zip(("access", "egress", "direct"), connectors.geometric()(_door_requests(spark, sf), view(spark, sf, "stops")), strict=True)
+    rows = [df.select(F.lit(n).alias("part"), "request", (F.col("stop") if "stop" in df.columns else F.lit(None).cast("long")).alias("stop"), "mode", _r(F.col("km")).alias("km"), "seconds") for n, df in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 _HOURS = "CASE request % 3 WHEN 0 THEN 'rush' WHEN 1 THEN 'night' ELSE 'holiday' END"
 _PEAK = "CASE class WHEN 'ferry' THEN 1.0 WHEN 'motorway' THEN 1.05 WHEN 'primary' THEN 1.33 WHEN 'residential' THEN 1.82 ELSE 2.0 END"
 
