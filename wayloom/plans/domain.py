@@ -1,7 +1,7 @@
 """A deterministic travel domain over the star-schema tables, in SQL that Spark and DuckDB read alike.
 
 Suppliers are stops, orders trips, line items calls, customers road nodes and doors, orders road arcs between
-neighbouring nodes, events trip requests (users leave one of ten towns at one of four times a day), nations square regions.
+neighbouring nodes, events trip requests (users leave one of a hundred stops at one of four times a day), nations square regions.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ LEGS = """SELECT l_orderkey % 50 AS request, l_orderkey AS cand, seq AS leg_no,
   CAST(l_quantity AS DOUBLE) * 4 AS km, CAST(l_quantity AS BIGINT) * CASE WHEN l_partkey % 7 = 0 THEN 800 ELSE 240 END AS travel_s, CAST(l_partkey % 30 AS BIGINT) * 60 AS overhead_s,
   1 + l_linenumber % 3 AS cost_level
   FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS BIGINT) AS seq FROM lineitem) x"""
-REQUESTS = """SELECT event_id AS request, 1 + user_id % 10 AS origin, 1 + (user_id * 13 + 7) % 100 AS dest,
+REQUESTS = """SELECT event_id AS request, 1 + user_id % 100 AS origin, 1 + (user_id * 13 + 7) % 100 AS dest,
   CAST(18000 + floor(hour(ts) / 6) * 14400 AS BIGINT) AS depart, event_type FROM events"""
 VIEWS = {"stops": STOPS, "trips": TRIPS, "calls": CALLS, "doors": DOORS, "arcs": ARCS, "legs": LEGS, "requests": REQUESTS}
 
