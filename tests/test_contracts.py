@@ -267,3 +267,42 @@ def test_restrictions_still_bar(spark):
     trips = spark.createDataFrame([(1, 46.0, 7.0, 46.02, 7.0), (2, 46.0, 7.0, 46.03, 7.0)], "request long, lat double, lon double, lat2 double, lon2 double")
     got = {r.request: r.seconds for r in road.drive(trips, nodes, ad, turn_table=road.turns(ad, nodes, barred)).collect()}
     assert got[1] is None and got[2] >= 20
+
+
+def test_nearest_follows_density(spark):
+    """A crowd around one spot, lone places far away, copies of one place, and points at a pole and beyond the date line."""
+    import math
+
+    from wayloom.operators import spatial
+
+    rng = random.Random(9)
+    places = [(k, 47.0 + rng.gauss(0, 0.01), 8.0 + rng.gauss(0, 0.01)) for k in range(300)] + [(500 + k, 47.0, 8.0) for k in range(3)] + [(600, -10.0, 179.99), (601, 89.9, 10.0), (602, 47.3, 8.3), (603, None, 1.0)]
+    points = [(k, 47.0 + rng.gauss(0, 0.05), 8.0 + rng.gauss(0, 0.05)) for k in range(120)] + [(900, -10.0, -179.99), (901, 89.95, -170.0), (902, 0.0, 0.0), (903, 47.0, 8.0)]
+    pd_ = spark.createDataFrame(points, "door long, lat double, lon double").repartition(3)
+    ld = spark.createDataFrame(places, "stop long, p_lat double, p_lon double").repartition(3)
+
+    def far(a, b, c, d):
+        x = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(min(1, math.sqrt(x)))
+
+    got = {r.door: (r.stop, r.km) for r in spatial.nearest(pd_, "door", ld, "stop").collect()}
+    for k, a, b in points:
+        km, stop = min((far(a, b, c, d), s) for s, c, d in places if c is not None)
+        assert got[k][1] == pytest.approx(km, abs=1e-6) and (got[k][0] == stop or abs(km - got[k][1]) < 1e-6), k
+    assert got[903][0] == 500 and len(got) == len(points)
+    assert spatial.nearest(pd_, "door", ld.limit(0), "stop").count() == 0 and spatial.nearest(pd_.limit(0), "door", ld, "stop").count() == 0
+
+
+def test_network_of_ways(spark):
+    """Arcs, signals and restrictions together; turn costs are a parameter."""
+    from wayloom.operators import ways
+
+    w = spark.createDataFrame([(1, [1, 2], {"highway": "primary"}), (2, [2, 3], {"highway": "primary"}), (3, [2, 4], {"highway": "primary", "oneway": "yes"})], "way long, refs array<long>, tags map<string,string>")
+    n = spark.createDataFrame([(1, 46.0, 7.0, {}), (2, 46.0, 7.01, {"highway": "traffic_signals"}), (3, 46.01, 7.01, {}), (4, 46.0, 7.02, {}), (5, 1.0, 1.0, {})], "node long, lat double, lon double, tags map<string,string>")
+    rel = spark.createDataFrame([(1, 2, [1], [2], "no_left_turn")], "rel long, via long, from_ways array<long>, to_ways array<long>, value string")
+    arcs, nodes, barred = ways.network_of(w, n, rel)
+    assert sorted((r.tail, r.head) for r in arcs.collect()) == [(1, 2), (2, 1), (2, 3), (2, 4), (3, 2)] and {r.node: r.signal for r in nodes.collect()} == {1: False, 2: True, 3: False, 4: False}
+    ends = {r.arc: (r.tail, r.head) for r in arcs.collect()}
+    costs = road.TurnCosts(straight=1.0, slight=1.0, near=1.0, far=1.0, sharp=1.0, u_turn=9.0, signal=100.0)
+    cost = {(ends[r.in_arc], ends[r.out_arc]): r.cost for r in road.turns(arcs, nodes, barred, costs).collect()}
+    assert ((1, 2), (2, 3)) not in cost and cost[(1, 2), (2, 4)] == 101.0 and cost[(1, 2), (2, 1)] == 109.0

@@ -621,6 +621,15 @@ def overlay_overrides(spark, sf):
     return overlay.matrix(overlay.customise(o, changed)[0], _stop_nodes(spark, sf)).withColumnRenamed("weight", "seconds")
 
 
+_LEADERS = ", ".join(f"o{i} AS (SELECT {i} AS k, '{o}' AS label, request, cand FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY {', '.join(c)}, cand) AS r FROM f{planner.AXES[o]}) x WHERE r = 1)" for i, (o, c) in enumerate(planner.ORDER.items()))
+
+
+@_query(_METRICS + f", f3 AS ({_front(_AXES[:3])}), f5 AS ({_front(_AXES)}), {_LEADERS}, best AS ({' UNION ALL '.join(f'SELECT * FROM o{i}' for i in range(len(planner.ORDER)))}), s AS (SELECT b.*, total_s, round_even(cost, 2) AS a, transfers, round_even(car_km, 3) AS c, round_even(emissions, 1) AS e, modes FROM best b JOIN cands USING (request, cand)) SELECT request, arg_min(cand, k) AS cand, string_agg(label, ',' ORDER BY k) AS labels FROM s GROUP BY request, total_s, a, transfers, c, e, modes")
+def labelled_signatures(spark, sf):
+    """The leaders of all objectives, each from its own frontier; equals by signature once, with all labels that they won."""
+    return search.choices(planner.with_signature(_cands(spark, sf)), list(planner.ORDER))
+
+
 _DRIVES = "drives AS (SELECT s_suppkey AS request, s_suppkey AS a, 1 + (s_suppkey + 2) % (SELECT count(*) FROM supplier) AS b FROM supplier)"
 
 

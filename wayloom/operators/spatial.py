@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,16 +39,46 @@ def within(points: DataFrame, places: DataFrame, km: float) -> DataFrame:
     return pairs.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).where(F.col("km") <= km)
 
 
-def nearest(points: DataFrame, key: str, places: DataFrame, place: str, first_km: float = 25.0) -> DataFrame:
-    """(key, place, km): each point's nearest place, ties by the smaller place; points without one yet look four times as far, up to the whole globe."""
-    left, out, km = points, None, first_km
-    while True:
-        found = written(within(left, places, km).groupBy(key).agg(F.min(F.struct("km", place)).alias("m")).select(key, f"m.{place}", "m.km"), "nearest")
-        out = found if out is None else out.unionByName(found)
+#: The widest cells of nearest(), and how often they are halved: 25 km to 400 m.
+WIDEST_KM, HALVINGS = 25.0, 6
+
+
+def nearest(points: DataFrame, key: str, places: DataFrame, place: str, first_km: float = WIDEST_KM) -> DataFrame:
+    """(key, place, km): each point's nearest place, ties by the smaller place.
+
+    Cells follow the density: a point looks into the smallest cell around it that holds any place, which gives a place that is near,
+    and then at all places no farther than that one, in cells just wide enough. Points with no place within first_km look four
+    times as far, up to the whole globe."""
+    points = written(points.dropDuplicates([key]), "points")
+    places = written(places.select(place, "p_lat", "p_lon").where("p_lat is not null and p_lon is not null"), "places")
+    levels = [(k, first_km / 2**k) for k in range(HALVINGS + 1)]
+    at = lambda df, lat, lon, around: [_cells(df, lat, lon, km, around).withColumn("level", F.lit(k)) for k, km in levels]
+    held = written(_every(at(places, "p_lat", "p_lon", False)), "held")
+    cells = held.select("level", "ci", "cj").distinct()
+    own = _every(at(points.select(key, "lat", "lon"), "lat", "lon", False)).join(cells, ["level", "ci", "cj"])
+    smallest = own.groupBy(key).agg(F.max_by(F.struct("level", "ci", "cj", "lat", "lon"), "level").alias("c")).select(key, "c.*")
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
+    reach = smallest.join(held, ["level", "ci", "cj"]).groupBy(key).agg(F.min(km).alias("reach"), F.first("lat").alias("lat"), F.first("lon").alias("lon"))
+    # cells as wide as the reach or up to twice as wide, with the eight around: all that may be nearer is in them
+    wide = F.greatest(F.lit(0), F.least(F.lit(HALVINGS), F.floor(F.log2(first_km / F.greatest(F.col("reach"), F.lit(1e-9)))).cast("int")))
+    reach = written(reach.where(F.col("reach") <= first_km).withColumn("level", wide), "reach")
+    near = _every([_cells(reach.where(F.col("level") == k), "lat", "lon", w, True) for k, w in levels])
+    met = near.join(held, ["level", "ci", "cj"]).withColumn("km", km).where(F.col("km") <= F.col("reach"))
+    out = written(met.groupBy(key).agg(F.min(F.struct("km", place)).alias("m")).select(key, f"m.{place}", "m.km"), "nearest")
+    left = written(points.join(out.select(key), key, "left_anti"), "left")
+    far = first_km
+    while not left.isEmpty():
+        found = written(within(left, places, far).groupBy(key).agg(F.min(F.struct("km", place)).alias("m")).select(key, f"m.{place}", "m.km"), "nearest")
+        out = out.unionByName(found)
         left = written(left.join(found.select(key), key, "left_anti"), "left")
-        if km > math.pi * EARTH_KM or left.isEmpty():
-            return out
-        km *= 4
+        if far > math.pi * EARTH_KM:
+            break
+        far *= 4
+    return out
+
+
+def _every(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def top_near(points: DataFrame, key: str, places: DataFrame, place: str, km: float, k: int, apart: bool = True) -> DataFrame:

@@ -46,3 +46,16 @@ def arcs_of(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     arc = lambda a, b, c: F.struct(F.col(a).alias("tail"), F.col(b).alias("head"), F.col(c).alias("bearing"))
     ends = F.when(F.col("direction") == 1, F.array(arc("node", "to", "there"))).when(F.col("direction") == -1, F.array(arc("to", "node", "back"))).otherwise(F.array(arc("node", "to", "there"), arc("to", "node", "back")))
     return s.select("way", F.explode(ends).alias("e"), "base_seconds", "class", "km", "open_months", "name").select("way", "e.*", "base_seconds", "class", "km", "open_months", "name")
+
+
+def network_of(ways: DataFrame, nodes: DataFrame, relations: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(arcs with arc, their number; nodes on them with signal; forbidden turns) of tagged ways (way, refs, tags), nodes (node, lat, lon, and tags or
+    none) and restriction relations (of restrictions.relations()): all that a search by legal turns needs. Written."""
+    from wayloom.operators.fixpoint import written
+    from wayloom.operators.restrictions import forbidden_turns
+
+    arcs = written(arcs_of(ways, nodes).withColumn("arc", F.monotonically_increasing_id()), "arcs")
+    lit = F.coalesce(F.try_element_at("tags", F.lit("highway")) == "traffic_signals", F.lit(False)) if "tags" in nodes.columns else F.lit(False)
+    used = arcs.select(F.explode(F.array("tail", "head")).alias("node")).distinct()
+    own = written(nodes.select("node", "lat", "lon", lit.alias("signal")).join(used, "node", "left_semi"), "nodes")
+    return arcs, own, None if relations is None else written(forbidden_turns(relations, arcs), "barred")
