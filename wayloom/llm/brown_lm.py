@@ -15,7 +15,9 @@
 
 Tokens: the text with A-Z lower-cased, cut at ASCII white space, then one end token. Defined results: a null text is
 empty (its end token alone); rows that repeat are scored each, and train each time; without training rows every count is
-0 and scores stay finite; null ids count as empty text for the split; an empty table gives an empty table.
+0 and scores stay finite; null ids count as empty text for the split; an empty table gives an empty table; of equally
+frequent words the smaller in byte order is in the head, of equally good classes the first; texts of any length are scored
+whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

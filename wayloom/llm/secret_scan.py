@@ -6,8 +6,8 @@ example, a value of one owner that looks random is a live-looking credential. Sp
 
 Base kinds (always kept): assign, access, hex. Further kinds: github, jwt, pem.
 
-Defined results: a null text has no spans; long texts are searched whole; a null source counts as a repository of its
-own; equal values in repeated rows of one owner count once; an empty table gives an empty table; rows are told apart by
+Defined results: a null text has no spans; long texts are searched whole; a null source counts as an
+empty one; equal values in repeated rows of one owner count once; an empty table gives an empty table; rows are told apart by
 a key of their own, so rows with a null or repeated doc_id each keep their own spans and verdicts and are masked alike;
 overlapping live spans are masked as one; scan() reads only doc_id, text and source, redact()
 passes the other columns on (names that begin with __ are its own).

@@ -9,7 +9,8 @@ reduces to one.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); strings of special tokens within a text are handled as
 the library does by default; texts are never cut; repeated rows stay and share one count; an empty table gives an empty
-table; rows with null or repeated ids are counted each; other columns of the input are not read.
+table; rows with null or repeated ids are counted each; no result depends on an order, so there are no ties; other columns
+of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
