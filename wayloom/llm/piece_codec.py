@@ -38,7 +38,7 @@ MOD_MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: A run of spaces and the word after it; line breaks, which pieces seldom hold, stand alone.
 WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Distinct words, and parts of words, that a worker keeps encoded between batches; slots for pairs of pieces.
-CACHE, SLOTS = 400_000, 1 << 20
+CACHE, SLOTS = 700_000, 1 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
