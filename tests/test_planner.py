@@ -275,3 +275,69 @@ def test_conditions_on_roads(spark):
     arcs = spark.createDataFrame([(1, 100, "road", [], [], ["snow"]), (2, 100, "road", [], ["summer"], []), (3, 100, "road", [7], [], [])], "arc long, base_seconds long, class string, open_months array<int>, required array<string>, forbidden array<string>")
     is_open = lambda month, *c: sorted(r.arc for r in road.arc_weights(arcs, month, None, c).collect())
     assert is_open(1) == [1] and is_open(7, "summer") == [1, 2, 3] and is_open(7, "snow", "summer") == [2, 3]
+
+
+def patterned(rng, lines=6, runs=40):
+    """Runs of a few lines in lanes: fast and slow ones that overtake each other, twins at one time, modes."""
+    conns = []
+    for line in range(lines):
+        path = rng.sample(range(12), 5)
+        for k in range(runs):
+            pace, mode = rng.choice([600, 600, 600, 1500]), rng.choice(["train", "train", "ferry"])
+            t = 20000 + rng.randint(0, 60) * 600
+            for p, (a, b) in enumerate(zip(path, path[1:], strict=False)):
+                conns.append((f"l{line}r{k}", p, f"S{a}", f"S{b}", t, t + pace, mode))
+                t += pace + 120
+    return conns
+
+
+def test_lanes_give_the_labels_of_all_departures(spark):
+    rng = random.Random(5)
+    stops = [(f"S{i}", 46.0, 7.0, rng.choice([None, 0, 120, 300])) for i in range(11)]  # S11 is unknown
+    conns, walks = patterned(rng), [(f"S{i}", f"S{i + 1}", 240) for i in range(0, 10, 3)]
+    c, s, w = frames(spark, conns, stops, walks)
+    sources = [(i, f"S{rng.randrange(12)}", 19000 + rng.randint(0, 70) * 500) for i in range(12)] + [(12, "S1", 90000)]
+    at = spark.createDataFrame(sources, "request long, stop string, at long")
+    for modes in (["train", "ferry"], ["train"]):
+        labels, _ = transit.scan(at, c, s, w, None, F.col("mode").isin(*modes))
+        got = {}
+        for r in transit.arrivals(labels).collect():
+            got.setdefault(r.request, {})[r.stop] = r.arrive
+        for k, stop, t in sources:
+            assert got[k] == brute_arrivals({stop: t}, conns, stops, walks, modes), k
+
+
+def test_lanes_are_of_one_shape_and_never_overtake(spark):
+    conns = patterned(random.Random(9))
+    c, _, _ = frames(spark, conns, [("S0", 46.0, 7.0, 0)], [("S0", "S1", 240)])
+    rows = transit.lanes(c).collect()
+    assert sorted(tuple(r)[: len(c.columns)] for r in rows) == sorted(conns)
+    shapes = {}
+    for r in rows:
+        shapes.setdefault((r.lane, r.mode, r.seq), []).append(r)
+    distances = lambda run: tuple((x[2], x[3], x[4] - run[0][4], x[5] - run[0][4]) for x in run)
+    by_run = {n: sorted(x for x in conns if x[0] == n) for n in {x[0] for x in conns}}
+    assert len({r.lane for r in rows}) == len({distances(run) for run in by_run.values()}) < len(by_run) / 4
+    for group in shapes.values():
+        group.sort(key=lambda r: (r.dep, r.run_id))
+        assert [r.since for r in group] == [None, *[r.dep for r in group[:-1]]]
+        assert [r.arr for r in group] == sorted(r.arr for r in group)
+
+
+def test_a_label_boards_one_run_of_a_lane_in_slots_of_any_length(spark):
+    for gap in (60, 3600, 90_000):
+        conns = [(f"r{k:03d}", 0, "A", "B", 5000 + gap * k, 5600 + gap * k, "train") for k in range(50)]
+        c, s, _ = frames(spark, conns, [("A", 46.0, 7.0, 0), ("B", 46.0, 7.0, 0)], [("A", "A", 0)])
+        change = s.select(F.col("stop_id").alias("stop"), F.lit(True).alias("known"), F.col("min_transfer_s").alias("change"))
+        ready = [(1, "A", 0, None), (2, "A", 5000 + 7 * gap, None), (3, "A", 5001 + 7 * gap, None), (4, "A", 5001 + 49 * gap, None), (5, "A", 5000 + 3 * gap, 5000 + 5 * gap), (6, "A", 4000 + 3 * gap, 5000 + 3 * gap)]
+        labels = spark.createDataFrame(ready, "request long, stop string, foot long, foot_was long").withColumns({"veh": F.lit(None).cast("long"), "veh_was": F.lit(None).cast("long")})
+        got = sorted((r.request, r.run_id) for r in transit.boardings(labels, transit.departures(c), change).collect())
+        want = []
+        for request, _, foot, was in ready:
+            at = [x for x in conns if x[4] >= foot]
+            want += [(request, x[0]) for x in at[:1] if was is None or x[4] < was]
+        assert got == want and (5, "r003") in got and (4, "r049") not in got
+        rows = transit.departures(c)[0].count()
+        assert rows <= 50 + transit.SLOTS + 50
+    empty = transit.departures(c.where("false"))
+    assert empty[0].count() == 0 and transit.boardings(labels, empty, change).count() == 0

@@ -14,11 +14,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/wayloom-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: later jobs survive lost executors and don't recompute it."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder, in folders by a column where one is named: later jobs survive lost executors and don't recompute it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
