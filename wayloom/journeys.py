@@ -163,6 +163,23 @@ def earliest_arrival(spark, sf):
     return r.join(found, ["batch", "dest"]).select("request", "arrive")
 
 
+_SECONDS = "CAST(epoch({t}) - epoch(TIMESTAMP '1998-07-01 00:00:00') AS BIGINT)"
+_LANES = _CONN.replace("DATE '1998-07-01', INTERVAL", "DATE '1998-07-05', INTERVAL").replace("1998-07-01 12:00:00", "1998-07-05 12:00:00") + f""",
+ cs AS (SELECT run_id, mode, seq, dep_stop, arr_stop, {_SECONDS.format(t='dep')} AS dep, {_SECONDS.format(t='arr')} AS arr FROM conns),
+ f AS (SELECT *, first_value(dep) OVER (PARTITION BY run_id ORDER BY seq) AS zero, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS pos FROM cs),
+ shapes AS (SELECT run_id, string_agg(concat_ws(',', dep_stop, arr_stop, dep - zero, arr - zero), ';' ORDER BY seq) AS shape FROM f GROUP BY run_id)
+ SELECT run_id, mode, seq, dep, lag(dep) OVER (PARTITION BY shape, mode, pos ORDER BY dep, run_id) AS since FROM f JOIN shapes USING (run_id)"""
+
+
+@_query(_LANES)
+def boarding_lanes(spark, sf):
+    """For every connection of five days the departure of the run before it in its lane: a label that is ready after that boards it."""
+    c = timetable.connections(calendars(view(spark, sf, "trips")), view(spark, sf, "calls"), "1998-07-01 00:00:00", "1998-07-05 12:00:00", [])
+    sec = lambda x: F.timestamp_diff("SECOND", F.lit("1998-07-01 00:00:00").cast("timestamp_ntz"), x)
+    conns = c.select("run_id", "mode", "seq", "dep_stop", "arr_stop", sec(F.col("dep")).alias("dep"), sec(F.col("arr")).alias("arr"))
+    return transit.lanes(conns).select("run_id", "mode", "seq", "dep", "since")
+
+
 _METRICS = with_views("legs") + """, p AS (SELECT *, CASE mode WHEN 'walk' THEN 0.0 WHEN 'car' THEN 0.15 * km WHEN 'train' THEN 2.5 + 0.12 * km WHEN 'ferry' THEN 5.0 + 0.15 * km ELSE 45.0 + 0.07 * km END AS fare,
   km * CASE mode WHEN 'walk' THEN 0.0 WHEN 'car' THEN 170.0 WHEN 'train' THEN 35.0 WHEN 'ferry' THEN 120.0 ELSE 250.0 END AS em, mode IN ('train', 'ferry', 'flight') AS veh FROM legs),
  cands AS (SELECT request, cand, CAST(sum(travel_s + overhead_s) AS BIGINT) AS total_s, CAST(sum(travel_s) AS BIGINT) AS ride_s, sum(km) AS km, round(sum(round(CAST(fare AS DOUBLE), 2)), 2) AS cost, CAST(greatest(0, count(*) FILTER (veh) - 1) AS BIGINT) AS transfers,
