@@ -376,3 +376,13 @@ def test_language_model_without_training_rows(spark):
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
     got = brown_lm.lm_scores(spark.createDataFrame([(i, "a b c") for i in ids], "doc_id long, text string")).collect()
     assert [(r.held_out, r.n_known, r.train_tokens, r.base_score) for r in got] == [(True, 0, 0, 0.0)] * 3
+
+
+def test_language_model_holds_few_texts_at_once(spark, monkeypatch):
+    """Jobs over texts hand a bounded number of rows and bytes to a worker, whatever a task holds; the setting is as before afterwards."""
+    key, seen, write, before = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, brown_lm.materialize, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(brown_lm, "materialize", lambda df, name: (seen.setdefault(name, int(spark.conf.get(key))), write(df, name))[1])
+    encoded, counts, m = brown_lm.fit(docs(spark), head=120, items=20, classes=6)
+    assert {"counts", "encoded", "labels"} <= set(seen) and max(seen.values()) <= 1000
+    assert spark.conf.get(key) == before
+    assert encoded.count() == len(rows())

@@ -30,13 +30,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import materialize, pieces_of, text_of
+from wayloom.llm.common import materialize, pieces_of, small_batches, text_of
 
 #: Bounds of what is broadcast or gathered: words known to every task (each with a class of its own), words of the first exchange, groups, classes.
 HEAD, ITEMS, SIGNATURES, CLASSES = 65_536, 1_000, 256, 48
 #: Words of a block, rounds of the exchange at most, and the share by which a round must raise the mutual information.
 BLOCK, ROUNDS, LEAST_GAIN = 1024, 6, 1e-3
 TOKENS_AT_ONCE = 1 << 20
+SLICE = 1 << 19  # bytes of texts whose words a worker holds as objects at once
 DISTINCT_PER_TASK = 250_000
 PUNCTUATION = set(b".,;:!?)]}\"'|")
 
@@ -68,7 +69,7 @@ def count_words(train: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())], names=["word", "n"])
 
         counts: Counter = Counter()
-        for b in (x for whole in batches for x in pieces_of(whole)):
+        for b in (x for whole in batches for x in pieces_of(whole, max_bytes=SLICE)):
             for t in b.column(0).to_pylist():
                 counts.update(tokens_of(t))
             if len(counts) > DISTINCT_PER_TASK:
@@ -104,7 +105,7 @@ def encode(docs: DataFrame, words: list[bytes], counts: np.ndarray) -> DataFrame
 
         start = {w: k + 1 for k, w in enumerate(own)}
         known = Known(start)
-        for b in (x for whole in batches for x in pieces_of(whole)):
+        for b in (x for whole in batches for x in pieces_of(whole, max_bytes=SLICE)):
             cut = [tokens_of(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             sizes = np.array([len(ws) for ws in cut])
             words = [w for ws in cut for w in ws]
@@ -398,12 +399,13 @@ def score(encoded: DataFrame, counts: DataFrame, model: ClassModel) -> DataFrame
 def fit(docs: DataFrame, head: int = HEAD, **kw) -> tuple[DataFrame, DataFrame, ClassModel]:
     """(encoded rows, counts, model) of docs, learning from those not held out."""
     d = text_of(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    counts = materialize(count_words(d.where(~F.col("held_out"))), "counts")
-    top = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()
-    words, c = top.column("word").to_pylist(), top.column("c").to_numpy().astype(float)
-    encoded = materialize(encode(d, words, c), "encoded")
-    train = encoded.where(~F.col("held_out"))
-    return encoded, counts, train_model(train, counts, words, train.count(), **kw)
+    with small_batches(docs.sparkSession):
+        counts = materialize(count_words(d.where(~F.col("held_out"))), "counts")
+        top = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()
+        words, c = top.column("word").to_pylist(), top.column("c").to_numpy().astype(float)
+        encoded = materialize(encode(d, words, c), "encoded")
+        train = encoded.where(~F.col("held_out"))
+        return encoded, counts, train_model(train, counts, words, train.count(), **kw)
 
 
 def lm_scores(docs: DataFrame, **kw) -> DataFrame:

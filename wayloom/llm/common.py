@@ -34,6 +34,22 @@ def shuffles_end(spark: SparkSession):
         spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
 
 
+#: Rows of a batch between Spark and Python where rows carry texts or sequences.
+BATCH = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs that run within hand BATCH rows at once to Python workers: the whole of a task's texts is never held, in the JVM or in the worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: later jobs survive lost executors and don't recompute it."""
     ship(df.sparkSession)

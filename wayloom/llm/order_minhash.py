@@ -22,13 +22,12 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import connected_components, materialize, packed, pieces_of, text_of, unpacked, unwritten
+from wayloom.llm.common import connected_components, materialize, packed, pieces_of, small_batches, text_of, unpacked, unwritten
 
 SHINGLE, SIMILARITY = 5, 0.8
 MINIMA, SKETCHES, SMALL = 3, 24, 8
@@ -336,7 +335,7 @@ def _crowded(large: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its group), kept, n_links (verified links of its class to others) for each row of docs."""
     t = text_of(docs)
-    with _small_batches(t.sparkSession):
+    with small_batches(t.sparkSession):
         sketched = materialize(sketch_table(t), "sketches")
     odd = sketched.groupBy("doc_id").count().where("doc_id is null or count > 1")
     if odd.isEmpty():
@@ -350,24 +349,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-#: Rows of a batch between Spark and Python where rows carry texts or pairs of sequences.
-BATCH = 1000
-
-
-@contextmanager
-def _small_batches(spark: SparkSession):
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    spark.conf.set(key, str(BATCH))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, was)
-
-
 def _classes(t: DataFrame, sketched: DataFrame) -> DataFrame:
     """near_classes of documents (doc_id, text) whose ids are all different, with their sketch_table."""
-    with _small_batches(t.sparkSession):
+    with small_batches(t.sparkSession):
         return _judged(t, sketched)
 
 
