@@ -49,6 +49,24 @@ def test_unigram_words_by_brute_force():
         m.bpe = True
 
 
+def test_pieces_of_new_words_are_found_together():
+    """Words that no text had before, with odd characters too: the library's pieces, in few Python calls a word (37 before, when each was cut and each border replayed alone)."""
+    import cProfile
+    import pstats
+
+    import sentencepiece
+
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    rng = random.Random(8)
+    parts = ["the", "ing", "tion", "er", "naï", "ß", "日", "本", "😀", "\x00", "▁", "q", "7", ".", "'", "  "]
+    texts = [" ".join("".join(rng.choices(parts, k=rng.randint(2, 7))) for _ in range(20)) for _ in range(1000)]
+    m = piece_codec.PieceModel(open(path, "rb").read())
+    p = cProfile.Profile()
+    got = p.runcall(m.encode, texts)
+    assert [x.tolist() for x in got] == sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)
+    assert pstats.Stats(p).total_calls < 10 * len(m.words)
+
+
 def test_token_counts_and_cache(spark, tmp_path):
     from tokenizers import Tokenizer
 

@@ -8,9 +8,9 @@ the whole text (no begin or end pieces), the number of them, and the text decode
   piece l to piece r is allowed only if merging would leave the pair (l, r) apart. The greedy segmentation is the only
   path all of whose neighbours are apart, so the maximum over the allowed steps is that one.
 
-A batch's texts are cut into words before each run of spaces; distinct words are encoded once. Words of equal length
-advance together: at position i all substrings ending there are hashed from prefix hashes, probe the sorted piece
-hashes with one binary search per length, and vectorised maxima store the backpointers.
+A batch's texts are cut into words before each run of spaces, words into parts that no piece spans; distinct parts are
+encoded once. Parts of equal length advance together: at position i all substrings ending there are hashed from prefix
+hashes, those that a table of bits may hold probe the sorted piece hashes, and vectorised maxima store the backpointers.
 
 Defined results: null or empty text gives no pieces and decodes to ''; a character without a piece becomes its UTF-8
 bytes' pieces, or the unknown piece where the model has none; repeated rows give repeated results; an empty table
@@ -39,6 +39,8 @@ MOD_MIX = np.uint64(0xBF58476D1CE4E5B9)
 WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Distinct words, and parts of words, that a worker keeps encoded between batches; slots for pairs of pieces.
 CACHE, SLOTS = 700_000, 1 << 20
+#: A substring's hash times MOD_MIX, shifted by this, is its place in a table that tells most substrings that are no pieces.
+SHIFT = np.uint64(44)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -66,17 +68,23 @@ class PieceModel:
         if any(re.search(f"[^{SPACE}]{SPACE}", self.pieces[i]) for i in normal):
             raise ValueError("pieces that run over the start of a word aren't supported")
         self.id_of = {self.pieces[i]: i for i in normal}
-        self.joined = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
-        keys = np.array([self._hash(self.pieces[i]) for i in normal], dtype=np.uint64)
+        self.joined = np.unique(np.array([ord(p[i]) << 21 | ord(p[i + 1]) for p in self.id_of for i in range(len(p) - 1)], dtype=np.int64))
+        self.raw, self.size = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.int64)
+        self.raw[normal], self.size[normal] = [self._hash(self.pieces[i]) for i in normal], [len(self.pieces[i]) for i in normal]
+        self.power = np.array([pow(int(MUL), i, 1 << 64) for i in range(self.longest + 1)], dtype=np.uint64)
+        self.maybe = np.zeros(1 << 64 - int(SHIFT), bool)
+        self.maybe[self.raw[normal] * MOD_MIX >> SHIFT] = True
+        self.single = np.array([self.id_of.get(chr(c), n) for c in range(1 << 16)])
+        keys = _mix(self.raw[normal])
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(normal, dtype=np.int64)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
         self.score = np.append(scores, scores[normal].min() - 10)  # the last: a character without a piece
         self.none = n  # stands for a character without a piece
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # the ids as int32
         self.cache = CACHE
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
         self.pairs, self.pair_apart = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
         if self.bpe:
             self._plan_merges()
@@ -86,7 +94,13 @@ class PieceModel:
         h = 0
         for ch in s:
             h = (h * int(MUL) + ord(ch) + 1) & 0xFFFFFFFFFFFFFFFF
-        return int(_mix(np.array([h], dtype=np.uint64))[0])
+        return h
+
+    def _find(self, raw: np.ndarray) -> np.ndarray:
+        """The pieces with these hashes, -1 where there is none."""
+        key = _mix(raw)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ids[at], -1)
 
     # -- what merging does to pairs of pieces
 
@@ -124,7 +138,7 @@ class PieceModel:
             return self.pair_apart[slot]
         out = self.pair_apart[slot]
         new, where = np.unique(code[miss], return_inverse=True)
-        got = np.array([self._stay_apart(x, y) for x, y in zip((new // (self.none + 1)).tolist(), (new % (self.none + 1)).tolist(), strict=True)], dtype=bool)
+        got = self._stay_apart(new // (self.none + 1), new % (self.none + 1))
         out[miss] = got[where]
         slot = (_mix(new.astype(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
         self.pairs[slot] = new
@@ -133,79 +147,117 @@ class PieceModel:
         self.pair_apart[slot[same]] = got[same]
         return out
 
-    def _stay_apart(self, x: int, y: int) -> bool:
-        """Replay the merges along the border: the pair stays apart if no merge over the border would come before the merges that build x and y."""
-        if x == self.none or y == self.none:
-            return True
+    def _spines(self, x: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row k: the k-th of the pieces along one border of x, down to a character (which then repeats); and how many follow x."""
+        spine, deep = [x], np.zeros(len(x), np.int64)
+        while (more := self.left[spine[-1]] >= 0).any():
+            spine.append(np.where(more, inner[spine[-1]], spine[-1]))
+            deep += more
+        return np.array(spine), deep
+
+    def _stay_apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Replay the merges along the border: a pair stays apart if no merge over the border would come before the merges that build x and y."""
         # the pieces along the border at each moment: x's right spine and y's left spine, with the score of the merge that used each up
-        s = self.score
-        xs, ys = [x], [y]
-        while self.left[xs[-1]] >= 0:
-            xs.append(int(self.right[xs[-1]]))
-        while self.left[ys[-1]] >= 0:
-            ys.append(int(self.left[ys[-1]]))
-        i, j = len(xs) - 1, len(ys) - 1  # start from single characters
-        while True:
-            grow_x = s[xs[i - 1]] if i else -np.inf  # the merge that will swallow xs[i]
-            grow_y = s[ys[j - 1]] if j else -np.inf
-            joint = self.id_of.get(self.pieces[xs[i]] + self.pieces[ys[j]])
+        s, apart = self.score, np.ones(len(x), bool)
+        rows = np.flatnonzero((x != self.none) & (y != self.none))
+        (xs, i), (ys, j) = self._spines(x[rows], self.right), self._spines(y[rows], self.left)  # start from single characters
+        at = np.arange(len(rows))
+        while len(at):
+            a, b = xs[i, at], ys[j, at]
+            grow_x = np.where(i > 0, s[xs[i - 1, at]], -np.inf)  # the merge that will swallow a
+            grow_y = np.where(j > 0, s[ys[j - 1, at]], -np.inf)
+            fits = self.size[a] + self.size[b] <= self.longest
+            joint = np.where(fits, self._find(self.raw[a] * self.power[np.where(fits, self.size[b], 0)] + self.raw[b]), -1)
             # the border merge is left of y's and right of x's: ties go to the leftmost
-            if joint is not None and s[joint] > grow_x and s[joint] >= grow_y:
-                return False
-            if not i and not j:
-                return True
-            if grow_x >= grow_y:
-                i -= 1
-            else:
-                j -= 1
+            joined = (joint >= 0) & (s[joint] > grow_x) & (s[joint] >= grow_y)
+            apart[rows[at[joined]]] = False
+            on = ~joined & ((i > 0) | (j > 0))
+            by_x = (grow_x >= grow_y)[on]
+            at, i, j = at[on], i[on] - by_x, j[on] - ~by_x
+        return apart
 
     # -- search
 
-    def viterbi(self, words: list[str]) -> list[list[int]]:
-        """Piece ids (self.none for characters without a piece) of words of one length, all advancing together."""
+    def _search(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids (self.none for characters without a piece) of words of one length, all advancing together: those of all words, and the number of each word's."""
         n, length = len(words), len(words[0])
-        chars = np.array([[ord(c) for c in w] for w in words], dtype=np.uint64)
-        power = np.array([pow(int(MUL), i, 1 << 64) for i in range(length + 1)], dtype=np.uint64)
-        prefix = np.zeros((n, length + 1), np.uint64)
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length)
+        prefix = np.zeros((length + 1, n), np.uint64)
         for i in range(length):
-            prefix[:, i + 1] = prefix[:, i] * MUL + chars[:, i] + np.uint64(1)
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        last, back = np.full((n, length + 1), -1, np.int64), np.zeros((n, length + 1), np.int64)
+            prefix[i + 1] = prefix[i] * MUL + chars[:, i] + np.uint64(1)
+        single = self.single[np.minimum(chars, len(self.single) - 1)]
+        for r, k in zip(*np.nonzero(chars >= len(self.single)), strict=True):
+            single[r, k] = self.id_of.get(words[r][k], self.none)
+        best = np.full((length + 1, n), -np.inf)
+        best[0] = 0
+        last, back = np.full((length + 1, n), -1, np.int64), np.zeros((length + 1, n), np.int64)
         rows = np.arange(n)
         for i in range(1, length + 1):
-            widths = range(1, min(i, self.longest) + 1)
-            cand = np.full((n, len(widths)), -np.inf)
-            ids = np.full((n, len(widths)), -1, np.int64)
-            for k, w in enumerate(widths):
-                key = _mix(prefix[:, i] - prefix[:, i - w] * power[w])
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                found = np.where(self.keys[at] == key, self.ids[at], self.none if w == 1 else -1)
-                found = np.where(np.isneginf(best[:, i - w]), -1, found)
-                if self.bpe:
-                    found = np.where((found >= 0) & self.whole[found], found, -1)
-                    go = np.flatnonzero((found >= 0) & (last[:, i - w] >= 0))
-                    if len(go):
-                        found[go[~self._are_apart(last[go, i - w], found[go])]] = -1
-                    value = np.where(found >= 0, 0.0, -np.inf)
-                else:
-                    value = np.where(found >= 0, best[:, i - w] + self.score[found], -np.inf)
-                ids[:, k], cand[:, k] = found, value
-            k = cand.shape[1] - 1 - np.argmax(cand[:, ::-1], axis=1)  # ties: the longest piece
-            best[:, i], last[:, i], back[:, i] = cand[rows, k], ids[rows, k], i - (k + 1)
-        out = []
-        for pieces, steps in zip(last.tolist(), back.tolist(), strict=True):
-            path, i = [], length
-            while i:
-                path.append(pieces[i])
-                i = steps[i]
-            out.append(path[::-1])
+            raws, ats = [], [rows]
+            for w in range(2, min(i, self.longest) + 1):
+                raw = prefix[i] - prefix[i - w] * self.power[w]
+                ats.append(np.flatnonzero(self.maybe[raw * MOD_MIX >> SHIFT]))
+                raws.append(raw[ats[-1]])
+            found = np.concatenate([single[:, i - 1], self._find(np.concatenate(raws))]) if raws else single[:, i - 1]
+            at, start = np.concatenate(ats), i - np.repeat(np.arange(1, len(ats) + 1), [len(x) for x in ats])
+            keep = (found >= 0) & (best[start, at] > -np.inf)
+            if self.bpe:
+                keep &= self.whole[found]
+            at, found, start = at[keep], found[keep], start[keep]
+            if self.bpe:
+                before = last[start, at]
+                keep = before < 0  # at the start of the word
+                inside = np.flatnonzero(~keep)
+                keep[inside] = self._are_apart(before[inside], found[inside])
+                value = np.zeros(len(at))
+            else:
+                value = best[start, at] + self.score[found]
+                keep = np.argsort(value, kind="stable")
+            at, found, start, value = at[keep], found[keep], start[keep], value[keep]
+            best[i, at], last[i, at], back[i, at] = value, found, i - start  # of a word's steps the last stays: the best; of ties the longest piece
+        path, count, i = np.full((n, length), -1, np.int64), np.zeros(n, np.int64), np.full(n, length)
+        for k in range(length - 1, -1, -1):  # from the last piece, written from the right
+            path[rows, k] = last[i, rows]
+            count[rows] += 1
+            i = i - back[i, rows]
+            rows, i = rows[i > 0], i[i > 0]
+            if not len(rows):
+                break
+        return path[path >= 0], count
+
+    def viterbi(self, words: list[str]) -> list[list[int]]:
+        """Piece ids (self.none for characters without a piece) of words of one length."""
+        flat, count = self._search(words)
+        return [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])]
+
+    def _coded(self, words: list[str]) -> list[bytes]:
+        """The ids of words of one length, a character without a piece as its bytes' or the unknown piece."""
+        flat, count = self._search(words)
+        ends = np.cumsum(count)
+        data, e = flat.astype(np.int32).tobytes(), [0, *(4 * ends).tolist()]
+        out = [data[a:b] for a, b in zip(e, e[1:], strict=False)]
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(flat == self.none), side="right")).tolist():
+            path, at = [], 0
+            for x in flat[ends[k] - count[k] : ends[k]].tolist():
+                path += [x] if x != self.none else [self.byte[b] for b in words[k][at].encode()] if self.byte else [self.unk]
+                at += len(self.pieces[x]) if x != self.none else 1
+            out[k] = np.array(path, dtype=np.int32).tobytes()
         return out
 
-    def _cut(self, word: str) -> list[str]:
-        """A word in parts that no piece spans."""
-        cuts = [0, *(i + 1 for i in range(len(word) - 1) if word[i : i + 2] not in self.joined), len(word)]
-        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    def _cut(self, words: list[str]) -> tuple[list[str], list[int]]:
+        """Words in parts that no piece spans: the parts of all, and where each word's parts end."""
+        text, ends = "".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pair = code[:-1] << 21 | code[1:]
+        border = np.zeros(len(code) + 1, bool)
+        if len(self.joined):
+            border[1:-1] = self.joined[np.minimum(np.searchsorted(self.joined, pair), len(self.joined) - 1)] != pair
+        else:
+            border[:] = True
+        border[ends] = border[0] = True
+        cuts = np.flatnonzero(border)
+        at = cuts.tolist()
+        return [text[a:b] for a, b in zip(at, at[1:], strict=False)], np.searchsorted(cuts, ends).tolist()
 
     def _run(self, k: int) -> list[int]:
         """k spaces that no word takes: equal scores merge leftmost first, so the longest pieces come first."""
@@ -223,33 +275,27 @@ class PieceModel:
             self.words = {w: self.words[w] for w in words if w in self.words}
         if len(self.parts) > self.cache:
             self.parts = {}
-        cut: dict[str, list[str]] = {}
-        lead: dict[str, int] = {}
-        by_len: dict[int, set[str]] = {}
+        lead = {}  # spaces before the one that a word takes
         for w in new:
-            k = len(w) - len(w.lstrip(SPACE))
-            lead[w] = k if k == len(w) else max(k - 1, 0)
-            cut[w] = self._cut(w[lead[w] :]) if lead[w] < len(w) else []
-            for p in cut[w]:
-                if p not in self.parts:
-                    by_len.setdefault(len(p), set()).add(p)
-        for length, group in by_len.items():
-            items, step = sorted(group), max(1, 500_000 // (length + 1))
+            if w[:2] == SPACE + SPACE or w == SPACE:
+                k = len(w) - len(w.lstrip(SPACE))
+                lead[w] = k if k == len(w) else k - 1
+        parts, ends = self._cut([w[lead[w] :] if w in lead else w for w in new] if lead else new)
+        by_len: dict[int, list[str]] = {}
+        for p in {p for p in parts if p not in self.parts}:
+            by_len.setdefault(len(p), []).append(p)
+        for length, items in by_len.items():
+            step = max(1, 200_000 // (length + 1))
             for a in range(0, len(items), step):
-                self.parts |= dict(zip(items[a : a + step], self.viterbi(items[a : a + step]), strict=True))
+                self.parts.update(zip(items[a : a + step], self._coded(items[a : a + step]), strict=True))
+        ids = list(map(self.parts.__getitem__, parts))
+        self.words.update(zip(new, [ids[a] if z - a == 1 else b"".join(ids[a:z]) for a, z in zip([0, *ends], ends, strict=False)], strict=True))
         lone = self.id_of.get(SPACE, -1)
-        for w in new:
-            k = lead[w]
-            path = [x for p in cut[w] for x in self.parts[p]]
+        for w, k in lead.items():
+            path = np.frombuffer(self.words[w], np.int32).tolist()
             if k and path and path[0] == lone:
                 path, k = path[1:], k + 1  # no word took the last space
-            if self.none in path:
-                out, at, body = [], 0, w[k:]
-                for x in path:
-                    out += [x] if x != self.none else [self.byte[b] for b in body[at].encode()] if self.byte else [self.unk]
-                    at += len(self.pieces[x]) if x != self.none else 1
-                path = out
-            self.words[w] = np.array(self._run(k) + path if k else path, dtype=np.int32).tobytes()
+            self.words[w] = np.array(self._run(k) + path, dtype=np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
