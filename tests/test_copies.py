@@ -2,9 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_journeys import SF, norm
 from wayloom import journeys
+from wayloom.operators import road, spatial
+from wayloom.sources import flights
 
 KEYS = {
     "customer": {"c_custkey": 1000}, "supplier": {"s_suppkey": 1000}, "part": {"p_partkey": 1000}, "orders": {"o_orderkey": 10_000, "o_custkey": 1000},
@@ -49,3 +52,42 @@ def test_half_cents_of_a_fare_round_up(spark, tmp_path):
     got = journeys.queries()["distinct_signatures"](spark, str(tmp_path)).select("request", "cand").collect()
     want = c.execute(f"SELECT request, cand FROM ({journeys.oracle_sql()['distinct_signatures']}) x").fetchall()
     assert sorted(map(tuple, got)) == sorted(want) == [(1, 1), (1, 10_000_001)]
+
+
+@pytest.mark.parametrize("name", ["nearest_stop", "door_zones", "door_snaps", "access_legs", "connector_legs", "hub_topk"])
+def test_places_that_share_a_spot(spark, copies, name):
+    assert same(spark, name, copies)
+
+
+@pytest.fixture
+def measured(spark, monkeypatch):
+    """How often distances are taken."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def km(lat1, lon1, lat2, lon2):
+        calls.add(1)
+        return (abs(lat1 - lat2) + abs(lon1 - lon2)) * 100
+
+    monkeypatch.setattr(spatial, "haversine_km", km)
+    return calls
+
+
+def test_distances_are_taken_once_for_a_pair_of_spots(spark, measured):
+    points = spark.range(300).select(F.col("id").alias("door"), F.lit(50.0).alias("lat"), F.lit(5.0).alias("lon"))
+    places = spark.range(300).select((F.col("id") + 7).alias("stop"), F.lit(50.01).alias("p_lat"), F.lit(5.0).alias("p_lon"))
+    assert spatial.within(points, places, 10).count() == 90_000 and measured.value < 10
+    got = spatial.nearest(points, "door", places, "stop").collect()
+    assert len(got) == 300 and {r.stop for r in got} == {7} and measured.value < 100
+    nodes = places.toDF("node", "lat", "lon")
+    assert road.snap(points, "door", nodes).count() == 300 and road.snap(points, "door", nodes, 0.5).count() == 0 and measured.value < 500
+
+
+def test_busiest_airports_are_met_first(spark, measured):
+    """Where the busiest are near, those after them aren't met; a spot far from them goes down the list to the one beside it."""
+    points = spark.range(41).select(F.col("id").alias("point"), F.when(F.col("id") == 40, 10.0).otherwise(50 + F.col("id") / 100).alias("lat"), F.lit(5.0).alias("lon"))
+    airports = spark.range(1500).select(F.col("id").alias("iata"), F.when(F.col("id") == 3, 10.0).otherwise(50 + F.col("id") / 10_000).alias("lat"), F.lit(5.0).alias("lon"))
+    degree = airports.select("iata", (F.floor(F.col("iata") / 2) + 10).alias("degree"))
+    got = sorted(map(tuple, flights.hubs(points, airports, degree, 5, 400, 3).collect()))
+    assert got == sorted([(p, i, i // 2 + 10, r + 1) for p in range(40) for r, i in enumerate((1499, 1498, 1497))] + [(40, 3, 11, 1)])
+    assert measured.value < 41 * 300

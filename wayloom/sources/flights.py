@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayloom.functions.geo import haversine_km
 from wayloom.operators.feeds import Timetable
+from wayloom.operators.fixpoint import numbered, written
 from wayloom.operators.spatial import within
 from wayloom.sources.gtfs import with_valid_zone
 
@@ -78,8 +79,33 @@ def keep_set(points: DataFrame, airports: DataFrame, degree: DataFrame, near_km:
     return near.unionByName(hubs(points, airports, degree, **hub).select("iata")).distinct()
 
 
+#: How many of the busiest airports points meet first, and how many times as many those that lack some meet next.
+FIRST, FARTHER = 64, 4
+
+
 def hubs(points: DataFrame, airports: DataFrame, degree: DataFrame, least: int = 80, km: float = 3000.0, k: int = 6) -> DataFrame:
-    """(point, iata, degree, rank): the k busiest airports within km of each point, ties by the larger code."""
+    """(point, iata, degree, rank): the k busiest airports within km of each point, ties by the larger code.
+
+    Points at one spot ask once, and of airports at one spot only the k busiest count. Spots meet the FIRST busiest airports of all; those
+    that find fewer than k within km meet FARTHER times as many, and so on until all are met: what a spot meets follows how far
+    down it must go, not how many airports are near."""
+    order = [F.desc("degree"), F.desc("iata")]
     busy = airports.join(degree.where(F.col("degree") >= least), "iata").select("iata", "degree", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    w = Window.partitionBy("point").orderBy(F.desc("degree"), F.desc("iata"))
-    return within(points, busy, km).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("point", "iata", "degree", "rank")
+    busy = busy.withColumn("__n", F.row_number().over(Window.partitionBy("p_lat", "p_lon").orderBy(*order))).where(F.col("__n") <= k).drop("__n")
+    busy = written(numbered(busy, "busy", *order), "busy")
+    last, met, out = busy.agg(F.max("n")).first()[0] or 0, FIRST, None
+    left = written(points.select("lat", "lon").distinct(), "spots")
+    w = Window.partitionBy("lat", "lon").orderBy(*order)
+    while True:
+        near = within(left, busy.where(F.col("n") < met), km).select("lat", "lon", "iata", "degree")
+        top = written(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "hubs")
+        full = top if met > last else top.join(top.where(F.col("rank") == k).select("lat", "lon"), ["lat", "lon"], "left_semi")
+        out = full if out is None else out.unionByName(full)
+        if met > last:
+            break
+        left = written(left.join(full.select("lat", "lon").distinct(), ["lat", "lon"], "left_anti"), "spots")
+        if left.isEmpty():
+            break
+        met *= FARTHER
+    return points.join(out, ["lat", "lon"]).select("point", "iata", "degree", "rank")
+
