@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.test_journeys import SF, norm
 from wayloom import journeys
-from wayloom.operators import road, spatial
+from wayloom.operators import road, spatial, timetable
 from wayloom.sources import flights
 
 KEYS = {
@@ -91,3 +91,12 @@ def test_busiest_airports_are_met_first(spark, measured):
     got = sorted(map(tuple, flights.hubs(points, airports, degree, 5, 400, 3).collect()))
     assert got == sorted([(p, i, i // 2 + 10, r + 1) for p in range(40) for r, i in enumerate((1499, 1498, 1497))] + [(40, 3, 11, 1)])
     assert measured.value < 41 * 300
+
+
+def test_asks_of_many_hours_are_not_broadcast(spark):
+    asks = spark.range(50).select(F.col("id").alias("ask"), (F.col("id") % 5).alias("stop"), (F.col("id") * 600).alias("at"))
+    conns = spark.range(500).select((F.col("id") % 5).alias("dep_stop"), (F.col("id") * 100).alias("dep"), (F.col("id") * 100 + 60).alias("arr"), F.col("id").cast("string").alias("run_id"))
+    got = timetable.next_departures(asks, conns)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    first = lambda k: min(x for x in range(500) if x % 5 == k % 5 and x * 100 >= k * 600)
+    assert sorted((r.ask, r.dep) for r in got.collect()) == [(k, first(k) * 100) for k in range(50)]

@@ -187,10 +187,11 @@ def zone_of_feed(stops: DataFrame) -> DataFrame:
 
 def next_departures(asks: DataFrame, conns: DataFrame, hours: int = 12) -> DataFrame:
     """For each ask (ask, stop, at in seconds) the first connection from the stop at or after it within hours, by arrival
-    then run: an as-of join through hour buckets, so an ask meets only the connections of its next hours."""
+    then run: an as-of join through hour buckets, so an ask meets only the connections of its next hours. Asks are merged, never broadcast:
+    their size is judged before they are listed for each hour."""
     c = conns.select(F.col("dep_stop").alias("stop"), "dep", "arr", "run_id", F.floor(F.col("dep") / 3600).alias("bucket"))
     a = asks.select("ask", "stop", "at", F.explode(F.sequence(F.floor(F.col("at") / 3600), F.floor(F.col("at") / 3600) + hours)).alias("bucket"))
-    hit = a.join(c, ["stop", "bucket"]).where((F.col("dep") >= F.col("at")) & (F.col("dep") <= F.col("at") + hours * 3600))
+    hit = a.hint("merge").join(c, ["stop", "bucket"]).where((F.col("dep") >= F.col("at")) & (F.col("dep") <= F.col("at") + hours * 3600))
     return hit.groupBy("ask").agg(F.min(F.struct("dep", "arr", "run_id")).alias("m")).select("ask", "m.dep", "m.arr", "m.run_id")
 
 
