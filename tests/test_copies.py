@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_journeys import SF, norm
+from tests.test_planner import frames
 from wayloom import journeys
-from wayloom.operators import road, spatial, timetable
+from wayloom.operators import connectors, road, search, spatial, timetable, transit
+from wayloom.operators.fixpoint import written
 from wayloom.sources import flights
 
 KEYS = {
@@ -100,3 +102,25 @@ def test_asks_of_many_hours_are_not_broadcast(spark):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     first = lambda k: min(x for x in range(500) if x % 5 == k % 5 and x * 100 >= k * 600)
     assert sorted((r.ask, r.dep) for r in got.collect()) == [(k, first(k) * 100) for k in range(50)]
+
+
+def test_requests_that_ask_the_same_are_searched_once(spark, monkeypatch):
+    """A hundred requests of two kinds: two are searched, all are answered; a connector that tells requests apart searches each."""
+    c, s, none = frames(spark, [("r1", 1, "A", "H", 4000, 5000, "train"), ("r2", 1, "H", "C", 5600, 7000, "train")])
+    r = spark.range(100).select(F.col("id").alias("request"), F.lit(46.0005).alias("lat"), F.lit(7.0).alias("lon"), F.when(F.col("id") % 2 == 0, 46.6005).otherwise(46.3005).alias("lat2"), F.lit(7.0).alias("lon2"), F.lit(3000).cast("long").alias("depart"))
+    seen, legs = [], search.candidate_legs
+    monkeypatch.setattr(search, "candidate_legs", lambda asked, *more: seen.append(asked.count()) or legs(asked, *more))
+    got = {}
+    for x in search.plan(r, c, s, none, "greenest", 2).collect():
+        got.setdefault(x.request, []).append((x["rank"], x.cand, x.total_s, x.modes))
+    assert seen == [2] and set(got) == set(range(100))
+    assert all(sorted(got[k]) == sorted(got[k % 2]) for k in got) and sorted(got[0]) != sorted(got[1])
+    apart = connectors.by_region(r.limit(0).select("request", F.lit("x").alias("region_id")), {}, connectors.geometric())
+    assert search.plan(r.limit(3), c, s, none, "greenest", 1, connectors=[apart]).count() == 3 and seen == [2, 3]
+
+
+def test_tables_of_many_rows_are_merged(spark):
+    """A written table of few bytes and many rows."""
+    small, large = (written(spark.range(n).select((F.col("id") * 0).alias("run_id")), "t") for n in (100, 200_000))
+    plan = lambda t: spark.range(9).toDF("run_id").join(transit.merged(t), "run_id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan(large) and "SortMergeJoin" not in plan(small)
